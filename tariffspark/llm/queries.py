@@ -1,6 +1,16 @@
 """Registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
+from . import decontamination as op2
+from . import license_scan as op4
+from . import near_dedup as op10
 from . import substring_dedup as op1
+from . import toxicity as op3
 
-QUERIES = {"op1_substring_dedup": op1.op1_substring_dedup}
-SQL = {"op1_substring_dedup": op1.OP1_SQL}
+QUERIES = {
+    "op1_substring_dedup": op1.op1_substring_dedup,
+    "op2_decontamination": op2.op2_decontamination,
+    "op3_toxicity": op3.op3_toxicity,
+    "op4_license_scan": op4.op4_license_scan,
+    "op10_near_dedup": op10.op10_near_dedup,
+}
+SQL = {"op1_substring_dedup": op1.OP1_SQL, "op2_decontamination": op2.OP2_SQL}
