@@ -1,9 +1,11 @@
 """Registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
+from . import bpe as op6
 from . import decontamination as op2
 from . import license_scan as op4
 from . import near_dedup as op10
 from . import substring_dedup as op1
+from . import token_files as op8
 from . import toxicity as op3
 
 QUERIES = {
@@ -11,6 +13,8 @@ QUERIES = {
     "op2_decontamination": op2.op2_decontamination,
     "op3_toxicity": op3.op3_toxicity,
     "op4_license_scan": op4.op4_license_scan,
+    "op6_bpe": op6.op6_bpe,
+    "op8_token_files": op8.op8_token_files,
     "op10_near_dedup": op10.op10_near_dedup,
 }
 SQL = {"op1_substring_dedup": op1.OP1_SQL, "op2_decontamination": op2.OP2_SQL}

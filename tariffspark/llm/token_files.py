@@ -6,7 +6,8 @@ is a Parquet part of blocks; a block holds whole documents: their ids, token cou
 and blocks stand in ascending id order (null first). numpy decodes a block by looking up each control byte's four
 lengths in a table.
 
-The first pass counts ids, the second encodes and codes; only coded streams are shuffled, by range of document id.
+Texts are encoded once, into a written table of coded streams; counting reads that, and only the streams are shuffled, by
+range of document id.
 
 Defined results: null and empty texts give the end id alone; repeated ids stand together; extra columns are ignored.
 """
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._core import CLEANUP, chunks, lists, shared_dir, table
+from ._core import CLEANUP, chunks, cut, lists, shared_dir, table
 from .tokens import Encoder, cached
 
 VOCABULARY, END = "byte_bpe_50k.json", 0
@@ -55,49 +56,57 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
-def _tally(path: str):
+def _coded(path: str, end: int):
+    """Every document's ids, the end id last, in the same code but numbered as the vocabulary does."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, total = cached(Encoder, path), None
+        tool = cached(Encoder, path)
         for b in chunks(batches):
-            t = tool.tally(b.column("text"))
-            total = t if total is None else total + t
-        if total is not None:
-            some = np.flatnonzero(total)
-            yield pa.record_batch({"token": some, "n": total[some]})
+            ids, n = tool.encode(b.column("text"))
+            full = np.insert(ids, np.cumsum(n), end)
+            yield pa.record_batch({"id": b.column("id"), "n": n + 1} | _streams(full, n + 1))
 
     return run
 
 
-def _coded(path: str, end: int, shared):
-    """Every document's ranked ids as its own two streams."""
+def _streams(v: np.ndarray, n: np.ndarray) -> dict[str, pa.Array]:
+    to = np.cumsum(n)
+    out = [pack(v[z - m : z]) for z, m in zip(to.tolist(), n.tolist(), strict=True)]
+    return {"control": pa.array([x[0] for x in out], pa.binary()), "data": pa.array([x[1] for x in out], pa.binary())}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, rank = cached(Encoder, path), shared.value
-        for b in chunks(batches):
-            ids, n = tool.encode(b.column("text"))
-            ends = np.cumsum(n)
-            full = np.insert(ids, ends, end)  # the end id closes every document
-            ranked, to = rank[full], ends + np.arange(1, len(n) + 1)
-            streams = [pack(ranked[z - m - 1 : z]) for z, m in zip(to.tolist(), n.tolist(), strict=True)]
-            yield pa.record_batch({"id": b.column("id"), "n": n + 1, "control": pa.array([x[0] for x in streams], pa.binary()), "data": pa.array([x[1] for x in streams], pa.binary())})
 
-    return run
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for b in batches:
+        for c, d, m in zip(b.column("control").to_pylist(), b.column("data").to_pylist(), b.column("n").to_pylist(), strict=True):
+            t = np.bincount(unpack(c, d, m))
+            if len(t) > len(total):
+                t[: len(total)] += total
+                total = t
+            else:
+                total[: len(t)] += t
+    some = np.flatnonzero(total)
+    yield pa.record_batch({"token": some, "n": total[some]})
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Consecutive documents in blocks; before: ids of earlier blocks of this file."""
-    part, before = TaskContext.get().partitionId(), 0
-    for b in batches:
-        n = np.asarray(b.column("n"))
-        lo = 0
-        while lo < len(n):
-            hi = lo + max(1, int(np.searchsorted(np.cumsum(n[lo:]), BLOCK_IDS, "right")))
-            own = b.slice(lo, hi - lo)
-            count = int(n[lo:hi].sum())
-            values = [unpack(c, d, m) for c, d, m in zip(own.column("control").to_pylist(), own.column("data").to_pylist(), n[lo:hi].tolist(), strict=True)]
-            control, data = pack(np.concatenate(values))
-            yield pa.record_batch({"part": [part], "before": [before], "count": [count], "ids": pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), own.column("id")), "lengths": lists(n[lo:hi].astype(np.int64), np.array([hi - lo])), "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
-            before, lo = before + count, hi
+def _blocks(shared):
+    """Consecutive documents in blocks, ids by rank; before: ids of earlier blocks of this file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, part, before = shared.value, TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = np.asarray(b.column("n"))
+            lo = 0
+            while lo < len(n):
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(n[lo:]), BLOCK_IDS, "right")))
+                own = b.slice(lo, hi - lo)
+                count = int(n[lo:hi].sum())
+                values = [unpack(c, d, m) for c, d, m in zip(own.column("control").to_pylist(), own.column("data").to_pylist(), n[lo:hi].tolist(), strict=True)]
+                control, data = pack(rank[np.concatenate(values)])
+                yield pa.record_batch({"part": [part], "before": [before], "count": [count], "ids": pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), own.column("id")), "lengths": lists(n[lo:hi].astype(np.int64), np.array([hi - lo])), "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
+                before, lo = before + count, hi
+
+    return run
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> np.ndarray:
@@ -105,16 +114,15 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    counts = slim.select("text").mapInArrow(_tally(path), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row a token of the vocabulary
-    size = cached(Encoder, path).size
-    freq = np.zeros(max(size, end + 1), np.int64)
+    coded = cut(slim.mapInArrow(_coded(path, end), f"id {kind}, n long, control binary, data binary"), "coded")
+    counts = coded.select("n", "control", "data").mapInArrow(_tally, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row a token of the vocabulary
+    freq = np.zeros(max([end, *(r["token"] for r in counts)]) + 1, np.int64)
     for r in counts:
         freq[r["token"]] = r["n"]
     by_rank = np.argsort(-freq, kind="stable").astype(np.uint32)
     rank = np.empty(len(by_rank), np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    coded = slim.mapInArrow(_coded(path, end, spark.sparkContext.broadcast(rank)), f"id {kind}, n long, control binary, data binary")
-    files = coded.repartitionByRange("id").sortWithinPartitions("id", "n", "data").mapInArrow(_blocks, f"part long, before long, count long, ids array<{kind}>, lengths array<long>, control binary, data binary")
+    files = coded.repartitionByRange("id").sortWithinPartitions("id", "n", "data").mapInArrow(_blocks(spark.sparkContext.broadcast(rank)), f"part long, before long, count long, ids array<{kind}>, lengths array<long>, control binary, data binary")
     saved = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from ._core import ragged, span_hash, utf8
 
-MEMO = 400_000
+MEMO = 2_500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -84,9 +84,10 @@ class Encoder:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        """Memo: hashes in order, and where each fragment's ids lie."""
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat, self.used, self.size_of = np.zeros(1 << 16, np.int32), 0, 0
+        self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
 
     def cuts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Starts of fragments."""
@@ -105,36 +106,30 @@ class Encoder:
         cut[off] = True
         return np.flatnonzero(cut[: len(buf)])
 
-    def _pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece. Pieces are joined by an added token, at which the library itself ends all that it looks at."""
-        mark, number = self.special[-1], self.tool.token_to_id(self.special[-1].decode())
-        plain = [not any(s in x for s in self.special) for x in pieces]
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
-        own = [i for i, ok in enumerate(plain) if ok]
-        for lo in range(0, len(own), 2000):
-            part = own[lo : lo + 2000]
-            text = mark.join([pieces[i] for i in part] + [b""]).decode()
-            ids = np.array(self.tool.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            for i, x in zip(part, np.split(ids, np.flatnonzero(ids == number) + 1), strict=False):
-                out[i] = x[:-1]
-        rest = [i for i, ok in enumerate(plain) if not ok]
-        for i, x in zip(rest, self.tool.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(x.ids, np.int32)
-        return out
-
-    def _learn(self, buf: np.ndarray, hashes: list[int], start: np.ndarray, end: np.ndarray) -> None:
-        got = self._pieces([buf[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)])
-        n, at = np.array([len(x) for x in got], np.int64), len(self.known)
+    def _learn(self, buf: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encode new fragments; hashes ascend."""
+        texts = [buf[s:e].tobytes().decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        got = [x.ids for lo in range(0, len(texts), 5000) for x in self.tool.encode_batch_fast(texts[lo : lo + 5000], add_special_tokens=False)]
+        n, at = np.array([len(x) for x in got], np.int32), self.size_of
         total = int(n.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while at + len(n) > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        self.flat[self.used : self.used + total] = np.concatenate(got)
+        self.flat[self.used : self.used + total] = np.fromiter((i for x in got for i in x), np.int32, total)
         self.start[at : at + len(n)] = self.used + np.cumsum(n) - n
         self.count[at : at + len(n)] = n
-        self.used += total
-        self.known.update(zip(hashes, range(at, at + len(n)), strict=True))
+        self.used, self.size_of = self.used + total, at + len(n)
+        to = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, to, hashes)
+        self.number = np.insert(self.number, to, np.arange(at, at + len(n), dtype=np.int32))
+
+    def _look(self, h: np.ndarray) -> np.ndarray:
+        """Memo numbers, -1 where not known."""
+        if not len(self.known):
+            return np.full(len(h), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, self.number[at], -1)
 
     def fragments(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Memo numbers of all fragments in order, and the document of each."""
@@ -144,14 +139,14 @@ class Encoder:
         start = self.cuts(buf, off)
         end = np.append(start[1:], len(buf))
         h, first, inverse = np.unique(span_hash(buf, start, end), return_index=True, return_inverse=True)
-        keys = h.tolist()
-        if len(self.known) > MEMO:
+        if self.size_of > MEMO:
             self._fresh()
-        new = [i for i, x in enumerate(keys) if x not in self.known]
-        if new:
+        number = self._look(h)
+        new = np.flatnonzero(number < 0)
+        if len(new):
             at = first[new]
-            self._learn(buf, [keys[i] for i in new], start[at], end[at])
-        number = np.fromiter((self.known[x] for x in keys), np.int64, len(keys))
+            self._learn(buf, h[new], start[at], end[at])
+            number = self._look(h)
         return number[inverse], np.searchsorted(off, start, "right") - 1
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +159,7 @@ class Encoder:
     def tally(self, arr: pa.Array) -> np.ndarray:
         """How often each id occurs."""
         number, _ = self.fragments(arr)
-        times = np.bincount(number, minlength=len(self.known))
+        times = np.bincount(number, minlength=self.size_of)
         which, at = ragged(self.count[: len(times)])
         return np.bincount(self.flat[self.start[which] + at], times[which], minlength=self.size).astype(np.int64)
 
