@@ -1,5 +1,6 @@
 """Registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
+from . import ann as op5
 from . import bpe as op6
 from . import decontamination as op2
 from . import license_scan as op4
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_decontamination": op2.op2_decontamination,
     "op3_toxicity": op3.op3_toxicity,
     "op4_license_scan": op4.op4_license_scan,
+    "op5_ann": op5.op5_ann,
     "op6_bpe": op6.op6_bpe,
     "op8_token_files": op8.op8_token_files,
     "op10_near_dedup": op10.op10_near_dedup,
