@@ -179,7 +179,7 @@ def _match(shared):
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """id, n_words, hit (word numbers in occurrences of windows), items (their ids as sorted strings), near (items with near matches only)."""
+    """id, kd, kh (the row's key), n_words, hit (word numbers in occurrences of windows), items (their ids as sorted strings), near (items with near matches only)."""
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *key_cols(id_col, text_col))
     kind = slim.schema["id"].dataType.simpleString()
@@ -202,20 +202,20 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         parts.append(index.mapInArrow(_match(ready), f"id {kind}, kd long, kh long, n_words long, hit array<int>, items array<string>, near array<string>"))
     if not parts:
         empty = F.array().cast("array<string>")
-        counted = slim.mapInArrow(_only_words, f"id {kind}, n_words long")
-        return counted.select("id", "n_words", F.array().cast("array<int>").alias("hit"), empty.alias("items"), empty.alias("near"))
+        counted = slim.mapInArrow(_only_words, f"id {kind}, kd long, kh long, n_words long")
+        return counted.select("id", "kd", "kh", "n_words", F.array().cast("array<int>").alias("hit"), empty.alias("items"), empty.alias("near"))
     if len(parts) == 1:
-        return parts[0].drop("kd", "kh")
+        return parts[0]
     out = parts[0].withColumn("rows", F.lit(1))
     for p in parts[1:]:
         out = out.unionByName(p.withColumn("rows", F.lit(0)))
     merged = out.groupBy("kd", "kh").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.sum("rows").alias("rows"))
-    return merged.select("id", "n_words", "hit", "items", F.array_sort(F.array_except("near", "items")).alias("near"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_")).drop("_")
+    return merged.select("id", "kd", "kh", "n_words", "hit", "items", F.array_sort(F.array_except("near", "items")).alias("near"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_")).drop("_")
 
 
 def _only_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches):
-        yield pa.record_batch({"id": b.column("id"), "n_words": Words(b.column("text"), PLAIN, lower=True, hashes=False).n.astype(np.int64)})
+        yield pa.record_batch({"id": b.column("id"), "kd": b.column("kd"), "kh": b.column("kh"), "n_words": Words(b.column("text"), PLAIN, lower=True, hashes=False).n.astype(np.int64)})
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -223,6 +223,13 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", F.size("hit").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, as they are."""
+    bad = judged(contamination(docs, bench)).where("contaminated").select("kd", "kh").distinct()
+    keyed = docs.select("*", *key_cols("doc_id", "text"))
+    return keyed.join(cut(bad, "contaminated"), ["kd", "kh"], "left_anti").select(docs.columns)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")

@@ -246,7 +246,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, per_cent: int = PER_CENT) -> DataFrame:
-    """id, n_shingles, component_id (least id of the component), kept (id is that least id)."""
+    """id, kd, kh (the row's key), root (names the component; null for empty sets), n_shingles, component_id (least id of
+    the component), kept (id is that least id)."""
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *key_cols(id_col, text_col))
     kind = slim.schema["id"].dataType.simpleString()
     all_ = cut(slim.mapInArrow(_signatures(k, PERMS), f"id {kind}, kd long, kh long, n long, s1 long, s2 long, sketch binary, tokens array<int>"), "signatures")
@@ -256,9 +257,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(found)
     named = classes.select("s1", "least").join(roots.withColumnRenamed("v", "s1"), "s1", "left").withColumn("root", F.coalesce("root", "s1"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = cut(named.join(least, "root").select("s1", "component_id"), "components")
+    answer = cut(named.join(least, "root").select("s1", "root", "component_id"), "components")
     out = all_.join(answer, "s1", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("id", "kd", "kh", "root", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component, as it is; rows equal in id and text are one document."""
+    found = near_duplicates(docs)
+    alone = found.where("root is null").select("kd", "kh").distinct()
+    first = found.where("root is not null and kept").groupBy("root").agg(F.min(F.struct("kd", "kh")).alias("x")).select("x.*")
+    keyed = docs.select("*", *key_cols("doc_id", "text"))
+    stay = cut(first.unionByName(alone).distinct(), "kept")
+    return keyed.join(stay, ["kd", "kh"], "left_semi").dropDuplicates(["kd", "kh"]).select(docs.columns)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

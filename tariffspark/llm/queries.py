@@ -2,6 +2,7 @@
 
 from . import ann as op5
 from . import bpe as op6
+from . import ctw as op9
 from . import decontamination as op2
 from . import license_scan as op4
 from . import near_dedup as op10
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_ann": op5.op5_ann,
     "op6_bpe": op6.op6_bpe,
     "op8_token_files": op8.op8_token_files,
+    "op9_ctw": op9.op9_ctw,
     "op10_near_dedup": op10.op10_near_dedup,
 }
 SQL = {"op1_substring_dedup": op1.OP1_SQL, "op2_decontamination": op2.OP2_SQL}

@@ -26,6 +26,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ._core import Rolling, Words, chunks, cut, key_cols, lists, mix, ragged, signed, table
 
@@ -158,7 +159,7 @@ def _kept(window: int):
                     text[-1] = b" ".join(raw[w.off[d] : w.off[d + 1]].tobytes().split())
             yield pa.record_batch(
                 {
-                    "id": b.column("id"),
+                    "row": b.column("row"),
                     "n_words": w.n.astype(np.int64),
                     "n_removed": pa.array(removed, pa.int64()),
                     "kept_text": pa.array(text, pa.binary()).cast(pa.string()),
@@ -182,16 +183,18 @@ def levels(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataF
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """id, n_words, n_removed, kept_text (kept words joined by one space): one row per input row."""
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *key_cols(id_col, text_col))
+    """row (a struct of the input's columns but the text), n_words, n_removed, kept_text (kept words joined by one
+    space): one row per input row."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    slim = docs.select(rest.alias("row"), F.col(f"`{text_col}`").alias("text"), *key_cols(id_col, text_col))
     marks = cut(levels(slim.select("text", "kd", "kh"), window, anchor), "marks")
     open_ = cut(slim.select("text", "kd", "kh").join(marks, ["kd", "kh"]).mapInArrow(_windows(window, anchor), "w1 long, w2 int, pos int, kd long, kh long"), "windows")
     again = cut(open_.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "windows-again")
     found = open_.where("kd is not null").join(again, ["w1", "w2"], "left_semi").groupBy("kd", "kh").agg(F.collect_list("pos").alias("found"))
-    kind = slim.schema["id"].dataType.simpleString()
     cover = cut(marks.join(found, ["kd", "kh"], "full"), "cover")
-    out = slim.join(cover, ["kd", "kh"], "left").select("id", "text", "marks", "found")
-    return out.mapInArrow(_kept(window), f"id {kind}, n_words long, n_removed long, kept_text string")
+    out = slim.join(cover, ["kd", "kh"], "left").select("row", "text", "marks", "found")
+    kinds = StructType([slim.schema["row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
+    return out.mapInArrow(_kept(window), kinds)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", start: int = WINDOW) -> DataFrame:
@@ -235,8 +238,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_substrings(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 #: Windows compared as strings; nothing of the hashing above.
