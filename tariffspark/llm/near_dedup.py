@@ -5,10 +5,11 @@ copies cost one row. Then, in each of TREES independent trees:
 
 * every class goes to BRANCHES nodes per level, named by the path so far and the class's minwise token for that level and branch;
 * nodes of at most SMALL classes are compared exhaustively on 4-bit minwise sketches; larger ones branch again, DEPTH times;
-* what is still large after that is a near-copy group. It is taken in rounds: up to SMALL members of each node that are
-  linked to no leader yet lead, and are compared with all members of their node. After that every member has led or is
-  linked to a leader. A link between two that never led can only matter where a node still holds several components;
-  there, all but the largest component are compared with the whole node in blocks. So no component is split for size.
+* what is still large after that is a near-copy group. Only links between different components matter there, so it is
+  taken in rounds: of each node that holds several components, a few members outside its largest one lead and are
+  compared with the node's members of other components; links merge components, and the next round looks again. After
+  one round all that have not led lead at once. A node is done when it holds one component or all members
+  outside its largest one have led, so no group is split for its size, and a group around one text takes one round. A pair that shares several nodes is compared in one.
 
 Two classes of similarity s part in a branch with probability 1 - s; with two branches a level a tree misses a pair of
 similarity 0.8 with probability below 0.07, four independent trees below 0.00003. Sketch estimates drop a pair only
@@ -35,6 +36,8 @@ from ._core import SPACED, Rolling, Words, chunks, cut, key_cols, lists, mix, ra
 
 TREES, DEPTH, BRANCHES, SMALL = 4, 3, 2, 48
 PERMS = 128
+#: Members of a node that meet its leaders in one task.
+CHUNK = 1024
 PER_CENT, FLOOR = 80, 0.17
 _rng = np.random.default_rng(99)
 _MUL = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,80 +138,146 @@ def _exhaustive(least: float):
     return run
 
 
-def _to_leaders(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = b.column("leaders").value_lengths().to_numpy(zero_copy_only=False)
-            lead, lsk, own = np.asarray(b.column("leaders").flatten()), _flat(b.column("leader_sketches")), _flat(b.column("sketch"))
-            key = np.asarray(b.column("s1"))
-            first = np.cumsum(size) - size
-            for lo in range(0, b.num_rows, 2000):
-                row, at = ragged(size[lo : lo + 2000])
-                x = first[lo : lo + 2000][row] + at
-                ok = (_similar(own[lo + row], lsk[x]) >= least) & (key[lo + row] != lead[x])
-                a, c = lead[x[ok]], key[lo + row[ok]]
-                yield pa.record_batch({"a": np.minimum(a, c), "b": np.maximum(a, c)})
+def _earlier(members: pa.Table, leaders: pa.Table, node: int) -> np.ndarray:
+    """[members, leaders]: True where both also share a node of a smaller name, which is the one to compare them."""
+
+    def lists_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        col = t["nodes"].combine_chunks()
+        return np.repeat(np.arange(len(col)), col.value_lengths().to_numpy(zero_copy_only=False)), np.asarray(col.flatten())
+
+    (mi, mn), (li, ln) = lists_of(members), lists_of(leaders)
+    names = np.unique(ln[ln < node])
+    if not len(names):
+        return np.zeros((members.num_rows, leaders.num_rows), bool)
+    rows = []
+    for i, x, n in ((mi, mn, members.num_rows), (li, ln, leaders.num_rows)):
+        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        ok = names[at] == x
+        m = np.zeros((n, len(names)), np.float32)
+        m[i[ok], at[ok]] = 1
+        rows.append(m)
+    return rows[0] @ rows[1].T > 0
+
+
+def _to_leaders(least: float, once: bool):
+    """Of each leader of a node, the members in other components that may be similar enough; and in one more row (no
+    leader) all that take part. once: a pair that shares several nodes is taken in the first of them only."""
+    kind = pa.list_(pa.int64())
+
+    def run(members: pa.Table, leaders: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        part = np.zeros(0, np.int64)
+        if members.num_rows and leaders.num_rows:
+            node = members["node"][0].as_py()
+            key, root = np.asarray(members["s1"]), np.asarray(members["root"])
+            lead, lead_root = np.asarray(leaders["s1"]), np.asarray(leaders["root"])
+            own, other = _flat(members["sketch"].combine_chunks()), _flat(leaders["sketch"].combine_chunks())
+            skip = root[:, None] == lead_root[None]
+            if once:
+                skip |= _earlier(members, leaders, node)
+            for lo in range(0, len(lead), 32):
+                cols = slice(lo, lo + 32)
+                ok = (_similar(own[:, None], other[None, cols]) >= least) & ~skip[:, cols]
+                for j in np.flatnonzero(ok.any(0)).tolist():
+                    i = np.flatnonzero(ok[:, j])
+                    out[0].append(int(lead[lo + j]))
+                    out[1].append(key[i])
+                    out[2].append(root[i])
+            if out[0]:
+                part = np.unique(np.concatenate([np.array(out[0]), *out[1]]))
+                out[0].append(None)
+                out[1].append(part)
+                out[2].append(part[:0])
+        n = len(out[0])
+        head = {"node": pa.array([node] * n, pa.int64()), "chunk": pa.array([members["chunk"][0].as_py()] * n, pa.int64())} if n else {"node": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64())}
+        return pa.table(head | {"leader": pa.array(out[0], pa.int64()), "members": pa.array(out[1], kind), "roots": pa.array(out[2], kind)})
 
     return run
 
 
 def _nodes(rows: DataFrame, level: int) -> DataFrame:
     """A level's entries: node from the parent's name, the branch and the minwise token of that level and branch."""
-    token = F.get("tokens", (F.col("tree") * DEPTH + level) * BRANCHES + F.col("branch"))
+    token = F.get("tokens", F.lit(level * BRANCHES) + F.col("branch"))
     return rows.withColumn("branch", F.explode(F.array(*[F.lit(x) for x in range(BRANCHES)]))).withColumn("node", F.xxhash64("node", "tree", F.lit(level), "branch", token)).drop("branch")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     a, b = sets.select(F.col("s1").alias("a"), F.col("grams").alias("x")), sets.select(F.col("s1").alias("b"), F.col("grams").alias("y"))
-    both = pairs.join(a, "a").join(b, "b")
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")  # sets are the bulk: one plan at every size
     inter = F.size(F.array_intersect("x", "y"))
     return both.withColumn("i", inter).where(100 * F.col("i") >= per_cent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
-def _leaders(rows: DataFrame) -> DataFrame:
-    """At most SMALL members of each node: the least of each of SMALL parts, by partial sums."""
-    part = rows.groupBy("node", F.pmod(F.xxhash64("s1"), F.lit(SMALL)).alias("part")).agg(F.min(F.struct("s1", "sketch")).alias("x"))
-    return part.groupBy("node").agg(F.collect_list("x.s1").alias("leaders"), F.collect_list("x.sketch").alias("leader_sketches"))
+def _proved(per_cent: int):
+    """Links of leaders to members on full sets, one to each component that a leader turns out to be linked with."""
+
+    def run(rows: pa.Table, sets: pa.Table) -> pa.Table:
+        grams = sets["grams"].combine_chunks()
+        at = {k: i for i, k in enumerate(sets["s1"].to_pylist())}
+        have: dict[int, np.ndarray] = {}
+
+        def of(k: int) -> np.ndarray:
+            if k not in have:
+                have[k] = np.sort(np.asarray(grams[at[k]].values))
+            return have[k]
+
+        a, b = [], []
+        for lead, members, roots in zip(rows["leader"].to_pylist(), rows["members"].to_pylist(), rows["roots"].to_pylist(), strict=True):
+            x, linked = of(lead), set()
+            for k, root in zip(members, roots, strict=True):
+                if root in linked:
+                    continue
+                y = of(k)
+                if 100 * min(len(x), len(y)) < per_cent * max(len(x), len(y)):
+                    continue
+                i = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                if 100 * i >= per_cent * (len(x) + len(y) - i):
+                    linked.add(root)
+                    a.append(min(lead, k))
+                    b.append(max(lead, k))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
-def _met(members: DataFrame, leaders: DataFrame, sets: DataFrame, least: float, per_cent: int) -> DataFrame:
-    """Links between every member of a node and that node's leaders."""
-    near = members.select("node", "s1", "sketch").join(leaders, "node").select("s1", "sketch", "leaders", "leader_sketches").mapInArrow(_to_leaders(least), "a long, b long").distinct()
-    return cut(confirm(cut(near, "leader-pairs"), sets, per_cent), "leader-links")
+def _leaders(pool: DataFrame, parts: int | None) -> DataFrame:
+    """Of each node the least member of each of so many parts, by partial sums; without a number all members."""
+    if not parts:
+        return pool.select("node", "chunks", "s1", "sketch", "root", "nodes")
+    return pool.groupBy("node", "chunks", F.pmod(F.xxhash64("s1"), F.lit(parts)).alias("part")).agg(F.min(F.struct("s1", "sketch", "root", "nodes")).alias("x")).select("node", "chunks", "x.*")
 
 
 def _groups(members: DataFrame, sets: DataFrame, least: float, per_cent: int, out: DataFrame) -> DataFrame:
-    """Links of near-copy groups too large to compare exhaustively (see above)."""
-    open_ = members.withColumn("led", F.lit(False)).withColumn("done", F.lit(False))
+    """Links that join the components of nodes too large to compare exhaustively (see above). members: node, s1, sketch."""
+    open_, parts = members.withColumn("led", F.lit(False)), 2
     while True:
-        lead = cut(_leaders(open_.where("not done")), "leaders")
+        roots = components(out).select(F.col("v").alias("s1"), "root")
+        placed = cut(open_.join(roots, "s1", "left").withColumn("root", F.coalesce("root", "s1")), "placed")
+        main = placed.groupBy("node", "root").agg(F.count("*").alias("m")).groupBy("node").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts"), F.ceil(F.sum("m") / CHUNK).alias("chunks")).where("parts > 1").drop("parts")
+        open_ = cut(placed.join(cut(main, "main-components"), "node"), "open")
+        shares = open_.groupBy("s1").agg(F.collect_set("node").alias("nodes"))  # at most TREES * BRANCHES ** DEPTH names
+        open_ = cut(open_.join(shares, "s1"), "open")
+        lead = cut(_leaders(open_.where("root != main and not led"), parts), "leaders")
         if lead.isEmpty():
-            break
-        new = _met(members, lead, sets, least, per_cent)
+            return out
+        rows = open_.select("node", "s1", "sketch", "root", "nodes", F.pmod(F.xxhash64("s1"), F.col("chunks")).alias("chunk"))
+        sent = lead.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+        near = rows.groupBy("node", "chunk").cogroup(sent.groupBy("node", "chunk")).applyInArrow(_to_leaders(least, parts is None), "node long, chunk long, leader long, members array<long>, roots array<long>")
+        near = cut(near, "leader-pairs")
+        held = near.where("leader is null").select(F.col("node").alias("n"), F.col("chunk").alias("c"), F.explode("members").alias("s1")).join(sets, "s1").select("n", "c", "s1", "grams")
+        new = near.where("leader is not null").groupBy("node", "chunk").cogroup(held.groupBy("n", "c")).applyInArrow(_proved(per_cent), "a long, b long")
         out = cut(out.unionByName(new).distinct(), "links")
-        led = lead.select("node", F.explode("leaders").alias("s1"), F.lit(True).alias("now_led"))
-        ends = new.select(F.explode(F.array(F.struct(F.col("a").alias("s1"), F.col("b").alias("other")), F.struct(F.col("b").alias("s1"), F.col("a").alias("other")))).alias("x")).select("x.*")
-        near = ends.join(led.select("node", F.col("s1").alias("other")), "other").select("node", "s1").distinct().withColumn("linked", F.lit(True))
-        state = cut(led.join(near, ["node", "s1"], "full"), "state")
-        flag = lambda c: F.coalesce(c, F.lit(False))
-        open_ = cut(open_.join(state, ["node", "s1"], "left").select("node", "s1", "sketch", (F.col("led") | flag("now_led")).alias("led"), (F.col("done") | flag("now_led") | flag("linked")).alias("done")), "members")
-    # A link between two members that never led matters only if it joins two components: all of a node but its largest
-    # component are compared with the node's members once more, unless they have led already.
-    placed = cut(open_.join(components(out).select(F.col("v").alias("s1"), "root"), "s1", "left").withColumn("root", F.coalesce("root", "s1")), "placed")
-    most = cut(placed.groupBy("node", "root").agg(F.count("*").alias("m")).groupBy("node").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1"), "main-components")
-    rest = cut(placed.join(most, "node").where("root != main and not led").select("node", "s1", "sketch"), "rest")
-    if rest.isEmpty():
-        return out
-    blocks = rest.groupBy("node").agg(F.ceil(F.count("*") / SMALL).alias("blocks"))
-    parted = rest.join(blocks, "node").groupBy("node", F.pmod(F.xxhash64("s1"), F.col("blocks")).alias("block")).agg(F.collect_list("s1").alias("leaders"), F.collect_list("sketch").alias("leader_sketches"))
-    return out.unionByName(_met(members, cut(parted, "leaders"), sets, least, per_cent))
+        led = lead.select("node", "s1", F.lit(True).alias("now"))
+        open_ = open_.join(led, ["node", "s1"], "left").select("node", "s1", "sketch", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
+        parts = None
 
 
 def links(classes: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
     """Confirmed links (a, b) between classes. classes: s1, kd, kh, sketch, tokens; texts: kd, kh, text."""
     least = per_cent / 100 - FLOOR
     rows = classes.drop("kd", "kh").withColumn("tree", F.explode(F.array(*[F.lit(x) for x in range(TREES)]))).withColumn("node", F.lit(0).cast("long"))
+    rows = rows.withColumn("tokens", F.slice("tokens", F.col("tree") * (DEPTH * BRANCHES) + 1, F.lit(DEPTH * BRANCHES)))
     pairs = None
     for level in range(DEPTH):
         entries = _nodes(rows, level)
@@ -224,7 +293,7 @@ def links(classes: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFr
     deep = rows.select("node", "s1", "sketch")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s1")).unionByName(deep.select("s1")).distinct()
     keys = cut(classes.select("s1", "kd", "kh").join(wanted, "s1"), "wanted")
-    sets = cut(texts.join(keys, ["kd", "kh"]).dropDuplicates(["kd", "kh"]).select("s1", "text").mapInArrow(_sets(k), "s1 long, grams array<long>"), "sets")
+    sets = cut(texts.join(keys.hint("merge"), ["kd", "kh"]).dropDuplicates(["kd", "kh"]).select("s1", "text").mapInArrow(_sets(k), "s1 long, grams array<long>"), "sets")
     out = cut(confirm(pairs, sets, per_cent), "links")
     if not deep.isEmpty():
         out = _groups(deep, sets, least, per_cent, out)

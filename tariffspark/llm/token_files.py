@@ -6,8 +6,8 @@ is a Parquet part of blocks; a block holds whole documents: their ids, token cou
 and blocks stand in ascending id order (null first). numpy decodes a block by looking up each control byte's four
 lengths in a table.
 
-Texts are encoded once, into a written table of coded streams; counting reads that, and only the streams are shuffled, by
-range of document id.
+Texts are encoded once, into a written table of plain ids; counting reads that, and only the ids are shuffled, by range of
+document id.
 
 Defined results: null and empty texts give the end id alone; repeated ids stand together; extra columns are ignored.
 """
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._core import CLEANUP, chunks, cut, lists, shared_dir, table
+from ._core import CLEANUP, chunks, cut, lists, shared_dir, table, utf8
 from .tokens import Encoder, cached
 
 VOCABULARY, END = "byte_bpe_50k.json", 0
@@ -56,54 +56,59 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
+def _binary(data: bytes, lengths: np.ndarray) -> pa.Array:
+    off = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=off[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(off), pa.py_buffer(data)])
+
+
 def _coded(path: str, end: int):
-    """Every document's ids, the end id last, in the same code but numbered as the vocabulary does."""
+    """Every document's ids, the end id last, as unsigned numbers of two bytes, or four for a larger vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = cached(Encoder, path)
+        kind = _width(max(tool.size, end + 1))
         for b in chunks(batches):
             ids, n = tool.encode(b.column("text"))
-            full = np.insert(ids, np.cumsum(n), end)
-            yield pa.record_batch({"id": b.column("id"), "n": n + 1} | _streams(full, n + 1))
+            full = np.insert(ids, np.cumsum(n), end).astype(kind)
+            yield pa.record_batch({"id": b.column("id"), "n": n + 1, "raw": _binary(full.tobytes(), (n + 1) * full.itemsize)})
 
     return run
 
 
-def _streams(v: np.ndarray, n: np.ndarray) -> dict[str, pa.Array]:
-    to = np.cumsum(n)
-    out = [pack(v[z - m : z]) for z, m in zip(to.tolist(), n.tolist(), strict=True)]
-    return {"control": pa.array([x[0] for x in out], pa.binary()), "data": pa.array([x[1] for x in out], pa.binary())}
+def _width(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
 
+def _tally(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            t = np.bincount(utf8(b.column("raw"))[0].view(kind))
+            if len(t) < len(total):
+                t, total = total, t
+            t[: len(total)] += total
+            total = t
+        some = np.flatnonzero(total)
+        yield pa.record_batch({"token": some, "n": total[some]})
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for b in batches:
-        for c, d, m in zip(b.column("control").to_pylist(), b.column("data").to_pylist(), b.column("n").to_pylist(), strict=True):
-            t = np.bincount(unpack(c, d, m))
-            if len(t) > len(total):
-                t[: len(total)] += total
-                total = t
-            else:
-                total[: len(t)] += t
-    some = np.flatnonzero(total)
-    yield pa.record_batch({"token": some, "n": total[some]})
+    return run
 
 
-def _blocks(shared):
+def _blocks(shared, kind: str):
     """Consecutive documents in blocks, ids by rank; before: ids of earlier blocks of this file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, part, before = shared.value, TaskContext.get().partitionId(), 0
         for b in batches:
             n = np.asarray(b.column("n"))
+            ids, ends = utf8(b.column("raw"))[0].view(kind), np.concatenate([[0], np.cumsum(n)])
             lo = 0
             while lo < len(n):
-                hi = lo + max(1, int(np.searchsorted(np.cumsum(n[lo:]), BLOCK_IDS, "right")))
-                own = b.slice(lo, hi - lo)
-                count = int(n[lo:hi].sum())
-                values = [unpack(c, d, m) for c, d, m in zip(own.column("control").to_pylist(), own.column("data").to_pylist(), n[lo:hi].tolist(), strict=True)]
-                control, data = pack(rank[np.concatenate(values)])
-                yield pa.record_batch({"part": [part], "before": [before], "count": [count], "ids": pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), own.column("id")), "lengths": lists(n[lo:hi].astype(np.int64), np.array([hi - lo])), "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BLOCK_IDS, "right")) - 1)
+                count = int(ends[hi] - ends[lo])
+                control, data = pack(rank[ids[ends[lo] : ends[hi]]])
+                yield pa.record_batch({"part": [part], "before": [before], "count": [count], "ids": pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), b.column("id").slice(lo, hi - lo)), "lengths": lists(n[lo:hi].astype(np.int64), np.array([hi - lo])), "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
                 before, lo = before + count, hi
 
     return run
@@ -114,15 +119,16 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    coded = cut(slim.mapInArrow(_coded(path, end), f"id {kind}, n long, control binary, data binary"), "coded")
-    counts = coded.select("n", "control", "data").mapInArrow(_tally, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row a token of the vocabulary
+    coded = cut(slim.mapInArrow(_coded(path, end), f"id {kind}, n long, raw binary"), "coded")
+    width = _width(max(cached(Encoder, path).size, end + 1))
+    counts = coded.select("raw").mapInArrow(_tally(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row a token of the vocabulary
     freq = np.zeros(max([end, *(r["token"] for r in counts)]) + 1, np.int64)
     for r in counts:
         freq[r["token"]] = r["n"]
     by_rank = np.argsort(-freq, kind="stable").astype(np.uint32)
     rank = np.empty(len(by_rank), np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    files = coded.repartitionByRange("id").sortWithinPartitions("id", "n", "data").mapInArrow(_blocks(spark.sparkContext.broadcast(rank)), f"part long, before long, count long, ids array<{kind}>, lengths array<long>, control binary, data binary")
+    files = coded.repartitionByRange("id").sortWithinPartitions("id", "n", "raw").mapInArrow(_blocks(spark.sparkContext.broadcast(rank), width), f"part long, before long, count long, ids array<{kind}>, lengths array<long>, control binary, data binary")
     saved = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -132,13 +138,16 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
     return by_rank
 
 
-def read_tokens(spark: SparkSession, out: str, by_rank: np.ndarray) -> DataFrame:
-    """id, start (ids of all documents before), ids: one row a document."""
+def placed(spark: SparkSession, out: str) -> DataFrame:
+    """The blocks of the files, each with the number of ids in all files before its own."""
     blocks = spark.read.parquet(out)
-    kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    shared = spark.sparkContext.broadcast(by_rank)
     whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     parts = blocks.groupBy("part").agg(F.sum("count").alias("in_part")).select("part", F.coalesce(F.sum("in_part").over(whole), F.lit(0)).alias("base"))
+    return blocks.join(F.broadcast(parts), "part")
+
+
+def _documents(shared):
+    """Blocks -> documents: id, start (ids of all documents before), ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,17 +155,32 @@ def read_tokens(spark: SparkSession, out: str, by_rank: np.ndarray) -> DataFrame
                 n = np.asarray(b.column("lengths")[i].values)
                 ids = shared.value[unpack(b.column("control")[i].as_py(), b.column("data")[i].as_py(), int(n.sum()))]
                 start = b.column("base")[i].as_py() + b.column("before")[i].as_py() + np.cumsum(n) - n
-                yield pa.record_batch({"id": b.column("ids")[i].values, "start": start, "ids": lists(ids.astype(np.int64), n)})
+                yield pa.record_batch({"id": b.column("ids")[i].values, "start": start, "ids": lists(ids.astype(np.int32), n)})
 
-    return blocks.join(F.broadcast(parts), "part").mapInArrow(run, f"id {kind}, start long, ids array<long>")
+    return run
+
+
+def read_tokens(spark: SparkSession, out: str, by_rank: np.ndarray) -> DataFrame:
+    """id, start, ids: one row a document."""
+    blocks = placed(spark, out)
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    return blocks.mapInArrow(_documents(spark.sparkContext.broadcast(by_rank)), f"id {kind}, start long, ids array<int>")
 
 
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = b.column("ids").value_lengths().to_numpy(zero_copy_only=False)
-        raw = np.asarray(b.column("ids").flatten()).astype("<u4").tobytes()
-        ends = np.concatenate([[0], np.cumsum(n)]) * 4
-        yield pa.record_batch({"doc_id": b.column("id"), "start": b.column("start"), "n_tokens": n.astype(np.int64), "ids_crc32": pa.array([zlib.crc32(raw[x:y]) for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.int64())})
+def digests(spark: SparkSession, out: str, by_rank: np.ndarray) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of what `read_tokens` gives, without carrying the ids out of the task."""
+    blocks = placed(spark, out)
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    read = _documents(spark.sparkContext.broadcast(by_rank))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in read(batches):
+            n = b.column("ids").value_lengths().to_numpy(zero_copy_only=False)
+            raw = memoryview(np.asarray(b.column("ids").flatten()).astype("<u4").tobytes())
+            ends = np.concatenate([[0], np.cumsum(n)]) * 4
+            yield pa.record_batch({"doc_id": b.column("id"), "start": b.column("start"), "n_tokens": n.astype(np.int64), "ids_crc32": pa.array([zlib.crc32(raw[x:y]) for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.int64())})
+
+    return blocks.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,5 +188,4 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     by_rank = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), out)
-    found = read_tokens(spark, out, by_rank)
-    return found.mapInArrow(_crc, f"doc_id {found.schema['id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    return digests(spark, out, by_rank)

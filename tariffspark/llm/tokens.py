@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from ._core import ragged, span_hash, utf8
 
-MEMO = 2_500_000
+MEMO = 1_500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -53,14 +53,19 @@ def _word_cuts(vocab, suffix: str) -> np.ndarray:
 
 
 def _space_cuts(vocab) -> np.ndarray:
-    """Certain cuts of the byte-level splitter, which puts one space before a piece: before white space after anything else.
-    White space beyond ASCII ends in some bytes above 127; after those there is no cut (but see `cuts`)."""
+    """Certain cuts of the byte-level splitter, whose pieces are letters, digits or other marks with one space before them
+    at most: before white space after anything else, and between ASCII letters, digits and marks (but not after an
+    apostrophe, which may lead letters). White space beyond ASCII ends in some bytes above 127; there is no cut after
+    those (but see `cuts`)."""
     solid = np.zeros(256, bool)
     solid[33:127] = True
     solid[128:] = True
     solid[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
     cut = np.zeros((256, 256), bool)
     cut[np.ix_(solid, [9, 10, 13, 32])] = True
+    kind = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(33, 127)])
+    cut[33:127, 33:127] = kind[:, None] != kind[None, :]
+    cut[ord("'"), 33:127] = False
     return cut & forced_pairs(vocab)
 
 
@@ -79,6 +84,9 @@ class Encoder:
         vocab, suffix = self.tool.get_vocab(with_added_tokens=False), spec["model"].get("end_of_word_suffix") or ""
         self.words = bool(suffix)
         self.pairs = _word_cuts(vocab, suffix) if self.words else _space_cuts(vocab)
+        # One piece of plain letters needs no splitter: it goes to the library's BPE model as it is.
+        self.model = self.tool.model
+        self.to_model = {b: ord(c) for c, b in _alphabet().items()}
         self.special = [x["content"].encode() for x in spec["added_tokens"]]
         self.size = self.tool.get_vocab_size(with_added_tokens=True)
         self._fresh()
@@ -94,8 +102,8 @@ class Encoder:
         cut = np.zeros(len(buf) + 1, bool)
         if len(buf) > 1:
             cut[1:-1] = self.pairs[buf[:-1], buf[1:]]
-            if not self.words and len(buf) > 2:  # letters of two bytes led by C3 are never white space
-                cut[2:-1] |= (buf[:-2] == 0xC3) & (buf[1:-1] >= 128) & self.pairs[0x21, buf[2:]]
+            if not self.words and len(buf) > 2:  # two bytes led by C3 are a letter, but for two signs, and end as ASCII letters do
+                cut[2:-1] |= (buf[:-2] == 0xC3) & (buf[1:-1] != 0x97) & (buf[1:-1] != 0xB7) & self.pairs[ord("z"), buf[2:]]
             raw = None
             for s in self.special:
                 raw = raw if raw is not None else buf.tobytes()
@@ -106,10 +114,18 @@ class Encoder:
         cut[off] = True
         return np.flatnonzero(cut[: len(buf)])
 
+    def _ids(self, raw: bytes) -> list[int]:
+        text = raw.decode()
+        if self.words:
+            if text.isascii() and text.isalpha():
+                return [t.id for t in self.model.tokenize(text.lower())]
+        elif text.removeprefix(" ").isalpha():
+            return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.to_model))]
+        return self.tool.encode(text, add_special_tokens=False).ids
+
     def _learn(self, buf: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Encode new fragments; hashes ascend."""
-        texts = [buf[s:e].tobytes().decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        got = [x.ids for lo in range(0, len(texts), 5000) for x in self.tool.encode_batch_fast(texts[lo : lo + 5000], add_special_tokens=False)]
+        got = [self._ids(buf[s:e].tobytes()) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
         n, at = np.array([len(x) for x in got], np.int32), self.size_of
         total = int(n.sum())
         while self.used + total > len(self.flat):
