@@ -250,14 +250,14 @@ def _leaders(pool: DataFrame, parts: int | None) -> DataFrame:
 
 def _groups(members: DataFrame, sets: DataFrame, least: float, per_cent: int, out: DataFrame) -> DataFrame:
     """Links that join the components of nodes too large to compare exhaustively (see above). members: node, s1, sketch."""
-    open_, parts = members.withColumn("led", F.lit(False)), 2
+    # Each row knows all large nodes of its class (TREES * BRANCHES ** DEPTH at most).
+    open_ = members.groupBy("s1").agg(F.first("sketch").alias("sketch"), F.collect_set("node").alias("nodes")).withColumn("node", F.explode("nodes"))
+    open_, parts = open_.withColumn("led", F.lit(False)), 2
     while True:
         roots = components(out).select(F.col("v").alias("s1"), "root")
         placed = cut(open_.join(roots, "s1", "left").withColumn("root", F.coalesce("root", "s1")), "placed")
         main = placed.groupBy("node", "root").agg(F.count("*").alias("m")).groupBy("node").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts"), F.ceil(F.sum("m") / CHUNK).alias("chunks")).where("parts > 1").drop("parts")
         open_ = cut(placed.join(cut(main, "main-components"), "node"), "open")
-        shares = open_.groupBy("s1").agg(F.collect_set("node").alias("nodes"))  # at most TREES * BRANCHES ** DEPTH names
-        open_ = cut(open_.join(shares, "s1"), "open")
         lead = cut(_leaders(open_.where("root != main and not led"), parts), "leaders")
         if lead.isEmpty():
             return out
@@ -269,7 +269,7 @@ def _groups(members: DataFrame, sets: DataFrame, least: float, per_cent: int, ou
         new = near.where("leader is not null").groupBy("node", "chunk").cogroup(held.groupBy("n", "c")).applyInArrow(_proved(per_cent), "a long, b long")
         out = cut(out.unionByName(new).distinct(), "links")
         led = lead.select("node", "s1", F.lit(True).alias("now"))
-        open_ = open_.join(led, ["node", "s1"], "left").select("node", "s1", "sketch", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
+        open_ = open_.join(led, ["node", "s1"], "left").select("node", "s1", "sketch", "nodes", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
         parts = None
 
 
