@@ -20,8 +20,10 @@ def build_dictionary(services: DataFrame) -> DataFrame:
     names = F.concat(F.array("canonical_name"), F.coalesce("synonyms", F.array().cast("array<string>")))
     keys = services.select("id", F.posexplode(names).alias("n", "name")).withColumn("key", T.col_clean("name")).where("key != ''")
     out = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("service_id"))
-    # Places number the first appearances; ordering by (id, n) packed in one number needs no global sort.
-    return out.select("key", (F.col("first.id").cast("long") * 1024 + F.col("first.n")).alias("place"), "service_id")
+    # Places order first appearances by (id, n), packed in one number; ids that are hashes have no load order to keep.
+    i, n = F.col("first.id").cast("long"), F.col("first.n")
+    place = F.when(i.between(-(1 << 52), 1 << 52), F.try_multiply(i, F.lit(1024)) + n).otherwise(F.xxhash64("first.id", "first.n"))
+    return out.select("key", place.alias("place"), "service_id")
 
 
 def match_by_code(items: DataFrame, services: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ from ..functions import text as T
 from ..operators.dedup import dedup_min_price, upsert_prices
 from ..operators.match import normalize
 
+#: How long a key's last price is kept, in days of record time: beyond the freshness horizon.
+HORIZON_DAYS = 400
+
 
 def ingest(stream: DataFrame, services: DataFrame, read_prices: Callable[[], DataFrame], write_prices: Callable[[DataFrame], None], checkpoint: str):
     """Each micro-batch of items (item_id, clinic_id, raw_name, source_type, price, valid_from) is normalized against
@@ -27,6 +30,9 @@ def ingest(stream: DataFrame, services: DataFrame, read_prices: Callable[[], Dat
 
 
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     day, price = state.get if state.exists else (None, None)
     out = []
     rows = pd.concat(list(batches)).sort_values(["recorded_at", "id", "price"])
@@ -37,16 +43,16 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             out.append((*key, r.recorded_at, r.price))
         day, price = r.recorded_at, r.price
     state.update((day, price))
-    state.setTimeoutDuration(400 * 86_400_000)
+    state.setTimeoutTimestamp(int(pd.Timestamp(day).timestamp() * 1000) + HORIZON_DAYS * 86_400_000)
     yield pd.DataFrame(out, columns=["clinic_id", "service_id", "recorded_at", "price"])
 
 
 def change_history(stream: DataFrame) -> DataFrame:
     """Of price updates (clinic_id, service_id, id, recorded_at, price) those that change the price of their key. One
     value a key is kept; it times out long after the freshness horizon."""
-    keyed = stream.select("clinic_id", "service_id", "id", F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.col("price").cast("double").alias("price"))
+    keyed = stream.select("clinic_id", "service_id", "id", F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.col("price").cast("double").alias("price")).withWatermark("recorded_at", f"{HORIZON_DAYS} days")
     kinds = "clinic_id long, service_id string, recorded_at timestamp, price double"
-    return keyed.groupBy("clinic_id", "service_id").applyInPandasWithState(_changes, kinds, "recorded_at timestamp, price double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy("clinic_id", "service_id").applyInPandasWithState(_changes, kinds, "recorded_at timestamp, price double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _drops(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
