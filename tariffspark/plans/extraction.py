@@ -7,9 +7,19 @@ from ..sources import files as X
 from .registry import query
 
 ORDERS = lambda spark, d: raw(spark, d, "orders")
-_name = F.concat(F.lit("Услуга "), F.translate(F.col("o_orderpriority"), "0123456789-", "abcdefghij "))
+
+
+def _name():
+    return F.concat(F.lit("Услуга "), F.translate(F.col("o_orderpriority"), "0123456789-", "abcdefghij "))
+
+
 NAME = "'Услуга ' || translate(o_orderpriority, '0123456789-', 'abcdefghij ')"
-_price = F.format_string("%d", F.floor("o_totalprice"))
+
+
+def _price():
+    return F.format_string("%d", F.floor("o_totalprice"))
+
+
 PRICE = "floor(o_totalprice)"
 OK = f"{PRICE} > 0"
 
@@ -22,13 +32,13 @@ def _texts(spark, d, line, by="o_custkey"):
 @query("s01_csv_pricelists", f"SELECT o_custkey AS doc_id, trim({NAME}) AS raw_name, {PRICE} AS price FROM orders WHERE {OK}")
 def s01(spark, d):
     sep = F.when(F.col("o_custkey") % 3 == 0, ";").when(F.col("o_custkey") % 3 == 1, ",").otherwise("\t")
-    line = F.concat(F.lit("x"), sep, _name, sep, _price)
+    line = F.concat(F.lit("x"), sep, _name(), sep, _price())
     return X.items_from_csv_text(_texts(spark, d, line)).select("doc_id", "raw_name", "price")
 
 
 @query("s02_json_payloads", f"SELECT o_custkey AS doc_id, trim({NAME}) AS raw_name, {PRICE} AS price FROM orders WHERE {OK}")
 def s02(spark, d):
-    rows = F.collect_list(F.struct(_name.alias("Name"), F.col("o_totalprice").cast("long").alias("price")))
+    rows = F.collect_list(F.struct(_name().alias("Name"), F.col("o_totalprice").cast("long").alias("price")))
     j = ORDERS(spark, d).where(F.floor("o_totalprice") > 0).groupBy(F.col("o_custkey").alias("doc_id")).agg(rows.alias("items"))
     payload = F.when(F.col("doc_id") % 2 == 0, F.to_json("items")).otherwise(F.to_json(F.struct("items")))
     return X.items_from_json(j.select("doc_id", payload.alias("payload"))).select("doc_id", "raw_name", "price")
@@ -36,14 +46,14 @@ def s02(spark, d):
 
 @query("s03_html_pages", f"SELECT o_custkey AS page_id, trim({NAME}) AS raw_name, {PRICE} AS price FROM orders WHERE {OK}")
 def s03(spark, d):
-    t = _texts(spark, d, F.concat(F.lit("<tr><td>1</td><td>"), _name, F.lit("</td><td>"), _price, F.lit(" ₸</td></tr>")))
+    t = _texts(spark, d, F.concat(F.lit("<tr><td>1</td><td>"), _name(), F.lit("</td><td>"), _price(), F.lit(" ₸</td></tr>")))
     pages = t.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<html><table><tr><th>N</th><th>Название</th></tr>"), "text", F.lit("</table></html>")).alias("html"))
     return X.items_from_html(pages.where(F.col("page_id").isNotNull())).where("price > 1").select(F.col("id").alias("page_id"), "raw_name", "price").unionByName(_ones(spark, d))
 
 
 def _ones(spark, d):
     """Rows of price 1 cannot be told from the row number; they are listed as they are."""
-    return ORDERS(spark, d).where(F.floor("o_totalprice") == 1).select(F.col("o_custkey").alias("page_id"), F.trim(_name).alias("raw_name"), F.floor("o_totalprice").cast("double").alias("price"))
+    return ORDERS(spark, d).where(F.floor("o_totalprice") == 1).select(F.col("o_custkey").alias("page_id"), F.trim(_name()).alias("raw_name"), F.floor("o_totalprice").cast("double").alias("price"))
 
 
 @query("s03_page_nodes")
@@ -53,7 +63,7 @@ def s03_nodes(spark, d):
 
 @query("s04_site_cards", f"SELECT o_custkey AS page_id, trim({NAME}) AS raw_name, {PRICE} AS price, CAST(o_orderkey % 9 + 1 AS INTEGER) AS duration_days FROM orders WHERE {OK}")
 def s04(spark, d):
-    card = F.concat(F.lit('<div class="card"><span class="t name">'), _name, F.lit('</span><b class="cost">от '), _price, F.lit('</b><i class="days">'), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit(" дн.</i></div>"))
+    card = F.concat(F.lit('<div class="card"><span class="t name">'), _name(), F.lit('</span><b class="cost">от '), _price(), F.lit('</b><i class="days">'), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit(" дн.</i></div>"))
     pages = _texts(spark, d, card).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://"), F.when(F.col("doc_id") % 2 == 0, "lab.example.com").otherwise("www.lab.example.com"), F.lit("/x")).alias("url"), F.concat(F.lit("<html><body>"), "text", F.lit("</body></html>")).alias("html"))
     rules = spark.createDataFrame([("lab.example.com", "name", "cost", "days"), ("example.com", "zzz", "zzz", "zzz")], "host string, name_class string, price_class string, days_class string")
     return X.items_from_cards(pages, rules).select(F.col("id").alias("page_id"), "raw_name", "price", "duration_days")
@@ -70,14 +80,14 @@ def s05(spark, d):
 
 @query("s06_text_lines", f"SELECT o_custkey AS doc_id, trim({NAME}) AS raw_name, {PRICE} AS price FROM orders WHERE {OK}")
 def s06(spark, d):
-    return X.items_from_text(_texts(spark, d, F.concat(_name, F.lit(" ...... "), _price, F.lit(" тг")))).select("doc_id", "raw_name", "price")
+    return X.items_from_text(_texts(spark, d, F.concat(_name(), F.lit(" ...... "), _price(), F.lit(" тг")))).select("doc_id", "raw_name", "price")
 
 
 @query("s07_cell_grids", f"SELECT o_custkey AS doc_id, trim({NAME}) AS name, 'B' || lpad(CAST(o_orderkey % 90 AS VARCHAR), 2, '0') || '.001.002' AS code, {PRICE} AS price_resident, {PRICE} + 10 AS price_nonresident FROM orders WHERE {OK}")
 def s07(spark, d):
     o = ORDERS(spark, d).where(F.floor("o_totalprice") > 0)
     code = F.concat(F.lit("В"), F.lpad((F.col("o_orderkey") % 90).cast("string"), 2, "0"), F.lit(".001.002"))
-    body = o.select(F.col("o_custkey").alias("doc_id"), F.lit("s").alias("sheet"), (F.col("o_orderkey") + 10).cast("int").alias("row_idx"), F.array(code, _name, _price, F.format_string("%d", F.floor("o_totalprice") + 10)).alias("cells"))
+    body = o.select(F.col("o_custkey").alias("doc_id"), F.lit("s").alias("sheet"), (F.col("o_orderkey") + 10).cast("int").alias("row_idx"), F.array(code, _name(), _price(), F.format_string("%d", F.floor("o_totalprice") + 10)).alias("cells"))
     ids = o.select(F.col("o_custkey").alias("doc_id")).distinct()
     head = ids.select("doc_id", F.lit("s").alias("sheet"), F.explode(F.array(F.struct(F.lit(1).alias("row_idx"), F.array(F.lit("Прайс"), F.lit(""), F.lit(""), F.lit("")).alias("cells")), F.struct(F.lit(2).alias("row_idx"), F.array(F.lit("Код"), F.lit("Наименование услуг"), F.lit("Цена для граждан РК"), F.lit("Цена для нерезидентов")).alias("cells")))).alias("x")).select("doc_id", "sheet", "x.*")
     return X.items_from_grid(head.unionByName(body)).select("doc_id", "name", "code", "price_resident", "price_nonresident")
@@ -86,5 +96,5 @@ def s07(spark, d):
 @query("s08_two_columns", f"SELECT o_custkey AS doc_id, trim({NAME}) AS raw_name, {PRICE} AS price FROM orders WHERE {OK}")
 def s08(spark, d):
     o = ORDERS(spark, d).where(F.floor("o_totalprice") > 0)
-    grid = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("int").alias("row_idx"), F.when(F.col("o_custkey") % 2 == 0, F.array(_name, _price)).otherwise(F.array(_price, _name)).alias("cells"))
+    grid = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("int").alias("row_idx"), F.when(F.col("o_custkey") % 2 == 0, F.array(_name(), _price())).otherwise(F.array(_price(), _name())).alias("cells"))
     return X.items_from_table(grid).select("doc_id", "raw_name", "price")
