@@ -6,6 +6,7 @@ from . import ctw as op9
 from . import decontamination as op2
 from . import license_scan as op4
 from . import near_dedup as op10
+from . import sharding as op7
 from . import substring_dedup as op1
 from . import token_files as op8
 from . import toxicity as op3
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_license_scan": op4.op4_license_scan,
     "op5_ann": op5.op5_ann,
     "op6_bpe": op6.op6_bpe,
+    "op7_sharding": op7.op7_sharding,
     "op8_token_files": op8.op8_token_files,
     "op9_ctw": op9.op9_ctw,
     "op10_near_dedup": op10.op10_near_dedup,
