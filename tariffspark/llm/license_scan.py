@@ -1,8 +1,9 @@
 """Operator 4, license scans by a positional rare-token index over licence templates.
 
 1. One pass counts in how many documents each word of the templates occurs, which gives its IDF.
-2. In each file the TOP distinct licence words of highest IDF are looked up in the template postings; postings that agree
-   on the relative position of file and template are candidates (two agreeing words at least).
+2. The seeds of a template are its words of highest IDF, two more than it may miss, so whatever covers enough of it has
+   two of them in place. All their places in a file are looked up in the template postings; postings that agree on the
+   relative position of file and template are candidates (two agreeing words at least).
 3. A candidate counts when COVER of the template's words stand at their relative places and a mandatory phrase of the
    licence stands inside or next to the aligned stretch.
 
@@ -41,7 +42,7 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4", "creative commons attribution international")),
     ("proprietary", "all rights reserved no part of this publication may be reproduced without the prior written permission of the publisher", ("all rights reserved",)),
 )
-TOP, COVER, NEAR = 6, 0.6, 4
+COVER, NEAR, BLOCK = 0.6, 4, 1 << 15
 
 
 class _Index:
@@ -56,17 +57,20 @@ class _Index:
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.hash & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.templates = [np.array([number[w] for w in x]) for x in words]
-        posts = sorted((number[w], i, p) for i, x in enumerate(words) for p, w in enumerate(x))
-        self.post_template, self.post_at = np.array([p[1] for p in posts]), np.array([p[2] for p in posts])
-        self.from_ = np.searchsorted([p[0] for p in posts], np.arange(len(vocab) + 1))
         self.phrases = [[np.array([number[w] for w in p.split()]) for p in t[2]] for t in templates]
         self.base = [(label, np.array([number[w] for w in p.split()])) for label, p in BASE]
-        self.rank = np.arange(len(vocab))
+        self.by_idf({})
 
     def by_idf(self, counts: dict[int, int]) -> None:
-        """Number the words from the highest IDF down."""
+        """Postings of the seeds: of each template the places of its words from the highest IDF down."""
         df = np.array([counts.get(int(x), 0) for x in signed(self.hash)])
-        self.rank = np.argsort(np.argsort(df, kind="stable"), kind="stable")
+        posts = []
+        for i, x in enumerate(self.templates):
+            missing = sum(n / len(x) >= COVER for n in range(len(x)))
+            posts += [(x[p], i, p) for p in np.argsort(df[x], kind="stable")[: missing + 2].tolist()]
+        posts.sort()
+        self.post_template, self.post_at = np.array([p[1] for p in posts]), np.array([p[2] for p in posts])
+        self.from_ = np.searchsorted([p[0] for p in posts], np.arange(len(self.hash) + 1))
 
     def terms(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int32)
@@ -101,26 +105,25 @@ def _count(index: _Index):
 
 def _aligned(index: _Index, t: np.ndarray, w: Words, at: np.ndarray, d: np.ndarray) -> list[tuple[int, int, float]]:
     """(document, template, share of its words that stand in place) of the verified alignments. at, d: places of licence words."""
-    size = len(index.hash)
-    pair, inverse = np.unique(d * size + index.rank[t[at]], return_inverse=True)
-    place = np.arange(len(pair)) - np.searchsorted(pair // size, pair // size)
-    at, d = at[(place < TOP)[inverse]], d[(place < TOP)[inverse]]
     src, nth = ragged(index.from_[t[at] + 1] - index.from_[t[at]])
     post = index.from_[t[at[src]]] + nth
     rel, tem = at[src] - index.post_at[post], index.post_template[post]
     big = len(t) + 4096
     key, votes = np.unique((d[src] * len(index.templates) + tem) * big + rel + 2048, return_counts=True)
     key = key[votes >= 2]
+    (doc_, tem), start = np.divmod(key // big, len(index.templates)), key % big - 2048
     out = []
-    for k in key.tolist():
-        (doc, i), start = divmod(k // big, len(index.templates)), k % big - 2048
-        words, lo, hi = index.templates[i], w.first[doc], w.first[doc + 1]
-        a, z = max(start, lo), min(start + len(words), hi)
-        cover = float((t[a:z] == words[a - start : z - start]).sum()) / len(words)
-        if cover >= COVER:
-            a, z = max(lo, a - NEAR), min(hi, z + NEAR)
-            if any(len(_stand(t[a:z], np.zeros(z - a, np.int8), p)) for p in index.phrases[i]):
-                out.append((doc, i, cover))
+    for i, words in enumerate(index.templates):
+        mine = np.flatnonzero(tem == i)
+        for some in np.split(mine, range(BLOCK, len(mine), BLOCK)):
+            at = start[some, None] + np.arange(len(words))
+            inside = (at >= w.first[doc_[some], None]) & (at < w.first[doc_[some] + 1, None])
+            cover = ((t[np.where(inside, at, 0)] == words) & inside).sum(1) / len(words)
+            for j in np.flatnonzero(cover >= COVER).tolist():
+                doc, first = int(doc_[some[j]]), int(start[some[j]])
+                a, z = max(w.first[doc], first - NEAR), min(w.first[doc + 1], first + len(words) + NEAR)
+                if any(len(_stand(t[a:z], np.zeros(z - a, np.int8), p)) for p in index.phrases[i]):
+                    out.append((doc, i, float(cover[j])))
     return out
 
 

@@ -129,6 +129,38 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_of_long_files(spark):
+    """Four licences and rare licence words astray: each notice is found as in a file of its own."""
+    by = {label: t for label, t, _ in license_scan.TEMPLATES}
+    four = ["mit", "gpl-3", "bsd-3", "apache-2"]
+    stray = "mozilla noncommercial reproduced creative attribution publisher international reserved"
+    rare = [f"{stray} filler{i}" for i in range(50)]
+    long = " ".join([stray, *(f"{by[x]} {' '.join(f'w{i}' for i in range(200))} {stray}" for x in four)])
+    cut = " ".join("x" if i in (0, 4, 7, 11, 12, 15, 19, 23, 27) else w for i, w in enumerate(by["bsd-3"].split()))
+    lines = [by[x] for x in four] + [long, "redistribution and use in source and binary forms", cut]
+    d = spark.createDataFrame(list(enumerate(lines)) + [(100 + i, x) for i, x in enumerate(four * 3)] + [(200 + i, by[four[i % 4]]) for i in range(60)] + [(300 + i, x) for i, x in enumerate(rare[:2])], "doc_id long, text string")
+    got = {r.id: r for r in license_scan.scan_licenses(d).collect()}
+    assert [got[i].labels for i in range(4)] == [[x] for x in four]
+    assert got[4].labels == sorted(four) and got[300].labels == []
+
+
+def test_licenses_find_every_alignment(spark):
+    """Templates with words lost at random: whatever covers enough of a template in place, with its phrase, is found."""
+    r, lines, want = random.Random(2), [], []
+    for label, t, phrases in license_scan.TEMPLATES:
+        for _ in range(12):
+            w = t.split()
+            p = next((x.split() for x in phrases if x in t), None)
+            at = next(i for i in range(len(w)) if w[i : i + len(p)] == p) if p else 0
+            rest = [i for i in range(len(w)) if not p or not at <= i < at + len(p)]
+            for i in r.sample(rest, r.randint(0, len(rest))):
+                w[i] = "zzz"
+            lines.append(" ".join(w))
+            want.append(label if p and sum(x == y for x, y in zip(w, t.split(), strict=True)) / len(w) >= license_scan.COVER else None)
+    got = {x.id: x for x in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert all(label is None or label in got[i].labels for i, label in enumerate(want)) and any(want)
+
+
 def test_neighbours(spark):
     g = np.random.default_rng(3)
     v = g.normal(size=(700, 16))
