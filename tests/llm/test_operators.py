@@ -254,6 +254,54 @@ def test_lm_bytes_sum_to_one(spark):
     assert p[97, 98].argmax() == 99
 
 
+def tree(seen, depth):
+    """Plain context-tree weighting: log10 probability of a byte after the bytes before it, of frozen counts."""
+    import math
+
+    n, total = {}, {}
+    for text in seen:
+        for i, x in enumerate(text):
+            past = bytes(depth) + text[:i]
+            for d in range(depth + 1):
+                for k in range(8):
+                    n.setdefault((past[len(past) - d :], k, x >> (8 - k)), [0, 0])[x >> (7 - k) & 1] += 1
+    own = {s: sum(math.lgamma(v + 0.5) for v in c) - math.lgamma(sum(c) + 1) - math.log(math.pi) for s, c in n.items()}
+    below = Counter()
+    for s in sorted(n, key=lambda s: -len(s[0])):
+        total[s] = own[s] if len(s[0]) == depth else float(np.logaddexp(own[s], below[s])) - math.log(2)
+        below[s[0][1:], s[1], s[2]] += total[s] if s[0] else 0
+
+    def bit(past, d, k, x):
+        s = (past[len(past) - d :], k, x >> (8 - k))
+        c = n.get(s, [0, 0])
+        p = (c[x >> (7 - k) & 1] + 0.5) / (sum(c) + 1)
+        if d == depth:
+            return p
+        w = math.exp(own.get(s, 0) - math.log(2) - total.get(s, 0))
+        return w * p + (1 - w) * bit(past, d + 1, k, x)
+
+    return lambda text: sum(math.log10(bit(bytes(depth) + text[:i], 0, k, x)) for i, x in enumerate(text) for k in range(8))
+
+
+@pytest.mark.parametrize("depth", [3, 7])
+def test_lm_tree(spark, depth):
+    rows = ["the theory of the other", "the theory of the other", "é a theme", "abracadabra", "there\x00 the", None, "", "z", "another theory of ü"]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    plain = tree([(x or "").encode() for x in rows[:6]], depth)
+    for size in (16 << 20, 20):
+        got = {r.id: r.score for r in ctw.score_lm(d, lambda i: i < 6, part_bytes=size, depth=depth).collect()}
+        assert len(got) == len(rows)
+        assert np.allclose([got[i] for i in range(len(rows))], [plain((x or "").encode()) for x in rows], rtol=1e-5)
+
+
+def test_lm_tells_a_known_passage_from_soup(spark):
+    """Held out: a passage of the corpus, and other words all of whose three bytes in a row stand in the corpus as often."""
+    known, soup = "abcmnodef ghimnojkl " * 20, "abcmnojkl " * 20 + "ghimnodef " * 20
+    rows = [*((i, known) for i in range(5)), (10, known), (11, soup)]
+    got = {r.id: r.score for r in ctw.score_lm(spark.createDataFrame(rows, "doc_id long, text string"), lambda i: i < 10).collect()}
+    assert got[10] > 0.5 * got[11]
+
+
 def near_groups(t, per_cent=80):
     sets = []
     for x in t:
