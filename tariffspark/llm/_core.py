@@ -1,12 +1,14 @@
 """Shared pieces: written tables that cut lineage, and vectorised word hashing over Arrow text buffers.
 
 Words are found on UTF-8 bytes: every separator used here is ASCII, so byte rules and character rules agree.
-A word hash is a 64-bit polynomial over random byte values with a finaliser; a window hash is a polynomial
-over word hashes. Results that rest on identity use at least 96 hash bits.
+A word hash mixes eight bytes at a time without any linear step across them, and a window hash pairs the hashes of its
+halves, so no family of texts collides by its form. Results that rest on the identity of long texts use two
+independent word hashes, 96 bits at least.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,24 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- text buffers -------------------------------------------------------------------------------------------
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = 2**64
-_BASES = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
-_pows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i < n."""
-    have = _pows.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16) if have is None else max(n, min(2 * len(have[0]), n + (1 << 20)))
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        q = np.full(size, pow(base, -1, _M), np.uint64)
-        q[0] = 1
-        have = _pows[base] = (np.cumprod(p), np.cumprod(q))
-    return have[0][:n], have[1][:n]
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -127,7 +112,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 
 
 class Words:
-    """Words of a slice of documents: start, end (byte offsets in buf), first (of each document, and the total), hash."""
+    """Words of a slice of documents: start, end (byte offsets in buf), first (of each document, and the total), hash and,
+    on demand, an independent second hash."""
 
     def __init__(self, arr: pa.Array, inside: np.ndarray = SPACED, lower: bool = False, hashes: bool = True):
         buf, off = utf8(arr)
@@ -145,16 +131,37 @@ class Words:
         if hashes:
             self.hash = span_hash(self.buf, self.start, self.end)
 
+    def second(self) -> np.ndarray:
+        return span_hash(self.buf, self.start, self.end, 1)
+
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.n)), self.n)
 
 
+#: Bytes of a word that are mixed eight at a time; what is longer is hashed by blake2b.
+SHORT = 64
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [_M - 1], np.uint64)
+
+
+def pair(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hash of two 64-bit hashes in order."""
+    return mix(a * np.uint64(0xD1342543DE82EF95) + (b ^ b >> np.uint64(29)) * np.uint64(0xAF251AF3B0F025B5), salt)
+
+
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hash of each byte span."""
-    p, q = _powers(_BASES[0], len(buf) + 1)
-    c = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * p[: len(buf)], out=c[1:])
-    return mix((c[end] - c[start]) * q[start] + (end - start).astype(np.uint64), salt)
+    """64-bit hash of each byte span; hashes of two salts are independent."""
+    n = end - start
+    h = mix(n.astype(np.uint64), 101 + salt)
+    eight = np.ndarray(len(buf), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    at, todo = 0, np.flatnonzero((n > 0) & (n <= SHORT))
+    while len(todo):
+        lane = eight[start[todo] + at] & _MASK[np.minimum(n[todo] - at, 8)]
+        h[todo] = pair(h[todo], lane, salt)
+        at += 8
+        todo = todo[n[todo] > at]
+    for i in np.flatnonzero(n > SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 def word_hash(word: str) -> int:
@@ -162,17 +169,25 @@ def word_hash(word: str) -> int:
     return int(span_hash(b, np.array([0]), np.array([len(b)]))[0])
 
 
-class Rolling:
-    """Hashes of k consecutive entries of h, for any start and k."""
+class Spans:
+    """Hashes of k consecutive entries of h, for any start and k: halves are hashed in pairs, level by level."""
+
+    def __init__(self, h: np.ndarray):
+        self.levels = [h]
+
+    def at(self, start: np.ndarray, k: int) -> np.ndarray:
+        top = k.bit_length() - 1
+        while len(self.levels) <= top:
+            x, w = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(pair(x[:-w], x[w:], 51) if len(x) > w else x[:0])
+        x = self.levels[top]
+        return mix(x[start], 53) if k == 1 << top else pair(x[start], x[start + k - (1 << top)], 54 + k)
 
-    def __init__(self, h: np.ndarray, salt: int = 0):
-        self.p, self.q = _powers(_BASES[1], len(h) + 1)
-        self.c = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum((mix(h, 7 + salt) if salt else h) * self.p[: len(h)], out=self.c[1:])
-        self.salt = salt
 
-    def at(self, start: np.ndarray, k) -> np.ndarray:
-        return mix((self.c[start + k] - self.c[start]) * self.q[start], 11 + self.salt)
+def sequences(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """One hash of each of the runs of these lengths (over 0) that h is laid out in, order included."""
+    place = ragged(lengths)[1].astype(np.uint64)
+    return pair(np.add.reduceat(mix(pair(h, place, 57)), np.cumsum(lengths) - lengths), lengths.astype(np.uint64), 58) if len(lengths) else np.zeros(0, np.uint64)
 
 
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._core import PLAIN, Rolling, Words, chunks, cut, key_cols, lists, ragged, signed, table
+from ._core import PLAIN, Words, chunks, cut, key_cols, lists, ragged, sequences, signed, table
 
 WINDOW, BLOCK, SLOP = 13, 100_000, 2
 
@@ -38,7 +38,8 @@ def _test_windows(window: int):
             doc, at = ragged(np.where(w.n > 0, w.n - size + 1, 0))
             start, n = w.first[:-1][doc] + at, size[doc]
             flat, place = ragged(n)
-            yield pa.record_batch({"item": b.column("item").take(pa.array(doc)), "h": signed(Rolling(w.hash).at(start, n)), "terms": lists(signed(w.hash[start[flat] + place]), n)})
+            words = w.hash[start[flat] + place]
+            yield pa.record_batch({"item": b.column("item").take(pa.array(doc)), "h": signed(sequences(words, n)), "terms": lists(signed(words), n)})
 
     return run
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._core import SPACED, Rolling, Words, chunks, cut, key_cols, lists, mix, ragged, signed, table
+from ._core import SPACED, Spans, Words, chunks, cut, key_cols, lists, mix, ragged, signed, table
 
 TREES, DEPTH, BRANCHES, SMALL = 4, 3, 2, 48
 PERMS = 128
@@ -44,24 +44,32 @@ _MUL = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint6
 _XOR = _rng.integers(0, 2**63, PERMS, dtype=np.uint64)
 
 
-def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of every document laid end to end, and how many each has."""
-    per = np.where(w.n > 0, np.maximum(w.n - k + 1, 1), 0)
-    doc, at = ragged(per)
+def shingles(w: Words, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of every document laid end to end, their independent second hashes if asked for, and how
+    many each document has."""
+    doc, at = ragged(np.where(w.n > 0, np.maximum(w.n - k + 1, 1), 0))
     start = w.first[:-1][doc] + at
-    h = Rolling(w.hash).at(start, np.minimum(w.n, k)[doc])
+
+    def hashed(words: np.ndarray) -> np.ndarray:
+        spans, out = Spans(words), np.empty(len(start), np.uint64)
+        for size in range(1, k + 1):
+            mine = np.minimum(w.n, k)[doc] == size
+            out[mine] = spans.at(start[mine], size)
+        return out
+
+    h = hashed(w.hash)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.bincount(doc[new], minlength=len(w.n))
+    return h[new], hashed(w.second())[order][new] if second else h[:0], np.bincount(doc[new], minlength=len(w.n))
 
 
 def _signatures(k: int, perms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             w = Words(b.column("text"), SPACED, lower=True)
-            h, n = shingles(w, k)
+            h, other, n = shingles(w, k, True)
             some = np.flatnonzero(n)
             first = (np.cumsum(n) - n)[some]
             mins = np.zeros((perms, len(n)), np.uint32)
@@ -71,7 +79,7 @@ def _signatures(k: int, perms: int):
                     x = (h ^ _XOR[i]) * _MUL[i]
                     mins[i, some] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), first)
                 ids[0, some] = mix(np.add.reduceat(mix(h, 31), first), 1)
-                ids[1, some] = mix(np.add.reduceat(mix(h, 32), first), 2)
+                ids[1, some] = mix(np.add.reduceat(mix(other, 32), first), 2)
             low = (mins & 15).astype(np.uint8)
             sketch = np.ascontiguousarray((low[0::2] << 4 | low[1::2]).T)
             tokens = np.ascontiguousarray(mins[: TREES * DEPTH * BRANCHES].T).view(np.int32)
@@ -94,7 +102,7 @@ def _signatures(k: int, perms: int):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            h, n = shingles(Words(b.column("text"), SPACED, lower=True), k)
+            h, _, n = shingles(Words(b.column("text"), SPACED, lower=True), k)
             yield pa.record_batch({"s1": b.column("s1"), "grams": lists(signed(h), n)})
 
     return run

@@ -1,13 +1,15 @@
 """Operator 1, substring dedup by level-wise doubling.
 
-A window of W words (35) is removed where its word sequence also starts anywhere else. Levels:
+A window of W words (35) is removed where its word sequence also starts anywhere else.
 
 1. Anchors of 9 words. Among the 9-word runs of every W-word window the one of least hash is chosen, so equal
    windows choose equal anchors and about one position in fourteen is indexed. Anchors found once end here.
-2. Windows of W words that start at repeated anchors; those that repeat are extended to
-3. twice that length; these say which stretches are held, so that one occurrence of each stands for all.
-   Doubling ends here for the contract's purpose; `repeated_spans` doubles on until no candidate survives.
-4. Words not settled yet: every window with a repeated anchor and an unsettled word is compared one by one.
+2. Windows of W words that start at repeated anchors are compared; those that repeat are extended to twice that length,
+   those that repeat again to four times, and so on until no candidate survives. A level reads only the documents that
+   hold a survivor of the level before with room for more. Repeated spans settle the words they cover, and of each
+   span of 2 W words or more one occurrence stands for all.
+3. Words not settled yet (the edges of repeated stretches): every window with a repeated anchor and an unsettled word is
+   compared one by one.
 
 All levels are counts by hash with map-side sums, and joins to written tables, which Spark can split where a key
 is hot. Positions are gathered per document only, never per hash.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,46 +31,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._core import Rolling, Words, chunks, cut, key_cols, lists, mix, ragged, signed, table
+from ._core import Spans, Words, chunks, cut, key_cols, mix, ragged, sequences, signed, table
 
 WINDOW, ANCHOR = 35, 9
 
 
-def _chosen(h: np.ndarray, first: np.ndarray, n: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, Rolling]:
+def _chosen(h: np.ndarray, first: np.ndarray, n: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, Spans]:
     """Starts of all windows inside documents, and the anchor that each of them chooses."""
-    roll = Rolling(h)
-    per = np.maximum(n - window + 1, 0)
-    doc, at = ragged(per)
+    spans = Spans(h)
+    doc, at = ragged(np.maximum(n - window + 1, 0))
     starts = first[:-1][doc] + at
     if not len(starts):
-        return starts, starts, roll
-    g = roll.at(np.arange(len(h) - k + 1), k)
+        return starts, starts, spans
+    g = spans.at(np.arange(len(h) - k + 1), k)
     least = sliding_window_view(g, window - k + 1).argmin(1)
-    return starts, starts + least[starts], roll
+    return starts, starts + least[starts], spans
+
+
+def _half(h: np.ndarray) -> np.ndarray:
+    """32 bits of an independent hash."""
+    return (h >> np.uint64(33)).astype(np.int32)
 
 
 def _anchors(window: int, k: int):
+    """Of each anchor: its hash g, where it stands and how many words follow; and the hash of the window there (h, h2), if
+    it fits. A whole text is one more row, at -1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             w = Words(b.column("text"))
-            starts, chosen, roll = _chosen(w.hash, w.first, w.n, window, k)
+            starts, chosen, spans = _chosen(w.hash, w.first, w.n, window, k)
             if not len(starts):
                 continue
             a = np.unique(chosen)
             doc = np.searchsorted(w.first, a, "right") - 1
-            end = w.first[doc + 1]
-            fit, twice = a + window <= end, a + 2 * window <= end
-            one, two = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
-            one[fit], two[twice] = roll.at(a[fit], window), roll.at(a[twice], 2 * window)
+            fit = a + window <= w.first[doc + 1]
+            second = w.second()
+            h, h2 = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
+            h[fit], h2[fit] = spans.at(a[fit], window), Spans(second).at(a[fit], window)
             whole = np.flatnonzero(w.n >= window)
-            all_h = roll.at(w.first[whole], w.n[whole])
-            d = np.concatenate([doc, whole])
+            words = np.repeat(w.n >= window, w.n)
+            all_h, all_2 = sequences(w.hash[words], w.n[whole]), sequences(second[words], w.n[whole])
+            d, none = np.concatenate([doc, whole]), np.zeros(len(whole), bool)
             yield pa.record_batch(
                 {
-                    "g": signed(np.concatenate([roll.at(a, k), mix(all_h, 3)])),
-                    "a": pa.array(signed(np.concatenate([one, all_h])), mask=np.concatenate([~fit, np.zeros(len(whole), bool)])),
-                    "c": pa.array(signed(np.concatenate([two, all_h])), mask=np.concatenate([~twice, np.ones(len(whole), bool)])),
-                    "pos": np.concatenate([a - w.first[doc], np.full(len(whole), -1)]).astype(np.int32),
+                    "g": signed(np.concatenate([spans.at(a, k), mix(all_h, 3)])),
+                    "h": pa.array(signed(np.concatenate([h, all_h])), mask=np.concatenate([~fit, none])),
+                    "h2": _half(np.concatenate([h2, all_2])),
+                    "pos": np.concatenate([a - w.first[doc], none - 1]).astype(np.int32),
+                    "room": np.concatenate([w.first[doc + 1] - a, none * 0]).astype(np.int32),
                     "kd": b.column("kd").take(pa.array(d)),
                     "kh": b.column("kh").take(pa.array(d)),
                 }
@@ -76,19 +88,42 @@ def _anchors(window: int, k: int):
     return run
 
 
+def _longer(length: int):
+    """Windows of this length at the places `at` of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            w, at = Words(b.column("text")), b.column("at")
+            doc = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
+            pos = np.asarray(at.flatten())
+            a, take = pos + w.first[doc], pa.array(doc)
+            yield pa.record_batch(
+                {
+                    "h": signed(Spans(w.hash).at(a, length)),
+                    "h2": _half(Spans(w.second()).at(a, length)),
+                    "pos": pos,
+                    "room": (w.first[doc + 1] - a).astype(np.int32),
+                    "kd": b.column("kd").take(take),
+                    "kh": b.column("kh").take(take),
+                }
+            )
+
+    return run
+
+
 def _marks(v: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one document, from its level rows (pos + 1, level, flag): repeated anchors, settled words, and the windows that
-    lie in a repeated double window whose standing occurrence is elsewhere (away) or here."""
-    pos, level, flag = (v >> 4) - 1, (v >> 2) & 3, v & 3
+    lie in a longer repeated span whose standing occurrence is elsewhere (away) or here."""
+    pos, level, flag = (v >> 7) - 1, (v >> 2) & 31, v & 3
     size = n - window + 1
     rep = np.zeros(n, bool)
     rep[pos[pos >= 0]] = True
     word, away, here = np.zeros(n + 1, np.int64), np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
     on = flag > 0
-    p, length = np.maximum(pos[on], 0), np.where(pos[on] < 0, n, np.where(level[on] == 1, window, 2 * window))
+    p, length = np.maximum(pos[on], 0), np.where(pos[on] < 0, n, window << level[on])
     np.add.at(word, p, 1)
     np.add.at(word, p + length, -1)
-    wide = (level[on] == 2) | (pos[on] < 0)
+    wide = (level[on] > 0) | (pos[on] < 0)
     for mask, to in ((wide & (flag[on] == 1), away), (wide & (flag[on] == 2), here)):
         np.add.at(to, p[mask], 1)
         np.add.at(to, p[mask] + length[mask] - window + 1, -1)
@@ -101,8 +136,8 @@ def _windows(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             w = Words(b.column("text"))
-            starts, chosen, roll = _chosen(w.hash, w.first, w.n, window, k)
-            second = Rolling(w.hash, 1)
+            starts, chosen, spans = _chosen(w.hash, w.first, w.n, window, k)
+            second = Spans(w.second())
             marks, at = b.column("marks"), 0
             ask, show, doc_of = [], [], []
             for d, n in enumerate(w.n):
@@ -125,8 +160,8 @@ def _windows(window: int, k: int):
             take = pa.array(np.concatenate([d, np.zeros(none, np.int64)]), mask=np.concatenate([np.zeros(len(q), bool), np.ones(none, bool)]))
             yield pa.record_batch(
                 {
-                    "w1": signed(roll.at(both, window)),
-                    "w2": (second.at(both, window) >> np.uint64(33)).astype(np.int32),
+                    "w1": signed(spans.at(both, window)),
+                    "w2": _half(second.at(both, window)),
                     "pos": pa.array(np.concatenate([q - w.first[d], np.zeros(none, np.int64)]).astype(np.int32)),
                     "kd": b.column("kd").take(take),
                     "kh": b.column("kh").take(take),
@@ -169,17 +204,33 @@ def _kept(window: int):
     return run
 
 
-def levels(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """kd, kh, marks: of each document with repeated anchors, its level rows as (pos + 1) * 16 + level * 4 + flag;
-    flag 0: found once, 1: repeated, 2: repeated and the occurrence that stands for all."""
-    rows = docs.mapInArrow(_anchors(window, anchor), "g long, a long, c long, pos int, kd long, kh long")
+def levels(slim: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, list[DataFrame]]:
+    """Repeated anchors (kd, kh, pos), and for each level the spans at them that repeat (kd, kh, pos, flag); flag 2 is the
+    occurrence that stands for all, 1 the others. Level i has spans of window * 2**i words; pos -1 is a whole text."""
+    rows = slim.mapInArrow(_anchors(window, anchor), "g long, h long, h2 int, pos int, room int, kd long, kh long")
     again = cut(rows.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g"), "anchors")
-    rows = cut(rows.join(again, "g", "left_semi"), "repeated")
-    each = rows.select("g", "pos", "kd", "kh", F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("a").alias("h")), F.struct(F.lit(2).alias("level"), F.col("c").alias("h")))).alias("x")).select("g", "pos", "kd", "kh", "x.*").where("level = 1 or h is not null")
-    held = cut(each.where("h is not null").groupBy("g", "level", "h").agg(F.count("*").alias("m"), F.min(F.struct("kd", "kh", "pos")).alias("one")).where("m > 1").drop("m"), "held")
-    flag = F.when(F.col("one").isNull(), 0).when(F.struct("kd", "kh", "pos") == F.col("one"), 2).otherwise(1)
-    code = (F.col("pos").cast("long") + 1) * 16 + F.col("level") * 4 + flag
-    return each.join(held, ["g", "level", "h"], "left").groupBy("kd", "kh").agg(F.collect_list(code).alias("marks"))
+    anchors = cut(rows.join(again, "g", "left_semi"), "repeated")
+    found, length, spans = [], window, anchors.where("h is not null").drop("g")
+    while True:
+        held = cut(spans.groupBy("h", "h2").agg(F.count("*").alias("m"), F.min(F.struct("kd", "kh", "pos")).alias("one")).where("m > 1").drop("m"), "held")
+        flag = F.when(F.struct("kd", "kh", "pos") == F.col("one"), 2).otherwise(1)
+        repeated = cut(spans.join(held, ["h", "h2"]).select("kd", "kh", "pos", "room", flag.alias("flag")), f"spans-{length}")
+        found.append(repeated.drop("room"))
+        length *= 2
+        more = repeated.where(F.col("room") >= length)
+        if more.isEmpty():
+            return anchors.select("kd", "kh", "pos"), found
+        at = more.groupBy("kd", "kh").agg(F.collect_set("pos").alias("at"))
+        spans = cut(slim.join(at, ["kd", "kh"]).mapInArrow(_longer(length), "h long, h2 int, pos int, room int, kd long, kh long"), f"windows-{length}")
+
+
+def _coded(anchors: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """kd, kh, marks: of each document with repeated anchors, its level rows as (pos + 1) * 128 + level * 4 + flag."""
+    place = (F.col("pos").cast("long") + 1) * 128
+    rows = anchors.select("kd", "kh", place.alias("code"))
+    for level, spans in enumerate(found):
+        rows = rows.unionByName(spans.select("kd", "kh", (place + level * 4 + F.col("flag")).alias("code")))
+    return rows.groupBy("kd", "kh").agg(F.collect_list("code").alias("marks"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -187,7 +238,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     space): one row per input row."""
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     slim = docs.select(rest.alias("row"), F.col(f"`{text_col}`").alias("text"), *key_cols(id_col, text_col))
-    marks = cut(levels(slim.select("text", "kd", "kh"), window, anchor), "marks")
+    marks = cut(_coded(*levels(slim.select("text", "kd", "kh"), window, anchor)), "marks")
     open_ = cut(slim.select("text", "kd", "kh").join(marks, ["kd", "kh"]).mapInArrow(_windows(window, anchor), "w1 long, w2 int, pos int, kd long, kh long"), "windows")
     again = cut(open_.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "windows-again")
     found = open_.where("kd is not null").join(again, ["w1", "w2"], "left_semi").groupBy("kd", "kh").agg(F.collect_list("pos").alias("found"))
@@ -197,43 +248,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.mapInArrow(_kept(window), kinds)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", start: int = WINDOW) -> DataFrame:
-    """id, pos, n_words: the longest doubled length start * 2**i at which the span starting at an anchor still repeats.
-    Each level looks only at the spans that repeated at the length before, until none is left."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """id, pos, n_words: the longest doubled length window * 2**i at which the span starting at an anchor still repeats."""
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *key_cols(id_col, text_col))
-
-    def spans(length: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in chunks(batches):
-                w = Words(b.column("text"))
-                if length == start:
-                    a = np.unique(_chosen(w.hash, w.first, w.n, start, ANCHOR)[1])
-                    doc = np.searchsorted(w.first, a, "right") - 1
-                else:
-                    at = b.column("at")
-                    doc = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
-                    a = np.asarray(at.flatten()) + w.first[doc]
-                ok = a + length <= w.first[doc + 1]
-                a, doc = a[ok], doc[ok]
-                h, h2 = Rolling(w.hash).at(a, length), Rolling(w.hash, 1).at(a, length)
-                take = pa.array(doc)
-                yield pa.record_batch({"h": signed(h), "h2": signed(h2), "pos": (a - w.first[doc]).astype(np.int32), "kd": b.column("kd").take(take), "kh": b.column("kh").take(take)})
-
-        return run
-
-    length, left, out = start, slim.select("text", "kd", "kh"), None
-    while True:
-        rows = cut(left.mapInArrow(spans(length), "h long, h2 long, pos int, kd long, kh long"), "spans")
-        again = cut(rows.groupBy("h", "h2").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "spans-again")
-        rows = cut(rows.join(again, ["h", "h2"], "left_semi").select("kd", "kh", "pos", F.lit(length).alias("n_words")), "spans-held")
-        if rows.isEmpty():
-            break
-        out = rows if out is None else out.unionByName(rows)
-        left = slim.select("text", "kd", "kh").dropDuplicates(["kd", "kh"]).join(rows.groupBy("kd", "kh").agg(F.collect_set("pos").alias("at")), ["kd", "kh"])
-        length *= 2
-    if out is None:
-        return slim.select("id", F.lit(0).alias("pos"), F.lit(0).alias("n_words")).limit(0)
-    best = out.groupBy("kd", "kh", "pos").agg(F.max("n_words").alias("n_words"))
+    _, found = levels(slim.select("text", "kd", "kh"), window)
+    rows = [x.where("pos >= 0").select("kd", "kh", "pos", F.lit(window << i).alias("n_words")) for i, x in enumerate(found)]
+    best = reduce(DataFrame.unionByName, rows).groupBy("kd", "kh", "pos").agg(F.max("n_words").alias("n_words"))
     return slim.select("id", "kd", "kh").join(best, ["kd", "kh"]).select("id", "pos", "n_words")
 
 

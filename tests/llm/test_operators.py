@@ -350,3 +350,45 @@ def test_pipeline_stages(spark, docs):
         changed = len(want[i]) != len(WORD.findall(x or ""))
         assert rows[i].text == (" ".join(want[i]) if changed else x)
         assert rows[i].n_chars == (len(rows[i].text) if changed else 1)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_forced_cuts_inside_words_and_marks(name):
+    """Random runs of letters, marks, digits and spaces: most pairs are forced, and many stand inside pieces."""
+    r = random.Random(7)
+    sets = ["jqxzvkwQJZ", "jqz' sx", "'!?#~$%", "aqJ1 é'.", "abcdefghijklmnopqrstuvwxyz", "'lrvesdmtjqx ", "qz×é è́ \n"]
+    rows = ["".join(r.choice(s) for _ in range(r.randint(1, 40))) for s in sets for _ in range(300)]
+    e = Encoder(tok.path(name))
+    ids, n = e.encode(pa.array(rows, pa.string()))
+    at = np.concatenate([[0], np.cumsum(n)])
+    want = [x.ids for x in e.tool.encode_batch(rows, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+    start, _ = e.cuts(np.frombuffer(b"jqxz", np.uint8), np.array([0, 4]))
+    assert len(start) > 1
+
+
+#: Two words, or sequences of words, that any polynomial hash modulo 2**64 confuses, whatever its base.
+MORSE = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+ESROM = MORSE.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("a,b", [(MORSE, ESROM), (" ".join(MORSE), " ".join(ESROM))])
+def test_lookalikes_stay_apart(spark, a, b):
+    from pyspark.sql import functions as F
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = Encoder(tok.path(name))
+        ids, n = e.encode(pa.array([a, b]))
+        assert [ids[: n[0]].tolist(), ids[n[0] :].tolist()] == [x.ids for x in e.tool.encode_batch([a, b], add_special_tokens=False)]
+    lead = " ".join(f"w{i}" for i in range(34))
+    d = spark.createDataFrame([(1, f"{lead} {a}"), (2, f"{lead} {b}")], "doc_id long, text string")
+    want = kept_words([WORD.findall(f"{lead} {x}") for x in (a, b)])
+    assert {r.row.doc_id: r.kept_text for r in substring_dedup.dedup_substrings(d).collect()} == {i: " ".join(k) for i, k in enumerate(want, 1)}
+    bench = spark.createDataFrame([(1, a[:1024])], "item_id long, text string")
+    if " " not in a:
+        two = spark.createDataFrame([(1, a[:1024]), (2, b[:1024])], "doc_id long, text string")
+        assert {r.id: len(r.hit) for r in decontamination.contamination(two, bench).collect()} == {1: 1, 2: 0}
+        got = {r.id: r for r in ctw.score_lm(two, lambda i: i == 1).collect()}
+        assert (got[1].n_known, got[2].n_known) == (2, 1)
+        got = {r.id: r.component_id for r in near_dedup.near_duplicates(two).collect()}
+        assert got == {1: 1, 2: 2}
