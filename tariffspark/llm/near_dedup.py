@@ -1,24 +1,27 @@
 """Operator 10, MinHash near-dedup by a chosen-path set similarity join.
 
-A document's set: distinct shingles of two words (ASCII letters lower-cased). Identical sets form a class first, so that
+A document's set: distinct shingles of k words (ASCII letters lower-cased). Identical sets form a class first, so that
 copies cost one row. Then, in each of TREES independent trees:
 
 * every class goes to BRANCHES nodes per level, named by the path so far and the class's minwise token for that level and branch;
-* nodes of at most SMALL classes are compared exhaustively on 4-bit minwise sketches; larger ones branch again, DEPTH times;
-* what is still large after that is a near-copy group. Only links between different components matter there, so it is
-  taken in rounds: of each node that holds several components, a few members outside its largest one lead and are
-  compared with the node's members of other components; links merge components, and the next round looks again. After
-  one round all that have not led lead at once. A node is done when it holds one component or all members
-  outside its largest one have led, so no group is split for its size, and a group around one text takes one round. A pair that shares several nodes is compared in one.
-
-Two classes of similarity s part in a branch with probability 1 - s; with two branches a level a tree misses a pair of
-similarity 0.8 with probability below 0.07, four independent trees below 0.00003. Sketch estimates drop a pair only
-FLOOR away from the threshold (over four deviations). Every link is confirmed on the full sets.
-
-Links -> classes by hash-min with pointer jumping, every round written out. No node's members are ever gathered
-beyond SMALL rows; nodes and leaders are joined to written tables, so Spark can split hot ones.
-
-Defined results: null, empty and wordless texts have an empty set and stand alone; with one word the sequence is the
+* nodes of at most SMALL classes are compared exhaustively on 4-bit minwise sketches; larger ones branch again;
+* what is still large after DEPTH levels is mostly near copies. Only links between different components matter there, so
+  nodes collapse as they go: in each round a node whose members share a component is dropped. In the others the most
+  copied member of the largest component and LEAD members outside it lead, and are compared with all members of other
+  components; links merge components; then the node branches on by two more minwise values. A node with at most
+  REST members outside its largest component is compared in full (each of those with all others) and is done, and so are
+  all after MOST levels, so no node goes unsearched for its size.
+
+The first tree collapses alone, so that the others start from its components. Two classes of similarity s part in a
+branch with probability 1 - s; with two branches a level a tree misses a pair of similarity 0.8 with probability below
+0.07 within DEPTH levels, four independent trees below 0.00003. Sketch estimates drop a pair only FLOOR away from the
+threshold (over four deviations). Every link is confirmed on the full sets.
+
+Links -> components by stars: each partition of the edges is contracted by itself, then stars are dealt by leaf and
+their roots followed, until nothing moves. No node's members are ever gathered beyond SMALL rows or CHUNK rows and their
+leaders.
+
+Defined results: null, empty and wordless texts have an empty set and stand alone; with fewer than k words the sequence is the
 set; identical rows are copies of each other; a null id stands last; each input row gives one output row; extra columns
 are ignored.
 """
@@ -35,9 +38,12 @@ from pyspark.sql import functions as F
 from ._core import SPACED, Spans, Words, chunks, cut, key_cols, lists, mix, ragged, signed, table
 
 TREES, DEPTH, BRANCHES, SMALL = 4, 3, 2, 48
+LEAD, REST, MOST = 4, 400, 24
 PERMS = 128
 #: Members of a node that meet its leaders in one task.
-CHUNK = 1024
+CHUNK = 512
+#: Edges that a task contracts at once at most, and that are worth a task.
+HOLD, EDGES = 1 << 20, 1 << 13
 PER_CENT, FLOOR = 80, 0.17
 _rng = np.random.default_rng(99)
 _MUL = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,46 +152,22 @@ def _exhaustive(least: float):
     return run
 
 
-def _earlier(members: pa.Table, leaders: pa.Table, node: int) -> np.ndarray:
-    """[members, leaders]: True where both also share a node of a smaller name, which is the one to compare them."""
-
-    def lists_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        col = t["nodes"].combine_chunks()
-        return np.repeat(np.arange(len(col)), col.value_lengths().to_numpy(zero_copy_only=False)), np.asarray(col.flatten())
-
-    (mi, mn), (li, ln) = lists_of(members), lists_of(leaders)
-    names = np.unique(ln[ln < node])
-    if not len(names):
-        return np.zeros((members.num_rows, leaders.num_rows), bool)
-    rows = []
-    for i, x, n in ((mi, mn, members.num_rows), (li, ln, leaders.num_rows)):
-        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
-        ok = names[at] == x
-        m = np.zeros((n, len(names)), np.float32)
-        m[i[ok], at[ok]] = 1
-        rows.append(m)
-    return rows[0] @ rows[1].T > 0
-
-
-def _to_leaders(least: float, once: bool):
+def _to_leaders(least: float):
     """Of each leader of a node, the members in other components that may be similar enough; and in one more row (no
-    leader) all that take part. once: a pair that shares several nodes is taken in the first of them only."""
+    leader) all that take part."""
     kind = pa.list_(pa.int64())
 
     def run(members: pa.Table, leaders: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        part = np.zeros(0, np.int64)
         if members.num_rows and leaders.num_rows:
-            node = members["node"][0].as_py()
             key, root = np.asarray(members["s1"]), np.asarray(members["root"])
             lead, lead_root = np.asarray(leaders["s1"]), np.asarray(leaders["root"])
             own, other = _flat(members["sketch"].combine_chunks()), _flat(leaders["sketch"].combine_chunks())
-            skip = root[:, None] == lead_root[None]
-            if once:
-                skip |= _earlier(members, leaders, node)
+            both = np.isin(key, lead)  # of two leaders the greater looks for the smaller
             for lo in range(0, len(lead), 32):
                 cols = slice(lo, lo + 32)
-                ok = (_similar(own[:, None], other[None, cols]) >= least) & ~skip[:, cols]
+                ok = (_similar(own[:, None], other[None, cols]) >= least) & (root[:, None] != lead_root[None, cols])
+                ok &= ~(both[:, None] & (key[:, None] > lead[None, cols]))
                 for j in np.flatnonzero(ok.any(0)).tolist():
                     i = np.flatnonzero(ok[:, j])
                     out[0].append(int(lead[lo + j]))
@@ -197,7 +179,7 @@ def _to_leaders(least: float, once: bool):
                 out[1].append(part)
                 out[2].append(part[:0])
         n = len(out[0])
-        head = {"node": pa.array([node] * n, pa.int64()), "chunk": pa.array([members["chunk"][0].as_py()] * n, pa.int64())} if n else {"node": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64())}
+        head = {c: pa.array([members[c][0].as_py()] * n if n else [], pa.int64()) for c in ("node", "chunk")}
         return pa.table(head | {"leader": pa.array(out[0], pa.int64()), "members": pa.array(out[1], kind), "roots": pa.array(out[2], kind)})
 
     return run
@@ -222,67 +204,81 @@ def _proved(per_cent: int):
 
     def run(rows: pa.Table, sets: pa.Table) -> pa.Table:
         grams = sets["grams"].combine_chunks()
-        at = {k: i for i, k in enumerate(sets["s1"].to_pylist())}
-        have: dict[int, np.ndarray] = {}
+        size = grams.value_lengths().to_numpy(zero_copy_only=False)
+        flat, first = np.asarray(grams.flatten()), np.cumsum(size) - size
+        names = np.asarray(sets["s1"])
+        order = np.argsort(names)
 
-        def of(k: int) -> np.ndarray:
-            if k not in have:
-                have[k] = np.sort(np.asarray(grams[at[k]].values))
-            return have[k]
+        def place(keys: np.ndarray) -> np.ndarray:
+            return order[np.searchsorted(names, keys, sorter=order)]
 
         a, b = [], []
-        for lead, members, roots in zip(rows["leader"].to_pylist(), rows["members"].to_pylist(), rows["roots"].to_pylist(), strict=True):
-            x, linked = of(lead), set()
-            for k, root in zip(members, roots, strict=True):
-                if root in linked:
-                    continue
-                y = of(k)
-                if 100 * min(len(x), len(y)) < per_cent * max(len(x), len(y)):
-                    continue
-                i = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                if 100 * i >= per_cent * (len(x) + len(y) - i):
-                    linked.add(root)
-                    a.append(min(lead, k))
-                    b.append(max(lead, k))
+        for lead, keys, roots in zip(rows["leader"].to_pylist(), rows["members"].combine_chunks(), rows["roots"].combine_chunks(), strict=True):
+            me = int(place(np.array([lead]))[0])
+            x, keys, roots = np.sort(flat[first[me] : first[me] + size[me]]), np.asarray(keys.values), np.asarray(roots.values)
+            at = place(keys)
+            fit = 100 * np.minimum(size[at], len(x)) >= per_cent * np.maximum(size[at], len(x))
+            keys, roots, at = keys[fit], roots[fit], at[fit]
+            for lo in range(0, len(at), 128):
+                some = slice(lo, lo + 128)
+                of, nth = ragged(size[at[some]])
+                y = flat[first[at[some]][of] + nth]
+                i = np.bincount(of, x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y, minlength=len(at[some]))
+                ok = np.flatnonzero(100 * i >= per_cent * (len(x) + size[at[some]] - i))
+                for k, root in {int(r): int(k) for k, r in zip(keys[some][ok], roots[some][ok], strict=True)}.items():
+                    a.append(min(lead, root))
+                    b.append(max(lead, root))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _leaders(pool: DataFrame, parts: int | None) -> DataFrame:
-    """Of each node the least member of each of so many parts, by partial sums; without a number all members."""
-    if not parts:
-        return pool.select("node", "chunks", "s1", "sketch", "root", "nodes")
-    return pool.groupBy("node", "chunks", F.pmod(F.xxhash64("s1"), F.lit(parts)).alias("part")).agg(F.min(F.struct("s1", "sketch", "root", "nodes")).alias("x")).select("node", "chunks", "x.*")
+def _leaders(open_: DataFrame, rest: int | None) -> DataFrame:
+    """Leaders of each node (see above), by partial maxima; rest None: all outside the largest component."""
+    few = F.lit(True) if rest is None else F.col("rest") <= rest
+    outside = F.col("root") != F.col("main")
+    part = F.when(few & outside, F.col("s1")).when(~few & outside, F.pmod(F.col("s1"), F.lit(LEAD))).when(~few, F.lit(-1))
+    led = open_.withColumn("part", part).where("part is not null").groupBy("node", "chunks", "part").agg(F.max(F.struct("copies", "s1", "sketch", "root")).alias("x"))
+    return led.select("node", "chunks", "x.s1", "x.sketch", "x.root")
+
 
+def _branches(rows: DataFrame) -> DataFrame:
+    """Children of large nodes: one by two minwise values that the node's name picks, and for every other node a second."""
+    twice = F.when(F.pmod("node", F.lit(2)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("branch", F.explode(twice))
+    place = F.pmod(F.xxhash64("node", "branch"), F.lit(PERMS // 2)).cast("int") + 1
+    return rows.withColumn("node", F.xxhash64("node", "branch", F.substring("sketch", place, F.lit(1)))).select("node", "s1", "sketch", "copies")
 
-def _groups(members: DataFrame, sets: DataFrame, least: float, per_cent: int, out: DataFrame) -> DataFrame:
-    """Links that join the components of nodes too large to compare exhaustively (see above). members: node, s1, sketch."""
-    # Each row knows all large nodes of its class (TREES * BRANCHES ** DEPTH at most).
-    open_ = members.groupBy("s1").agg(F.first("sketch").alias("sketch"), F.collect_set("node").alias("nodes")).withColumn("node", F.explode("nodes"))
-    open_, parts = open_.withColumn("led", F.lit(False)), 2
+
+def _collapse(deep: DataFrame, sets: DataFrame, least: float, per_cent: int, out: DataFrame) -> DataFrame:
+    """Links that join the components of nodes too large to compare exhaustively. deep: tree, node, s1, sketch, copies."""
+    cols = ["node", "s1", "sketch", "copies"]
+    open_, level = deep.where("tree = 0").select(cols), 0
+    stars = components(out)
     while True:
-        roots = components(out).select(F.col("v").alias("s1"), "root")
-        placed = cut(open_.join(roots, "s1", "left").withColumn("root", F.coalesce("root", "s1")), "placed")
-        main = placed.groupBy("node", "root").agg(F.count("*").alias("m")).groupBy("node").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts"), F.ceil(F.sum("m") / CHUNK).alias("chunks")).where("parts > 1").drop("parts")
-        open_ = cut(placed.join(cut(main, "main-components"), "node"), "open")
-        lead = cut(_leaders(open_.where("root != main and not led"), parts), "leaders")
-        if lead.isEmpty():
-            return out
-        rows = open_.select("node", "s1", "sketch", "root", "nodes", F.pmod(F.xxhash64("s1"), F.col("chunks")).alias("chunk"))
-        sent = lead.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
-        near = rows.groupBy("node", "chunk").cogroup(sent.groupBy("node", "chunk")).applyInArrow(_to_leaders(least, parts is None), "node long, chunk long, leader long, members array<long>, roots array<long>")
-        near = cut(near, "leader-pairs")
-        held = near.where("leader is null").select(F.col("node").alias("n"), F.col("chunk").alias("c"), F.explode("members").alias("s1")).join(sets, "s1").select("n", "c", "s1", "grams")
+        rest = REST if level < MOST else None
+        placed = cut(open_.join(stars.withColumnRenamed("v", "s1"), "s1", "left").withColumn("root", F.coalesce("root", "s1")), "placed")
+        mixed = placed.groupBy("node", "root").agg(F.count("*").alias("m")).groupBy("node").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("most"), F.count("*").alias("parts"))
+        mixed = mixed.where("parts > 1").select("node", "main", (F.col("n") - F.col("most")).alias("rest"), F.ceil(F.col("n") / CHUNK).alias("chunks"))
+        open_ = cut(placed.join(cut(mixed, "mixed"), "node"), "open")
+        if level and open_.isEmpty():
+            return stars
+        lead = _leaders(open_, rest).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+        rows = open_.select("node", "s1", "sketch", "root", F.pmod(F.xxhash64("s1"), F.col("chunks")).alias("chunk"))
+        near = cut(rows.groupBy("node", "chunk").cogroup(lead.groupBy("node", "chunk")).applyInArrow(_to_leaders(least), "node long, chunk long, leader long, members array<long>, roots array<long>"), "leader-pairs")
+        held = near.where("leader is null").select("node", "chunk", F.explode("members").alias("s1")).join(sets, "s1").select(F.col("node").alias("n"), F.col("chunk").alias("c"), "s1", "grams")
         new = near.where("leader is not null").groupBy("node", "chunk").cogroup(held.groupBy("n", "c")).applyInArrow(_proved(per_cent), "a long, b long")
-        out = cut(out.unionByName(new).distinct(), "links")
-        led = lead.select("node", "s1", F.lit(True).alias("now"))
-        open_ = open_.join(led, ["node", "s1"], "left").select("node", "s1", "sketch", "nodes", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
-        parts = None
+        stars = components(stars.select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(new))
+        if rest is None:
+            return stars
+        more = _branches(open_.where(F.col("rest") > rest))
+        open_ = more if level else more.unionByName(deep.where("tree > 0").select(cols))
+        level += 1
 
 
 def links(classes: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """Confirmed links (a, b) between classes. classes: s1, kd, kh, sketch, tokens; texts: kd, kh, text."""
+    """v, root: for each class that is linked with others, the least class of its component, if it is not that itself.
+    classes: s1, copies, kd, kh, sketch, tokens; texts: kd, kh, text."""
     least = per_cent / 100 - FLOOR
     rows = classes.drop("kd", "kh").withColumn("tree", F.explode(F.array(*[F.lit(x) for x in range(TREES)]))).withColumn("node", F.lit(0).cast("long"))
     rows = rows.withColumn("tokens", F.slice("tokens", F.col("tree") * (DEPTH * BRANCHES) + 1, F.lit(DEPTH * BRANCHES)))
@@ -292,34 +288,67 @@ def links(classes: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFr
         sizes = cut(entries.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "node-sizes")
         entries = cut(entries.join(sizes, "node"), "entries")
         small = entries.where(F.col("m") <= SMALL).groupBy("node").agg(F.collect_list("s1").alias("keys"), F.collect_list("sketch").alias("sketches"))
-        new = cut(small.mapInArrow(_exhaustive(least), "a long, b long").distinct(), "node-pairs")
+        new = cut(small.mapInArrow(_exhaustive(least), "a long, b long"), "node-pairs")
         pairs = new if pairs is None else pairs.unionByName(new)
         rows = entries.where(F.col("m") > SMALL).drop("m")
         if rows.isEmpty():
             break
     pairs = cut(pairs.distinct(), "pairs")
-    deep = rows.select("node", "s1", "sketch")
+    deep = rows.select("tree", "node", "s1", "sketch", "copies")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s1")).unionByName(deep.select("s1")).distinct()
     keys = cut(classes.select("s1", "kd", "kh").join(wanted, "s1"), "wanted")
     sets = cut(texts.join(keys.hint("merge"), ["kd", "kh"]).dropDuplicates(["kd", "kh"]).select("s1", "text").mapInArrow(_sets(k), "s1 long, grams array<long>"), "sets")
-    out = cut(confirm(pairs, sets, per_cent), "links")
-    if not deep.isEmpty():
-        out = _groups(deep, sets, least, per_cent, out)
-    return cut(out.distinct(), "links")
+    out = confirm(pairs, sets, per_cent)
+    return components(out) if deep.isEmpty() else _collapse(deep, sets, least, per_cent, out)
+
+
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the components of these edges: every vertex but the least, and the least."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if (low == high).all():
+            leaf = np.flatnonzero(root != np.arange(len(names)))
+            return names[leaf], names[root[leaf]]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (v, root) of a partition, in order of v, contracted about HOLD at a time; the edges of a v stay together.
+    moved: v was no leaf of these edges before."""
+    held: list[tuple] = []
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        v, root = (np.concatenate(x) for x in zip(*held, strict=True))
+        later = (v == v[-1]) & (not last)
+        held[:] = [(v[later], root[later])]
+        if not later.all():
+            leaf, to = contract(v[~later], root[~later])
+            yield pa.record_batch({"v": leaf, "root": to, "moved": ~np.isin(leaf, v[~later])})
+
+    for b in batches:
+        held.append((np.asarray(b.column("v")), np.asarray(b.column("root"))))
+        if sum(len(x[0]) for x in held) > HOLD:
+            yield from flush(False)
+    if held:
+        yield from flush(True)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """v, root: the least vertex reachable from each vertex of the edges (a, b). Hash-min with pointer jumping."""
-    both = cut(edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("e")).select("e.v", "e.u").distinct(), "edges")
-    label = cut(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("root")), "roots")
+    """v, root: the least vertex reachable from each vertex of the edges (a, b), but for the least vertices themselves."""
+    kind = "v long, root long, moved boolean"
+    edges = cut(edges.select(F.col("b").alias("v"), F.col("a").alias("root")), "edges")
+    stars = cut(edges.coalesce(2 + edges.count() // EDGES).mapInArrow(_stars, kind), "stars")
     while True:
-        near = both.join(label.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("root").alias("seen"))
-        step = cut(label.join(near, "v").select("v", "root", F.least("root", "seen").alias("next")), "roots")
-        jump = step.select(F.col("v").alias("next"), F.col("next").alias("far"))
-        new = cut(step.join(jump, "next", "left").select("v", "root", F.coalesce("far", "next").alias("next")), "roots")
-        if new.where("next != root").isEmpty():
-            return new.select("v", "root")
-        label = new.select("v", F.col("next").alias("root"))
+        stars = cut(stars.repartition("v").sortWithinPartitions("v").mapInArrow(_stars, kind), "stars")
+        up = stars.select(F.col("v").alias("root"), F.col("root").alias("far"))
+        stars = cut(stars.join(up, "root", "left").select("v", F.coalesce("far", "root").alias("root"), (F.col("moved") | F.col("far").isNotNull()).alias("moved")), "stars")
+        if stars.where("moved").isEmpty():
+            return stars.select("v", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, per_cent: int = PER_CENT) -> DataFrame:
@@ -329,26 +358,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = slim.schema["id"].dataType.simpleString()
     all_ = cut(slim.mapInArrow(_signatures(k, PERMS), f"id {kind}, kd long, kh long, n long, s1 long, s2 long, sketch binary, tokens array<int>"), "signatures")
     some = all_.where("s1 is not null")
-    classes = cut(some.groupBy("s1", "s2").agg(F.min("id").alias("least"), F.min(F.struct("kd", "kh", "sketch", "tokens")).alias("x")).select("s1", "least", "x.*"), "classes")
-    found = links(classes.select("s1", "kd", "kh", "sketch", "tokens"), slim.select("kd", "kh", "text"), k, per_cent)
-    roots = components(found)
-    named = classes.select("s1", "least").join(roots.withColumnRenamed("v", "s1"), "s1", "left").withColumn("root", F.coalesce("root", "s1"))
+    classes = cut(some.groupBy("s1", "s2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("kd", "kh", "sketch", "tokens")).alias("x")).select("s1", "s2", "least", "copies", "x.*"), "classes")
+    roots = links(classes.select("s1", "copies", "kd", "kh", "sketch", "tokens"), slim.select("kd", "kh", "text"), k, per_cent)
+    named = classes.select("s1", "s2", "least").join(roots.withColumnRenamed("v", "s1"), "s1", "left").withColumn("root", F.coalesce("root", "s1"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = cut(named.join(least, "root").select("s1", "root", "component_id"), "components")
-    out = all_.join(answer, "s1", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    answer = cut(named.join(least, "root").select("s1", "s2", "root", "component_id"), "components")
+    out = all_.join(answer, ["s1", "s2"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select("id", "kd", "kh", "root", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     """One document of each component, as it is; rows equal in id and text are one document."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, k=k)
     alone = found.where("root is null").select("kd", "kh").distinct()
     first = found.where("root is not null and kept").groupBy("root").agg(F.min(F.struct("kd", "kh")).alias("x")).select("x.*")
-    keyed = docs.select("*", *key_cols("doc_id", "text"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key_cols("doc_id", "text"))
     stay = cut(first.unionByName(alone).distinct(), "kept")
-    return keyed.join(stay, ["kd", "kh"], "left_semi").dropDuplicates(["kd", "kh"]).select(docs.columns)
+    return keyed.join(stay, ["kd", "kh"], "left_semi").dropDuplicates(["kd", "kh"]).select("row.*")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+#: All pairs that share a shingle, and the least document reachable over those that are similar enough.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) END AS s FROM d),
+classes AS (SELECT min(doc_id) AS c, list_sort(s) AS s FROM sets GROUP BY list_sort(s)),
+flat AS (SELECT c, len(s) AS n, unnest(s) AS g FROM classes WHERE len(s) > 0),
+links AS (SELECT a.c AS u, b.c AS v FROM flat a JOIN flat b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+          GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+sym AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT c, c AS r FROM classes UNION SELECT sym.u, reach.r FROM reach JOIN sym ON sym.v = reach.c),
+ends AS (SELECT c, min(r) AS r FROM reach GROUP BY c)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE r END AS component_id,
+       sets.doc_id = (CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE r END) AS kept
+FROM sets JOIN classes ON list_sort(sets.s) = classes.s JOIN ends ON ends.c = classes.c
+"""
