@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from ._core import SPACED, Words, chunks, crc_mod, cut, key_cols, mix, ragged, signed, table, utf8, word_hash
 
-#: A context of DEPTH bytes and the byte after it are one 64-bit number.
-DEPTH, SHALLOW, PART_BYTES, HOLD, BUCKET_BYTES = 7, 2, 16 << 20, 1 << 20, 4 << 20
+#: A context of DEPTH bytes (7 at most) and the byte after it are one 64-bit number.
+DEPTH, SHALLOW, PART_BYTES, HOLD, BUCKET_BYTES = 5, 2, 16 << 20, 1 << 20, 4 << 20
 #: Stands for the end token among word hashes; no word holds a line break.
 END = word_hash("\nend\n")
 
@@ -165,59 +165,6 @@ def _kt(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - np.log(np.pi), (b + 0.5) / (a + b + 1)
 
 
-def _bits(counts: np.ndarray) -> np.ndarray:
-    """[..., 256] byte counts -> [..., 255, 2] counts of both values of every decision, from the first bit's node down."""
-    lead = counts.shape[:-1]
-    return np.concatenate([counts.reshape(*lead, 1 << k, 2, 256 >> (k + 1)).sum(-1) for k in range(8)], axis=-2)
-
-
-def _mixed(own: np.ndarray, p_own: np.ndarray, below: np.ndarray, p_below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Half the node's own estimate, half its children's product: log probability, and the prediction that follows."""
-    total = np.logaddexp(own, below) - np.log(2)
-    w = np.exp(own - np.log(2) - total)
-    return total, w * p_own + (1 - w) * p_below
-
-
-def _bytes(p_one: np.ndarray) -> np.ndarray:
-    """[..., 255] probabilities of 1 -> [..., 256] log10 probabilities of bytes."""
-    out = np.zeros((*p_one.shape[:-1], 1))
-    at = 0
-    for k in range(8):
-        p = p_one[..., at : at + (1 << k)]
-        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], axis=-1).reshape(*p.shape[:-1], 2 << k)
-        at += 1 << k
-    return out
-
-
-def _subtree(key: tuple, t: pa.Table) -> pa.Table:
-    """The subtree of one preceding byte: its counts, its log probability, and its prediction for each byte before that."""
-    n = np.zeros((256, 256))
-    g = np.asarray(t["h"])
-    np.add.at(n, (g >> 8 & 255, g & 255), np.asarray(t["c"]))
-    leaf, p_leaf = _kt(_bits(n))
-    own, p_own = _kt(_bits(n.sum(0)))
-    total, p = _mixed(own, p_own, leaf.sum(0), p_leaf)
-    return pa.table({"one": pa.array([key[0].as_py()], pa.int32()), "n": [n.sum(0).tobytes()], "total": [total.tobytes()], "p": [p.astype(np.float32).tobytes()]})
-
-
-def fit(grams_: DataFrame) -> np.ndarray:
-    """The tree of two bytes alone: log10 probabilities [byte before, byte before that, byte], from (h, c) rows of byte contexts (2**24 at most)."""
-    rows = grams_.select(F.shiftright("h", 16).cast("int").alias("one"), "h", "c").groupBy("one").applyInArrow(_subtree, "one int, n binary, total binary, p binary").collect()  # 256 rows of fixed size
-    sub = {r["one"]: r for r in rows}
-    n = np.zeros(256)
-    below = np.zeros(255)
-    for r in rows:
-        n += np.frombuffer(r["n"])
-        below += np.frombuffer(r["total"])
-    own, p_own = _kt(_bits(n))
-    out = np.empty((256, 256, 256), np.float32)
-    blank = np.full((1, 255), 0.5)
-    for one in range(256):
-        p = np.frombuffer(sub[one]["p"], np.float32).reshape(256, 255).astype(float) if one in sub else blank
-        out[one] = _bytes(_mixed(own, p_own, below, p)[1])
-    return out
-
-
 def _node(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log probability of all decisions of nodes, from a table where counts are small; n: [2, ...]."""
     a, b = n
