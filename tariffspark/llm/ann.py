@@ -4,7 +4,8 @@ Equal vectors form a class first, so a vector that a third of all rows share is
 (as many as an answer can need). Classes are dealt to shards of about SHARD by hash. In a shard, nodes are inserted in
 batches: a greedy search over the graph so far proposes neighbours, pruning keeps a candidate only if no kept one is
 ALPHA times closer to it than the node is, and back edges are pruned alike. Queries are searched by beam in every
-shard, blocks of queries against one shard at a time, and the best over all shards are kept.
+shard and the best over all shards are kept. A task reads one shard's graph and streams queries past it, so with many
+shards each graph moves once; with few, queries are dealt to about TASKS tasks in all.
 
 Largest inner product becomes nearest angle by one more coordinate, which fills every vector up to the largest norm.
 Scores are recomputed in double precision on the original vectors.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ._core import cut, table
 
 K, EVERY = 20, 20
-SHARD, DEGREE, ALPHA, WIDTH, BATCH, QUERIES = 16_384, 32, 1.15, 160, 512, 4_096
+SHARD, DEGREE, ALPHA, WIDTH, BATCH, TASKS = 16_384, 32, 1.15, 160, 512, 12
 
 
 def beam(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, width: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -145,31 +146,40 @@ def lifted(v: np.ndarray, norm: float) -> np.ndarray:
 
 
 def _search(dim: int, norm: float, k: int, width: int):
-    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        kind = {"c": pa.int64(), "score": pa.float64(), "ids": pa.list_(pa.int64())}
-        if not index.num_rows or not queries.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in kind.items()})
-        v = np.frombuffer(index["vectors"][0].as_py(), np.float64).reshape(-1, dim)
-        graph = np.frombuffer(index["graph"][0].as_py(), np.int32).reshape(len(v), -1)
-        starts, ids = np.array(index["starts"][0].as_py()), index["ids"].combine_chunks().flatten()
-        x = lifted(v, norm)
-        q = np.asarray(queries["v"].combine_chunks().flatten()).reshape(-1, dim)
-        unit = np.concatenate([q / np.sqrt((q * q).sum(1, keepdims=True)), np.zeros((len(q), 1))], axis=1).astype(np.float32)
-        key, m = np.asarray(queries["c"]), min(k + 1, len(v))
-        out = []
-        for lo in range(0, len(q), BATCH):
-            part = slice(lo, lo + BATCH)
-            found, _ = beam(x, graph, starts, unit[part], max(width, m))
-            score = np.where(found >= 0, np.einsum("ad,akd->ak", q[part], v[np.maximum(found, 0)]), -np.inf)
+    """Rows of a task: of each (shard, range) its graph, then its queries. The k + 1 nearest classes of each query."""
+
+    class Graph:
+        def __init__(self, b: pa.RecordBatch, row: int):
+            self.v = np.frombuffer(b.column("vectors")[row].as_py(), np.float64).reshape(-1, dim)
+            self.graph = np.frombuffer(b.column("graph")[row].as_py(), np.int32).reshape(len(self.v), -1)
+            self.starts, self.ids = np.array(b.column("starts")[row].as_py()), b.column("ids")[row].values
+            self.x = lifted(self.v, norm)
+
+        def nearest(self, key: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+            m = min(k + 1, len(self.v))
+            unit = np.concatenate([q / np.sqrt((q * q).sum(1, keepdims=True)), np.zeros((len(q), 1))], axis=1).astype(np.float32)
+            found, _ = beam(self.x, self.graph, self.starts, unit, max(width, m))
+            score = np.where(found >= 0, np.einsum("ad,akd->ak", q, self.v[np.maximum(found, 0)]), -np.inf)
             for i in np.flatnonzero((found >= 0).sum(1) < m):  # nodes out of reach: compare with all
-                s = v @ q[lo + i]
+                s = self.v @ q[i]
                 best = np.argsort(-s, kind="stable")[:m]
                 found[i, :m], score[i] = best, -np.inf
                 score[i, :m] = s[best]
             top = np.argsort(-score, axis=1, kind="stable")[:, :m]
             r = np.arange(len(top))[:, None]
-            out.append(pa.table({"c": np.repeat(key[part], m), "score": score[r, top].ravel(), "ids": ids.take(pa.array(found[r, top].ravel()))}))
-        return pa.concat_tables(out)
+            return pa.record_batch({"c": np.repeat(key, m), "score": score[r, top].ravel(), "ids": self.ids.take(pa.array(found[r, top].ravel()))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            heads = np.flatnonzero(np.asarray(b.column("vectors").is_valid()))
+            ends = np.append(heads, b.num_rows)
+            for lo, hi in zip(np.append(0, heads + 1), ends, strict=True):
+                for at in range(lo, hi, BATCH):
+                    part = b.slice(at, min(BATCH, hi - at))
+                    yield now.nearest(np.asarray(part.column("c")), np.asarray(part.column("v").flatten()).reshape(-1, dim))
+                if hi < b.num_rows:
+                    now = Graph(b, int(hi))
 
     return run
 
@@ -201,12 +211,15 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     classes = cut(_classes(rows, k), "classes")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     total = classes.agg(F.count("*").alias("n"), F.max(F.sqrt(square)).alias("norm"), F.count_if("asks").alias("asks")).collect()[0]
-    shards, blocks = -(-total["n"] // shard), max(1, -(-total["asks"] // QUERIES))
+    shards = -(-total["n"] // shard)
+    ranges = max(1, TASKS // shards)
     index = classes.withColumn("shard", F.pmod("c", F.lit(shards)).cast("int")).select("shard", "c", "v", "ids")
     index = cut(index.groupBy("shard").applyInArrow(_index(dim, total["norm"]), "shard int, vectors binary, graph binary, starts array<long>, ids array<array<long>>"), "graph")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = classes.where("asks").select("c", "v", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", every(shards))
-    found = index.withColumn("block", every(blocks)).groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(_search(dim, total["norm"], k, width), "c long, score double, ids array<long>")
+    queries = classes.where("asks").select("c", "v", F.pmod(F.xxhash64("c"), F.lit(ranges)).cast("int").alias("range")).withColumn("shard", every(shards))
+    dealt = index.withColumn("range", every(ranges)).unionByName(queries, allowMissingColumns=True)
+    dealt = dealt.repartition(shards * ranges, "shard", "range").sortWithinPartitions("shard", "range", F.col("vectors").isNull())
+    found = dealt.select("vectors", "graph", "starts", "ids", "c", "v").mapInArrow(_search(dim, total["norm"], k, width), "c long, score double, ids array<long>")
     best = Window.partitionBy("c").orderBy(F.desc("score"), F.col("ids")[0])
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     found = cut(found.groupBy("c").agg(F.collect_list(F.struct("score", "ids")).alias("hits")), "found")

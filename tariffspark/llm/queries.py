@@ -23,4 +23,4 @@ QUERIES = {
     "op9_ctw": op9.op9_ctw,
     "op10_near_dedup": op10.op10_near_dedup,
 }
-SQL = {"op1_substring_dedup": op1.OP1_SQL, "op2_decontamination": op2.OP2_SQL}
+SQL = {"op1_substring_dedup": op1.OP1_SQL, "op2_decontamination": op2.OP2_SQL, "op7_sharding": op7.OP7_SQL, "op10_near_dedup": op10.OP10_SQL}

@@ -1,10 +1,10 @@
 """Operator 8, token-id output: frequency-ranked ids in a byte-aligned code with separate control bytes.
 
 Ids are numbered from the most frequent down (ties: smaller id first), so most take one byte. Of every four numbers a
-control byte holds the lengths (two bits each: 1 to 4 bytes), and their bytes follow in a stream of their own. A file
-is a Parquet part of blocks; a block holds whole documents: their ids, token counts, control and data streams. Files
-and blocks stand in ascending id order (null first). numpy decodes a block by looking up each control byte's four
-lengths in a table.
+control byte holds the lengths (two bits each: 1 to 4 bytes), and their bytes follow in a stream of their own. A folder
+holds `blocks`, Parquet parts in ascending id order (null first), and `ranks`, the table of ids by rank, so the files
+can be read by themselves. A block holds whole documents: their ids, token counts, control and data streams. numpy
+decodes a block by looking up each control byte's four lengths in a table.
 
 Texts are encoded once, into a written table of plain ids; counting reads that, and only the ids are shuffled, by range of
 document id.
@@ -114,8 +114,8 @@ def _blocks(shared, kind: str):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> np.ndarray:
-    """Write the files under `out`; gives the ids by rank, which reading needs (as many as the vocabulary has)."""
+def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> None:
+    """Write the files under `out`."""
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
@@ -132,15 +132,22 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
     saved = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        files.write.option("compression", "none").parquet(out)
+        files.write.option("compression", "none").parquet(f"{out}/blocks")
     finally:
         spark.conf.set(CLEANUP, saved)
-    return by_rank
+    # As many rows as the vocabulary has ids.
+    spark.createDataFrame(pa.table({"rank": np.arange(len(by_rank)), "token": by_rank.astype(np.int64)})).write.parquet(f"{out}/ranks")
+
+
+def ranks(spark: SparkSession, out: str) -> np.ndarray:
+    """Ids by rank, as many as the vocabulary has."""
+    rows = spark.read.parquet(f"{out}/ranks").orderBy("rank").toArrow()
+    return np.asarray(rows["token"].combine_chunks()).astype(np.uint32)
 
 
 def placed(spark: SparkSession, out: str) -> DataFrame:
     """The blocks of the files, each with the number of ids in all files before its own."""
-    blocks = spark.read.parquet(out)
+    blocks = spark.read.parquet(f"{out}/blocks")
     whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     parts = blocks.groupBy("part").agg(F.sum("count").alias("in_part")).select("part", F.coalesce(F.sum("in_part").over(whole), F.lit(0)).alias("base"))
     return blocks.join(F.broadcast(parts), "part")
@@ -160,18 +167,18 @@ def _documents(shared):
     return run
 
 
-def read_tokens(spark: SparkSession, out: str, by_rank: np.ndarray) -> DataFrame:
+def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """id, start, ids: one row a document."""
     blocks = placed(spark, out)
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    return blocks.mapInArrow(_documents(spark.sparkContext.broadcast(by_rank)), f"id {kind}, start long, ids array<int>")
+    return blocks.mapInArrow(_documents(spark.sparkContext.broadcast(ranks(spark, out))), f"id {kind}, start long, ids array<int>")
 
 
-def digests(spark: SparkSession, out: str, by_rank: np.ndarray) -> DataFrame:
+def digests(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of what `read_tokens` gives, without carrying the ids out of the task."""
     blocks = placed(spark, out)
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    read = _documents(spark.sparkContext.broadcast(by_rank))
+    read = _documents(spark.sparkContext.broadcast(ranks(spark, out)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in read(batches):
@@ -187,5 +194,5 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    by_rank = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), out)
-    return digests(spark, out, by_rank)
+    write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), out)
+    return digests(spark, out)

@@ -1,24 +1,26 @@
-"""Extendible hashing: sizes, prefixes and splits on a small fixture."""
+"""Extendible hashing: shards and their files against SQL, on small fixtures with small limits."""
 
+import duckdb
 import pytest
 
 from tariffspark.llm import sharding
 
 
-@pytest.mark.parametrize("limit", [1, 400, 10**9])
-def test_shards(spark, limit):
-    texts = ["x" * (7 * i % 50) for i in range(120)] + [None, "", "y" * 900]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = sharding.shard(d, limit).collect()
-    assert sorted(r.id for r in rows) == list(range(len(texts)))
+@pytest.mark.parametrize("limit", [1, 40, 400, 10**9])
+def test_shards(spark, tmp_path, limit):
+    texts = ["x" * (7 * i % 50) for i in range(120)] + [None, "", "y" * 900, "é" * 30]
+    rows = [*enumerate(texts), (3, texts[3]), (None, "no id")]
+    d = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, shard string, depth int")
+    got = [(r.row.doc_id, r.shard, r.depth, r.n_bytes, r.shard_bytes) for r in sharding.shard(d, limit).collect()]
+    documents = d.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    want = duckdb.sql(sharding.oracle(limit)).fetchall()
+    key = lambda r: [str(x) for x in r]
+    assert sorted(set(got), key=key) == sorted(set(want), key=key) and len(got) == len(rows)
     by = {}
-    for r in rows:
-        by.setdefault(r.shard, []).append(r)
-        assert len(r.shard) == r.depth and r.n_bytes == len(texts[r.id] or "") + sharding.OVERHEAD
-    for s, part in by.items():
-        total = sum(r.n_bytes for r in part)
-        assert all(r.shard_bytes == total for r in part) and (total <= limit or len(part) == 1)
-        assert not any(o != s and o.startswith(s) for o in by)
-        if s:  # the parent was over the limit
-            assert sum(r.n_bytes for o, p in by.items() if o.startswith(s[:-1]) for r in p) > limit
+    for _, s, _, n, total in got:
+        by.setdefault((s, total), []).append(n)
+    assert all(sum(n) == total and (total <= limit or len(set(n)) == 1) for (_, total), n in by.items())
+    files = sharding.write_shards(d, str(tmp_path / "s"), limit).collect()
+    assert sorted(((r.row.doc_id, r.shard) for r in files), key=key) == sorted(((r[0], r[1]) for r in got), key=key)
+    assert all(r.row.shard == "z" for r in files)
     assert sharding.shard(d.limit(0), limit).count() == 0
