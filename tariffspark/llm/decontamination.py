@@ -1,11 +1,11 @@
 """Operator 2, benchmark decontamination by a distributed positional inverted index.
 
-1. Test items give windows of 13 consecutive words (a shorter item is one window). Distinct windows are read in blocks
-   of at most BLOCK windows, and each block is broadcast; a larger benchmark takes more blocks, not larger ones.
+1. Test items give windows of 13 consecutive words (a shorter item is one window). Pairs of window and item are read in
+   blocks of about BLOCK pairs, and each block is broadcast; a larger benchmark takes more blocks, not larger ones.
 2. One pass counts the test terms in all training texts, so each window knows its terms from rarest to most frequent.
-3. One pass stores the postings table: for each document in which the two rarest terms of some window occur, every
-   test term's positions, sorted by term. Documents beyond that hold no exact or near match and store none.
-4. On the stored postings the offset-adjusted lists are intersected from the rarest term on; what is left after the
+3. One pass stores the inverted index in segments of some thousand documents: for each test term its postings, documents
+   and positions in order. Documents in which no window has its two rarest terms hold no match and store no postings.
+4. In every segment the offset-adjusted lists are intersected from the rarest term on; what is left after the
    last term is an exact phrase match. Windows whose two rarest terms come within SLOP window lengths are near matches.
 
 Documents are never shuffled, so no term, document or passage can overload a task.
@@ -119,34 +119,40 @@ def _postings(shared):
             held[doc[src]] = True
             keep = held[doc]
             at, t, doc = at[keep], t[keep], doc[keep]
-            order = np.lexsort((at, t, doc))
+            order = np.lexsort((at, doc, t))
             at, t, doc = at[order], t[order], doc[order]
-            per = np.bincount(doc, minlength=len(w.n))
-            yield pa.record_batch({"id": b.column("id"), "kd": b.column("kd"), "kh": b.column("kh"), "n_words": w.n.astype(np.int64), "terms": lists(t.astype(np.int32), per), "places": lists((at - w.first[doc]).astype(np.int32), per)})
+            terms, starts = np.unique(t, return_index=True)
+            one = {"ids": b.column("id"), "kds": b.column("kd"), "khs": b.column("kh"), "n_words": w.n, "terms": terms, "starts": starts, "docs": doc, "places": at - w.first[doc]}
+            yield pa.record_batch({c: _whole(x) for c, x in one.items()})
 
     return run
 
 
+def _whole(x) -> pa.ListArray:
+    """All values as the list of one row."""
+    x = x if isinstance(x, pa.Array) else pa.array(x.astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+
 def _match(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                yield one(block, b.slice(lo, 1000))
+            for i in range(b.num_rows):
+                yield one(shared.value, {c: b.column(c)[i].values for c in b.schema.names})
 
-    def one(block: _Block, b: pa.RecordBatch) -> pa.RecordBatch:
-        n = np.asarray(b.column("n_words"))
+    def one(block: _Block, seg: dict) -> pa.RecordBatch:
+        n, at, doc = (np.asarray(seg[c]).astype(np.int64) for c in ("n_words", "places", "docs"))
         first = np.concatenate([[0], np.cumsum(n)])
-        doc = np.repeat(np.arange(len(n)), b.column("terms").value_lengths().to_numpy(zero_copy_only=False))
-        t, at = np.asarray(b.column("terms").flatten()).astype(np.int64), np.asarray(b.column("places").flatten()) + first[doc]
+        t = np.repeat(np.asarray(seg["terms"]).astype(np.int64), np.diff(np.append(np.asarray(seg["starts"]), len(at))))
+        at = at + first[doc]
         term_at = np.full(first[-1], -1, np.int32)
         term_at[at] = t
         win, src = _candidates(block, at, t, doc)
         d, start = doc[src], at[src] - block.o1[win]
         # near: the closest place of the second term, by search in the sorted postings
         big = int(first[-1]) + 1
-        keys = (doc * len(block.terms) + t) * big + at
-        want = (d * len(block.terms) + block.t2[win]) * big + at[src]
+        keys = (t * len(n) + doc) * big + at
+        want = (block.t2[win].astype(np.int64) * len(n) + d) * big + at[src]
         pos = np.searchsorted(keys, want)
         gap = np.full(len(win), big)
         if len(keys):
@@ -174,7 +180,7 @@ def _match(shared):
             for x, y in set(zip(dd.tolist(), ww.tolist(), strict=True)):
                 to[x].update(block.items[y])
         text = pa.list_(pa.string())
-        return pa.record_batch({"id": b.column("id"), "kd": b.column("kd"), "kh": b.column("kh"), "n_words": b.column("n_words"), "hit": lists((hit - first[hit_doc]).astype(np.int32), np.bincount(hit_doc, minlength=len(n))), "items": pa.array([sorted(x) for x in items], text), "near": pa.array([sorted(x - y) for x, y in zip(close, items, strict=True)], text)})
+        return pa.record_batch({"id": seg["ids"], "kd": seg["kds"], "kh": seg["khs"], "n_words": n, "hit": lists((hit - first[hit_doc]).astype(np.int32), np.bincount(hit_doc, minlength=len(n))), "items": pa.array([sorted(x) for x in items], text), "near": pa.array([sorted(x - y) for x, y in zip(close, items, strict=True)], text)})
 
     return run
 
@@ -185,12 +191,12 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *key_cols(id_col, text_col))
     kind = slim.schema["id"].dataType.simpleString()
     tests = bench.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col("text")).dropDuplicates()
-    wins = cut(tests.mapInArrow(_test_windows(window), "item string, h long, terms array<long>").groupBy("h", "terms").agg(F.collect_set("item").alias("items")), "test-windows")
-    total = wins.count()
-    blocks = max(1, -(-total // block))
+    pairs = cut(tests.mapInArrow(_test_windows(window), "item string, h long, terms array<long>").distinct(), "test-windows")
+    blocks = max(1, -(-pairs.count() // block))
     parts = []
     for i in range(blocks):
-        rows = wins.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == i).orderBy("h").collect()  # about `block` rows
+        mine = pairs.where(F.pmod(F.xxhash64("h", "item"), F.lit(blocks)) == i)
+        rows = mine.groupBy("h", "terms").agg(F.collect_set("item").alias("items")).orderBy("h", "terms").collect()  # about `block` pairs
         if not rows:
             continue
         x = _Block(rows)
@@ -199,7 +205,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         counts = slim.select("text").mapInArrow(_count(seen), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # test terms of one block
         x.rank({r["term"]: r["n"] for r in counts})
         ready = spark.sparkContext.broadcast(x)
-        index = cut(slim.mapInArrow(_postings(ready), f"id {kind}, kd long, kh long, n_words long, terms array<int>, places array<int>"), "postings")
+        index = cut(slim.mapInArrow(_postings(ready), f"ids array<{kind}>, kds array<long>, khs array<long>, n_words array<int>, terms array<int>, starts array<int>, docs array<int>, places array<int>"), "postings")
         parts.append(index.mapInArrow(_match(ready), f"id {kind}, kd long, kh long, n_words long, hit array<int>, items array<string>, near array<string>"))
     if not parts:
         empty = F.array().cast("array<string>")
@@ -227,8 +233,8 @@ def judged(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents that are not contaminated, as they are."""
     bad = judged(contamination(docs, bench)).where("contaminated").select("kd", "kh").distinct()
-    keyed = docs.select("*", *key_cols("doc_id", "text"))
-    return keyed.join(cut(bad, "contaminated"), ["kd", "kh"], "left_anti").select(docs.columns)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key_cols("doc_id", "text"))
+    return keyed.join(cut(bad, "contaminated"), ["kd", "kh"], "left_anti").select("row.*")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,22 @@ TEMPLATES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial", "creative commons attribution non commercial")),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4", "creative commons attribution international")),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included",)),
+    ("mit", "licensed under the mit license see license in the project root for license information", ("mit license",)),
+    ("mit", "spdx license identifier mit", ("license identifier mit",)),
+    ("apache-2", "spdx license identifier apache 2 0", ("license identifier apache 2",)),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("unless required by applicable law",)),
+    ("gpl-3", "spdx license identifier gpl 3 0", ("license identifier gpl 3",)),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation", ("general public license version 2", "general public license v2")),
+    ("lgpl-3", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", ("gnu lesser general public license",)),
+    ("agpl-3", "it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ("gnu affero general public license",)),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("neither the name",)),
+    ("bsd-3", "spdx license identifier bsd 3 clause", ("license identifier bsd 3",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify",)),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at mozilla org mpl 2 0", ("copy of the mpl",)),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike", "creative commons attribution share alike")),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("proprietary", "all rights reserved no part of this publication may be reproduced without the prior written permission of the publisher", ("all rights reserved",)),
 )
 COVER, NEAR, BLOCK = 0.6, 4, 1 << 15

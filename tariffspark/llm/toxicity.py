@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._core import PLAIN, Words, chunks, crc_mod, lists, mix, table
 
@@ -89,39 +90,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return (np.array(got[0]["at"]), np.array(got[0]["w"]), got[0]["bias"]) if got else None
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with all its columns and the score."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, text_col: str = "text") -> DataFrame:
+    """row (a struct of the input's columns), score."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     if model is None:
-        return docs.withColumn(out_col, F.lit(0.0))
+        return rows.select("row", F.lit(0.0).alias("score"))
     dense = np.zeros(1 << BITS, np.float32)
     dense[model[0]] = model[1]
     shared, bias = docs.sparkSession.sparkContext.broadcast(dense), model[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, text_col):
-            idx, doc, n = _features(b.column(text_col))
+        for b in chunks(batches):
+            idx, doc, n = _features(b.column("text"))
             some = np.flatnonzero(shared.value[idx])
             key = np.unique((doc[some] << BITS) | idx[some])
             total = np.bincount(key >> BITS, shared.value[key & ((1 << BITS) - 1)], minlength=n) + bias
-            s = pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, out_col])
+            yield pa.record_batch({"row": b.column("row"), "score": 1 / (1 + np.exp(-np.clip(total, -30, 30)))})
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def held_out(col):
     return F.coalesce(crc_mod(col, 4) == 2, F.lit(False))
 
 
-def scored(spark: SparkSession, docs: DataFrame, sf_dir: str, out_col: str = "score") -> DataFrame:
-    """docs with the score, learned from this table's labels outside the held-out quarter."""
+def scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """row, score: learned from this table's labels outside the held-out quarter."""
     labels = table(spark, sf_dir, "labels")
-    return score(docs, train(docs, labels.where(~held_out(F.col("doc_id")))), out_col=out_col)
+    return score(docs, train(docs, labels.where(~held_out(F.col("doc_id")))))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = scored(spark, docs, sf_dir)
+    out = scored(spark, docs, sf_dir).select(F.col("row.doc_id").alias("doc_id"), "score")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -114,7 +114,7 @@ def test_toxicity(spark):
         rows.append((i, " ".join([*w, "nasty"] if bad else w), int(bad)))
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, None), (1001, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 != 2], "doc_id long, toxic int")
-    got = {x.doc_id: x.score for x in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    got = {x.row.doc_id: x.score for x in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
     assert all((got[i] >= 0.3) == bool(y) for i, _, y in rows) and len(got) == 602
     assert {x.score for x in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0.0}
 
@@ -385,3 +385,47 @@ def test_lookalikes_stay_apart(spark, a, b):
         assert (got[1].n_known, got[2].n_known) == (2, 1)
         got = {r.id: r.component_id for r in near_dedup.near_duplicates(two).collect()}
         assert got == {1: 1, 2: 2}
+
+
+def test_near_phrases(spark):
+    """The two rarest words of a window near each other, but not the phrase."""
+    filler = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "zeta the omega"), (2, f"zeta {filler} omega"), (3, "omega zeta it is"), (4, "zeta")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "zeta omega")], "item_id long, text string")
+    got = {r.id: (r.items, r.near) for r in decontamination.contamination(docs, bench).collect()}
+    assert got == {1: ([], ["7"]), 2: ([], []), 3: ([], ["7"]), 4: ([], [])}
+
+
+def test_every_pair_of_licences(spark):
+    """Two notices in one text, the stretch between them of other words: both labels are found, whichever they are."""
+    gap = " ".join(f"q{i}" for i in range(12))
+    t = license_scan.TEMPLATES
+    pairs = [(i, j) for i in range(len(t)) for j in range(len(t)) if i != j]
+    alone = spark.createDataFrame([(i, x[1]) for i, x in enumerate(t)], "doc_id long, text string")
+    one = {r.id: set(r.labels) for r in license_scan.scan_licenses(alone).collect()}
+    assert all(x[0] in one[i] for i, x in enumerate(t) if any(p in x[1] for p in x[2]))
+    d = spark.createDataFrame([(n, f"{t[i][1]} {gap} {t[j][1]}") for n, (i, j) in enumerate(pairs)], "doc_id long, text string")
+    got = {r.id: set(r.labels) for r in license_scan.scan_licenses(d).collect()}
+    assert all(one[i] | one[j] == got[n] for n, (i, j) in enumerate(pairs))
+
+
+def test_toxicity_weights_equal_plain_ftrl():
+    import math
+
+    r = random.Random(3)
+    rows = [(np.array(sorted(r.sample(range(30), 6)), np.int32), int(r.random() < 0.4)) for _ in range(80)]
+    w, bias = toxicity.ftrl(rows, passes=2, l1=0.5)
+    z, n, bz, bn = [0.0] * 30, [0.0] * 30, 0.0, 0.0
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, 0.5, toxicity.L2
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+    for x, y in rows * 2:
+        own = {int(i): weight(i) for i in x}
+        lead = -bz / ((b + math.sqrt(bn)) / a)
+        g = 1 / (1 + math.exp(-(sum(own.values()) + lead))) - y
+        for i, v in own.items():
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a * v
+            n[i] += g * g
+        bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / a * lead
+        bn += g * g
+    assert np.allclose(w[:30], [weight(i) for i in range(30)]) and not w[30:].any()
+    assert math.isclose(bias, -bz / ((b + math.sqrt(bn)) / a))
