@@ -15,19 +15,19 @@ from tariffspark.llm._core import cut, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the model learns from labelled documents of the input."""
-    scored = toxicity.scored(spark, docs, sf_dir, out_col="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.scored(spark, docs, sf_dir).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of least id."""
+    """One document of each group of near-duplicates (0.8 or more of shingles of five words), the one of least id."""
     return near_dedup.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated windows; a text that loses nothing stays as it is. n_chars follows the text."""
-    out = substring_dedup.dedup_substrings(docs.withColumn("_whole", F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row._whole"))
+    whole = "_" + max(docs.columns, key=len)  # no column of docs has this name
+    out = substring_dedup.dedup_substrings(docs.withColumn(whole, F.col("text")))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"row.`{whole}`"))
     chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     new = {"text": text, "n_chars": chars}
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
