@@ -18,6 +18,7 @@ SPECIALTY_RULES = (
     (("стоматолог", "ортодонт", "зубн"), "Стоматология"),
     (("прием", "приём", "консультац"), "Приём врача"),
 )
+# The category of the rest, names that stand for others, tenge for a dollar.
 OTHER = "Прочее"
 CANON_ALIASES = {"глюкоза (кровь)": "глюкоза (в крови)", "глюкоза (кровь) экспресс": "глюкоза (в крови)"}
 # Currency spellings.
@@ -51,6 +52,10 @@ CODE_HINTS = ("код", "code", "шифр")
 NONRES_HINTS = ("нерезидент", "снг", "ближнего зарубежья", "не проживающ", "зарубеж")
 RES_HINTS = ("резидент", "постоянно прожива", "оралман", "кандас", "республики казахстан", "граждан рк")
 PRICE_HINTS = ("цена", "стоимост", "тариф", "сумма", "прайс", "price", "бағас", "құны", "тенге", "kzt", "ндс")
+# Keys of JSON payloads, in the order in which they are tried.
+NAME_KEYS = ("name", "service", "title", "наименование", "услуга", "атауы", "service_name")
+PRICE_KEYS = ("price", "cost", "amount", "цена", "стоимость", "бағасы", "value")
+LIST_KEYS = ("data", "items", "services", "results", "prices", "list")
 # Ontology, base key -> (code, group, insured).
 ONTOLOGY = (
     ("общий анализ крови", "LAB.HEM.CBC", "Гематология", True),

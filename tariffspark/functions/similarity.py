@@ -131,11 +131,12 @@ def top_keys(names: DataFrame, dictionary: DataFrame, k: int, name_col: str = "k
 def cosine_topk(queries: DataFrame, catalog: DataFrame, k: int, block: int = 20_000) -> DataFrame:
     """q, c, score, rank: nearest catalog vectors by cosine. queries: q, v; catalog: c, v. Zero vectors score 0.
 
-    The catalog is dealt to blocks of about `block` vectors; each query meets each block once (a stated query set)."""
-    total = max(1, catalog.count())
-    blocks = -(-total // block)
-    cat = catalog.withColumn("block", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int"))
-    ask = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    The catalog is dealt to blocks of about `block` vectors and the queries to parts of about as many; each part meets each
+    block once, in a task of its own (a stated query set)."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks, parts = (max(1, -(-x.count() // block)) for x in (catalog, queries))
+    cat = catalog.withColumn("block", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    ask = queries.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
     kind_q, kind_c = queries.schema["q"].dataType.simpleString(), catalog.schema["c"].dataType.simpleString()
 
     def unit(v: pd.Series) -> np.ndarray:
@@ -155,6 +156,6 @@ def cosine_topk(queries: DataFrame, catalog: DataFrame, k: int, block: int = 20_
             out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), top.shape[1]), "c": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
         return pd.concat(out)
 
-    found = ask.groupBy("block").cogroup(cat.groupBy("block")).applyInPandas(run, f"q {kind_q}, c {kind_c}, score double")
+    found = ask.groupBy("block", "part").cogroup(cat.groupBy("block", "part")).applyInPandas(run, f"q {kind_q}, c {kind_c}, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

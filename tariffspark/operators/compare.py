@@ -50,14 +50,12 @@ def ranked(found: DataFrame, sort: str = "price_asc") -> DataFrame:
     return found.withColumn("place", F.row_number().over(Window.partitionBy("service_id").orderBy(order, "id", "price")))
 
 
-def comparison(prices: DataFrame, clinics: DataFrame, services: DataFrame, history: DataFrame, as_of: str, days: int = 30, top: int = 50) -> DataFrame:
-    """A document a service: summary, its first `top` offers by price, attributes, siblings and trend."""
+def comparison(prices: DataFrame, clinics: DataFrame, services: DataFrame, history: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """A document a service: summary, attributes, siblings and trend. `ranked(offers(...))` has its offers, one a row."""
     found = offers(prices, clinics, as_of, days)
-    best = ranked(found).where(F.col("place") <= top).groupBy("service_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "clinic_id", "clinic_name", "price"))), lambda x: F.struct(x["clinic_id"].alias("clinic_id"), x["clinic_name"].alias("clinic_name"), x["price"].alias("price"))).alias("offers"))
-    near = variant_siblings(services, prices)
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("min_price", "service_id"))).where(F.col("_r") <= top).groupBy(F.col("id").alias("service_id")).agg(F.array_sort(F.collect_list(F.struct("min_price", "service_id", "label"))).alias("variants"))
+    near = variant_siblings(services, prices).groupBy(F.col("id").alias("service_id")).agg(F.array_sort(F.collect_list(F.struct("min_price", "service_id", "label"))).alias("variants"))
     trend = price_trend(history).select("service_id", F.struct("points", "change_pct", "direction").alias("trend"))
-    return services.select(F.col("id").alias("service_id"), "canonical_name", "category", T.col_category_enum("category", "specialty", "canonical_name").alias("category_enum"), T.col_attributes("canonical_name").alias("attributes")).join(service_summary(found), "service_id", "left").join(best, "service_id", "left").join(near, "service_id", "left").join(trend, "service_id", "left").fillna(0, ["offers_count"])
+    return services.select(F.col("id").alias("service_id"), "canonical_name", "category", T.col_category_enum("category", "specialty", "canonical_name").alias("category_enum"), T.col_attributes("canonical_name").alias("attributes")).join(service_summary(found), "service_id", "left").join(near, "service_id", "left").join(trend, "service_id", "left").fillna(0, ["offers_count"])
 
 
 def cheapest_by_clinic(prices: DataFrame, clinics: DataFrame, as_of: str, days: int = 30) -> DataFrame:

@@ -36,13 +36,15 @@ def upsert_prices(prices: DataFrame, batch: DataFrame) -> DataFrame:
     Other existing rows stay. Batch columns: clinic_id, service_id, source_type, price, match_confidence, valid_from."""
     keys = ["clinic_id", "service_id"]
     w = Window.partitionBy(*keys).orderBy(F.desc("valid_from"), F.desc("id"))
-    old = prices.withColumn("_r", F.when(F.col("service_id").isNotNull(), F.row_number().over(w)))
+    loose = prices.where("service_id is null")  # never overwritten, and many under one clinic
+    old = prices.where("service_id is not null").withColumn("_r", F.row_number().over(w))
     new = batch.select(*keys, *[F.col(c).alias(f"n_{c}") for c in ("source_type", "price", "match_confidence", "valid_from")], F.lit(1).alias("_r"))
     both = old.join(new, [*keys, "_r"], "full")
     take = F.col("n_price").isNotNull() & (F.col("price").isNull() | (priority(F.col("n_source_type")) >= priority(F.col("source_type"))))
     pick = lambda c: F.when(take, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
     state = F.when(take & F.col("price").isNull(), "inserted").when(take, "updated").otherwise("kept")
-    return both.select("id", *keys, *[pick(c) for c in ("source_type", "price", "match_confidence", "valid_from")], state.alias("change"))
+    cols = ("source_type", "price", "match_confidence", "valid_from")
+    return both.select("id", *keys, *[pick(c) for c in cols], state.alias("change")).unionByName(loose.select("id", *keys, *cols, F.lit("kept").alias("change")))
 
 
 def archive_dedup(items: DataFrame, doc: str = "run_id") -> DataFrame:
@@ -59,12 +61,13 @@ def archive_upsert(prices: DataFrame, batch: DataFrame) -> DataFrame:
     keys = ["clinic_id", "service_id"]
     w = Window.partitionBy(*keys).orderBy(F.desc("valid_from"), F.desc("id"))
     cols = ["price", "price_resident", "price_nonresident", "valid_from", "raw_name"]
-    old = prices.select("id", *keys, *cols, F.when(F.col("service_id").isNotNull(), F.row_number().over(w)).alias("_r"))
+    loose = prices.where("service_id is null").select(*keys, *cols, F.lit("kept").alias("change"))
+    old = prices.where("service_id is not null").select("id", *keys, *cols, F.row_number().over(w).alias("_r"))
     new = first_by(batch.where("service_id is not null"), keys, "price", "id").select(*keys, *[F.col(c).alias(f"n_{c}") for c in cols], F.lit(1).alias("_r"))
     merged = old.join(new, [*keys, "_r"], "full")
     hit = F.col("n_price").isNotNull()
     merged = merged.select(*keys, *[F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in cols], F.when(~hit, "kept").when(F.col("id").isNull(), "inserted").otherwise("updated").alias("change"))
-    return merged.unionByName(batch.where("service_id is null").select(*keys, *cols, F.lit("inserted").alias("change")))
+    return merged.unionByName(loose).unionByName(batch.where("service_id is null").select(*keys, *cols, F.lit("inserted").alias("change")))
 
 
 def document_metrics(items: DataFrame, doc: str = "run_id") -> DataFrame:

@@ -271,12 +271,12 @@ def suggest(queries: DataFrame, services: DataFrame, n: int = 8) -> DataFrame:
     return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query_id", "canonical_name", "score", "place")
 
 
-def search(queries: DataFrame, services: DataFrame, summary: DataFrame, n: int = 20, category: str | None = None) -> DataFrame:
-    """Services by relevance that have offers, the first n of each query, with their summary."""
+def search(queries: DataFrame, services: DataFrame, documents: DataFrame, n: int = 20, category: str | None = None) -> DataFrame:
+    """Services by relevance that have offers, the first n of each query, with their documents."""
     r = relevance(queries, services).join(services.select(F.col("id").alias("service_id"), "canonical_name", "category"), "service_id")
     if category:
         r = r.where(F.lower("category").contains(category.lower()))
-    r = r.join(summary.where("offers_count > 0"), "service_id")
+    r = r.join(documents.where("offers_count > 0").drop("canonical_name", "category"), "service_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "canonical_name", "service_id")
     return r.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 

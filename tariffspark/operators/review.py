@@ -60,6 +60,11 @@ def gate_decisions(prices: DataFrame, decisions: DataFrame, *, auto=("confirm",
     return d.withColumn("applied", F.coalesce(ok, F.lit(False))).withColumn("action", F.when(F.col("action") == "junk", "reject").otherwise(F.col("action")))
 
 
+def gate_counts(gated: DataFrame) -> DataFrame:
+    """How many decisions were applied and how many remain."""
+    return gated.agg(F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("remaining"))
+
+
 def manual_match(prices: DataFrame, services: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(prices, services) after pairs (id, target_id); each raw name is learned once."""
     s = services.select(F.col("id").alias("target_id"), "tarificator_code")
@@ -76,6 +81,13 @@ def run_detail(prices: DataFrame, services: DataFrame) -> DataFrame:
     return prices.join(s, "service_id", "left").withColumn("status", status).groupBy("run_id").agg(F.count("*").alias("positions"), *[F.count_if(F.col("status") == x).alias(x) for x in ("matched", "review", "unmatched")])
 
 
+def run_positions(prices: DataFrame, services: DataFrame) -> DataFrame:
+    """The positions of runs, raw name beside normalized name, with their status."""
+    s = services.select(F.col("id").alias("service_id"), "canonical_name")
+    status = F.when(F.col("service_id").isNull(), "unmatched").when(F.col("match_confidence") >= R.MATCH, "matched").otherwise("review")
+    return prices.join(s, "service_id", "left").withColumn("status", status).select("run_id", "id", "raw_name", "canonical_name", "service_id", F.round("match_confidence", 2).alias("match_confidence"), "price_resident", "price_nonresident", "status")
+
+
 def rollback(prices: DataFrame, runs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(prices without those runs' rows, runs marked)."""
     gone = ids.select("run_id").distinct()
@@ -132,19 +144,58 @@ def apply_edits(prices: DataFrame, edits: DataFrame, as_of: str) -> DataFrame:
     return out.withColumn("price", F.when(hit, F.col("new_price")).otherwise(F.col("price"))).withColumn("source_type", F.when(hit, "upload").otherwise(F.col("source_type"))).withColumn("match_confidence", F.when(hit, 1.0).otherwise(F.col("match_confidence"))).withColumn("valid_from", F.when(hit, F.lit(as_of).cast("date")).otherwise(F.col("valid_from"))).withColumn("edited", hit).drop("new_price")
 
 
+def edit_history(edited: DataFrame, as_of: str) -> DataFrame:
+    """What the edits add to the price history."""
+    return edited.where("edited and service_id is not null").select("clinic_id", "service_id", "price", F.lit(as_of).cast("date").alias("recorded_at"))
+
+
+def confirm_all(prices: DataFrame, clinics: DataFrame, as_of: str) -> DataFrame:
+    """All prices of these clinics (clinic_id) become uploads of today, confirmed."""
+    hit = F.coalesce("_hit", F.lit(False))
+    out = prices.join(clinics.select("clinic_id", F.lit(True).alias("_hit")).distinct(), "clinic_id", "left")
+    new = {"source_type": F.lit("upload"), "match_confidence": F.lit(1.0), "valid_from": F.lit(as_of).cast("date")}
+    return out.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in prices.columns], hit.alias("confirmed"))
+
+
+def _urine(c: str = "raw_name"):
+    return F.coalesce(T.col_specimen(c) == "urine", F.lit(False))
+
+
 def merge_canons(prices: DataFrame, plan: DataFrame, absurd: float = 50_000) -> DataFrame:
     """Prices of duplicate services move to the one kept (plan: from_id, to_id, urine_id); rows about urine move to
     the urine service, and of these absurd prices go."""
     out = prices.join(plan.withColumnRenamed("from_id", "service_id"), "service_id", "left")
-    urine = T.col_specimen("raw_name") == "urine"
-    to = F.when(F.col("to_id").isNull(), F.col("service_id")).when(F.coalesce(urine, F.lit(False)), F.coalesce("urine_id", "to_id")).otherwise(F.col("to_id"))
-    bad = F.col("to_id").isNotNull() & F.coalesce(urine, F.lit(False)) & (F.col("price") >= absurd)
+    to = F.when(F.col("to_id").isNull(), F.col("service_id")).when(_urine(), F.coalesce("urine_id", "to_id")).otherwise(F.col("to_id"))
+    bad = F.col("to_id").isNotNull() & _urine() & (F.col("price") >= absurd)
     return out.withColumn("moved", F.col("to_id").isNotNull()).withColumn("new_service_id", to).where(~bad).withColumn("service_id", F.col("new_service_id")).drop("to_id", "urine_id", "new_service_id")
 
 
-def prune_orphans(services: DataFrame, prices: DataFrame) -> DataFrame:
-    """Services without prices."""
-    return services.join(prices.select(F.col("service_id").alias("id")), "id", "left_anti")
+def merge_followers(rows: DataFrame, plan: DataFrame, absurd: float | None = None) -> DataFrame:
+    """History (absurd prices of duplicates go) or subscriptions of duplicate services move to the one kept."""
+    out = rows.join(plan.select(F.col("from_id").alias("service_id"), F.col("to_id").alias("_to")), "service_id", "left")
+    if absurd is not None:
+        out = out.where(F.col("_to").isNull() | (F.col("price") < absurd))
+    return out.select(*[F.coalesce("_to", "service_id").alias(c) if c == "service_id" else c for c in rows.columns])
+
+
+def merge_services(services: DataFrame, plan: DataFrame, prices: DataFrame, longest: int = 40) -> DataFrame:
+    """The services left when duplicates are gone; those kept learn the duplicates' names and the raw names of their
+    prices, but for urine and long ones, each once whatever its case."""
+    names = services.join(plan.select(F.col("from_id").alias("id"), "to_id"), "id").select("to_id", F.col("canonical_name").alias("name"))
+    raws = prices.join(plan.select(F.col("from_id").alias("service_id"), "to_id"), "service_id").where(~_urine() & (F.length("raw_name") <= longest)).select("to_id", F.col("raw_name").alias("name"))
+    have = services.select(F.col("id").alias("to_id"), F.explode(F.concat(F.array("canonical_name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("h")).select("to_id", F.lower("h").alias("low"))
+    new = first_by(names.unionByName(raws).withColumn("low", F.lower("name")), ["to_id", "low"], "name").join(have, ["to_id", "low"], "left_anti")
+    new = new.groupBy(F.col("to_id").alias("id")).agg(F.array_sort(F.collect_list("name")).alias("_new"))
+    left = services.join(plan.select(F.col("from_id").alias("id")), "id", "left_anti").join(new, "id", "left")
+    none = F.array().cast("array<string>")
+    return left.select(*[F.concat(F.coalesce("synonyms", none), F.coalesce("_new", none)).alias(c) if c == "synonyms" else c for c in services.columns])
+
+
+def prune_orphans(services: DataFrame, prices: DataFrame, *followers: DataFrame) -> tuple[DataFrame, ...]:
+    """Services without prices; and each follower table (history, subscriptions) without their rows."""
+    gone = services.join(prices.select(F.col("service_id").alias("id")), "id", "left_anti")
+    ids = gone.select(F.col("id").alias("service_id"))
+    return gone, *[f.join(ids, "service_id", "left_anti").select(f.columns) for f in followers]
 
 
 def by_status(df: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:
@@ -152,6 +203,18 @@ def by_status(df: DataFrame, status: str | None = None, limit: int = 100) -> Dat
     return (df.where(F.col("status") == status) if status else df).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
+def set_status(df: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows with the status that changes (id, new_status) give them."""
+    return df.join(changes, "id", "left").select(*[F.coalesce("new_status", "status").alias(c) if c == "status" else c for c in df.columns])
+
+
+def named_subscriptions(subs: DataFrame, services: DataFrame, clinics: DataFrame) -> DataFrame:
+    """Subscriptions with the names of their service and clinic."""
+    s = services.select(F.col("id").alias("service_id"), F.col("canonical_name").alias("service_name"))
+    c = clinics.select(F.col("id").alias("clinic_id"), F.col("name").alias("clinic_name"))
+    return subs.join(s, "service_id", "left").join(c, "clinic_id", "left")
+
+
 def worklist_services(services: DataFrame, prices: DataFrame, clinics: DataFrame, text_col: str) -> DataFrame:
     """Services whose text is empty, those with public offers first, then by name."""
     open_ = prices.join(clinics.where("is_public").select(F.col("id").alias("clinic_id")), "clinic_id", "left_semi").select(F.col("service_id").alias("id")).distinct().withColumn("offered", F.lit(True))
@@ -178,3 +241,28 @@ def purge_raw(runs: DataFrame, as_of: str, days: int = 90, most: int = 200_000)
     """Raw content cut to its limit, and blanked in runs older than the retention."""
     old = F.col("created_at") < F.date_sub(F.lit(as_of).cast("date"), days)
     return runs.withColumn("raw_content", F.when(old, "").otherwise(F.substring("raw_content", 1, most)))
+
+
+def reprocess(runs: DataFrame, originals: DataFrame, services: DataFrame, prices: DataFrame) -> DataFrame:
+    """Stored originals once more, as new runs of the same clinic, file and date. runs: run_id, clinic_id, valid_from;
+    originals: run_id, sheet, row_idx, cells. They are extracted, matched with the current catalog (by code, else by
+    name), deduplicated and upserted into prices."""
+    from ..data import written
+    from ..sources.files import items_from_grid
+    from .dedup import archive_dedup, archive_upsert
+    from .match import match_by_code, normalize
+
+    items = items_from_grid(originals.withColumnRenamed("run_id", "doc_id"))
+    items = items.withColumnRenamed("doc_id", "run_id").withColumnRenamed("name", "raw_name").withColumn("item_id", F.xxhash64("run_id", "sheet", "row_idx"))
+    items = written(items, "extracted")
+    coded = written(match_by_code(items.select("item_id", "raw_name", "code"), services), "coded")
+    rest = items.join(coded.select("item_id"), "item_id", "left_anti")
+    # Each distinct name is matched once.
+    by_name, _, _ = normalize(rest.groupBy("raw_name").agg(F.min("item_id").alias("item_id")).select("item_id", "raw_name"), services)
+    by_name = written(by_name.select("raw_name", "service_id", "confidence"), "named")
+    named = rest.select("item_id", "raw_name").join(by_name, "raw_name").drop("raw_name")
+    matched = items.join(coded.unionByName(named), "item_id", "left").join(runs, "run_id")
+    rows = matched.select(F.col("item_id").alias("id"), F.xxhash64("run_id", F.lit("again")).alias("run_id"), "clinic_id", "service_id", "raw_name", "price_resident", "price_nonresident", F.col("confidence").alias("match_confidence"), "valid_from")
+    kept = archive_dedup(rows)
+    money = prices.schema["price"].dataType
+    return archive_upsert(prices, kept.select("id", "run_id", "clinic_id", "service_id", "raw_name", F.col("primary_price").cast(money).alias("price"), F.col("price_resident").cast(money).alias("price_resident"), F.col("price_nonresident").cast(money).alias("price_nonresident"), "valid_from"))

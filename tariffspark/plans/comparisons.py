@@ -52,21 +52,23 @@ def w03(spark, d):
     return _offers(spark, d, min_price=5000, max_price=60000, min_rating=2, online=True, user=USER).select("id", "service_id", "clinic_id", dbl("price"), F.round("distance_km", 3).alias("distance_km"))
 
 
-@query("w03_offer_order", with_canon(f"SELECT service_id, place, CAST(price AS DOUBLE) AS price FROM (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY price, id) AS place FROM {OFFERS}) WHERE place <= 5"))
+@query("w03_offer_order", with_canon(f"SELECT service_id, place, CAST(price AS DOUBLE) AS price FROM (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY price, id) AS place FROM {OFFERS})"))
 def w03_order(spark, d):
-    return C.ranked(_offers(spark, d)).where("place <= 5").select("service_id", F.col("place").cast("long").alias("place"), dbl("price"))
+    return C.ranked(_offers(spark, d)).select("service_id", F.col("place").cast("long").alias("place"), dbl("price"))
 
 
 @query(
     "w04_comparison",
     with_canon(f"""WITH o AS (SELECT service_id, count(*) AS offers_count, CAST(min(price) AS DOUBLE) AS min_price FROM {OFFERS} GROUP BY ALL),
-    f AS (SELECT service_id, clinic_id AS first_clinic FROM (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY price, id) AS r FROM {OFFERS}) WHERE r = 1)
-    SELECT s.id AS service_id, canonical_name, coalesce(offers_count, 0) AS offers_count, min_price, first_clinic, CAST(least(coalesce(offers_count, 0), 50) AS INTEGER) AS listed FROM services s LEFT JOIN o ON o.service_id = s.id LEFT JOIN f ON f.service_id = s.id"""),
+    f AS (SELECT service_id, clinic_id, CAST(price AS DOUBLE) AS price, row_number() OVER (PARTITION BY service_id ORDER BY price, id) AS place FROM {OFFERS})
+    SELECT s.id AS service_id, canonical_name, coalesce(offers_count, 0) AS offers_count, min_price, CAST(place AS INTEGER) AS place, clinic_id, price
+    FROM services s LEFT JOIN o ON o.service_id = s.id LEFT JOIN f ON f.service_id = s.id"""),
 )
 def w04(spark, d):
     t = [canon(spark, d, x) for x in ("prices", "clinics", "services", "price_history")]
     out = C.comparison(*t, AS_OF, FRESH_DAYS)
-    return out.select("service_id", "canonical_name", "offers_count", dbl("min_price"), F.get("offers", F.lit(0))["clinic_id"].alias("first_clinic"), F.coalesce(F.size("offers"), F.lit(0)).alias("listed"))
+    rows = C.ranked(C.offers(t[0], t[1], AS_OF, FRESH_DAYS)).select("service_id", "place", "clinic_id", dbl("price"))
+    return out.select("service_id", "canonical_name", "offers_count", dbl("min_price")).join(rows, "service_id", "left")
 
 
 @query("w06_list_services", with_canon("SELECT id, canonical_name FROM services WHERE category = 'Brand#7'"))

@@ -44,16 +44,11 @@ def s02(spark, d):
     return X.items_from_json(j.select("doc_id", payload.alias("payload"))).select("doc_id", "raw_name", "price")
 
 
-@query("s03_html_pages", f"SELECT o_custkey AS page_id, trim({NAME}) AS raw_name, {PRICE} AS price FROM orders WHERE {OK}")
+@query("s03_html_pages", f"SELECT DISTINCT o_custkey AS page_id, trim({NAME}) AS raw_name, {PRICE} AS price FROM orders WHERE {OK}")
 def s03(spark, d):
     t = _texts(spark, d, F.concat(F.lit("<tr><td>1</td><td>"), _name(), F.lit("</td><td>"), _price(), F.lit(" ₸</td></tr>")))
     pages = t.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<html><table><tr><th>N</th><th>Название</th></tr>"), "text", F.lit("</table></html>")).alias("html"))
-    return X.items_from_html(pages.where(F.col("page_id").isNotNull())).where("price > 1").select(F.col("id").alias("page_id"), "raw_name", "price").unionByName(_ones(spark, d))
-
-
-def _ones(spark, d):
-    """Rows of price 1 cannot be told from the row number; they are listed as they are."""
-    return ORDERS(spark, d).where(F.floor("o_totalprice") == 1).select(F.col("o_custkey").alias("page_id"), F.trim(_name()).alias("raw_name"), F.floor("o_totalprice").cast("double").alias("price"))
+    return X.items_from_html(pages.where(F.col("page_id").isNotNull())).select(F.col("id").alias("page_id"), "raw_name", "price")
 
 
 @query("s03_page_nodes")

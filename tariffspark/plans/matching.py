@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..data import canon, raw, with_canon
+from ..data import AS_OF, FRESH_DAYS, canon, raw, with_canon
 from ..functions import text as T
 from ..operators import match as M
-from ..operators.dedup import service_summary
+from ..operators import compare as C
 from .registry import query
 
 
@@ -28,7 +28,7 @@ def items(spark, d):
 
 def vectors(spark, d):
     e = raw(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("c"), F.col("embedding").alias("v"))
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("c"), F.col("embedding").alias("v"))
 
 
 @query("m01_dictionary", with_canon(f"SELECT key, service_id FROM {KEYS}"))
@@ -68,23 +68,32 @@ def m05(spark, d):
 
 @query(
     "m06_semantic_topk",
-    """WITH s AS (SELECT a.vec_id AS q, b.vec_id AS c, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a, embeddings b WHERE b.vec_id % 5 = 0)
+    """WITH s AS (SELECT a.vec_id AS q, b.vec_id AS c, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
     SELECT q, c, round(s, 4) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS r FROM s) WHERE r <= 3""",
 )
 def m06(spark, d):
     return M.semantic_topk(*vectors(spark, d), 3).select("q", "c", F.round("score", 4).alias("score"), "rank")
 
 
+def _vecs(spark, d):
+    """Vectors of the items and of the services: of each part two rows of the embeddings."""
+    e = raw(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    n = F.lit(max(1, e.count()))
+    p = raw(spark, d, "part").select("p_partkey", (F.col("p_partkey") % n).alias("a"), (F.col("p_partkey") * 7 % n).alias("b"))
+    of = lambda at, name: p.join(e, F.col(at) == F.col("vec_id")).select(F.col("p_partkey").alias(name), "v")
+    return of("a", "q"), of("b", "c")
+
+
 @query("m07_match_one")
 def m07(spark, d):
     s = services(spark, d)
-    return M.match_one(items(spark, d), M.build_dictionary(s), s, floor=0.72, sem_floor=0.85)
+    return M.match_one(items(spark, d), M.build_dictionary(s), s, _vecs(spark, d), floor=0.72, sem_floor=0.85)
 
 
 @query("m08_match")
 def m08(spark, d):
     s = services(spark, d)
-    return M.match(items(spark, d), M.build_dictionary(s), s)
+    return M.match(items(spark, d), M.build_dictionary(s), s, _vecs(spark, d))
 
 
 @query("m09_analyze_lines")
@@ -96,13 +105,13 @@ def m09(spark, d):
 
 @query("m10_normalize")
 def m10(spark, d):
-    return M.normalize(items(spark, d), services(spark, d).where("id % 3 <> 0"))[0]
+    return M.normalize(items(spark, d), services(spark, d).where("id % 3 <> 0"), _vecs(spark, d))[0]
 
 
 @query("m11_preview")
 def m11(spark, d):
     s = services(spark, d)
-    return M.preview(items(spark, d), M.build_dictionary(s), s)
+    return M.preview(items(spark, d), M.build_dictionary(s), s, _vecs(spark, d))
 
 
 @query("m12_sanitize_synonyms", with_canon("SELECT id, CASE WHEN id % 3 = 0 THEN 2 WHEN id % 3 = 1 THEN 1 ELSE 0 END AS removed FROM (SELECT p_partkey AS id FROM part)"))
@@ -116,25 +125,26 @@ def m12(spark, d):
 
 @query(
     "m13_semantic_backfill",
-    with_canon("""WITH v AS (SELECT 'Item ' || CAST(vec_id AS VARCHAR) AS q, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 2 = 0),
+    with_canon("""WITH v AS (SELECT 'Item ' || CAST(vec_id AS VARCHAR) AS q, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     b AS (SELECT q, arg_max(c, (s, -c)) AS c, max(s) AS s FROM (SELECT q, c, list_cosine_similarity(v.v, c.v) AS s FROM v, c) GROUP BY ALL HAVING max(s) >= 0.85)
     SELECT id, c AS new_service_id FROM prices JOIN b ON raw_name = q WHERE match_confidence < 0.78"""),
 )
 def m13(spark, d):
     e = raw(spark, d, "embeddings")
     names = e.select(F.concat(F.lit("Item "), F.col("vec_id").cast("string")).alias("q"), F.col("embedding").alias("v"))
-    cat = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("c"), F.col("embedding").alias("v"))
+    cat = e.select(F.col("vec_id").alias("c"), F.col("embedding").alias("v"))
     return M.semantic_backfill(canon(spark, d, "prices"), names, cat).select("id", "new_service_id")
 
 
 @query(
     "m14_suspect_bindings",
     with_canon("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
-    SELECT p.id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM (SELECT id, (id % 500) AS n, (id * 7 % 500) AS s FROM prices WHERE match_confidence >= 0.78 AND service_id IS NOT NULL) p JOIN e a ON a.vec_id = n JOIN e b ON b.vec_id = s WHERE list_cosine_similarity(a.v, b.v) < 0.55"""),
+    SELECT p.id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM (SELECT id, id % (SELECT count(*) FROM embeddings) AS n, id * 7 % (SELECT count(*) FROM embeddings) AS s FROM prices WHERE match_confidence >= 0.78 AND service_id IS NOT NULL) p JOIN e a ON a.vec_id = n JOIN e b ON b.vec_id = s WHERE list_cosine_similarity(a.v, b.v) < 0.55"""),
 )
 def m14(spark, d):
     e = raw(spark, d, "embeddings")
-    p = canon(spark, d, "prices").where("service_id is not null").withColumn("raw_name", (F.col("id") % 500).cast("string")).withColumn("service_id", F.col("id") * 7 % 500)
+    n = F.lit(e.count())
+    p = canon(spark, d, "prices").where("service_id is not null").withColumn("raw_name", (F.col("id") % n).cast("string")).withColumn("service_id", F.col("id") * 7 % n)
     names = e.select(F.col("vec_id").cast("string").alias("q"), F.col("embedding").alias("v"))
     return M.suspect_bindings(p, names, e.select(F.col("vec_id").alias("c"), F.col("embedding").alias("v"))).select("id", F.round("cosine", 6).alias("cosine"))
 
@@ -142,7 +152,7 @@ def m14(spark, d):
 @query("m15_review_candidates")
 def m15(spark, d):
     it = items(spark, d).withColumn("service_id", F.col("item_id"))
-    return M.review_candidates(it, services(spark, d))
+    return M.review_candidates(it, services(spark, d), _vecs(spark, d))
 
 
 def _queries(spark, d):
@@ -180,9 +190,9 @@ def m18(spark, d):
 
 @query("w05_search")
 def w05(spark, d):
-    found = canon(spark, d, "prices").where("service_id is not null")
-    s = services(spark, d)
-    return M.search(_queries(spark, d), s, service_summary(found.select("service_id", "price"))).select("query_id", "service_id", "score", "place", "offers_count")
+    t = [canon(spark, d, x) for x in ("prices", "clinics", "services", "price_history")]
+    documents = C.comparison(*t, AS_OF, FRESH_DAYS)
+    return M.search(_queries(spark, d), services(spark, d), documents).select("query_id", "service_id", "score", "place", "offers_count", "variants", "trend")
 
 
 @query("m19_upsert_clinics", with_canon("WITH c AS (SELECT n, arg_min(city, place) AS city FROM (SELECT o_orderkey AS place, CASE WHEN o_custkey % 2 = 0 THEN 'Supplier#' || lpad(CAST(o_custkey % 200 AS VARCHAR), 9, '0') ELSE 'new ' || CAST(o_custkey % 50 AS VARCHAR) END AS n, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS city FROM orders) GROUP BY ALL) SELECT coalesce(k.name, n) AS name, coalesce(nullif(trim(c.city), ''), k.city, '') AS city, k.id IS NULL AS created FROM clinics k FULL JOIN c ON k.name = n"))

@@ -1,5 +1,6 @@
 """Queries of review, history and catalog-change operators."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..data import AS_OF, FRESH_DAYS, canon, raw, with_canon
@@ -120,9 +121,77 @@ def r13(spark, d):
     return V.merge_canons(p, plan).groupBy("service_id").agg(F.count("*").alias("n"))
 
 
-@query("r14_prune_orphans", with_canon("SELECT id FROM services WHERE id NOT IN (SELECT service_id FROM prices WHERE service_id IS NOT NULL AND id % 20 = 0)"))
+@query("r13_merge_history", with_canon("SELECT CASE WHEN service_id % 10 = 3 THEN service_id - 3 ELSE service_id END AS service_id, count(*) AS n, CAST(sum(price) AS DOUBLE) AS total FROM price_history WHERE NOT (service_id % 10 = 3 AND price >= 50000) GROUP BY ALL"))
+def r13_history(spark, d):
+    out = V.merge_followers(canon(spark, d, "price_history"), _plan(spark, d), 50_000)
+    return out.groupBy("service_id").agg(F.count("*").alias("n"), F.sum("price").cast("double").alias("total"))
+
+
+@query("r13_merge_subscriptions", with_canon("SELECT id, CASE WHEN service_id % 10 = 3 AND service_id IN (SELECT id FROM services) THEN service_id - 3 ELSE service_id END AS service_id FROM subscriptions"))
+def r13_subscriptions(spark, d):
+    return V.merge_followers(canon(spark, d, "subscriptions"), _plan(spark, d)).select("id", "service_id")
+
+
+@query("r13_merge_services", with_canon("""WITH raws AS (SELECT service_id - 3 AS id, 'Item ' || CAST(service_id AS VARCHAR) AS name FROM prices WHERE service_id % 10 = 3 UNION SELECT id - 3, canonical_name FROM services WHERE id % 10 = 3),
+    news AS (SELECT r.id, r.name FROM raws r JOIN services s ON s.id = r.id WHERE lower(r.name) <> lower(s.canonical_name))
+    SELECT s.id, coalesce(string_agg(n.name, '|' ORDER BY n.name), '') AS synonyms FROM services s LEFT JOIN news n ON n.id = s.id WHERE s.id % 10 <> 3 GROUP BY s.id"""))
+def r13_services(spark, d):
+    s = canon(spark, d, "services").withColumn("synonyms", F.array().cast("array<string>"))
+    return V.merge_services(s, _plan(spark, d), P(spark, d)).select("id", F.array_join("synonyms", "|").alias("synonyms"))
+
+
+def _plan(spark, d):
+    return canon(spark, d, "services").where("id % 10 = 3").select(F.col("id").alias("from_id"), (F.col("id") - 3).alias("to_id"), (F.col("id") - 2).alias("urine_id"))
+
+
+def _dear(spark, d):
+    """Prices of the dearest rows alone, so that services without any are left."""
+    return P(spark, d).where("price > 90000")
+
+
+@query("r14_prune_orphans", with_canon("SELECT id FROM services WHERE id NOT IN (SELECT service_id FROM prices WHERE service_id IS NOT NULL)"))
 def r14(spark, d):
-    return V.prune_orphans(canon(spark, d, "services"), P(spark, d).where("id % 20 = 0")).select("id")
+    return V.prune_orphans(canon(spark, d, "services"), P(spark, d))[0].select("id")
+
+
+@query("r14_prune_followers", with_canon("SELECT 'history' AS kind, id FROM price_history WHERE service_id NOT IN (SELECT id FROM services) OR service_id IN (SELECT service_id FROM prices WHERE price > 90000) UNION ALL SELECT 'subscriptions', id FROM subscriptions WHERE service_id NOT IN (SELECT id FROM services) OR service_id IN (SELECT service_id FROM prices WHERE price > 90000)"))
+def r14_followers(spark, d):
+    _, h, u = V.prune_orphans(canon(spark, d, "services"), _dear(spark, d), canon(spark, d, "price_history"), canon(spark, d, "subscriptions"))
+    return h.select(F.lit("history").alias("kind"), "id").unionByName(u.select(F.lit("subscriptions").alias("kind"), "id"))
+
+
+@query("r12_edit_history", with_canon("SELECT clinic_id, service_id, CAST(777 AS DOUBLE) AS price FROM prices WHERE id % 10 = 0 AND id % 20 <> 0 AND service_id IS NOT NULL"))
+def r12_history(spark, d):
+    e = P(spark, d).where("id % 10 = 0").select("id", "clinic_id", F.when(F.col("id") % 20 == 0, 0).otherwise(777).cast("decimal(12,2)").alias("new_price")).distinct()
+    return V.edit_history(V.apply_edits(P(spark, d), e, AS_OF), AS_OF).select("clinic_id", "service_id", dbl("price"))
+
+
+@query("r12_confirm_all", with_canon("SELECT id, clinic_id, CASE WHEN clinic_id % 3 = 0 THEN 'upload' ELSE source_type END AS source_type, CASE WHEN clinic_id % 3 = 0 THEN DATE '2001-06-30' ELSE valid_from END AS valid_from, clinic_id % 3 = 0 AS confirmed FROM prices"))
+def r12_confirm(spark, d):
+    c = canon(spark, d, "clinics").where("id % 3 = 0").select(F.col("id").alias("clinic_id"))
+    return V.confirm_all(P(spark, d), c, AS_OF).select("id", "clinic_id", "source_type", "valid_from", "confirmed")
+
+
+@query("r04_gate_counts", with_canon(f"""WITH q AS (SELECT DISTINCT id FROM (SELECT id FROM prices WHERE match_confidence < 0.78 AND service_id IS NOT NULL ORDER BY match_confidence, id, price LIMIT 50))
+    SELECT count(*) FILTER (action IN ('confirm', 'reject') AND confidence >= 0.8) AS applied, count(*) FILTER (NOT (action IN ('confirm', 'reject') AND confidence >= 0.8)) AS remaining FROM {DECISIONS} WHERE id IN (SELECT id FROM q)"""))
+def r04_counts(spark, d):
+    return V.gate_counts(V.gate_decisions(P(spark, d), _decisions(spark, d), auto=("confirm", "reject")))
+
+
+@query("r06_run_positions", with_canon("SELECT p.run_id, p.id, canonical_name, p.service_id, CASE WHEN p.service_id IS NULL THEN 'unmatched' WHEN match_confidence >= 0.78 THEN 'matched' ELSE 'review' END AS status FROM prices p LEFT JOIN services s ON s.id = p.service_id"))
+def r06_positions(spark, d):
+    return V.run_positions(P(spark, d), canon(spark, d, "services")).select("run_id", "id", "canonical_name", "service_id", "status")
+
+
+@query("r15_set_status", with_canon("SELECT id, CASE WHEN id % 2 = 0 THEN 'reviewed' ELSE status END AS status FROM reports"))
+def r15_set(spark, d):
+    t = canon(spark, d, "reports")
+    return V.set_status(t, t.where("id % 2 = 0").select("id", F.lit("reviewed").alias("new_status"))).select("id", "status")
+
+
+@query("r15_subscriptions", with_canon("SELECT u.id, canonical_name AS service_name, c.name AS clinic_name FROM subscriptions u LEFT JOIN services s ON s.id = u.service_id LEFT JOIN clinics c ON c.id = u.clinic_id"))
+def r15_subscriptions(spark, d):
+    return V.named_subscriptions(*[canon(spark, d, t) for t in ("subscriptions", "services", "clinics")]).select("id", "service_name", "clinic_name")
 
 
 @query("r15_by_status", with_canon("SELECT id, note FROM reports WHERE status = 'new' ORDER BY created_at DESC, id DESC LIMIT 100"))
@@ -196,8 +265,24 @@ def s16(spark, d):
     return X.flatten_api(c, b, cities, "NATION_3").select("id", "city", "address", "phone")
 
 
-@query("r18_reprocess", with_canon("SELECT run_id, count(*) AS kept FROM (SELECT DISTINCT run_id, coalesce(CAST(service_id AS VARCHAR), 'raw::' || lower(raw_name)) AS k FROM prices WHERE run_id IN (SELECT id FROM runs WHERE file_name <> '') AND price_resident > 0) GROUP BY ALL"))
+@query(
+    "r18_reprocess",
+    with_canon("""WITH line AS (SELECT l_orderkey AS run_id, l_linenumber AS n, 'B' || lpad(CAST(l_partkey % 90 AS VARCHAR), 2, '0') || '.' || lpad(CAST(l_partkey // 90 AS VARCHAR), 3, '0') || '.00' || CAST(l_linenumber AS VARCHAR) AS code, floor(l_extendedprice) AS price FROM lineitem WHERE floor(l_extendedprice) > 0),
+    hit AS (SELECT r.clinic_id, l.run_id, s.id AS service_id, l.price FROM line l JOIN runs r ON r.id = l.run_id JOIN (SELECT p_partkey AS id, 'B' || lpad(CAST(p_partkey % 90 AS VARCHAR), 2, '0') || '.' || lpad(CAST(p_partkey // 90 AS VARCHAR), 3, '0') || '.00' || CAST(p_partkey % 7 + 1 AS VARCHAR) AS code FROM part) s ON s.code = l.code WHERE r.file_name <> '')
+    SELECT clinic_id, service_id, min(price) AS price FROM hit GROUP BY ALL"""),
+)
 def r18(spark, d):
-    """Runs that came from a file, from their stored rows through validation and dedup again."""
-    runs = canon(spark, d, "runs").where("file_name != ''").select(F.col("id").alias("run_id"))
-    return D.archive_dedup(P(spark, d).join(runs, "run_id", "left_semi")).groupBy("run_id").agg(F.count("*").alias("kept"))
+    """Originals of the runs that came from a file: a grid a run, with codes. What the current catalog has by code."""
+    runs = canon(spark, d, "runs").where("file_name != ''").select(F.col("id").alias("run_id"), "clinic_id", F.col("created_at").alias("valid_from"))
+    k = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    items = raw(spark, d, "lineitem").join(runs.withColumnRenamed("run_id", "l_orderkey"), "l_orderkey", "left_semi").where(F.floor("l_extendedprice") > 0)
+    of = lambda x, letter, n: F.concat(F.lit(letter), k(x % 90, 2), F.lit("."), k(F.floor(x / 90), 3), F.lit(".00"), n.cast("string"))
+    code = of(F.col("l_partkey"), "В", F.col("l_linenumber"))
+    price = F.format_string("%d", F.floor("l_extendedprice"))
+    body = items.select(F.col("l_orderkey").alias("run_id"), F.lit("s").alias("sheet"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")) + 9).alias("row_idx"), F.array(code, F.lit("Услуга лаборатории"), price).alias("cells"))
+    head = items.select(F.col("l_orderkey").alias("run_id")).distinct().select("run_id", F.lit("s").alias("sheet"), F.lit(1).alias("row_idx"), F.array(F.lit("Код"), F.lit("Наименование услуг"), F.lit("Цена, тенге")).alias("cells"))
+    p = F.col("p_partkey")
+    services = raw(spark, d, "part").select(p.alias("id"), F.concat(F.lit("Номер "), p.cast("string")).alias("canonical_name"), F.lit("Прочее").alias("category"), F.array().cast("array<string>").alias("synonyms"), of(p, "B", p % 7 + 1).alias("tarificator_code"), F.lit("").alias("specialty"))
+    none = P(spark, d).limit(0).select("id", "clinic_id", "service_id", "raw_name", "price", "price_resident", "price_nonresident", "valid_from")
+    out = V.reprocess(runs, head.unionByName(body), services, none)
+    return out.join(services.select(F.col("id").alias("service_id")), "service_id", "left_semi").where("change = 'inserted'").select("clinic_id", "service_id", dbl("price"))

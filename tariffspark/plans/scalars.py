@@ -105,12 +105,10 @@ def f15(spark, d):
     return parts(spark, d).select("p_partkey", F.array_join(T.col_decompose(line), "|").alias("parts"))
 
 
-@query("f16_service_lines", r"SELECT conv_id * 1000 + turn AS doc_id, CAST(least(30, len(list_filter(string_split_regex('Анализ ' || string_split(text, chr(10))[1], '[,/+]'), lambda x: length(trim(x)) >= 2))) AS BIGINT) AS n FROM conversations WHERE NOT regexp_matches(string_split(text, chr(10))[1], '[;:0-9]') AND len(text) > 0")
+@query("f16_service_lines")
 def f16(spark, d):
-    first = F.get(F.split("text", "\n"), F.lit(0))
-    c = raw(spark, d, "conversations").where("length(text) > 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), first.alias("t")).where(~F.col("t").rlike("[;:0-9]"))
-    lines = X.extract_service_lines(c.withColumn("text", F.concat(F.lit("- Анализ "), "t")))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n"))
+    c = raw(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return X.extract_service_lines(c)
 
 
 @query("f17_haversine", with_canon("SELECT id, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - 43.2) / 2), 2) + cos(radians(43.2)) * cos(radians(lat)) * pow(sin(radians(lng - 76.9) / 2), 2))), 3) AS km FROM clinics"))

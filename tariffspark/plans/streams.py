@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..data import raw
+from ..data import raw, shared_dir
 from ..streaming import jobs as S
 from .registry import query
 
@@ -25,12 +25,12 @@ def t02(spark, d):
 @query(
     "t03_price_drops",
     """WITH e AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS service_id, ts, value, event_id FROM events),
-    s AS (SELECT c_custkey AS id, 'u' || CAST(c_custkey AS VARCHAR) AS service_id FROM customer WHERE c_custkey < 150)
+    s AS (SELECT c_custkey AS id, 'u' || CAST(c_custkey AS VARCHAR) AS service_id FROM customer)
     SELECT subscription_id, count(*) AS alerts FROM (SELECT s.id AS subscription_id, value, lag(value) OVER (PARTITION BY s.id ORDER BY ts, value) AS b FROM e JOIN s ON e.service_id = s.service_id) WHERE value < b - 0.001 GROUP BY ALL""",
 )
 def t03(spark, d):
     e = S.read_events(spark, d).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("service_id"), F.col("ts").alias("recorded_at"), F.col("value").alias("price"))
-    c = raw(spark, d, "customer").where("c_custkey < 150")
+    c = raw(spark, d, "customer")
     subs = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("service_id"), F.lit(None).cast("double").alias("last_price"))
     return S.drained(spark, S.price_drops(e, subs), _name("t03")).groupBy("subscription_id").agg(F.count("*").alias("alerts"))
 
@@ -62,15 +62,7 @@ def t01(spark, d):
     services = types.select(F.xxhash64("event_type").alias("id"), F.col("event_type").alias("canonical_name"), F.lit("Прочее").alias("category"), F.array().cast("array<string>").alias("synonyms"))
     stream = e.select(F.col("event_id").alias("item_id"), F.col("user_id").alias("clinic_id"), F.upper("event_type").alias("raw_name"), F.lit("api").alias("source_type"), F.col("value").cast("decimal(12,2)").alias("price"), F.col("ts").cast("date").alias("valid_from"))
     empty = spark.createDataFrame([], "id long, clinic_id long, service_id long, source_type string, price decimal(12,2), match_confidence double, valid_from date")
-    found = []
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    S.ingest(stream, services, lambda: empty, lambda df: found.append(_kept(spark, df, base)), f"{base}/{_name('t01')}").awaitTermination()
-    return found[-1] if found else empty.select("clinic_id", "service_id", "price")
-
-
-def _kept(spark, df, base):
-    path = f"{base}/{_name('t01-prices')}"
-    df.select("clinic_id", "service_id", F.col("price").cast("double").alias("price")).write.parquet(path)
-    return spark.read.parquet(path)
+    base = f"{shared_dir(spark)}/{_name('t01')}"
+    prices = S.PriceTable(empty, f"{base}/prices")
+    S.ingest(stream, services, prices.read, prices.write, f"{base}/checkpoint").awaitTermination()
+    return prices.read().select("clinic_id", "service_id", F.col("price").cast("double").alias("price"))

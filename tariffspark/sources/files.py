@@ -66,21 +66,22 @@ def read_csv_pricelists(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- S02 json -------------------------------------------------------------------------------------------------
 
-LIST_KEYS = ("data", "items", "services", "results", "prices", "list")
-NAME_KEYS = ("name", "service", "service_name", "title", "raw_name", "наименование", "услуга")
-PRICE_KEYS = ("price", "cost", "amount", "price_kzt", "value", "цена", "стоимость")
-
-
 def items_from_json(df: DataFrame, payload: str = "payload", id_col: str = "doc_id") -> DataFrame:
     """A list, an object with a list under a known key, or a flat object name -> price."""
     objs = "array<map<string,string>>"
-    listed = F.coalesce(F.from_json(payload, objs), *[F.from_json(F.get_json_object(payload, f"$.{k}"), objs) for k in LIST_KEYS])
+    listed = F.coalesce(F.from_json(payload, objs), *[F.from_json(F.get_json_object(payload, f"$.{k}"), objs) for k in R.LIST_KEYS])
     got = df.select(id_col, F.col(payload).alias("_p"), listed.alias("_l"))
     rows = got.where("_l is not null").select(id_col, F.posexplode("_l").alias("pos", "m"))
     low = F.map_from_entries(F.transform(F.map_entries("m"), lambda e: F.struct(F.lower(e["key"]), e["value"])))
     rows = rows.withColumn("k", low)
-    probe = lambda keys: F.coalesce(*[F.try_element_at("k", F.lit(x)) for x in keys])
-    one = rows.select(id_col, "pos", probe(NAME_KEYS).alias("raw_name"), T.col_parse_price(probe(PRICE_KEYS)).alias("price"))
+    def probe(keys: tuple[str, ...]):
+        """The value of the first key that is there, even if it is null."""
+        out = F.lit(None).cast("string")
+        for x in reversed(keys):
+            out = F.when(F.map_contains_key("k", x), F.try_element_at("k", F.lit(x))).otherwise(out)
+        return out
+
+    one = rows.select(id_col, "pos", probe(R.NAME_KEYS).alias("raw_name"), T.col_parse_price(probe(R.PRICE_KEYS)).alias("price"))
     flat = got.where("_l is null").select(id_col, F.posexplode(F.from_json("_p", "map<string,string>")).alias("pos", "raw_name", "v")).select(id_col, "pos", "raw_name", T.col_parse_price("v").alias("price"))
     return one.unionByName(flat).withColumn("raw_name", F.trim("raw_name")).where((F.length("raw_name") > 2) & F.col("price").isNotNull())
 
@@ -158,16 +159,17 @@ def items_from_html(df: DataFrame, html: str = "html", id_col: str = "page_id")
     pattern = r"^(.{3,}?)\s*[-–—:]\s*(?:от\s+)?(\d[\d\s.,]*)\s*(?:тг|тенге|тнг|kzt|₸|руб)?\.?$"
     lines = nodes.where("kind = 'line'").withColumn("t", F.get("cells", F.lit(0))).where(F.length("t") <= 160)
     lines = lines.select("id", "node_no", F.trim(F.regexp_extract("t", pattern, 1)).alias("raw_name"), T.col_parse_price(F.regexp_extract("t", pattern, 2)).alias("price")).where((F.length("raw_name") > 2) & F.col("price").isNotNull())
-    return rows.unionByName(lines.join(rows.select("id").distinct(), "id", "left_anti").dropDuplicates(["id", "raw_name", "price"]))
+    found = rows.unionByName(lines.join(rows.select("id").distinct(), "id", "left_anti"))
+    return first_by(found.withColumn("low", F.lower("raw_name")), ["id", "low", "price"], "node_no").drop("low")
 
 
 def items_from_cards(df: DataFrame, adapters: DataFrame, html: str = "html", id_col: str = "page_id", url: str = "url") -> DataFrame:
     """Adapters (host, name_class, price_class, days_class) choose class-tagged texts by exact host, else by suffix.
     Cards are cut at each name; prices on request are skipped, "from N" is N."""
-    pages = df.select(F.col(id_col).alias("id"), T.col_host(url).alias("page_host")).distinct()
-    a = F.broadcast(adapters.limit(10_000))  # a table of site rules; more than ten thousand would be joined by host parts
-    cond = (F.col("page_host") == F.col("host")) | F.col("page_host").endswith(F.concat(F.lit("."), F.col("host")))
-    rule = first_by(pages.join(a, cond), ["id"], F.desc(F.col("page_host") == F.col("host")), F.desc(F.length("host")))
+    labels = F.split("page_host", r"\.")
+    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    pages = df.select(F.col(id_col).alias("id"), T.col_host(url).alias("page_host")).distinct().withColumn("host", F.explode(hosts))
+    rule = first_by(pages.join(adapters, "host"), ["id"], F.desc(F.col("page_host") == F.col("host")), F.desc(F.length("host")))
     n = html_nodes(df, html, id_col).where("kind = 'class'").join(rule, "id")
     has = lambda c: F.array_contains(F.split(F.get("cells", F.lit(0)), r"\s+"), F.col(c))
     text = F.get("cells", F.lit(1))
@@ -221,7 +223,7 @@ def items_from_grid(grid: DataFrame) -> DataFrame:
     head = head.join(cont, key, "left").withColumn("last_head", F.coalesce("last_head", "head_row"))
     titles = rows.join(head, key).where("row_idx between head_row and last_head").groupBy(*key, "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "low"))), lambda x: x["low"]), " ").alias("low"))
     nonres = hint(R.NONRES_HINTS)
-    role = F.when(hint(R.CODE_HINTS) & ~hint(R.PRICE_HINTS), "code").when(nonres, "nonres").when(hint(R.RES_HINTS), "res").when(hint(R.PRICE_HINTS), "price").when(hint(R.NAME_HINTS), "name")
+    role = F.when(hint(R.CODE_HINTS) & ~hint(R.PRICE_HINTS) & ~hint(R.NAME_HINTS), "code").when(nonres, "nonres").when(hint(R.RES_HINTS), "res").when(hint(R.PRICE_HINTS), "price").when(hint(R.NAME_HINTS), "name")
     roles = titles.withColumn("role", role).where("role is not null").groupBy(*key).agg(*[F.min(F.when(F.col("role") == r, F.col("col"))).alias(f"{r}_col") for r in ("name", "code", "price", "res", "nonres")])
     body = rows.join(head, key, "left").where("last_head is null or row_idx > last_head")
     stats = body.groupBy(*key, "col").agg(F.avg(F.when(F.col("p").isNotNull(), 1.0).otherwise(0.0)).alias("share"), F.avg(F.length(F.regexp_replace("low", r"[^\p{L}]", ""))).alias("width"), F.avg(F.when(F.col("code").isNotNull(), 1.0).otherwise(0.0)).alias("codes"))
@@ -260,12 +262,18 @@ def list_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract_service_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", most: int = 30) -> DataFrame:
-    """F16: the first `most` service lines of a referral: lines without bullets, noise gated, then split at , / and +."""
-    lines = df.select(id_col, F.posexplode(F.split(text, "[\n;]")).alias("a", "l")).withColumn("l", F.trim(F.regexp_replace("l", r"^[\s\-–—•*·\d.)]+", "")))
-    lines = lines.where((F.length("l") >= 2) & (T.col_classify_line("l")["kind"] == "service"))
-    parts = lines.select(id_col, "a", F.posexplode(F.split("l", r"[,/+]")).alias("b", "line")).withColumn("line", F.trim("line")).where(F.length("line") >= 2)
-    w = Window.partitionBy(id_col).orderBy("a", "b")
-    return parts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(id_col, "place", "line")
+    """F16: the first `most` service lines of a referral: lines without bullets, noise gated, then split at , / and +. Parts
+    of three characters with two letters in a row stay; a line without such parts stays whole."""
+    edges = F.lit(" .:-—\t")
+    lines = df.select(id_col, F.posexplode(F.split(text, "[\n;]+")).alias("a", "l"))
+    bare = F.btrim(F.regexp_replace("l", r"^\s*(?:\d+[.):]\s*|[-•·*]\s*)", ""), edges)
+    lines = lines.withColumn("l", F.regexp_replace(bare, r"\s{2,}", " ")).where((F.length("l") >= 3) & F.col("l").rlike(LETTERS + "{3,}"))
+    lines = lines.where(T.col_classify_line("l")["kind"] != "noise")
+    parts = F.filter(F.transform(F.split("l", r"\s*[,/+]\s*"), lambda x: F.btrim(x, edges)), lambda x: (F.length(x) >= 3) & x.rlike(LETTERS + "{2,}"))
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array("l"))
+    rows = lines.select(id_col, "a", F.posexplode(parts).alias("b", "line"))
+    first = rows.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct("a", "b", "line"))), 1, most).alias("x"))
+    return first.select(id_col, F.posexplode("x").alias("n", "y")).select(id_col, (F.col("n") + 1).alias("place"), "y.line")
 
 
 def opening_hours(hours: DataFrame) -> DataFrame:
@@ -299,17 +307,30 @@ def canonical_city(df: DataFrame, cities: DataFrame, col: str = "city") -> DataF
     return out.withColumn("city_name", F.when(F.coalesce(F.trim(col), F.lit("")) != "", known)).drop("_k", "_s", "_a", "_b")
 
 
+def _pairs_of_letters(word):
+    """Neighbouring letters of a word, and its letters too if it has three at most: two words with a ratio of 80 share one."""
+    n = F.length(word)
+    two = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(2)))
+    one = F.when(n <= 3, F.split(word, "")).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(two, one))
+
+
 def detect_city(df: DataFrame, cities: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """the city that a text names: as it stands, else by a shared stem (90) or a name ratio of 80 and more."""
+    """the city that a text names: as it stands, else by a word with its stem (all but two letters, four at least; 90)
+    or by a ratio of 80 and more of a word and its name."""
     from ..functions.similarity import col_ratio
 
-    names = cities.select(F.col("name").alias("city"), F.lower("name").alias("c")).distinct()
-    low = df.select(id_col, F.lower(text).alias("t"))
-    exact = low.join(names, F.col("t").contains(F.col("c"))).select(id_col, "city", F.lit(100.0).alias("score"))
-    words = low.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?U)(\w{4,})"), F.lit(1)))).alias("w"))
-    pairs = words.select("w").distinct().join(names, F.substring("w", 1, 3) == F.substring("c", 1, 3))
-    stem = F.substring(F.col("c"), F.lit(1), F.greatest(F.length("c") - 1, F.lit(4)))
-    near = pairs.withColumn("score", F.when(F.col("w").startswith(stem), 90.0).otherwise(col_ratio("w", "c"))).where("score >= 80")
+    names = cities.select(F.col("name").alias("city"), T.col_clean("name").alias("c")).where("c != ''").distinct()
+    low = df.select(id_col, T.col_clean(text).alias("t")).where("t != ''")
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring("t", i, F.lit(2))))
+    at = low.select(id_col, "t", F.explode(F.concat(heads, F.array_distinct(F.split("t", "")))).alias("head")).where("head != ''").distinct()
+    exact = at.join(names.withColumn("head", F.substring("c", 1, 2)), "head").where(F.contains("t", "c")).select(id_col, "city", F.lit(100.0).alias("score"))
+    words = low.select(id_col, F.explode(F.array_distinct(F.split("t", " "))).alias("w")).where("w != ''")
+    keyed = lambda d, c: d.withColumn("key", F.explode(_pairs_of_letters(F.col(c)))).where("key != ''")
+    pairs = keyed(words.select("w").distinct(), "w").join(keyed(names, "c"), "key").drop("key").distinct()
+    stem = F.substring(F.col("c"), F.lit(1), F.greatest(F.length("c") - 2, F.lit(4)))
+    ratio = col_ratio("w", "c")
+    near = pairs.withColumn("score", F.when(F.col("w").startswith(stem), F.greatest(ratio, F.lit(90.0))).otherwise(ratio)).where("score >= 80")
     found = exact.unionByName(words.join(near, "w").select(id_col, "city", "score"))
     return first_by(found, [id_col], F.desc("score"), F.desc(F.length("city")), "city")
 

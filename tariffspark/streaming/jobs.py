@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..data import shared_dir
 from ..functions import text as T
 from ..operators.dedup import dedup_min_price, upsert_prices
 from ..operators.match import normalize
@@ -99,10 +100,31 @@ def isolate(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def drained(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream has written when all input at hand is done: for tests, checks and backfills, into memory."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """What a stream has written when all input at hand is done: Parquet in the shared folder, a part a micro-batch (a
+    batch that runs again replaces its own), or the last whole result in complete mode."""
+    base = f"{shared_dir(spark)}/{name}"
+
+    def put(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows" if mode == "complete" else f"{base}/rows/batch={i}")
+
+    df.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/rows").select(df.columns)
+
+
+class PriceTable:
+    """Prices in versions under a folder: each micro-batch reads the last one and writes the next."""
+
+    def __init__(self, empty: DataFrame, path: str):
+        self.now, self.path, self.version = empty, path, 0
+
+    def read(self) -> DataFrame:
+        return self.now
+
+    def write(self, df: DataFrame) -> None:
+        self.version += 1
+        out = f"{self.path}/v{self.version}"
+        df.write.mode("overwrite").parquet(out)
+        self.now = df.sparkSession.read.schema(df.schema).parquet(out)
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:

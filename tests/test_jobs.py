@@ -92,3 +92,98 @@ def test_html_rows(spark):
 def test_empty_tables(spark):
     p = prices(spark, []).limit(0)
     assert D.dedup_min_price(p).count() == 0 and D.service_summary(p).count() == 0
+
+
+def test_semantic_tier(spark):
+    """Names that letters do not match, with vectors: the nearest service from 0.72 on, but not one of another specimen."""
+    s = catalog(spark)
+    names = ["qwerty zzz", "uiop asdf", "сахар мочи вечером"]
+    items = spark.createDataFrame(list(enumerate(names)), "item_id long, raw_name string")
+    q = spark.createDataFrame([(0, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "q long, v array<double>")
+    c = spark.createDataFrame([(2, [1.0, 0.0]), (1, [0.7, -0.7])], "c long, v array<double>")
+    got = {r.item_id: (r.service_id, r.confidence) for r in M.match(items, M.build_dictionary(s), s, (q, c)).collect()}
+    assert got[0][0] == 2 and abs(got[0][1] - 1 / 1.01**0.5) < 1e-9
+    assert got[1][1] < 0.72
+    one = {r.item_id: (r.method, r.service_id) for r in M.match_one(items, M.build_dictionary(s), s, (q, c)).collect()}
+    assert one[0] == ("semantic", 2) and one[1][0] == "none"
+    how = {r.item_id: r.method for r in M.normalize(items, s, (q, c))[0].collect()}
+    assert how[0] == "semantic" and how[1] == "new"
+    shown = {r.item_id: (r.method, r.service_id) for r in M.preview(items, M.build_dictionary(s), s, (q, c)).collect()}
+    assert shown[0] == ("semantic", 2)
+    pool = {(r.item_id, r.service_id) for r in M.review_candidates(items, s, (q, c)).collect()}
+    assert {(0, 2), (1, 2), (2, 2)} <= pool
+
+
+def test_given_decisions(spark):
+    s = catalog(spark)
+    items = spark.createDataFrame([(1, "qwerty zzz"), (2, "uiop asdf")], "item_id long, raw_name string")
+    d = spark.createDataFrame([("qwerty zzz", 4, None, None, 0.9), ("uiop asdf", None, "Новая услуга", "УЗИ", 0.8)], "raw_name string, match_id long, canonical string, category string, confidence double")
+    matched, made, learned = M.normalize(items, s, decisions=d)
+    got = {r.item_id: (r.service_id, r.method, r.is_new) for r in matched.collect()}
+    new = made.collect()
+    assert got[1] == (4, "decision", False) and got[2][1:] == ("decision", True)
+    assert [(r.canonical_name, r.category) for r in new] == [("Новая услуга", "УЗИ")] and got[2][0] == new[0].id
+    assert {r.service_id: r.learned for r in learned.collect()}[4] == ["qwerty zzz"]
+
+
+def test_search_suggest_and_questions(spark):
+    s = catalog(spark)
+    q = spark.createDataFrame([(1, "глюкоза"), (2, "общий")], "query_id long, query string")
+    names = [(r.query_id, r.canonical_name) for r in M.suggest(q, s).orderBy("query_id", "place").collect()]
+    assert names[0] == (1, "Глюкоза (в крови)") and {n for i, n in names if i == 2} == {"Общий анализ крови", "Общий анализ мочи"}
+    asked = spark.createDataFrame([(1, "сколько стоит общий анализ крови?"), (2, "zzz")], "question long, text string")
+    got = [(r.question, r.service_id) for r in M.rank_services(asked, s, M.build_dictionary(s)).collect()]
+    assert (1, 1) in got and all(i == 1 for i, _ in got)
+
+
+def test_service_lines(spark):
+    rows = [(1, "ОАК, 12.06"), (2, "АЛТ/АСТ"), (3, "глюкоза + холестерин\n1) ОАМ;  УЗИ   почек."), (4, "Пациент: Иванов\n12"), (5, "\n".join(f"анализ номер-{chr(1072 + i)}бв" for i in range(32))), (6, None)]
+    got = {}
+    for r in X.extract_service_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "place").collect():
+        got.setdefault(r.doc_id, []).append(r.line)
+    assert got[1] == ["ОАК"] and got[2] == ["АЛТ", "АСТ"] and got[3] == ["глюкоза", "холестерин", "ОАМ", "УЗИ почек"]
+    assert 4 not in got and 6 not in got and len(got[5]) == 30
+
+
+def test_city_in_any_case(spark):
+    cities = spark.createDataFrame([("Караганда",), ("Астана",), ("Алматы",), ("Тараз",)], "name string")
+    t = spark.createDataFrame([(1, "узи в Караганде"), (2, "из Астаны"), (3, "лаборатория олматы"), (4, "ничего"), (5, "тараз, алматы"), (6, None)], "doc_id long, text string")
+    got = {r.doc_id: r.city for r in X.detect_city(t, cities).collect()}
+    assert {i: got.get(i) for i in (1, 2, 3, 4, 6)} == {1: "Караганда", 2: "Астана", 3: "Алматы", 4: None, 6: None} and got[5] in ("Тараз", "Алматы")
+
+
+def test_json_keys_in_order(spark):
+    rows = [(1, '[{"атауы": "Общий анализ", "бағасы": 2500}]'), (2, '[{"service_name": "later", "title": "first one", "value": 7, "цена": 9}]'), (3, '[{"name": null, "title": "never seen", "price": 5}]')]
+    got = {r.doc_id: (r.raw_name, r.price) for r in X.items_from_json(spark.createDataFrame(rows, "doc_id long, payload string")).collect()}
+    assert got == {1: ("Общий анализ", 2500.0), 2: ("first one", 9.0)}
+
+
+def test_html_rows_once(spark):
+    row = "<tr><td>1</td><td>Приём терапевта</td><td>8 000</td></tr>"
+    h = spark.createDataFrame([(1, f"<table>{row}{row.replace('Приём', 'ПРИЁМ')}</table>")], "page_id long, html string")
+    assert [(r.raw_name, r.price) for r in X.items_from_html(h).collect()] == [("Приём терапевта", 8000.0)]
+
+
+def test_stream_batches_keep_state(spark, tmp_path):
+    """Two files, two micro-batches: the second finds what the first has written."""
+    from tariffspark.streaming import jobs as S
+
+    kind = "item_id long, clinic_id long, raw_name string, source_type string, price decimal(12,2), valid_from date"
+    for n, row in enumerate([(1, 7, "ОАК", "upload", Decimal(2500), DAY), (2, 7, "ОАК", "web_scrape", Decimal(1900), DAY)]):
+        spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    empty = spark.createDataFrame([], "id long, clinic_id long, service_id long, source_type string, price decimal(12,2), match_confidence double, valid_from date")
+    table = S.PriceTable(empty, str(tmp_path / "prices"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    S.ingest(stream, catalog(spark), table.read, table.write, str(tmp_path / "checkpoint")).awaitTermination()
+    assert table.version >= 2 and [(r.service_id, float(r.price), r.source_type) for r in table.read().collect()] == [(1, 2500.0, "upload")]
+
+
+def test_archive_listing(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "прайс.csv").write_text("a;b")
+    (tmp_path / "readme.txt").write_text("x")
+    with zipfile.ZipFile(tmp_path / "все.zip", "w") as z:
+        z.writestr("x/лист.xlsx", b"PK")
+        z.writestr("справочник.xlsx", b"PK")
+    assert sorted((r.name, r.format) for r in X.list_archive(spark, str(tmp_path)).collect()) == [("лист.xlsx", "xlsx"), ("прайс.csv", "csv")]
