@@ -3,8 +3,8 @@
 Every row has BITS hash bits of its id and text. The directory starts with one bucket (no bits); only buckets over the
 byte limit split on their next bit, until each fits or holds rows of one hash only. Bytes are summed once, by prefixes
 about SPREAD times finer than the shards need; the directory is split on those sums, level by level. Only rows of a prefix
-that is still too large are summed again, by longer ones. Rows then join their bucket by prefix, and `write_shards` writes
-each shard by itself.
+that is still too large are summed again, by longer ones. Rows then join their bucket by prefix (the
+buckets are broadcast if they are few), and `write_shards` writes each shard by itself.
 
 Defined results: null and empty texts count OVERHEAD bytes; a row larger than the limit gets a shard of its own with rows
 of the same hash, if any; each input row gives one output row; extra columns are ignored, and written.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ._core import cut, shared_dir, table
 
 LIMIT, OVERHEAD, BITS, SPREAD = 64 << 20, 16, 60, 64
+#: Buckets that are broadcast at most (two numbers each); of more, rows and buckets are dealt by hash.
+BROADCAST = 200_000
 
 
 def _hash(id_col: str, text_col: str):
@@ -33,6 +35,11 @@ def _prefix(h, depth):
     return F.shiftrightunsigned(h, BITS - depth) if depth else F.lit(0).cast("long")
 
 
+def _bits():
+    """A bucket's prefix as text."""
+    return F.when(F.col("depth") > 0, F.substring(F.lpad(F.bin("prefix"), BITS, "0"), BITS + 1 - F.col("depth"), F.col("depth"))).otherwise("")
+
+
 def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """depth, prefix (a number of so many bits), shard_bytes: the buckets. rows: h, n_bytes."""
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).collect()[0]["n"]
@@ -64,10 +71,12 @@ def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
     # Buckets are ranges of hashes in order: a row's bucket is the one of its own prefix, at one of the depths in use.
     depths = [r["depth"] for r in buckets.select("depth").distinct().collect()]  # BITS + 1 at most
     names = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("h"), d).alias("prefix")) for d in sorted(depths)]) if depths else F.array().cast("array<struct<depth:int,prefix:bigint>>")
+    if buckets.count() <= BROADCAST:
+        placed = rows.select("row", "n_bytes", F.explode(names).alias("x")).select("row", "n_bytes", "x.*").join(F.broadcast(buckets), ["depth", "prefix"])
+        return placed.select("row", _bits().alias("shard"), "depth", "n_bytes", "shard_bytes")
     keys = rows.select("h").distinct().select("h", F.explode(names).alias("x")).select("h", "x.*")
     of = cut(keys.join(buckets, ["depth", "prefix"]), "buckets-of-hashes")
-    bits = F.when(F.col("depth") > 0, F.substring(F.lpad(F.bin("prefix"), BITS, "0"), BITS + 1 - F.col("depth"), F.col("depth"))).otherwise("")
-    return rows.join(of, "h").select("row", bits.alias("shard"), "depth", "n_bytes", "shard_bytes")
+    return rows.join(of, "h").select("row", _bits().alias("shard"), "depth", "n_bytes", "shard_bytes")
 
 
 def write_shards(docs: DataFrame, out: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
