@@ -68,66 +68,135 @@ def col_token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 #: Dictionary keys that one broadcast block may hold.
 BLOCK = 50_000
+#: Letters are counted by code point modulo this: sharing a place can only raise a bound.
+LETTERS = 64
 
 
 class _Keys:
-    """A block of the dictionary: keys in order of position, with an index of tokens."""
+    """A block of the dictionary: keys in order of position, their tokens and letter counts as arrays.
+
+    A name meets the whole block in a few array steps that give each key its score or an upper bound of it; only keys
+    whose bound may still matter are compared letter by letter."""
 
     def __init__(self, keys: list[str], places: list[int]):
         self.keys, self.places = keys, places
-        self.exact = {k: i for i, k in enumerate(keys)}
-        self.tokens = [set(k.split()) for k in keys]
-        self.having: dict[str, list[int]] = {}
-        for i, ts in enumerate(self.tokens):
+        tokens = [set(k.split()) for k in keys]
+        self.words = np.array([len(t) for t in tokens], dtype=np.int32)
+        self.chars = np.array([sum(map(len, t)) for t in tokens], dtype=np.int32)
+        self.letters = np.zeros((LETTERS, len(keys)), dtype=np.int32)
+        having: dict[str, list[int]] = {}
+        for i, ts in enumerate(tokens):
             for t in ts:
-                self.having.setdefault(t, []).append(i)
+                having.setdefault(t, []).append(i)
+                for ch in t:
+                    self.letters[ord(ch) % LETTERS, i] += 1
+        self.having = {t: np.array(at, dtype=np.int32) for t, at in having.items()}
+
+    def _bounds(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """(upper bound of the score, whether it is the score) of every key."""
+        mine = set(name.split())
+        n, m = self.words, self.chars
+        shared, base = np.zeros_like(n), np.zeros_like(m)
+        count = np.zeros(LETTERS, dtype=np.int32)
+        for t in mine:
+            at = self.having.get(t)
+            if at is not None:
+                shared[at] += 1
+                base[at] += len(t)
+            for ch in t:
+                count[ord(ch) % LETTERS] += 1
+        used = np.flatnonzero(count)
+        common = np.minimum(self.letters[used], count[used, None]).sum(0) - base  # letters that both rests have
+        rest = lambda words, chars: chars - base + np.maximum(words - shared - 1, 0)  # noqa: E731  length of what is not shared, joined
+        left, right = rest(len(mine), sum(map(len, mine))), rest(n, m)
+        common = common + np.minimum(np.maximum(len(mine) - shared - 1, 0), np.maximum(n - shared - 1, 0))
+        gap = (shared > 0).astype(np.int32)
+        base = base + np.maximum(shared - 1, 0)
+        la, lb = base + gap + left, base + gap + right
+        whole = 100.0 * (1 - (left + right - 2 * common) / np.maximum(la + lb, 1))
+        part = np.maximum(100.0 * (1 - (gap + left) / np.maximum(base + la, 1)), 100.0 * (1 - (gap + right) / np.maximum(base + lb, 1)))
+        part = np.where(gap > 0, part, 0.0)
+        inside = (gap > 0) & ((shared == len(mine)) | (shared == n))
+        bound = np.where(inside, 100.0, np.maximum(whole, part))
+        bound = np.where((n == 0) | (not mine), 0.0, bound)
+        return bound, inside | (n == 0) | (not mine) | (part > whole + 1e-6)
+
+    def _score(self, name: str, i: int) -> float:
+        return token_set_ratio(name, self.keys[i])
 
     def top(self, name: str, k: int) -> list[tuple[int, float]]:
-        """Best k keys by (score desc, position). Keys sharing a token come first; the rest are bounded by length."""
-        words = set(name.split())
-        near = {i for t in words for i in self.having.get(t, ())}
-        found = sorted(((-token_set_ratio(name, self.keys[i]), i) for i in near))[:k]
-        worst = -found[-1][0] if len(found) == k else 0.0
-        n = len(" ".join(sorted(words)))
-        for i, key in enumerate(self.keys):
-            if i in near:
-                continue
-            m = len(key)
-            if len(found) == k and 200.0 * min(n, m) / max(1, n + m) < worst:
-                continue
-            s = token_set_ratio(name, key)
-            if len(found) < k or s >= worst:
-                found = sorted([*found, (-s, i)])[:k]
-                worst = -found[-1][0] if len(found) == k else 0.0
-        return [(self.places[i], -s) for s, i in found]
-
-
-def top_keys(names: DataFrame, dictionary: DataFrame, k: int, name_col: str = "key", block: int = BLOCK) -> DataFrame:
-    """name, place, score: the best k dictionary keys of each distinct name. dictionary: key, place (its order).
-
-    The dictionary is the catalog, far smaller than the names; it is taken in broadcast blocks of `block` keys, and the
-    best of the blocks are merged."""
+        """Best k keys by (score desc, position)."""
+        bound, known = self._bounds(name)
+        found: list[tuple[float, int]] = []
+        size = 4 * k
+        kept = 0
+        while True:  # the keys of highest bound, then four times as many, until no other can be among the best
+            some = np.argsort(-bound, kind="stable") if size >= len(bound) else self._highest(bound, size)
+            for i in some[kept:].tolist():
+                if len(found) == k and bound[i] + 1e-6 < -found[-1][0]:
+                    return [(self.places[i], -s) for s, i in found]
+                s = 100.0 if known[i] and bound[i] == 100.0 else self._score(name, i)
+                if len(found) < k or (-s, i) < found[-1]:
+                    found = sorted([*found, (-s, i)])[:k]
+            kept = len(some)
+            if kept >= len(bound):
+                return [(self.places[i], -s) for s, i in found]
+            size *= 4
+
+    @staticmethod
+    def _highest(bound: np.ndarray, size: int) -> np.ndarray:
+        """At least `size` keys of highest bound, all of an equal bound among them, in order of (bound desc, position)."""
+        low = np.partition(bound, len(bound) - size)[len(bound) - size]
+        some = np.flatnonzero(bound >= low)
+        return some[np.argsort(-bound[some], kind="stable")]
+
+    def above(self, name: str, floor: float) -> list[tuple[int, float]]:
+        """All keys of at least the score `floor`."""
+        bound, known = self._bounds(name)
+        out = []
+        for i in np.flatnonzero(bound + 1e-6 >= floor).tolist():
+            s = 100.0 if known[i] and bound[i] == 100.0 else self._score(name, i)
+            if s >= floor:
+                out.append((self.places[i], s))
+        return out
+
+
+def _met(names: DataFrame, dictionary: DataFrame, name_col: str, block: int, ask) -> DataFrame:
+    """name, place, score: what `ask(keys of a block, name)` gives for each distinct name.
+
+    The dictionary is the catalog, far smaller than the names; it is taken in broadcast blocks of about `block` keys."""
     spark = names.sparkSession
     distinct = names.select(F.col(name_col).alias("name")).where("name is not null").distinct()
-    total = dictionary.count()
+    blocks = max(1, -(-dictionary.count() // block))
     parts = []
-    for i in range(max(1, -(-total // block))):
-        rows = dictionary.where(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // block)))) == i).orderBy("place").collect()  # about `block` keys
+    for i in range(blocks):
+        rows = dictionary.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).orderBy("place").collect()
         shared = spark.sparkContext.broadcast(_Keys([r["key"] for r in rows], [r["place"] for r in rows]))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = [(n, p, s) for n in b["name"] for p, s in shared.value.top(n, k)]
+                out = [(n, p, s) for n in b["name"] for p, s in ask(shared.value, n)]
                 yield pd.DataFrame(out, columns=["name", "place", "score"])
 
         parts.append(distinct.repartition("name").mapInPandas(run, "name string, place long, score double"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
+    return found
+
+
+def top_keys(names: DataFrame, dictionary: DataFrame, k: int, name_col: str = "key", block: int = BLOCK) -> DataFrame:
+    """name, place, score, rank: the best k dictionary keys of each distinct name. dictionary: key, place (its order)."""
+    found = _met(names, dictionary, name_col, block, lambda keys, name: keys.top(name, k))
     w = Window.partitionBy("name").orderBy(F.desc("score"), "place")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def keys_above(names: DataFrame, dictionary: DataFrame, floor: float, name_col: str = "key", block: int = BLOCK) -> DataFrame:
+    """name, place, score: all dictionary keys whose score with a distinct name is at least `floor`."""
+    return _met(names, dictionary, name_col, block, lambda keys, name: keys.above(name, floor))
+
+
 def cosine_topk(queries: DataFrame, catalog: DataFrame, k: int, block: int = 20_000) -> DataFrame:
     """q, c, score, rank: nearest catalog vectors by cosine. queries: q, v; catalog: c, v. Zero vectors score 0.
 
