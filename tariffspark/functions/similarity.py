@@ -204,9 +204,11 @@ def cosine_topk(queries: DataFrame, catalog: DataFrame, k: int, block: int = 20_
     block once, in a task of its own (a stated query set)."""
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     blocks, parts = (max(1, -(-x.count() // block)) for x in (catalog, queries))
-    cat = catalog.withColumn("block", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
-    ask = queries.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
-    kind_q, kind_c = queries.schema["q"].dataType.simpleString(), catalog.schema["c"].dataType.simpleString()
+    # New names for the columns: both sides may stem from one table.
+    catalog, queries = catalog.select(F.col("c").alias("c_id"), F.col("v").alias("c_v")), queries.select(F.col("q").alias("q_id"), F.col("v").alias("q_v"))
+    cat = catalog.withColumn("block", F.pmod(F.xxhash64("c_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    ask = queries.withColumn("part", F.pmod(F.xxhash64("q_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    kind_q, kind_c = queries.schema["q_id"].dataType.simpleString(), catalog.schema["c_id"].dataType.simpleString()
 
     def unit(v: pd.Series) -> np.ndarray:
         m = np.array(v.tolist(), dtype=float)
@@ -216,13 +218,13 @@ def cosine_topk(queries: DataFrame, catalog: DataFrame, k: int, block: int = 20_
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"q": [], "c": [], "score": []})
-        right = right.sort_values("c")
-        cu, ids, out = unit(right["v"]), right["c"].to_numpy(), []
+        right = right.sort_values("c_id")
+        cu, ids, out = unit(right["c_v"]), right["c_id"].to_numpy(), []
         for lo in range(0, len(left), 1024):
             part = left.iloc[lo : lo + 1024]
-            s = unit(part["v"]) @ cu.T
+            s = unit(part["q_v"]) @ cu.T
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), top.shape[1]), "c": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
+            out.append(pd.DataFrame({"q": np.repeat(part["q_id"].to_numpy(), top.shape[1]), "c": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
         return pd.concat(out)
 
     found = ask.groupBy("block", "part").cogroup(cat.groupBy("block", "part")).applyInPandas(run, f"q {kind_q}, c {kind_c}, score double")

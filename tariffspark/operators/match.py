@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..functions.similarity import col_ratio, col_token_set_ratio, cosine_topk, top_keys
+from ..functions.similarity import col_ratio, col_token_set_ratio, cosine_topk, keys_above, top_keys
 from .dedup import first_by
 
 
@@ -40,11 +40,16 @@ def _keyed(items: DataFrame) -> DataFrame:
     return items.withColumn("key", T.col_clean("raw_name"))
 
 
+def _best_keys(keyed: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
+    """key, score, place, dict_key, service_id, rank: the best k keys of each distinct key of the items."""
+    top = top_keys(keyed, dictionary, k).join(dictionary.select("place", F.col("key").alias("dict_key"), "service_id"), "place")
+    return top.withColumnRenamed("name", "key")
+
+
 def candidates(items: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
     """item columns, score, place, dict_key, service_id, rank: the best k keys of each item. Each distinct key is compared once."""
     keyed = _keyed(items)
-    top = top_keys(keyed, dictionary, k).join(dictionary.select("place", F.col("key").alias("dict_key"), "service_id"), "place")
-    return keyed.join(top.withColumnRenamed("name", "key"), "key")
+    return keyed.join(_best_keys(keyed, dictionary, k), "key")
 
 
 def match_fuzzy(items: DataFrame, dictionary: DataFrame, threshold: float = R.MATCH) -> DataFrame:
@@ -67,17 +72,20 @@ def match_guarded(items: DataFrame, dictionary: DataFrame, services: DataFrame,
     """Among the top k keys without a specimen conflict and within 2 points of the best, the same specimen first,
     then the highest plain ratio. Nothing left: null and 0."""
     s = services.select(F.col("id").alias("service_id"), "canonical_name", "category")
-    good = specimen_conflict(candidates(items, dictionary, k).join(s, "service_id")).where("not conflict")
-    top = F.max("score").over(Window.partitionBy("item_id"))
+    names = items.select("raw_name").distinct()  # a name is decided once, however many items bear it
+    good = specimen_conflict(candidates(names, dictionary, k).join(s, "service_id")).where("not conflict")
+    top = F.max("score").over(Window.partitionBy("raw_name"))
     near = good.withColumn("_top", top).where("score >= _top - 2")
     near = near.withColumn("_same", T.col_specimen("canonical_name").eqNullSafe(T.col_specimen("raw_name"))).withColumn("_ratio", col_ratio("key", "dict_key"))
-    best = first_by(near, ["item_id"], F.desc("_same"), F.desc("_ratio"), "rank").select("item_id", "service_id", "canonical_name", "category", (F.col("score") / 100).alias("confidence"))
-    return items.join(best, "item_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    best = first_by(near, ["raw_name"], F.desc("_same"), F.desc("_ratio"), "rank").select("raw_name", "service_id", "canonical_name", "category", (F.col("score") / 100).alias("confidence"))
+    return items.join(best, "raw_name", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
 def top_candidates(items: DataFrame, dictionary: DataFrame, k: int = 5) -> DataFrame:
     """Distinct services among the best k keys, in order."""
-    return first_by(candidates(items, dictionary, k), ["item_id", "service_id"], "rank").select("item_id", "service_id", "score", "rank")
+    keyed = _keyed(items)
+    once = first_by(_best_keys(keyed, dictionary, k), ["key", "service_id"], "rank")
+    return keyed.join(once, "key").select("item_id", "service_id", "score", "rank")
 
 
 def semantic_topk(item_vecs: DataFrame, service_vecs: DataFrame, k: int = 1) -> DataFrame:
@@ -179,10 +187,12 @@ def normalize(items: DataFrame, services: DataFrame, vecs=None, decisions: DataF
 
 def preview(items: DataFrame, dictionary: DataFrame, services: DataFrame, vecs=None, k: int = 5) -> DataFrame:
     """What normalize would do, by the unguarded best match, with the names of k candidates."""
-    top = candidates(items, dictionary, k).join(services.select(F.col("id").alias("service_id"), "canonical_name"), "service_id")
-    best = top.where("rank = 1").select("item_id", "service_id", (F.col("score") / 100).alias("confidence"))
-    names = first_by(top, ["item_id", "service_id"], "rank").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_name"))), lambda x: x["canonical_name"]).alias("candidates"))
-    m = items.join(best, "item_id", "left").join(names, "item_id", "left").join(_semantic(items, vecs, services), "item_id", "left")
+    keyed = _keyed(items)
+    top = _best_keys(keyed, dictionary, k).join(services.select(F.col("id").alias("service_id"), "canonical_name"), "service_id")
+    once = first_by(top, ["key", "service_id"], "rank").groupBy("key")
+    best = once.agg(F.min_by(F.struct("service_id", F.col("score") / 100), F.when(F.col("rank") == 1, 1)).alias("best"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_name"))), lambda x: x["canonical_name"]).alias("candidates"))
+    best = best.select("key", F.col("best.service_id").alias("service_id"), F.col("best.col2").alias("confidence"), "candidates")
+    m = keyed.join(best, "key", "left").drop("key").join(_semantic(items, vecs, services), "item_id", "left")
     how = F.when(F.col("confidence") >= R.MATCH, "fuzzy").when(F.col("sem_score") >= R.SEMANTIC, "semantic").when(F.col("confidence") >= R.WEAK, "fuzzy-weak").otherwise("new")
     return m.select("item_id", "raw_name", how.alias("method"), F.when(how == "semantic", F.col("sem_id")).when(how != "new", F.col("service_id")).alias("service_id"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "candidates")
 
@@ -234,32 +244,45 @@ def review_candidates(items: DataFrame, services: DataFrame, vecs=None, k: int =
     return pool.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("at", "service_id"))).select("item_id", "service_id", "place")
 
 
+def _grams(text: str, n: int):
+    """All pieces of `n` letters of a text."""
+    c = F.col(text)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+
+
+def held_in(short: DataFrame, long: DataFrame, s: str, t: str, least: int, most: int = 12) -> DataFrame:
+    """Pairs of rows where text `s` (of at least `least` letters) stands inside text `t`: joined by the first `most`
+    letters of `s`, or the first `least` where it has fewer, then compared."""
+    size = F.when(F.length(s) >= most, most).otherwise(least)
+    a = short.where(F.length(s) >= least).withColumn("_piece", F.substring(F.col(s), F.lit(1), size))
+    b = long.where(F.length(t) >= least).withColumn("_piece", F.explode(F.array_distinct(F.concat(_grams(t, least), F.when(F.length(t) >= most, _grams(t, most)).otherwise(F.array().cast("array<string>"))))))
+    return a.join(b, "_piece").where(F.col(t).contains(F.col(s))).drop("_piece")
+
+
 def relevance(queries: DataFrame, services: DataFrame, typos: bool = True) -> DataFrame:
-    """query_id, service_id, score >= 0.7. The catalog is the small side: its distinct (name, synonyms) forms meet the
-    distinct query texts, and the typo tier runs only for pairs without a better one."""
+    """query_id, service_id, score >= 0.7. Distinct query texts meet names by keys: whole names, words and beginnings
+    of words by value, parts of names by their first letters; the typo tier, by similarity, counts only for pairs
+    without a better one."""
     q = queries.withColumn("ql", T.col_clean("query")).where("ql != ''")
-    forms = services.select(T.col_clean("canonical_name").alias("ck"), F.filter(F.transform("synonyms", T.col_clean), lambda x: x != "").alias("sks"), F.col("id").alias("service_id"))
-    pairs = q.select("ql").distinct().join(forms.select("ck", "sks").distinct())
-    ct, st = F.split("ck", " "), F.flatten(F.transform("sks", lambda s: F.split(s, " ")))
-    ql, n = F.col("ql"), F.length("ql")
-    begins = lambda toks: F.exists(toks, lambda t: t.startswith(ql))
-    score = (
-        F.when(ql == F.col("ck"), 1.0)
-        .when(F.array_contains("sks", ql), 0.97)
-        .when(F.array_contains(ct, ql), 0.92)
-        .when(F.array_contains(st, ql), 0.88)
-        .when((n >= 3) & begins(ct), 0.84)
-        .when((n >= 3) & begins(st), 0.78)
-        .when((n >= 5) & (F.col("ck").contains(ql) | F.exists("sks", lambda s: s.contains(ql))), 0.72)
-        .otherwise(0.0)
-    )
-    pairs = pairs.withColumn("score", score)
+    asked = q.select("ql").distinct()
+    own = services.select(F.col("id").alias("service_id"), T.col_clean("canonical_name").alias("name"), F.lit(True).alias("own"))
+    syn = services.select(F.col("id").alias("service_id"), F.explode("synonyms").alias("name")).select("service_id", T.col_clean("name").alias("name"), F.lit(False).alias("own"))
+    names = own.unionByName(syn).where("name != ''")
+    tier = lambda a, b: F.when(F.col("own"), a).otherwise(b)
+    words = names.select("service_id", "own", F.explode(F.split("name", " ")).alias("w"))
+    starts = F.transform(F.sequence(F.lit(3), F.greatest(F.length("w") - 1, F.lit(3))), lambda i: F.substring(F.col("w"), F.lit(1), i))
+    keys = names.select("service_id", F.col("name").alias("ql"), tier(1.0, 0.97).alias("score"))
+    keys = keys.unionByName(words.select("service_id", F.col("w").alias("ql"), tier(0.92, 0.88).alias("score")))
+    keys = keys.unionByName(words.where(F.length("w") > 3).select("service_id", F.explode(starts).alias("ql"), tier(0.84, 0.78).alias("score")))
+    keys = keys.groupBy("ql", "service_id").agg(F.max("score").alias("score"))
+    inside = held_in(asked, names.select("name").distinct(), "ql", "name", 5).join(names.select("name", "service_id"), "name").select("ql", "service_id", F.lit(0.72).alias("score"))
+    pairs = asked.join(keys, "ql").unionByName(inside).groupBy("ql", "service_id").agg(F.max("score").alias("score"))
     if typos:
-        left = pairs.where((F.col("score") == 0) & (n >= 4)).withColumn("name", F.explode(F.array_distinct(F.concat(F.array("ck"), "sks"))))
-        left = left.withColumn("s", col_token_set_ratio("ql", "name")).groupBy("ql", "ck", "sks").agg(F.max("s").alias("s")).where("s >= 88").select("ql", "ck", "sks", (F.col("s") / 100).alias("score"))
-        pairs = pairs.where("score > 0").unionByName(left)
-    hits = pairs.where(F.col("score") >= R.SEARCH)
-    return q.join(hits, "ql").join(forms, ["ck", "sks"]).select("query_id", "service_id", "score")
+        forms = names.select(F.col("name").alias("key")).distinct().withColumn("place", F.xxhash64("key"))
+        near = keys_above(asked.where(F.length("ql") >= 4), forms, 88.0, "ql").join(forms, "place")
+        near = near.join(names.select(F.col("name").alias("key"), "service_id"), "key").groupBy(F.col("name").alias("ql"), "service_id").agg((F.max("score") / 100).alias("like"))
+        pairs = pairs.join(near, ["ql", "service_id"], "full").select("ql", "service_id", F.coalesce("score", "like").alias("score"))
+    return q.join(pairs.where(F.col("score") >= R.SEARCH), "ql").select("query_id", "service_id", "score")
 
 
 def suggest(queries: DataFrame, services: DataFrame, n: int = 8) -> DataFrame:
@@ -286,7 +309,7 @@ def rank_services(questions: DataFrame, services: DataFrame, dictionary: DataFra
     q = questions.withColumn("low", T.col_clean("text"))
     s = services.select(F.col("id").alias("service_id"), "canonical_name", T.col_clean("canonical_name").alias("ck"))
     names = s.select("ck").distinct().where(F.length("ck") >= 4)
-    said = q.select("low").distinct().join(names, F.col("low").contains(F.col("ck")))
+    said = held_in(names, q.select("low").distinct(), "ck", "low", 4)
     full = q.join(said, "low").join(s, "ck").select("question", "text", "service_id", "canonical_name", F.lit(100.0).alias("score"), F.length("ck").alias("size"))
     rest = q.join(full.select("question").distinct(), "question", "left_anti")
     like = candidates(rest.select(F.col("question").alias("item_id"), F.col("text").alias("raw_name")), dictionary, 12).where("score >= 60").join(s, "service_id").select(F.col("item_id").alias("question"), F.col("raw_name").alias("text"), "service_id", "canonical_name", "score", F.lit(0).alias("size"))
