@@ -46,6 +46,8 @@ VISIT = (("repeat", r"повторн|вторичн|контрольн|дина
 STOOL = r"\b(кал|кала|кале|калу|копрограмм\w*|копролог\w*|копроцит\w*|фекал\w*|стул)\b"
 SPUTUM = r"\bмокрот\w*"
 URINE = r"\bмоч[аеиоуы]\w*|\bв\s+моче\b|urin|\bуриа|\bурин"
+# How sub-domains of branches of laboratory chains begin.
+CHAIN = r"(?i)^(invitro|olimp|olympe?|kdl|gemotest|helix|genom|sinevo|synevo|inco|dnk)[-0-9]"
 # Header words of price lists.
 NAME_HINTS = ("наименование", "услуг", "название", "процедур", "анализ", "исследован", "name", "service", "атауы", "қызмет")
 CODE_HINTS = ("код", "code", "шифр")

@@ -99,6 +99,16 @@ def coverage_report(prices: DataFrame, clinics: DataFrame) -> DataFrame:
     return prices.join(clinics.select(F.col("id").alias("clinic_id"), "city"), "clinic_id").groupBy("source_type").agg(F.count("*").alias("n"), F.countDistinct("service_id").alias("services"), F.countDistinct("city").alias("cities"), F.count_if(F.col("match_confidence") < R.MATCH).alias("open_review"))
 
 
+def quality_report(metrics: DataFrame, prices: DataFrame) -> DataFrame:
+    """Totals over documents (A05's rows): positions, services, matched, review, skipped, anomalies, the automatic
+    rate of positions and whether it meets the goal; and the rows of `prices` that wait for an operator."""
+    names = ("items", "services", "matched", "needs_review", "skipped", "anomalies")
+    total = metrics.agg(F.count("*").alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    rate = F.bround(100.0 * F.col("matched") / F.greatest(F.col("matched") + F.col("needs_review"), F.lit(1)), 1)
+    queue = prices.agg(F.count_if(F.col("service_id").isNull()).alias("queue"))
+    return total.withColumn("auto_rate", rate).withColumn("goal_met", rate >= 70).withColumn("_one", F.lit(1)).join(queue.withColumn("_one", F.lit(1)), "_one").drop("_one")  # single rows
+
+
 def ingest_stats(clinics: DataFrame, services: DataFrame, prices: DataFrame, runs: DataFrame, reports: DataFrame) -> DataFrame:
     """One row of counters."""
     c = clinics.agg(F.count("*").alias("clinics"), F.countDistinct(F.nullif(F.trim("city"), F.lit(""))).alias("cities"))

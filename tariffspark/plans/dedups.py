@@ -85,6 +85,17 @@ def a07(spark, d):
     return D.coverage_report(items(spark, d), canon(spark, d, "clinics"))
 
 
+@query(
+    "a07_quality_report",
+    with_canon("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY run_id, coalesce(CAST(service_id AS VARCHAR), 'raw::' || lower(raw_name)) ORDER BY price_resident, id) AS r FROM prices WHERE price_resident > 0),
+    t AS (SELECT count(DISTINCT run_id) AS documents, count(*) AS items, count(*) FILTER (price_resident > 0 AND service_id IS NOT NULL AND match_confidence >= 0.78) AS matched, count(*) FILTER (price_resident > 0) AS ok, count(*) FILTER (service_id IS NULL) AS queue FROM prices)
+    SELECT documents, items, matched, ok - matched AS needs_review, items - ok AS skipped, (SELECT count(*) FROM k WHERE r = 1) AS services, (SELECT count(*) FROM k WHERE r = 1 AND price_nonresident < price_resident) AS anomalies, round_even(100.0 * matched / greatest(ok, 1), 1) >= 70 AS goal_met, queue FROM t"""),
+)
+def a07_quality(spark, d):
+    rows = items(spark, d)
+    return D.quality_report(D.document_metrics(rows), rows).select("documents", "items", "matched", "needs_review", "skipped", "services", "anomalies", "goal_met", "queue")
+
+
 @query(
     "a08_ingest_stats",
     with_canon("""SELECT (SELECT count(*) FROM clinics) AS clinics, (SELECT count(DISTINCT nullif(trim(city), '')) FROM clinics) AS cities, (SELECT count(*) FROM services) AS services, (SELECT count(*) FROM prices) AS prices,

@@ -64,13 +64,16 @@ def s04(spark, d):
     return X.items_from_cards(pages, rules).select(F.col("id").alias("page_id"), "raw_name", "price", "duration_days")
 
 
-@query("s05_business_cards", "SELECT s_suppkey AS page_id, s_name AS name, '+7' || CAST(s_suppkey AS VARCHAR) AS phone, CAST(s_suppkey % 5 AS DOUBLE) + 0.5 AS rating FROM supplier")
+@query("s05_business_cards", "SELECT s_suppkey AS page_id, s_name AS name, '+7' || CAST(s_suppkey AS VARCHAR) AS phone, CAST(s_suppkey % 5 AS DOUBLE) + 0.5 AS rating, CASE s_suppkey % 3 WHEN 0 THEN 'Пн–Ср 08:00–1' || CAST(s_suppkey % 10 AS VARCHAR) || ':00, Сб 10:00–14:00' WHEN 1 THEN 'Круглосуточно' ELSE '' END AS working_hours FROM supplier")
 def s05(spark, d):
     s = raw(spark, d, "supplier")
     k = F.col("s_suppkey")
-    j = F.concat(F.lit('{"@type":"MedicalClinic","name":"'), "s_name", F.lit('","telephone":["+7'), k.cast("string"), F.lit('","x"],"aggregateRating":{"ratingValue":"'), (k % 5).cast("string"), F.lit(',5"}}'))
+    early = F.concat(F.lit('{"dayOfWeek":["https://schema.org/Monday","Tuesday","Wednesday"],"opens":"08:00:00","closes":"1'), (k % 10).cast("string"), F.lit(':00"},{"dayOfWeek":"Saturday","opens":"09:00","closes":"12:00"},{"dayOfWeek":"http://schema.org/Saturday/","opens":"10:00","closes":"14:00"},{"dayOfWeek":"Sunday","closes":"14:00"}'))
+    always = '{"dayOfWeek":["Monday","Tuesday","Wednesday","Thursday","Friday","Saturday","Sunday"],"opens":"00:00","closes":"23:59"}'
+    spec = F.concat(F.lit("["), F.when(k % 3 == 0, early).when(k % 3 == 1, always).otherwise(""), F.lit("]"))
+    j = F.concat(F.lit('{"@type":"MedicalClinic","name":"'), "s_name", F.lit('","telephone":["+7'), k.cast("string"), F.lit('","x"],"openingHoursSpecification":'), spec, F.lit(',"aggregateRating":{"ratingValue":"'), (k % 5).cast("string"), F.lit(',5"}}'))
     pages = s.select(k.alias("page_id"), F.concat(F.lit('<script type="application/ld+json">'), j, F.lit("</script>")).alias("html"))
-    return X.business_cards(pages).select("page_id", "name", "phone", "rating")
+    return X.business_cards(pages).select("page_id", "name", "phone", "rating", "working_hours")
 
 
 @query("s06_text_lines", f"SELECT o_custkey AS doc_id, trim({NAME}) AS raw_name, {PRICE} AS price FROM orders WHERE {OK}")

@@ -49,10 +49,15 @@ def m03(spark, d):
     return M.match_fuzzy(items(spark, d), M.build_dictionary(services(spark, d)))
 
 
-@query("m03_token_subset", with_canon("SELECT p_partkey AS item_id, 1.0E0 AS confidence FROM part WHERE p_partkey % 4 IN (0, 1, 3)"))
+@query(
+    "m03_token_subset",
+    with_canon(f"""WITH i AS (SELECT p_partkey AS item_id, list_distinct(string_split(lower(CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type || ' ' || p_name WHEN 2 THEN substr(p_name, 1, 5) || 'x' || substr(p_name, 6) ELSE p_name || ' ' || replace(p_brand, '#', ' ') END), ' ')) AS a FROM part),
+    k AS (SELECT key, arg_max(service_id, service_id) AS service_id, min(place) AS place FROM (SELECT lower(canonical_name) AS key, id AS service_id, id * 1024 AS place FROM {SERVICES} UNION ALL SELECT lower(synonym), id, id * 1024 + 1 FROM {SERVICES}) GROUP BY ALL)
+    SELECT item_id, arg_min(service_id, place) AS service_id, 1.0E0 AS confidence FROM i, k WHERE list_has_all(a, string_split(key, ' ')) OR list_has_all(string_split(key, ' '), a) GROUP BY ALL"""),
+)
 def m03_exact(spark, d):
-    """The tier of score 100: all words of the item or of a key are in the other."""
-    return M.match_fuzzy(items(spark, d).where("item_id % 4 in (0, 1, 3)"), M.build_dictionary(services(spark, d))).where("confidence = 1").select("item_id", "confidence")
+    """The tier of score 100: all words of the item or of a key are in the other. Every item is asked."""
+    return M.match_fuzzy(items(spark, d), M.build_dictionary(services(spark, d))).where("confidence = 1")
 
 
 @query("m04_match_guarded")
@@ -100,7 +105,9 @@ def m08(spark, d):
 def m09(spark, d):
     s = services(spark, d)
     lines = raw(spark, d, "part").select(F.col("p_partkey").alias("line_id"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(", "), "p_type", F.lit(" x"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Липидограмма "), "p_name")).otherwise(F.concat("p_name", F.lit(" "), "p_type")).alias("text"))
-    return M.analyze_lines(lines, M.build_dictionary(s), s)
+    asked, catalog = _vecs(spark, d)
+    whole = asked.select(F.xxhash64("q", F.lit(-1)).alias("q"), "v")  # lines as a whole have part -1
+    return M.analyze_lines(lines, M.build_dictionary(s), s, (whole, catalog))
 
 
 @query("m10_normalize")
@@ -176,6 +183,11 @@ def m16(spark, d):
     return M.relevance(_queries(spark, d), services(spark, d), typos=False)
 
 
+@query("m16_relevance_typos")
+def m16_typos(spark, d):
+    return M.relevance(_queries(spark, d), services(spark, d))
+
+
 @query("m17_suggest")
 def m17(spark, d):
     return M.suggest(_queries(spark, d), services(spark, d))

@@ -23,9 +23,9 @@ def f02(spark, d):
     return raw(spark, d, "orders").select("o_orderkey", T.col_parse_price(F.concat(F.lit("цена "), F.format_string("%.2f", p), F.lit(" ₸"))).alias("a"), T.col_parse_price(F.concat(whole, F.lit(",5 тг"))).alias("b"))
 
 
-@query("f03_parse_price_archive", "SELECT o_orderkey, o_totalprice AS a, CAST(floor(o_totalprice) * 1000 + 2 AS DOUBLE) AS b FROM orders WHERE o_totalprice < 100000 AND o_totalprice >= 1")
+@query("f03_parse_price_archive", "SELECT o_orderkey, o_totalprice AS a, CASE WHEN floor(o_totalprice) * 1000 + 2 <= 100000000 THEN CAST(floor(o_totalprice) * 1000 + 2 AS DOUBLE) END AS b FROM orders")
 def f03(spark, d):
-    o = raw(spark, d, "orders").where("o_totalprice < 100000 and o_totalprice >= 1")
+    o = raw(spark, d, "orders")
     return o.select("o_orderkey", T.col_parse_price_archive(F.format_string("%.2f KZT", "o_totalprice")).alias("a"), T.col_parse_price_archive(F.format_string("%d.002", F.floor("o_totalprice"))).alias("b"))
 
 
@@ -175,6 +175,14 @@ def f25_slugs(spark, d):
     return X.extract_slugs(raw(spark, d, "pages"), "url", "example.com").select("page_id", "slug")
 
 
+@query("f25_chain_branches", "SELECT s_suppkey AS page_id, CASE s_suppkey % 4 WHEN 0 THEN 'invitro-' || CAST(s_suppkey AS VARCHAR) ELSE 'kdl' || CAST(s_suppkey AS VARCHAR) END AS slug FROM supplier WHERE s_suppkey % 4 < 2")
+def f25_chains(spark, d):
+    k = F.col("s_suppkey")
+    at = F.concat(F.when(k % 4 == 0, "invitro-").when(k % 4 == 1, "kdl").when(k % 4 == 2, "kdlx").otherwise("clinic"), k.cast("string"))
+    links = F.concat(F.lit('<a href="https://'), at, F.lit('.example.com/a">x</a><a href="https://clinic-7.example.com"></a><a href="https://'), at, F.lit('.example.com/b">'))
+    return X.extract_slugs(raw(spark, d, "supplier").select(k.alias("page_id"), links.alias("html")), "html", "example.com", chains=True).select("page_id", "slug")
+
+
 @query("f26_detect_city")
 def f26(spark, d):
     cities = raw(spark, d, "nation").select(F.concat(F.lit("there"), F.col("n_nationkey").cast("string")).alias("name"))

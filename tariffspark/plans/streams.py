@@ -35,10 +35,10 @@ def t03(spark, d):
     return S.drained(spark, S.price_drops(e, subs), _name("t03")).groupBy("subscription_id").agg(F.count("*").alias("alerts"))
 
 
-@query("t04_daily_prices", "SELECT CAST(ts AS DATE) AS day, event_type AS service_id, count(*) AS n, min(value) AS min_price FROM events GROUP BY ALL")
+@query("t04_daily_prices", "SELECT CAST(ts AS DATE) AS day, event_type AS service_id, count(*) AS n, min(value) AS min_price, round(median(value), 6) AS median_price FROM events GROUP BY ALL")
 def t04(spark, d):
     e = S.read_events(spark, d).select("ts", F.col("event_type").alias("service_id"), F.col("value").alias("price"))
-    return S.drained(spark, S.daily_prices(e), _name("t04"), "complete").select(F.col("day").cast("date").alias("day"), "service_id", "n", "min_price")
+    return S.drained(spark, S.daily_prices(e), _name("t04"), "complete").select(F.col("day").cast("date").alias("day"), "service_id", "n", "min_price", F.round("median_price", 6).alias("median_price"))
 
 
 @query("t05_once_only", "SELECT user_id, event_type, props, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, props FROM events) GROUP BY ALL")

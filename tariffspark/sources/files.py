@@ -181,13 +181,29 @@ def items_from_cards(df: DataFrame, adapters: DataFrame, html: str = "html", id_
     return out.select("id", "card", "raw_name", T.col_parse_price("p").alias("price"), F.nullif(F.regexp_extract("d", r"\d+", 0), F.lit("")).cast("int").alias("duration_days")).where((F.length("raw_name") > 2) & F.col("price").isNotNull())
 
 
+#: Days as JSON-LD names them, from Monday.
+WEEK = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+
+
+def _card_hours(cards: DataFrame, id_col: str) -> DataFrame:
+    """Opening hours of cards with a `spec`: a day that several entries name has the last one's hours."""
+    entry = F.from_json("spec", "array<struct<dayOfWeek:string,opens:string,closes:string>>")
+    rows = cards.select(id_col, F.posexplode(entry).alias("place", "e")).select(id_col, "place", F.substring("e.opens", 1, 5).alias("opens"), F.substring("e.closes", 1, 5).alias("closes"), "e.dayOfWeek")
+    days = F.when(F.col("dayOfWeek").startswith("["), F.from_json("dayOfWeek", "array<string>")).otherwise(F.array("dayOfWeek"))
+    named = F.lower(F.element_at(F.split(F.regexp_replace("d", "/+$", ""), "/"), -1))
+    rows = rows.where("opens != '' and closes != ''").withColumn("d", F.explode(days)).withColumn("day", (F.array_position(F.array(*[F.lit(x) for x in WEEK]), named) - 1).cast("int"))
+    last = first_by(rows.where("day >= 0"), [id_col, "day"], F.desc("place"))
+    return opening_hours(last.select(F.col(id_col).alias("clinic_id"), "day", "opens", "closes")).withColumnRenamed("clinic_id", id_col)
+
+
 def business_cards(df: DataFrame, html: str = "html", id_col: str = "page_id") -> DataFrame:
-    """Business data in JSON-LD blocks: name, city, street, first phone, place and rating."""
+    """Business data in JSON-LD blocks: name, city, street, first phone, place, rating and opening hours."""
     blocks = df.select(id_col, F.posexplode(F.regexp_extract_all(html, F.lit(r'(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))).alias("n", "j"))
     g = lambda p: F.get_json_object("j", p)
     num = lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double")
-    out = blocks.select(id_col, "n", g("$.name").alias("name"), g("$.address.addressLocality").alias("city"), g("$.address.streetAddress").alias("address"), F.coalesce(g("$.telephone[0]"), g("$.telephone")).alias("phone"), num(g("$.geo.latitude")).alias("lat"), num(g("$.geo.longitude")).alias("lng"), F.bround(num(g("$.aggregateRating.ratingValue")), 1).alias("rating"))
-    return first_by(out.where("name is not null"), [id_col], "n").drop("n")
+    out = blocks.select(id_col, "n", g("$.name").alias("name"), g("$.address.addressLocality").alias("city"), g("$.address.streetAddress").alias("address"), F.coalesce(g("$.telephone[0]"), g("$.telephone")).alias("phone"), num(g("$.geo.latitude")).alias("lat"), num(g("$.geo.longitude")).alias("lng"), F.bround(num(g("$.aggregateRating.ratingValue")), 1).alias("rating"), g("$.openingHoursSpecification").alias("spec"))
+    cards = first_by(out.where("name is not null"), [id_col], "n").drop("n")
+    return cards.drop("spec").join(_card_hours(cards.where("spec is not null"), id_col), id_col, "left").fillna("", ["working_hours"])
 
 
 # ---- S06 text, S07 grids, S09 archives ------------------------------------------------------------------------
@@ -288,12 +304,15 @@ def opening_hours(hours: DataFrame) -> DataFrame:
     return out.select("clinic_id", F.when(day, "Круглосуточно").otherwise(F.col("working_hours")).alias("working_hours"))
 
 
-def extract_slugs(df: DataFrame, html: str, domain: str, deny: tuple[str, ...] = (), id_col: str = "page_id") -> DataFrame:
-    """distinct sub-domains of a domain in links, in order of first appearance."""
+def extract_slugs(df: DataFrame, html: str, domain: str, deny: tuple[str, ...] = (), id_col: str = "page_id", chains: bool = False) -> DataFrame:
+    """distinct sub-domains of a domain in links, in order of first appearance; with `chains`, branches of laboratory
+    chains only."""
     pattern = r"https?://([a-z0-9-]+)\." + domain.replace(".", r"\.")
     hits = df.select(id_col, F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).alias("pos", "slug"))
     if deny:
         hits = hits.where(~F.col("slug").isin(*deny))
+    if chains:
+        hits = hits.where(F.col("slug").rlike(R.CHAIN))
     return hits.groupBy(id_col, "slug").agg(F.min("pos").alias("pos"))
 
 

@@ -79,9 +79,9 @@ def price_drops(stream: DataFrame, subs: DataFrame) -> DataFrame:
 
 
 def daily_prices(stream: DataFrame, late: str = "30 days") -> DataFrame:
-    """Per service and day, least and approximately median price; records up to `late` late still count."""
+    """Per service and day, least and median price; records up to `late` late still count."""
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    out = timed.groupBy(F.window("ts", "1 day").alias("w"), "service_id").agg(F.count("*").alias("n"), F.min("price").alias("min_price"), F.percentile_approx("price", 0.5).alias("median_price"))
+    out = timed.groupBy(F.window("ts", "1 day").alias("w"), "service_id").agg(F.count("*").alias("n"), F.min("price").alias("min_price"), F.median("price").alias("median_price"))
     return out.select(F.col("w.start").alias("day"), "service_id", "n", "min_price", "median_price")
 
 

@@ -187,3 +187,57 @@ def test_archive_listing(spark, tmp_path):
         z.writestr("x/лист.xlsx", b"PK")
         z.writestr("справочник.xlsx", b"PK")
     assert sorted((r.name, r.format) for r in X.list_archive(spark, str(tmp_path)).collect()) == [("лист.xlsx", "xlsx"), ("прайс.csv", "csv")]
+
+
+def test_key_search_equals_brute_force():
+    import random
+
+    from tariffspark.functions.similarity import _Keys, token_set_ratio
+
+    rnd = random.Random(5)
+    words = ["глюкоза", "глюкозы", "кровь", "крови", "моча", "общий", "анализ", "узи", "t3", "t4", "ferritin", "feritin", "a", "ab"]
+    name = lambda: " ".join(rnd.choice(words) if rnd.random() < 0.8 else "".join(rnd.choices("abвг", k=rnd.randint(1, 9))) for _ in range(rnd.randint(0, 6)))
+    keys = list(dict.fromkeys(name() for _ in range(300)))
+    block = _Keys(keys, list(range(len(keys))))
+    for _ in range(200):
+        n, k = name(), rnd.choice([1, 3, 12])
+        scores = [(-token_set_ratio(n, x), i) for i, x in enumerate(keys)]
+        assert block.top(n, k) == [(i, -s) for s, i in sorted(scores)[:k]]
+        assert sorted(block.above(n, 88)) == sorted((i, -s) for s, i in scores if s <= -88)
+    assert _Keys([], []).top("a", 3) == [] == _Keys([], []).above("a", 3)
+
+
+def test_relevance_tiers_and_typos(spark):
+    s = spark.createDataFrame([(1, "Глюкоза", ["сахар крови"]), (2, "Ферритин", []), (3, "Общий анализ крови", None)], "id long, canonical_name string, synonyms array<string>")
+    q = spark.createDataFrame([(1, "глюкоза"), (2, "Сахар крови"), (3, "крови"), (4, "глю"), (5, "сах"), (6, "р крови"), (7, "феритин"), (8, "фер"), (9, " "), (10, None), (11, "анализ крови общий")], "query_id long, query string")
+    got = {(r.query_id, r.service_id): round(r.score, 2) for r in M.relevance(q, s).collect()}
+    assert got == {(1, 1): 1.0, (2, 1): 0.97, (3, 1): 0.88, (3, 3): 0.92, (4, 1): 0.84, (5, 1): 0.78, (6, 1): 0.72, (7, 2): 0.93, (8, 2): 0.84, (11, 3): 1.0}
+    assert (7, 2) not in {(r.query_id, r.service_id) for r in M.relevance(q, s, typos=False).collect()}
+    assert M.relevance(q, s.limit(0)).count() == 0 == M.relevance(q.limit(0), s).count()
+
+
+def test_names_inside_texts(spark):
+    a = spark.createDataFrame([("abcd",), ("abc",), ("abcdefghijklmnop",), ("bcde",)], "s string")
+    b = spark.createDataFrame([("xxabcdefghijklmnopyy",), ("abce",), ("ab",), (None,)], "t string")
+    got = {(r.s, r.t) for r in M.held_in(a, b, "s", "t", 4).collect()}
+    assert got == {(x, "xxabcdefghijklmnopyy") for x in ("abcd", "abcdefghijklmnop", "bcde")}
+
+
+def test_cosine_of_two_sides_of_one_table(spark):
+    from tariffspark.functions.similarity import cosine_topk
+
+    e = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "id long, v array<double>")
+    got = cosine_topk(e.select(F.col("id").alias("q"), "v"), e.select(F.col("id").alias("c"), "v"), 1, block=2).collect()
+    assert {(r.q, r.c) for r in got} == {(i, i) for i in range(6)}
+
+
+def test_card_hours(spark):
+    spec = '[{"dayOfWeek":["https://schema.org/Monday","Tuesday"],"opens":"08:00:00","closes":"16:00"},{"dayOfWeek":"Monday","opens":"09:00","closes":"16:00"},{"dayOfWeek":"Holiday","opens":"1","closes":"2"},{"dayOfWeek":"Sunday","closes":"2"}]'
+    page = lambda x: f'<script type="application/ld+json">{{"name":"A"{x}}}</script>'
+    df = spark.createDataFrame([(1, page(f',"openingHoursSpecification":{spec}')), (2, page("")), (3, page(',"openingHoursSpecification":"by day"'))], "page_id long, html string")
+    assert {r.page_id: r.working_hours for r in X.business_cards(df).collect()} == {1: "Пн 09:00–16:00, Вт 08:00–16:00", 2: "", 3: ""}
+
+
+def test_chain_branches(spark):
+    df = spark.createDataFrame([(1, "https://kdl-3.x.kz https://med.x.kz https://INVITRO-1.x.kz https://invitro-12.x.kz https://kdl-3.x.kz")], "page_id long, html string")
+    assert [r.slug for r in X.extract_slugs(df, "html", "x.kz", chains=True).orderBy("pos").collect()] == ["kdl-3", "invitro-12"]
