@@ -63,27 +63,34 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
         top, deep = deep + 1, min(BITS, deep + 8)
 
 
-def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (a struct of the input's columns), shard (hash-prefix bits as text), depth (their number), n_bytes, shard_bytes."""
+def _placed(docs: DataFrame, limit: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(what `shard` gives, the number of shards)."""
     size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long") + OVERHEAD
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _hash(id_col, text_col).alias("h"), size.alias("n_bytes"))
     buckets = directory(rows.select("h", "n_bytes"), limit)
     # Buckets are ranges of hashes in order: a row's bucket is the one of its own prefix, at one of the depths in use.
     depths = [r["depth"] for r in buckets.select("depth").distinct().collect()]  # BITS + 1 at most
     names = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("h"), d).alias("prefix")) for d in sorted(depths)]) if depths else F.array().cast("array<struct<depth:int,prefix:bigint>>")
-    if buckets.count() <= BROADCAST:
+    n = buckets.count()
+    if n <= BROADCAST:
         placed = rows.select("row", "n_bytes", F.explode(names).alias("x")).select("row", "n_bytes", "x.*").join(F.broadcast(buckets), ["depth", "prefix"])
-        return placed.select("row", _bits().alias("shard"), "depth", "n_bytes", "shard_bytes")
+        return placed.select("row", _bits().alias("shard"), "depth", "n_bytes", "shard_bytes"), n
     keys = rows.select("h").distinct().select("h", F.explode(names).alias("x")).select("h", "x.*")
     of = cut(keys.join(buckets, ["depth", "prefix"]), "buckets-of-hashes")
-    return rows.join(of, "h").select("row", _bits().alias("shard"), "depth", "n_bytes", "shard_bytes")
+    return rows.join(of, "h").select("row", _bits().alias("shard"), "depth", "n_bytes", "shard_bytes"), n
+
+
+def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (a struct of the input's columns), shard (hash-prefix bits as text), depth (their number), n_bytes, shard_bytes."""
+    return _placed(docs, limit, id_col, text_col)[0]
 
 
 def write_shards(docs: DataFrame, out: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write one folder a shard (named by its bits, "all" for none) under `out`; gives what `read_shards` reads."""
-    placed = shard(docs, limit, id_col, text_col)
+    """Write one folder a shard (named by its bits, "all" for none) under `out`; gives what `read_shards` reads. There are
+    as many tasks as shards, so a task writes one shard or a few, however large the corpus."""
+    placed, n = _placed(docs, limit, id_col, text_col)
     named = placed.select("row", F.when(F.col("depth") == 0, "all").otherwise(F.concat(F.lit("b"), "shard")).alias("shard"))
-    named.repartition("shard").write.partitionBy("shard").option("compression", "zstd").parquet(out)
+    named.repartition(max(1, n), "shard").write.partitionBy("shard").option("compression", "zstd").parquet(out)
     return read_shards(docs.sparkSession, out, placed.schema["row"])
 
 
