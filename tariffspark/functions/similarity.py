@@ -66,8 +66,8 @@ def col_token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-#: Dictionary keys that one broadcast block may hold.
-BLOCK = 50_000
+#: Dictionary keys of one block, and names that meet it in one task.
+BLOCK, PART = 50_000, 20_000
 #: Letters are counted by code point modulo this: sharing a place can only raise a bound.
 LETTERS = 64
 
@@ -164,25 +164,29 @@ class _Keys:
 def _met(names: DataFrame, dictionary: DataFrame, name_col: str, block: int, ask) -> DataFrame:
     """name, place, score: what `ask(keys of a block, name)` gives for each distinct name.
 
-    The dictionary is the catalog, far smaller than the names; it is taken in broadcast blocks of about `block` keys."""
-    spark = names.sparkSession
-    distinct = names.select(F.col(name_col).alias("name")).where("name is not null").distinct()
+    The dictionary is dealt to blocks of about `block` keys and the distinct names to parts; each part meets each block
+    once, in a task of its own (a stated query set). Parts hold at most `PART` names, fewer where cores would idle."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    named = names.select(F.col(name_col).alias("name")).where("name is not null")
     blocks = max(1, -(-dictionary.count() // block))
-    parts = []
-    for i in range(blocks):
-        rows = dictionary.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).orderBy("place").collect()
-        shared = spark.sparkContext.broadcast(_Keys([r["key"] for r in rows], [r["place"] for r in rows]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = [(n, p, s) for n in b["name"] for p, s in ask(shared.value, n)]
-                yield pd.DataFrame(out, columns=["name", "place", "score"])
-
-        parts.append(distinct.repartition("name").mapInPandas(run, "name string, place long, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found
+    n = named.agg(F.approx_count_distinct("name")).first()[0]
+    cores = names.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // PART), min(4 * cores // blocks, n // 250))
+    # Numbers of partitions that are given stay as they are: a few short names may be much work.
+    deal = lambda df: df.repartition(min(2 * blocks * parts, 20_000), "block", "part").groupBy("block", "part")
+    asked = named.distinct().withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    keys = dictionary.select(F.col("key").alias("d_key"), F.col("place").alias("d_place"))
+    keys = keys.withColumn("block", F.pmod(F.xxhash64("d_key"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if not (left.empty or right.empty):
+            right = right.sort_values("d_place")
+            block = _Keys(right["d_key"].tolist(), right["d_place"].tolist())
+            out = [(x, p, s) for x in left["name"] for p, s in ask(block, x)]
+        return pd.DataFrame(out, columns=["name", "place", "score"])
+
+    return deal(asked).cogroup(deal(keys)).applyInPandas(run, "name string, place long, score double")
 
 
 def top_keys(names: DataFrame, dictionary: DataFrame, k: int, name_col: str = "key", block: int = BLOCK) -> DataFrame:

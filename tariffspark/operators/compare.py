@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .dedup import first_by, price_trend, service_summary, variant_siblings
+from .dedup import first_by, price_trend, service_summary, variant_families
 
 
 def with_fresh(prices: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -51,11 +51,12 @@ def ranked(found: DataFrame, sort: str = "price_asc") -> DataFrame:
 
 
 def comparison(prices: DataFrame, clinics: DataFrame, services: DataFrame, history: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """A document a service: summary, attributes, siblings and trend. `ranked(offers(...))` has its offers, one a row."""
+    """A document a service: summary, attributes, siblings (their number, the cheapest, and the base key by which
+    `variant_families` lists them) and trend. `ranked(offers(...))` has its offers, one a row."""
     found = offers(prices, clinics, as_of, days)
-    near = variant_siblings(services, prices).groupBy(F.col("id").alias("service_id")).agg(F.array_sort(F.collect_list(F.struct("min_price", "service_id", "label"))).alias("variants"))
+    near = variant_families(services, prices).select("service_id", "siblings", "cheapest_sibling")
     trend = price_trend(history).select("service_id", F.struct("points", "change_pct", "direction").alias("trend"))
-    return services.select(F.col("id").alias("service_id"), "canonical_name", "category", T.col_category_enum("category", "specialty", "canonical_name").alias("category_enum"), T.col_attributes("canonical_name").alias("attributes")).join(service_summary(found), "service_id", "left").join(near, "service_id", "left").join(trend, "service_id", "left").fillna(0, ["offers_count"])
+    return services.select(F.col("id").alias("service_id"), "canonical_name", "category", T.col_category_enum("category", "specialty", "canonical_name").alias("category_enum"), T.col_attributes("canonical_name").alias("attributes"), T.col_base_key("canonical_name").alias("base_key")).join(service_summary(found), "service_id", "left").join(near, "service_id", "left").join(trend, "service_id", "left").fillna(0, ["offers_count"])
 
 
 def cheapest_by_clinic(prices: DataFrame, clinics: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -106,9 +107,10 @@ def recommend(matrix: DataFrame) -> DataFrame:
 
 def leaders(df: DataFrame, group: list[str], metric: str, mode: str = "min") -> DataFrame:
     """Rows that tie for the least or largest value, where at least two values are present."""
-    w = Window.partitionBy(*group)
-    best = (F.min if mode == "min" else F.max)(metric).over(w)
-    return df.withColumn("_n", F.count(metric).over(w)).withColumn("_b", best).where((F.col("_n") >= 2) & (F.col(metric) == F.col("_b"))).drop("_n", "_b")
+    best = (F.min if mode == "min" else F.max)(metric).alias("_b")
+    top = df.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.count(metric).alias("_n"), best).where("_n >= 2")
+    same = [df[g].eqNullSafe(top[f"_g{i}"]) for i, g in enumerate(group)]
+    return df.join(top, [*same, df[metric] == top["_b"]]).select(*[df[c] for c in df.columns])
 
 
 def order_by_nearest(found: DataFrame) -> DataFrame:
@@ -174,7 +176,9 @@ def clinic_sheet(prices: DataFrame, services: DataFrame) -> DataFrame:
     s = services.select(F.col("id").alias("service_id"), "canonical_name")
     ok = (F.col("source_type") == "upload") & (F.col("match_confidence") >= 1.0)
     out = prices.join(s, "service_id", "left").withColumn("confirmed", ok)
-    return out.select("clinic_id", "id", F.coalesce("canonical_name", "raw_name").alias("service_name"), "price", "confirmed", F.count_if("confirmed").over(Window.partitionBy("clinic_id")).alias("confirmed_count"))
+    n = prices.groupBy(F.col("clinic_id").alias("_clinic")).agg(F.count_if(ok).alias("confirmed_count"))
+    out = out.join(n, F.col("clinic_id").eqNullSafe(F.col("_clinic")))
+    return out.select("clinic_id", "id", F.coalesce("canonical_name", "raw_name").alias("service_name"), "price", "confirmed", "confirmed_count")
 
 
 def list_clinics(clinics: DataFrame, city: str | None = None) -> DataFrame:

@@ -131,12 +131,26 @@ def service_summary(offers: DataFrame) -> DataFrame:
     return out.withColumn("spread_pct", F.when(hi > 0, F.floor((hi - lo) / hi * 100 + 0.5)).otherwise(0).cast("long"))
 
 
-def variant_siblings(services: DataFrame, prices: DataFrame) -> DataFrame:
-    """A10: for every service, the other priced services of the same base key, cheapest first."""
+def variant_families(services: DataFrame, prices: DataFrame) -> DataFrame:
+    """A10: every priced service with its base key, label, offers and least price; how many other priced services have
+    the key (siblings) and the cheapest of them. Rows grow with the services, not with pairs of them."""
     priced = prices.where("service_id is not null").groupBy("service_id").agg(F.count("*").alias("offers_count"), F.min("price").alias("min_price"))
-    keyed = services.select("id", "canonical_name", T.col_base_key("canonical_name").alias("base_key"))
-    other = keyed.withColumnRenamed("id", "service_id").join(priced, "service_id").withColumn("label", T.col_variant_label("canonical_name"))
-    return keyed.select("id", "base_key").join(other, "base_key").where("id != service_id").select("id", "service_id", "canonical_name", "label", "offers_count", "min_price")
+    rows = services.select(F.col("id").alias("service_id"), "canonical_name", T.col_base_key("canonical_name").alias("base_key"), T.col_variant_label("canonical_name").alias("label")).join(priced, "service_id")
+    # The cheapest sibling is the cheapest of the family, or the next one for that service itself.
+    at = F.struct("min_price", "service_id")
+    key, same = F.col("base_key").alias("_key"), F.col("base_key").eqNullSafe(F.col("_key"))
+    family = rows.groupBy(key).agg((F.count("*") - 1).alias("siblings"), F.min(at).alias("_first"))
+    rows = rows.join(family, same).drop("_key")
+    rest = rows.where(at != F.col("_first")).groupBy(key).agg(F.min(at).alias("_second"))
+    rows = rows.join(rest, same, "left").drop("_key")
+    return rows.withColumn("cheapest_sibling", F.when(at == F.col("_first"), F.col("_second.service_id")).otherwise(F.col("_first.service_id"))).drop("_first", "_second")
+
+
+def variant_siblings(services: DataFrame, prices: DataFrame, asked: DataFrame) -> DataFrame:
+    """A10: for the asked services (id), the other priced services of the same base key."""
+    family = variant_families(services, prices).select("service_id", "canonical_name", "base_key", "label", "offers_count", "min_price")
+    want = services.join(asked.select("id").distinct(), "id", "left_semi").select("id", T.col_base_key("canonical_name").alias("base_key"))
+    return want.join(family, "base_key").where("id != service_id").drop("base_key")
 
 
 def categories_present(services: DataFrame) -> DataFrame:

@@ -61,14 +61,14 @@ def w03_order(spark, d):
     "w04_comparison",
     with_canon(f"""WITH o AS (SELECT service_id, count(*) AS offers_count, CAST(min(price) AS DOUBLE) AS min_price FROM {OFFERS} GROUP BY ALL),
     f AS (SELECT service_id, clinic_id, CAST(price AS DOUBLE) AS price, row_number() OVER (PARTITION BY service_id ORDER BY price, id) AS place FROM {OFFERS})
-    SELECT s.id AS service_id, canonical_name, coalesce(offers_count, 0) AS offers_count, min_price, CAST(place AS INTEGER) AS place, clinic_id, price
+    SELECT s.id AS service_id, canonical_name, lower(canonical_name) AS base_key, coalesce(offers_count, 0) AS offers_count, min_price, CAST(place AS INTEGER) AS place, clinic_id, price
     FROM services s LEFT JOIN o ON o.service_id = s.id LEFT JOIN f ON f.service_id = s.id"""),
 )
 def w04(spark, d):
     t = [canon(spark, d, x) for x in ("prices", "clinics", "services", "price_history")]
     out = C.comparison(*t, AS_OF, FRESH_DAYS)
     rows = C.ranked(C.offers(t[0], t[1], AS_OF, FRESH_DAYS)).select("service_id", "place", "clinic_id", dbl("price"))
-    return out.select("service_id", "canonical_name", "offers_count", dbl("min_price")).join(rows, "service_id", "left")
+    return out.select("service_id", "canonical_name", "base_key", "offers_count", dbl("min_price")).join(rows, "service_id", "left")
 
 
 @query("w06_list_services", with_canon("SELECT id, canonical_name FROM services WHERE category = 'Brand#7'"))

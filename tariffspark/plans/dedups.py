@@ -114,11 +114,12 @@ def a09(spark, d):
 
 @query(
     "a10_variant_siblings",
-    with_canon("""WITH p AS (SELECT service_id, count(*) AS offers_count, CAST(min(price) AS DOUBLE) AS min_price FROM prices WHERE service_id IS NOT NULL GROUP BY ALL)
-    SELECT a.id, b.id AS service_id, offers_count, min_price FROM services a JOIN services b ON lower(a.canonical_name) = lower(b.canonical_name) AND a.id <> b.id JOIN p ON p.service_id = b.id"""),
+    with_canon("""WITH p AS (SELECT service_id, lower(canonical_name) AS k, count(*) AS offers_count, CAST(min(price) AS DOUBLE) AS min_price FROM prices JOIN services s ON s.id = service_id GROUP BY ALL),
+    r AS (SELECT *, count(*) OVER (PARTITION BY k) - 1 AS siblings, first_value(service_id) OVER w AS c1, nth_value(service_id, 2) OVER w AS c2 FROM p WINDOW w AS (PARTITION BY k ORDER BY min_price, service_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    SELECT service_id, offers_count, min_price, siblings, CASE WHEN c1 = service_id THEN c2 ELSE c1 END AS cheapest_sibling FROM r"""),
 )
 def a10(spark, d):
-    return D.variant_siblings(canon(spark, d, "services"), items(spark, d)).select("id", "service_id", "offers_count", dbl("min_price"))
+    return D.variant_families(canon(spark, d, "services"), items(spark, d)).select("service_id", "offers_count", dbl("min_price"), "siblings", "cheapest_sibling")
 
 
 @query("a11_categories_present", with_canon("SELECT DISTINCT 'лаборатория' AS category_enum, 1 AS place FROM services"))

@@ -36,12 +36,16 @@ def m01(spark, d):
     return M.build_dictionary(services(spark, d)).select("key", "service_id")
 
 
-@query("m02_match_by_code", with_canon(f"SELECT o_orderkey AS item_id, code FROM (SELECT o_orderkey, 'B' || lpad(CAST(o_orderkey % 40 AS VARCHAR), 2, '0') || '.' || lpad(CAST(o_orderkey % 600 AS VARCHAR), 3, '0') || '.001' AS code FROM orders) WHERE code IN (SELECT tarificator_code FROM {SERVICES})"))
+@query("m02_match_by_code", with_canon(f"SELECT o_orderkey AS item_id, code, sole FROM (SELECT o_orderkey, 'B' || lpad(CAST(o_orderkey % 40 AS VARCHAR), 2, '0') || '.' || lpad(CAST(o_orderkey % 600 AS VARCHAR), 3, '0') || '.001' AS code FROM orders) JOIN (SELECT tarificator_code AS code, CASE WHEN count(*) = 1 THEN min(id) END AS sole FROM {SERVICES} GROUP BY ALL) USING (code)"))
 def m02(spark, d):
+    """Items with the code found, which their service must bear, and the service where it alone has that code (SQL has no
+    name similarity to choose among several)."""
     k = F.col("o_orderkey")
     it = raw(spark, d, "orders").select(k.alias("item_id"), F.col("o_orderpriority").alias("raw_name"), F.concat(F.lit("B"), F.lpad((k % 40).cast("string"), 2, "0"), F.lit("."), F.lpad((k % 600).cast("string"), 3, "0"), F.lit(".001")).alias("code"))
     s = services(spark, d)
-    return M.match_by_code(it, s).join(s.select(F.col("id").alias("service_id"), F.col("tarificator_code").alias("code")), "service_id").select("item_id", "code")
+    codes = s.groupBy(F.col("tarificator_code").alias("code")).agg(F.count("*").alias("n"))
+    got = M.match_by_code(it, s).join(s.select(F.col("id").alias("service_id"), F.col("tarificator_code").alias("code")), "service_id")
+    return got.join(codes, "code").select("item_id", "code", F.when(F.col("n") == 1, F.col("service_id")).alias("sole"))
 
 
 @query("m03_match_fuzzy")
@@ -121,13 +125,13 @@ def m11(spark, d):
     return M.preview(items(spark, d), M.build_dictionary(s), s, _vecs(spark, d))
 
 
-@query("m12_sanitize_synonyms", with_canon("SELECT id, CASE WHEN id % 3 = 0 THEN 2 WHEN id % 3 = 1 THEN 1 ELSE 0 END AS removed FROM (SELECT p_partkey AS id FROM part)"))
+@query("m12_sanitize_synonyms", with_canon("SELECT id, CASE WHEN id % 3 = 0 THEN 2 WHEN id % 3 = 1 THEN 1 ELSE 0 END AS removed, CASE WHEN id % 3 = 2 THEN 'syn ' || CAST(id AS VARCHAR) ELSE 'keep' END AS synonyms FROM (SELECT p_partkey AS id FROM part)"))
 def m12(spark, d):
     k = F.col("p_partkey")
     own = F.concat(F.lit("svc "), k.cast("string"))
     other = F.concat(F.lit("SVC (x) "), F.when(k == 0, 1).otherwise(0).cast("string"))
     s = raw(spark, d, "part").select(k.alias("id"), own.alias("canonical_name"), F.when(k % 3 == 0, F.array(own, F.lit(" "), F.lit("keep"))).when(k % 3 == 1, F.array(F.lit("keep"), other)).otherwise(F.array(F.concat(F.lit("syn "), k.cast("string")))).alias("synonyms"))
-    return M.sanitize_synonyms(s).select("id", F.col("removed").cast("int").alias("removed"))
+    return M.sanitize_synonyms(s).select("id", F.col("removed").cast("int").alias("removed"), F.array_join("synonyms", "|").alias("synonyms"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +36,17 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         state.remove()
         return
     day, price = state.get if state.exists else (None, None)
-    out = []
     rows = pd.concat(list(batches)).sort_values(["recorded_at", "id", "price"])
-    for r in rows.itertuples():
-        if day is not None and r.recorded_at < pd.Timestamp(day):
-            continue  # later than what is known: ignored
-        if price is None or r.price != price:
-            out.append((*key, r.recorded_at, r.price))
-        day, price = r.recorded_at, r.price
+    if day is not None:
+        rows = rows[rows["recorded_at"] >= pd.Timestamp(day)]  # later than what is known: ignored
+    now = rows["price"].to_numpy(dtype=float)
+    new = now != np.r_[np.nan if price is None else price, now[:-1]] if len(now) else np.zeros(0, dtype=bool)
+    if len(now):
+        day, price = rows["recorded_at"].iloc[-1], float(now[-1])
     state.update((day, price))
     state.setTimeoutTimestamp(int(pd.Timestamp(day).timestamp() * 1000) + HORIZON_DAYS * 86_400_000)
-    yield pd.DataFrame(out, columns=["clinic_id", "service_id", "recorded_at", "price"])
+    out = rows.loc[new, ["recorded_at", "price"]]
+    yield pd.DataFrame({"clinic_id": [key[0]] * len(out), "service_id": [key[1]] * len(out), "recorded_at": out["recorded_at"].to_numpy(), "price": out["price"].to_numpy()})
 
 
 def change_history(stream: DataFrame) -> DataFrame:

@@ -241,3 +241,56 @@ def test_card_hours(spark):
 def test_chain_branches(spark):
     df = spark.createDataFrame([(1, "https://kdl-3.x.kz https://med.x.kz https://INVITRO-1.x.kz https://invitro-12.x.kz https://kdl-3.x.kz")], "page_id long, html string")
     assert [r.slug for r in X.extract_slugs(df, "html", "x.kz", chains=True).orderBy("pos").collect()] == ["kdl-3", "invitro-12"]
+
+
+def test_families_and_siblings(spark):
+    from tariffspark.operators import compare as C
+    from tariffspark.operators import dedup as D
+
+    s = spark.createDataFrame([(1, "Ферритин"), (2, "ферритин"), (3, "ФЕРРИТИН"), (4, "УЗИ"), (5, "ферритин"), (6, None)], "id long, canonical_name string")
+    p = spark.createDataFrame([(1, 5.0), (1, 3.0), (2, 3.0), (3, 9.0), (4, 1.0), (6, 2.0), (None, 1.0)], "service_id long, price double")
+    got = {r.service_id: (r.offers_count, r.min_price, r.siblings, r.cheapest_sibling) for r in D.variant_families(s, p).collect()}
+    assert got == {1: (2, 3.0, 2, 2), 2: (1, 3.0, 2, 1), 3: (1, 9.0, 2, 1), 4: (1, 1.0, 0, None), 6: (1, 2.0, 0, None)}
+    asked = spark.createDataFrame([(5,), (2,), (4,), (99,), (2,)], "id long")
+    assert sorted((r.id, r.service_id) for r in D.variant_siblings(s, p, asked).collect()) == [(2, 1), (2, 3), (5, 1), (5, 2), (5, 3)]
+    assert D.variant_families(s.limit(0), p).count() == 0 == D.variant_families(s, p.limit(0)).count()
+    top = C.leaders(spark.createDataFrame([(1, 2.0), (1, 2.0), (1, 3.0), (2, 1.0), (None, 4.0), (None, 5.0), (3, None), (3, None)], "g long, v double"), ["g"], "v").collect()
+    assert sorted((r.g or 0, r.v) for r in top) == [(0, 4.0), (1, 2.0), (1, 2.0)]
+
+
+def test_key_blocks_and_parts(spark, monkeypatch):
+    from tariffspark.functions import similarity as S
+
+    monkeypatch.setattr(S, "PART", 7)
+    keys = [f"k{i} w{i % 5}" for i in range(40)]
+    d = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, place long")
+    names = [f"w{i % 5} k{i + 3} x" for i in range(30)] + [None, "", "k1 w1"]
+    n = spark.createDataFrame([(x,) for x in names + names], "key string")
+    want = {(x, i): -s for x in set(names) - {None} for s, i in sorted((-S.token_set_ratio(x, k), i) for i, k in enumerate(keys))[:3]}
+    assert {(r.name, r.place): r.score for r in S.top_keys(n, d, 3, block=11).collect()} == want
+    assert S.top_keys(d, d, 1, block=11).where("score = 100").count() == 40
+    assert S.top_keys(n, d.limit(0), 3).count() == 0 == S.top_keys(n.limit(0), d, 3).count()
+
+
+def test_changes_across_batches():
+    import pandas as pd
+
+    from tariffspark.streaming.jobs import _changes
+
+    class State:
+        hasTimedOut, exists, get = False, False, None
+
+        def update(self, v):
+            self.exists, self.get = True, v
+
+        def setTimeoutTimestamp(self, _):
+            pass
+
+    def batch(*rows):
+        df = pd.DataFrame([(pd.Timestamp(f"2024-01-{d:02d}"), i, p) for i, (d, p) in enumerate(rows)], columns=["recorded_at", "id", "price"])
+        return [(r.recorded_at.day, r.price) for out in _changes((1, "a"), iter([df]), st) for r in out.itertuples()]
+
+    st = State()
+    assert batch((3, 2.0), (1, 1.0), (2, 1.0), (4, 2.0)) == [(1, 1.0), (3, 2.0)]
+    assert batch((3, 7.0), (4, 2.0), (5, 3.0)) == [(5, 3.0)]
+    assert batch((1, 9.0)) == [] and st.get[1] == 3.0
