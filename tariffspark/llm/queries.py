@@ -1,11 +1,14 @@
 """Registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
+from . import alignment as op11
 from . import ann as op5
 from . import bpe as op6
 from . import ctw as op9
 from . import decontamination as op2
+from . import html_text as op12
 from . import license_scan as op4
 from . import near_dedup as op10
+from . import ranked_search as op13
 from . import sharding as op7
 from . import substring_dedup as op1
 from . import token_files as op8
@@ -22,5 +25,8 @@ QUERIES = {
     "op8_token_files": op8.op8_token_files,
     "op9_ctw": op9.op9_ctw,
     "op10_near_dedup": op10.op10_near_dedup,
+    "op11_alignment": op11.op11_alignment,
+    "op12_html_text": op12.op12_html_text,
+    "op13_ranked_search": op13.op13_ranked_search,
 }
-SQL = {"op1_substring_dedup": op1.OP1_SQL, "op2_decontamination": op2.OP2_SQL, "op7_sharding": op7.OP7_SQL, "op10_near_dedup": op10.OP10_SQL}
+SQL = {"op1_substring_dedup": op1.OP1_SQL, "op2_decontamination": op2.OP2_SQL, "op7_sharding": op7.OP7_SQL, "op10_near_dedup": op10.OP10_SQL, "op13_ranked_search": op13.OP13_SQL}
