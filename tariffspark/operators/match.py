@@ -294,14 +294,20 @@ def suggest(queries: DataFrame, services: DataFrame, n: int = 8) -> DataFrame:
     return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query_id", "canonical_name", "score", "place")
 
 
-def search(queries: DataFrame, services: DataFrame, documents: DataFrame, n: int = 20, category: str | None = None) -> DataFrame:
-    """Services by relevance that have offers, the first n of each query, with their documents."""
-    r = relevance(queries, services).join(services.select(F.col("id").alias("service_id"), "canonical_name", "category"), "service_id")
+def search(queries: DataFrame, services: DataFrame, documents: DataFrame, n: int = 20, category: str | None = None, typos: bool = True) -> DataFrame:
+    """Services by relevance that have offers, the first n of each query, with their documents (W04). A null or blank
+    query lists services by name. A category is one of the enum, or a part of the catalog's own category."""
+    found = services.select(F.col("id").alias("service_id"), "canonical_name", "category").join(documents.where("offers_count > 0").drop("canonical_name", "category"), "service_id")
     if category:
-        r = r.where(F.lower("category").contains(category.lower()))
-    r = r.join(documents.where("offers_count > 0").drop("canonical_name", "category"), "service_id")
+        found = found.where((F.col("category_enum") == category.lower()) | F.lower("category").contains(category.lower()))
+    blank = F.coalesce(F.trim("query"), F.lit("")) == ""
+    scored = relevance(queries.where(~blank), services, typos).join(found, "service_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "canonical_name", "service_id")
-    return r.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    scored = scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    first = found.orderBy("canonical_name", "service_id").limit(n)  # n rows, the same for each blank query
+    first = first.withColumn("place", F.row_number().over(Window.orderBy("canonical_name", "service_id")))
+    listed = queries.where(blank).select("query_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("place")).join(first, "place").withColumn("score", F.lit(None).cast("double"))
+    return scored.unionByName(listed)
 
 
 def rank_services(questions: DataFrame, services: DataFrame, dictionary: DataFrame, n: int = 3) -> DataFrame:

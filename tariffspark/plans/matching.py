@@ -6,6 +6,7 @@ from ..data import AS_OF, FRESH_DAYS, canon, raw, with_canon
 from ..functions import text as T
 from ..operators import match as M
 from ..operators import compare as C
+from .comparisons import OFFERS
 from .registry import query
 
 
@@ -204,11 +205,44 @@ def m18(spark, d):
     return M.rank_services(q, s, M.build_dictionary(s))
 
 
-@query("w05_search")
-def w05(spark, d):
+def _search_sql(category: str = "TRUE") -> str:
+    """Places of the services that have offers, by relevance without the typo tier, or by name where there is no query."""
+    return with_canon(f"""WITH q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 10 <> 9 THEN lower(trim(CASE p_partkey % 4 WHEN 0 THEN p_name || ' ' || p_type WHEN 1 THEN p_name WHEN 2 THEN string_split(p_name, ' ')[1] ELSE substr(p_name, 1, 3) END)) END AS ql FROM part),
+    o AS (SELECT service_id, count(*) AS offers_count FROM {OFFERS} GROUP BY ALL),
+    s AS (SELECT id, canonical_name, offers_count, lower(canonical_name) AS ck, lower(synonym) AS sk, {_TOKENS} AS ct, string_split(lower(synonym), ' ') AS st FROM {SERVICES} JOIN o ON service_id = id WHERE {category}),
+    r AS (SELECT query_id, id, canonical_name, offers_count, CAST(CASE WHEN ql = ck THEN 1.0 WHEN ql = sk THEN 0.97 WHEN list_contains(ct, ql) THEN 0.92 WHEN list_contains(st, ql) THEN 0.88
+      WHEN len(ql) >= 3 AND len(list_filter(ct, lambda t: starts_with(t, ql))) > 0 THEN 0.84 WHEN len(ql) >= 3 AND len(list_filter(st, lambda t: starts_with(t, ql))) > 0 THEN 0.78 WHEN len(ql) >= 5 AND (contains(ck, ql) OR contains(sk, ql)) THEN 0.72 ELSE 0 END AS DOUBLE) AS score FROM q, s WHERE ql IS NOT NULL)
+    SELECT query_id, id AS service_id, score, CAST(place AS INTEGER) AS place, offers_count FROM (
+      SELECT query_id, id, score, offers_count, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, canonical_name, id) AS place FROM r WHERE score >= 0.7
+      UNION ALL SELECT query_id, id, NULL, offers_count, place FROM q, (SELECT id, offers_count, row_number() OVER (ORDER BY canonical_name, id) AS place FROM s) WHERE ql IS NULL) WHERE place <= 20""")
+
+
+def _search(spark, d, catalog, category=None, typos=False):
     t = [canon(spark, d, x) for x in ("prices", "clinics", "services", "price_history")]
-    documents = C.comparison(*t, AS_OF, FRESH_DAYS)
-    return M.search(_queries(spark, d), services(spark, d), documents).select("query_id", "service_id", "score", "place", "offers_count", "variants", "trend")
+    t[2] = t[2].withColumn("specialty", F.when(F.col("id") % 2 == 0, "МРТ").otherwise(F.col("specialty")))
+    asked = _queries(spark, d).withColumn("query", F.when(F.col("query_id") % 10 != 9, F.col("query")))
+    return M.search(asked, catalog, C.comparison(*t, AS_OF, FRESH_DAYS), category=category, typos=typos).select("query_id", "service_id", "score", "place", "offers_count")
+
+
+@query("w05_search", _search_sql())
+def w05(spark, d):
+    return _search(spark, d, services(spark, d))
+
+
+@query("w05_search_category", _search_sql("(id % 2 = 0 OR contains(lower(category), 'диагностика'))"))
+def w05_category(spark, d):
+    """Every second service is a scan by its specialty: found by the enum, not by the catalog's own category."""
+    return _search(spark, d, services(spark, d), "диагностика")
+
+
+@query("w05_search_part", _search_sql("contains(lower(category), 'brand#1')"))
+def w05_part(spark, d):
+    return _search(spark, d, services(spark, d), "Brand#1")
+
+
+@query("w05_search_typos")
+def w05_typos(spark, d):
+    return _search(spark, d, services(spark, d), typos=True)
 
 
 @query("m19_upsert_clinics", with_canon("WITH c AS (SELECT n, arg_min(city, place) AS city FROM (SELECT o_orderkey AS place, CASE WHEN o_custkey % 2 = 0 THEN 'Supplier#' || lpad(CAST(o_custkey % 200 AS VARCHAR), 9, '0') ELSE 'new ' || CAST(o_custkey % 50 AS VARCHAR) END AS n, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS city FROM orders) GROUP BY ALL) SELECT coalesce(k.name, n) AS name, coalesce(nullif(trim(c.city), ''), k.city, '') AS city, k.id IS NULL AS created FROM clinics k FULL JOIN c ON k.name = n"))

@@ -35,10 +35,15 @@ def t03(spark, d):
     return S.drained(spark, S.price_drops(e, subs), _name("t03")).groupBy("subscription_id").agg(F.count("*").alias("alerts"))
 
 
-@query("t04_daily_prices", "SELECT CAST(ts AS DATE) AS day, event_type AS service_id, count(*) AS n, min(value) AS min_price, round(median(value), 6) AS median_price FROM events GROUP BY ALL")
+@query(
+    "t04_daily_prices",
+    """SELECT * FROM (SELECT CAST(ts AS DATE) AS day, event_type AS service_id, count(*) AS n, min(value) AS min_price, quantile_disc(value, 0.5) AS median_price FROM events GROUP BY ALL)
+    WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 5 DAY""",
+)
 def t04(spark, d):
+    """Days that the watermark, five days behind the newest record, has passed."""
     e = S.read_events(spark, d).select("ts", F.col("event_type").alias("service_id"), F.col("value").alias("price"))
-    return S.drained(spark, S.daily_prices(e), _name("t04"), "complete").select(F.col("day").cast("date").alias("day"), "service_id", "n", "min_price", F.round("median_price", 6).alias("median_price"))
+    return S.drained(spark, S.daily_prices(e, "5 days"), _name("t04")).select(F.col("day").cast("date").alias("day"), "service_id", "n", "min_price", "median_price")
 
 
 @query("t05_once_only", "SELECT user_id, event_type, props, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, props FROM events) GROUP BY ALL")
@@ -54,15 +59,15 @@ def t06(spark, d):
     return good.select(F.lit("ok").alias("error")).unionByName(bad.select("error")).groupBy("error").agg(F.count("*").alias("n"))
 
 
-@query("t01_ingest")
+@query("t01_ingest", "SELECT user_id AS clinic_id, event_type AS name, CAST(min(CAST(value AS DECIMAL(12, 2))) AS DOUBLE) AS price FROM events GROUP BY ALL")
 def t01(spark, d):
-    """Events as items of a clinic: raw name = event type, matched against a catalog of event types seen in the table."""
+    """Events as items of a clinic: raw name = event type, matched against a catalog of event types seen in the table; one
+    file is one micro-batch, so the cheapest price of a clinic and service is left."""
     e = S.read_events(spark, d)
     types = raw(spark, d, "events").select("event_type").distinct()
     services = types.select(F.xxhash64("event_type").alias("id"), F.col("event_type").alias("canonical_name"), F.lit("Прочее").alias("category"), F.array().cast("array<string>").alias("synonyms"))
     stream = e.select(F.col("event_id").alias("item_id"), F.col("user_id").alias("clinic_id"), F.upper("event_type").alias("raw_name"), F.lit("api").alias("source_type"), F.col("value").cast("decimal(12,2)").alias("price"), F.col("ts").cast("date").alias("valid_from"))
-    empty = spark.createDataFrame([], "id long, clinic_id long, service_id long, source_type string, price decimal(12,2), match_confidence double, valid_from date")
     base = f"{shared_dir(spark)}/{_name('t01')}"
-    prices = S.PriceTable(empty, f"{base}/prices")
-    S.ingest(stream, services, prices.read, prices.write, f"{base}/checkpoint").awaitTermination()
-    return prices.read().select("clinic_id", "service_id", F.col("price").cast("double").alias("price"))
+    prices = S.PriceTable(spark, f"{base}/prices")
+    S.ingest(stream, services, prices, f"{base}/checkpoint").awaitTermination()
+    return prices.read().join(services.select(F.col("id").alias("service_id"), F.col("canonical_name").alias("name")), "service_id").select("clinic_id", "name", F.col("price").cast("double").alias("price"))

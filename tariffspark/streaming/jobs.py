@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..data import shared_dir
+from ..data import shared_dir, written
 from ..functions import text as T
 from ..operators.dedup import dedup_min_price, upsert_prices
 from ..operators.match import normalize
@@ -19,70 +19,178 @@ from ..operators.match import normalize
 HORIZON_DAYS = 400
 
 
-def ingest(stream: DataFrame, services: DataFrame, read_prices: Callable[[], DataFrame], write_prices: Callable[[DataFrame], None], checkpoint: str):
+def ingest(stream: DataFrame, services: DataFrame, prices: PriceTable, checkpoint: str):
     """Each micro-batch of items (item_id, clinic_id, raw_name, source_type, price, valid_from) is normalized against
-    the catalog snapshot, deduplicated and upserted by source priority."""
+    the catalog snapshot, deduplicated and upserted by source priority, once: the table remembers the batch it has."""
 
-    def one(batch: DataFrame, _: int) -> None:
+    def one(batch: DataFrame, number: int) -> None:
+        if number <= prices.last():
+            return  # committed before the stream stopped; it is only delivered again
         matched, _, _ = normalize(batch.select("item_id", "raw_name"), services)
         rows = batch.join(matched.select("item_id", "service_id", F.col("confidence").alias("match_confidence")), "item_id").withColumnRenamed("item_id", "id")
-        write_prices(upsert_prices(read_prices(), dedup_min_price(rows)))
+        prices.upsert(dedup_min_price(rows), number)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    day, price = state.get if state.exists else (None, None)
-    rows = pd.concat(list(batches)).sort_values(["recorded_at", "id", "price"])
-    if day is not None:
-        rows = rows[rows["recorded_at"] >= pd.Timestamp(day)]  # later than what is known: ignored
-    now = rows["price"].to_numpy(dtype=float)
-    new = now != np.r_[np.nan if price is None else price, now[:-1]] if len(now) else np.zeros(0, dtype=bool)
-    if len(now):
-        day, price = rows["recorded_at"].iloc[-1], float(now[-1])
-    state.update((day, price))
-    state.setTimeoutTimestamp(int(pd.Timestamp(day).timestamp() * 1000) + HORIZON_DAYS * 86_400_000)
-    out = rows.loc[new, ["recorded_at", "price"]]
-    yield pd.DataFrame({"clinic_id": [key[0]] * len(out), "service_id": [key[1]] * len(out), "recorded_at": out["recorded_at"].to_numpy(), "price": out["price"].to_numpy()})
+class PriceTable:
+    """Prices under a shared folder, a row set a bucket of (clinic_id, service_id), changed by numbered batches.
+
+    A batch rewrites only the buckets that it touches, under its own number (`data/batch=N/bucket=B`), and then writes one
+    small file that says which batch holds each bucket (`commits/batch=N`); Spark puts its _SUCCESS mark there last. The
+    highest marked commit is the table. A batch that was cut off leaves files that no commit names, and its next run
+    overwrites them; a batch that is delivered again after its commit changes nothing."""
+
+    KIND = "id long, clinic_id long, service_id long, source_type string, price decimal(12,2), match_confidence double, valid_from date"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, kind: str = KIND):
+        self.spark, self.path, self.buckets, self.kind = spark, path, buckets, kind
+
+    def commits(self) -> list[int]:
+        """Numbers of the committed batches, in order."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/batch=*/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found or [])
+
+    def last(self) -> int:
+        return max(self.commits(), default=-1)
+
+    def held(self) -> dict[int, int]:
+        """Bucket -> batch that holds it (at most as many as there are buckets)."""
+        n = self.last()
+        return {r["bucket"]: r["batch"] for r in self.spark.read.parquet(f"{self.path}/commits/batch={n}").collect()} if n >= 0 else {}
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/data/batch={n}/bucket={b}" for b, n in self.held().items() if buckets is None or b in buckets]
+        return self.spark.read.schema(self.kind).parquet(*paths) if paths else self.spark.createDataFrame([], self.kind)
+
+    def upsert(self, batch: DataFrame, number: int) -> None:
+        bucket = F.pmod(F.xxhash64("clinic_id", "service_id"), F.lit(self.buckets)).cast("int")
+        batch = written(batch, f"batch-{number}")  # made once: it is asked for its buckets, then joined
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]
+        if touched:
+            rows = upsert_prices(self.read(touched), batch).withColumn("bucket", bucket).drop("change")
+            rows.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/batch={number}")
+        self.commit(self.held() | {b: number for b in touched}, number)
+
+    def commit(self, held: dict[int, int], number: int) -> None:
+        rows = self.spark.createDataFrame(sorted(held.items()), "bucket int, batch long").coalesce(1)
+        rows.write.mode("overwrite").parquet(f"{self.path}/commits/batch={number}")
+
+
+class _Kept(StatefulProcessor):
+    """State of a key with one timer, which drops it `days` of event time after the last row."""
+
+    def __init__(self, days: float = HORIZON_DAYS):
+        self.days = days
+
+    def renew(self, last) -> None:
+        at = int(pd.Timestamp(last, tz="UTC").timestamp() * 1000 + self.days * 86_400_000)
+        old = list(self.handle.listTimers())
+        if not old or max(old) < at:
+            for t in old:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.known.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _LastPrice(_Kept):
+    """The last price of a key and its time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "recorded_at timestamp, price double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows)).sort_values(["recorded_at", "id", "price"])
+        old = self.known.get() if self.known.exists() else None
+        if old is not None:
+            rows = rows[rows["recorded_at"] >= pd.Timestamp(old[0])]  # later than what is known: ignored
+        if rows.empty:
+            return
+        now = rows["price"].to_numpy(dtype=float)
+        new = now != np.r_[np.nan if old is None else old[1], now[:-1]]
+        last = rows["recorded_at"].iloc[-1].to_pydatetime()
+        self.known.update((last, float(now[-1])))
+        self.renew(last)
+        out = rows.loc[new, ["recorded_at", "price"]]
+        yield pd.DataFrame({"clinic_id": [key[0]] * len(out), "service_id": pd.Series([key[1]] * len(out), dtype=object), "recorded_at": out["recorded_at"].to_numpy(), "price": out["price"].to_numpy()})
+
+
+def on_rocksdb(spark: SparkSession) -> None:
+    """Keyed state lives in RocksDB: on local disk with change logs at the checkpoint, not on the JVM heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def change_history(stream: DataFrame) -> DataFrame:
     """Of price updates (clinic_id, service_id, id, recorded_at, price) those that change the price of their key. One
-    value a key is kept; it times out long after the freshness horizon."""
+    value a key is kept; it is dropped long after the freshness horizon."""
+    on_rocksdb(stream.sparkSession)
     keyed = stream.select("clinic_id", "service_id", "id", F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.col("price").cast("double").alias("price")).withWatermark("recorded_at", f"{HORIZON_DAYS} days")
     kinds = "clinic_id long, service_id string, recorded_at timestamp, price double"
-    return keyed.groupBy("clinic_id", "service_id").applyInPandasWithState(_changes, kinds, "recorded_at timestamp, price double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _drops(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    base = state.get[0] if state.exists else None
+    return keyed.groupBy("clinic_id", "service_id").transformWithStateInPandas(_LastPrice(), kinds, "Append", "EventTime")
+
+
+def drops(prices: np.ndarray, base: float | None, least: float = 0.001) -> tuple[list[tuple[float, float]], float | None]:
+    """(alerts as (old, new), last baseline) of prices in order. The baseline follows every step of more than `least`, so
+    prices within it of the one before are looked at one by one only where small steps add up."""
+    if not len(prices):
+        return [], base
+    steps = np.abs(np.diff(prices, prepend=np.inf if base is None else base))
+    if not ((steps > 0) & (steps <= least)).any():  # each price is the next one's baseline
+        before = np.r_[np.nan if base is None else base, prices[:-1]]
+        at = np.flatnonzero(prices < before - least)
+        return list(zip(before[at].tolist(), prices[at].tolist(), strict=True)), float(prices[-1])
     out = []
-    rows = pd.concat(list(batches)).sort_values(["recorded_at", "price"])
-    for r in rows.itertuples():
-        if base is None and not pd.isna(r.last_price):
-            base = r.last_price
-        if base is not None and r.price < base - 0.001:
-            out.append((*key, float(base), float(r.price)))
-        if base is None or abs(r.price - base) > 0.001:
-            base = r.price
-    state.update((float(base),))
-    yield pd.DataFrame(out, columns=["subscription_id", "old_price", "new_price"])
-
-
-def price_drops(stream: DataFrame, subs: DataFrame) -> DataFrame:
-    """Alerts of subscriptions (id, service_id, last_price) as prices (service_id, recorded_at, price) arrive."""
+    for p in prices.tolist():
+        if base is not None and p < base - least:
+            out.append((base, p))
+        if base is None or abs(p - base) > least:
+            base = p
+    return out, base
+
+
+class _Baseline(_Kept):
+    """The baseline price of a subscription."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("base", "price double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows)).sort_values(["recorded_at", "price"])
+        base = self.known.get()[0] if self.known.exists() else None
+        given = rows["last_price"].dropna()
+        if base is None and len(given):
+            base = float(given.iloc[0])
+        found, base = drops(rows["price"].to_numpy(dtype=float), base)
+        self.known.update((base,))
+        self.renew(rows["recorded_at"].iloc[-1])
+        yield pd.DataFrame([(key[0], a, b) for a, b in found], columns=["subscription_id", "old_price", "new_price"])
+
+
+def price_drops(stream: DataFrame, subs: DataFrame, days: float = HORIZON_DAYS, late: str = "30 days") -> DataFrame:
+    """Alerts of subscriptions (id, service_id, last_price) as prices (service_id, recorded_at, price) arrive, up to
+    `late` late. A baseline that no price has renewed for `days` is dropped; the next price then starts from last_price again."""
+    on_rocksdb(stream.sparkSession)
     s = subs.select(F.col("id").alias("subscription_id"), "service_id", F.col("last_price").cast("double").alias("last_price"))
-    rows = stream.select("service_id", F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.col("price").cast("double").alias("price")).join(s, "service_id")
-    return rows.groupBy("subscription_id").applyInPandasWithState(_drops, "subscription_id long, old_price double, new_price double", "base double", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("service_id", F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.col("price").cast("double").alias("price")).where("price is not null").withWatermark("recorded_at", late).join(s, "service_id")
+    return rows.groupBy("subscription_id").transformWithStateInPandas(_Baseline(days), "subscription_id long, old_price double, new_price double", "Append", "EventTime")
 
 
-def daily_prices(stream: DataFrame, late: str = "30 days") -> DataFrame:
-    """Per service and day, least and median price; records up to `late` late still count."""
+def daily_prices(stream: DataFrame, late: str = "30 days", accuracy: int = 10_000) -> DataFrame:
+    """Per service and day, number, least and median of the prices. Records up to `late` late still count; a day comes
+    out once, when the watermark has passed it, and its state goes. The median is a mergeable sketch of about `accuracy`
+    values at most a service and day (exact up to that many; A16 has the exact one)."""
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    out = timed.groupBy(F.window("ts", "1 day").alias("w"), "service_id").agg(F.count("*").alias("n"), F.min("price").alias("min_price"), F.median("price").alias("median_price"))
+    out = timed.groupBy(F.window("ts", "1 day").alias("w"), "service_id").agg(F.count("*").alias("n"), F.min("price").alias("min_price"), F.percentile_approx("price", 0.5, accuracy).alias("median_price"))
     return out.select(F.col("w.start").alias("day"), "service_id", "n", "min_price", "median_price")
 
 
@@ -112,22 +220,6 @@ def drained(spark: SparkSession, df: DataFrame, name: str, mode: str = "append")
     return spark.read.schema(df.schema).parquet(f"{base}/rows").select(df.columns)
 
 
-class PriceTable:
-    """Prices in versions under a folder: each micro-batch reads the last one and writes the next."""
-
-    def __init__(self, empty: DataFrame, path: str):
-        self.now, self.path, self.version = empty, path, 0
-
-    def read(self) -> DataFrame:
-        return self.now
-
-    def write(self, df: DataFrame) -> None:
-        self.version += 1
-        out = f"{self.path}/v{self.version}"
-        df.write.mode("overwrite").parquet(out)
-        self.now = df.sparkSession.read.schema(df.schema).parquet(out)
-
-
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of price updates."""
     kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema

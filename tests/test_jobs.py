@@ -171,11 +171,10 @@ def test_stream_batches_keep_state(spark, tmp_path):
     kind = "item_id long, clinic_id long, raw_name string, source_type string, price decimal(12,2), valid_from date"
     for n, row in enumerate([(1, 7, "ОАК", "upload", Decimal(2500), DAY), (2, 7, "ОАК", "web_scrape", Decimal(1900), DAY)]):
         spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    empty = spark.createDataFrame([], "id long, clinic_id long, service_id long, source_type string, price decimal(12,2), match_confidence double, valid_from date")
-    table = S.PriceTable(empty, str(tmp_path / "prices"))
+    table = S.PriceTable(spark, str(tmp_path / "prices"))
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    S.ingest(stream, catalog(spark), table.read, table.write, str(tmp_path / "checkpoint")).awaitTermination()
-    assert table.version >= 2 and [(r.service_id, float(r.price), r.source_type) for r in table.read().collect()] == [(1, 2500.0, "upload")]
+    S.ingest(stream, catalog(spark), table, str(tmp_path / "checkpoint")).awaitTermination()
+    assert table.commits() == [0, 1] and [(r.service_id, float(r.price), r.source_type) for r in table.read().collect()] == [(1, 2500.0, "upload")]
 
 
 def test_archive_listing(spark, tmp_path):
@@ -270,27 +269,3 @@ def test_key_blocks_and_parts(spark, monkeypatch):
     assert {(r.name, r.place): r.score for r in S.top_keys(n, d, 3, block=11).collect()} == want
     assert S.top_keys(d, d, 1, block=11).where("score = 100").count() == 40
     assert S.top_keys(n, d.limit(0), 3).count() == 0 == S.top_keys(n.limit(0), d, 3).count()
-
-
-def test_changes_across_batches():
-    import pandas as pd
-
-    from tariffspark.streaming.jobs import _changes
-
-    class State:
-        hasTimedOut, exists, get = False, False, None
-
-        def update(self, v):
-            self.exists, self.get = True, v
-
-        def setTimeoutTimestamp(self, _):
-            pass
-
-    def batch(*rows):
-        df = pd.DataFrame([(pd.Timestamp(f"2024-01-{d:02d}"), i, p) for i, (d, p) in enumerate(rows)], columns=["recorded_at", "id", "price"])
-        return [(r.recorded_at.day, r.price) for out in _changes((1, "a"), iter([df]), st) for r in out.itertuples()]
-
-    st = State()
-    assert batch((3, 2.0), (1, 1.0), (2, 1.0), (4, 2.0)) == [(1, 1.0), (3, 2.0)]
-    assert batch((3, 7.0), (4, 2.0), (5, 3.0)) == [(5, 3.0)]
-    assert batch((1, 9.0)) == [] and st.get[1] == 3.0
