@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..data import written
+
 
 def _common(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bits of one integer."""
@@ -72,93 +74,182 @@ BLOCK, PART = 50_000, 20_000
 LETTERS = 64
 
 
+class _Texts:
+    """Texts laid end to end, as numbers of their letters."""
+
+    def __init__(self, texts: list[str], alphabet: np.ndarray | None = None):
+        self.texts = texts
+        self.n = np.array([len(t) for t in texts], dtype=np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.alphabet = np.unique(raw) if alphabet is None else alphabet
+        self.flat = np.searchsorted(self.alphabet, raw)
+
+    def common(self, a: str, some: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of `a` and each of these texts: one step a letter for all of them at
+        once, on the bits of one 64-bit word a text (one by one where `a` is longer than that)."""
+        if len(a) > 64:
+            return np.array([_common(a, self.texts[i]) for i in some.tolist()], np.int64)
+        where = np.zeros(len(self.alphabet) + 1, np.uint64)
+        for j, c in enumerate(a):
+            k = int(np.searchsorted(self.alphabet, ord(c)))
+            if k < len(self.alphabet) and self.alphabet[k] == ord(c):
+                where[k] |= np.uint64(1 << j)
+        order = np.argsort(-self.n[some], kind="stable")
+        n, start = self.n[some[order]], self.start[some[order]]
+        v = np.full(len(some), 2**64 - 1, np.uint64)
+        live = np.searchsorted(-n, -np.arange(int(n.max(initial=0))), "left")  # how many texts have a letter at each step
+        for j, m in enumerate(live.tolist()):
+            u = v[:m] & where[self.flat[start[:m] + j]]
+            v[:m] = (v[:m] + u) | (v[:m] - u)
+        out = np.empty(len(some), np.int64)
+        out[order] = len(a) - np.bitwise_count(v & np.uint64((1 << len(a)) - 1)).astype(np.int64)
+        return out
+
+
 class _Keys:
-    """A block of the dictionary: keys in order of position, their tokens and letter counts as arrays.
+    """A block of the dictionary as an index: the list of keys of each word, keys in order of length, and letter counts as
+    bits (one bit a letter and count, so letters that two texts have in common are the bits of an AND).
 
-    A name meets the whole block in a few array steps that give each key its score or an upper bound of it; only keys
-    whose bound may still matter are compared letter by letter."""
+    A key that shares words with a name is found in the lists of the name's words, and the parts of its score that rest on
+    lengths come from sums over those lists. A key that shares none can only score by letters, so it must lie in the length
+    window that the score to beat leaves open. Letters are counted for what is left, and only keys whose bound may still
+    matter are compared letter by letter, all of them in one sweep. `compared` counts these, `counted` the keys whose letters were counted."""
 
     def __init__(self, keys: list[str], places: list[int]):
         self.keys, self.places = keys, places
         tokens = [set(k.split()) for k in keys]
         self.words = np.array([len(t) for t in tokens], dtype=np.int32)
         self.chars = np.array([sum(map(len, t)) for t in tokens], dtype=np.int32)
-        self.letters = np.zeros((LETTERS, len(keys)), dtype=np.int32)
         having: dict[str, list[int]] = {}
+        letters = np.zeros((LETTERS, len(keys)), dtype=np.int32)
         for i, ts in enumerate(tokens):
             for t in ts:
                 having.setdefault(t, []).append(i)
                 for ch in t:
-                    self.letters[ord(ch) % LETTERS, i] += 1
-        self.having = {t: np.array(at, dtype=np.int32) for t, at in having.items()}
+                    letters[ord(ch) % LETTERS, i] += 1
+        self.having = {t: np.array(at, dtype=np.int64) for t, at in having.items()}
+        most = letters.max(axis=1, initial=0)
+        self.first = np.concatenate([[0], np.cumsum(most)])
+        flags = np.zeros((int(self.first[-1]), len(keys)), bool)
+        for c in np.flatnonzero(most).tolist():
+            flags[self.first[c] : self.first[c + 1]] = letters[c] >= np.arange(1, most[c] + 1)[:, None]
+        self.bits = self._packed(flags)
+        size = self.chars + np.maximum(self.words - 1, 0)  # length of the key's words, joined
+        self.by_size = np.argsort(size, kind="stable")
+        self.sizes = size[self.by_size]
+        self.rest = [sorted(t) for t in tokens]
+        self.joined = _Texts([" ".join(t) for t in self.rest])
+        self.compared = self.counted = 0
 
-    def _bounds(self, name: str) -> tuple[np.ndarray, np.ndarray]:
-        """(upper bound of the score, whether it is the score) of every key."""
+    @staticmethod
+    def _packed(flags: np.ndarray) -> np.ndarray:
+        """Columns of bits as rows of 64-bit words."""
+        rows = np.packbits(flags, axis=0).T
+        wide = np.zeros((rows.shape[0], -(-max(rows.shape[1], 1) // 8) * 8), np.uint8)
+        wide[:, : rows.shape[1]] = rows
+        return wide.view(np.uint64)
+
+    def _name(self, name: str) -> dict:
+        """What a name's words, in the lists and by letters, say of the block: the keys that share words (`at`), how many
+        and of how many letters, the bound and the part of the score that lengths alone give."""
         mine = set(name.split())
-        n, m = self.words, self.chars
-        shared, base = np.zeros_like(n), np.zeros_like(m)
-        count = np.zeros(LETTERS, dtype=np.int32)
+        count = np.zeros(LETTERS, dtype=np.int64)
         for t in mine:
-            at = self.having.get(t)
-            if at is not None:
-                shared[at] += 1
-                base[at] += len(t)
             for ch in t:
                 count[ord(ch) % LETTERS] += 1
-        used = np.flatnonzero(count)
-        common = np.minimum(self.letters[used], count[used, None]).sum(0) - base  # letters that both rests have
-        rest = lambda words, chars: chars - base + np.maximum(words - shared - 1, 0)  # noqa: E731  length of what is not shared, joined
-        left, right = rest(len(mine), sum(map(len, mine))), rest(n, m)
-        common = common + np.minimum(np.maximum(len(mine) - shared - 1, 0), np.maximum(n - shared - 1, 0))
-        gap = (shared > 0).astype(np.int32)
-        base = base + np.maximum(shared - 1, 0)
-        la, lb = base + gap + left, base + gap + right
-        whole = 100.0 * (1 - (left + right - 2 * common) / np.maximum(la + lb, 1))
-        part = np.maximum(100.0 * (1 - (gap + left) / np.maximum(base + la, 1)), 100.0 * (1 - (gap + right) / np.maximum(base + lb, 1)))
-        part = np.where(gap > 0, part, 0.0)
-        inside = (gap > 0) & ((shared == len(mine)) | (shared == n))
-        bound = np.where(inside, 100.0, np.maximum(whole, part))
-        bound = np.where((n == 0) | (not mine), 0.0, bound)
-        return bound, inside | (n == 0) | (not mine) | (part > whole + 1e-6)
-
-    def _score(self, name: str, i: int) -> float:
-        return token_set_ratio(name, self.keys[i])
+        flags = np.zeros((int(self.first[-1]), 1), bool)
+        for c in np.flatnonzero(count).tolist():
+            flags[self.first[c] : min(self.first[c] + count[c], self.first[c + 1])] = True
+        x = {"name": name, "words": len(mine), "chars": sum(map(len, mine)), "bits": self._packed(flags)[0]}
+        lists = [(self.having[t], len(t)) for t in mine if t in self.having]
+        every = np.concatenate([a for a, _ in lists]) if lists else np.zeros(0, np.int64)
+        x["at"], which, shared = np.unique(every, return_inverse=True, return_counts=True)
+        base = np.bincount(which, np.repeat([n for _, n in lists], [len(a) for a, _ in lists]), minlength=len(x["at"])).astype(np.int64) if lists else every
+        x |= self._lengths(x, x["at"], shared, base)
+        return x
+
+    def _lengths(self, x: dict, at: np.ndarray, shared: np.ndarray, base: np.ndarray) -> dict:
+        """For keys `at`: what the words not shared, joined, measure on both sides; the score that lengths give (`part`), and
+        the highest that letters could add (`cap`)."""
+        n, m = self.words[at].astype(np.int64), self.chars[at].astype(np.int64)
+        left = x["chars"] - base + np.maximum(x["words"] - shared - 1, 0)
+        right = m - base + np.maximum(n - shared - 1, 0)
+        gap = (shared > 0).astype(np.int64)
+        whole = base + np.maximum(shared - 1, 0)
+        la, lb = whole + gap + left, whole + gap + right
+        part = np.where(gap > 0, np.maximum(100.0 * (1 - (gap + left) / np.maximum(whole + la, 1)), 100.0 * (1 - (gap + right) / np.maximum(whole + lb, 1))), 0.0)
+        part = np.where((gap > 0) & ((shared == x["words"]) | (shared == n)), 100.0, part)
+        spaces = np.minimum(np.maximum(x["words"] - shared - 1, 0), np.maximum(n - shared - 1, 0))
+        cap = 100.0 * (1 - (left + right - 2 * np.minimum(left, right)) / np.maximum(la + lb, 1))
+        return {"part": part, "cap": np.maximum(cap, part), "rest": left + right, "total": np.maximum(la + lb, 1), "base": base, "spaces": spaces}
+
+    def _by_letters(self, x: dict, of: dict, at: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Upper bounds of the scores of keys at[some]: letters in common, less those of the words shared."""
+        self.counted += len(some)
+        same = np.bitwise_count(self.bits[at[some]] & x["bits"]).sum(axis=1, dtype=np.int64) - of["base"][some] + of["spaces"][some]
+        return np.maximum(of["part"][some], 100.0 * (1 - (of["rest"][some] - 2 * same) / of["total"][some]))
+
+    def _alone(self, x: dict, floor: float) -> tuple[np.ndarray, dict]:
+        """Keys that share no word with the name and whose length leaves a score of `floor` open."""
+        size = x["chars"] + max(x["words"] - 1, 0)
+        ends = (-np.inf, np.inf) if floor <= 0 else (size * floor / (200 - floor) - 1e-6, size * (200 - floor) / floor + 1e-6)
+        at = self.by_size[np.searchsorted(self.sizes, ends[0], "left") : np.searchsorted(self.sizes, ends[1], "right")]
+        at = at[~np.isin(at, x["at"], assume_unique=True)]
+        none = np.zeros(len(at), np.int64)
+        return at, self._lengths(x, at, none, none)
+
+    def _scores(self, x: dict, of: dict, at: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Scores of keys at[some]."""
+        self.compared += len(some)
+        mine = sorted(set(x["name"].split()))
+        same = np.zeros(len(some), np.int64)
+        if of is not x:  # no words shared: whole names against whole keys
+            same = self.joined.common(" ".join(mine), at[some])
+        elif len(some):  # keys that share the same words with the name go together
+            rests: dict[str, list[int]] = {}
+            keys = [self.rest[i] for i in at[some].tolist()]
+            for j, key in enumerate(keys):
+                rests.setdefault(" ".join([w for w in mine if w not in key]), []).append(j)
+            texts = _Texts([" ".join([w for w in key if w not in mine]) for key in keys], self.joined.alphabet)
+            for rest, group in rests.items():
+                same[group] = texts.common(rest, np.array(group))
+        d = of["rest"][some] - 2 * same
+        whole = np.where(of["total"][some] > 0, 100.0 * (1 - d / of["total"][some]), 0.0)
+        return np.where(of["part"][some] >= 100.0, 100.0, np.where((self.words[at[some]] > 0) & (x["words"] > 0), np.maximum(whole, of["part"][some]), 0.0))
+
+    def _offer(self, x: dict, found: list[tuple[float, int]], k: int, at: np.ndarray, of: dict) -> list[tuple[float, int]]:
+        """The best k of those found so far (score negated, number) and of keys `at`."""
+        floor = -found[-1][0] if len(found) == k else -1.0
+        if len(at) > k:  # k keys reach this by their lengths alone
+            floor = max(floor, np.partition(of["part"], len(at) - k)[len(at) - k])
+        some = np.flatnonzero(of["cap"] + 1e-6 >= floor)
+        bound = self._by_letters(x, of, at, some)
+        if len(some) > 8 * k:  # the scores of the most promising ones raise the floor
+            first = np.argpartition(-bound, 4 * k)[: 4 * k]
+            floor = max(floor, np.sort(self._scores(x, of, at, some[first]))[-k])
+        some = some[bound + 1e-6 >= floor]
+        score = self._scores(x, of, at, some)
+        best = np.lexsort((at[some], -score))[:k]
+        return sorted(found + list(zip((-score[best]).tolist(), at[some][best].tolist(), strict=True)))[:k]
 
     def top(self, name: str, k: int) -> list[tuple[int, float]]:
         """Best k keys by (score desc, position)."""
-        bound, known = self._bounds(name)
-        found: list[tuple[float, int]] = []
-        size = 4 * k
-        kept = 0
-        while True:  # the keys of highest bound, then four times as many, until no other can be among the best
-            some = np.argsort(-bound, kind="stable") if size >= len(bound) else self._highest(bound, size)
-            for i in some[kept:].tolist():
-                if len(found) == k and bound[i] + 1e-6 < -found[-1][0]:
-                    return [(self.places[i], -s) for s, i in found]
-                s = 100.0 if known[i] and bound[i] == 100.0 else self._score(name, i)
-                if len(found) < k or (-s, i) < found[-1]:
-                    found = sorted([*found, (-s, i)])[:k]
-            kept = len(some)
-            if kept >= len(bound):
-                return [(self.places[i], -s) for s, i in found]
-            size *= 4
-
-    @staticmethod
-    def _highest(bound: np.ndarray, size: int) -> np.ndarray:
-        """At least `size` keys of highest bound, all of an equal bound among them, in order of (bound desc, position)."""
-        low = np.partition(bound, len(bound) - size)[len(bound) - size]
-        some = np.flatnonzero(bound >= low)
-        return some[np.argsort(-bound[some], kind="stable")]
+        x = self._name(name)
+        found = self._offer(x, [], k, x["at"], x)
+        if len(found) < k or -found[-1][0] < 100.0:
+            found = self._offer(x, found, k, *self._alone(x, -found[-1][0] if len(found) == k else 0.0))
+        return [(self.places[i], -s) for s, i in found]
 
     def above(self, name: str, floor: float) -> list[tuple[int, float]]:
-        """All keys of at least the score `floor`."""
-        bound, known = self._bounds(name)
-        out = []
-        for i in np.flatnonzero(bound + 1e-6 >= floor).tolist():
-            s = 100.0 if known[i] and bound[i] == 100.0 else self._score(name, i)
-            if s >= floor:
-                out.append((self.places[i], s))
-        return out
+        """All keys of at least the score `floor` (over 0)."""
+        x, out = self._name(name), []
+        for at, of in ((x["at"], x), self._alone(x, floor)):
+            some = np.flatnonzero(of["cap"] + 1e-6 >= floor)
+            some = some[(of["part"][some] >= 100.0) | (self._by_letters(x, of, at, some) + 1e-6 >= floor)]
+            score = self._scores(x, of, at, some)
+            out += [(i, s) for i, s in zip(at[some].tolist(), score.tolist(), strict=True) if s >= floor]
+        return [(self.places[i], s) for i, s in sorted(out)]
 
 
 def _met(names: DataFrame, dictionary: DataFrame, name_col: str, block: int, ask) -> DataFrame:
@@ -201,36 +292,115 @@ def keys_above(names: DataFrame, dictionary: DataFrame, floor: float, name_col:
     return _met(names, dictionary, name_col, block, lambda keys, name: keys.above(name, floor))
 
 
-def cosine_topk(queries: DataFrame, catalog: DataFrame, k: int, block: int = 20_000) -> DataFrame:
-    """q, c, score, rank: nearest catalog vectors by cosine. queries: q, v; catalog: c, v. Zero vectors score 0.
+def _units(v: pd.Series) -> np.ndarray:
+    m = np.array(v.tolist(), dtype=float)
+    n = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-    The catalog is dealt to blocks of about `block` vectors and the queries to parts of about as many; each part meets each
-    block once, in a task of its own (a stated query set)."""
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    blocks, parts = (max(1, -(-x.count() // block)) for x in (catalog, queries))
-    # New names for the columns: both sides may stem from one table.
-    catalog, queries = catalog.select(F.col("c").alias("c_id"), F.col("v").alias("c_v")), queries.select(F.col("q").alias("q_id"), F.col("v").alias("q_v"))
-    cat = catalog.withColumn("block", F.pmod(F.xxhash64("c_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
-    ask = queries.withColumn("part", F.pmod(F.xxhash64("q_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+
+def _angles(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Angles of unit vectors to the pivots; a zero vector has none (nan)."""
+    a = np.arccos(np.clip(u @ pivots.T, -1, 1))
+    a[~u.any(axis=1)] = np.nan
+    return a
+
+
+#: Pivots of the catalog, and what rounding may take from an angle.
+PIVOTS, SLACK = 128, 1e-6
+
+
+def cosine_topk(queries: DataFrame, catalog: DataFrame, k: int, block: int = 20_000, pivots: int = PIVOTS, counts: dict | None = None) -> DataFrame:
+    """q, c, score, rank: nearest catalog vectors by cosine. queries: q, v; catalog: c, v. Zero vectors score 0. Exact.
+
+    Each catalog vector goes to the nearest of at most `pivots` vectors of the catalog; a cluster knows its widest angle.
+    A query first meets its nearest clusters, enough of them for k vectors. Its k-th score then rules out every cluster
+    that lies too far off, by the triangle inequality of angles, and it meets what is left. Clusters are dealt to chunks of
+    `block` vectors and queries to parts of about as many; a part meets a chunk in a task of its own. `counts`, if given,
+    takes the pairs compared and all pairs."""
+    spark = queries.sparkSession
+    catalog, queries = catalog.select(F.col("c").alias("c_id"), F.col("v").alias("c_v")).where("c_v is not null"), queries.select(F.col("q").alias("q_id"), F.col("v").alias("q_v")).where("q_v is not null")
     kind_q, kind_c = queries.schema["q_id"].dataType.simpleString(), catalog.schema["c_id"].dataType.simpleString()
+    zero = F.exists("c_v", lambda x: x != 0)
+    chosen = [r["c_v"] for r in catalog.where(zero).orderBy(F.xxhash64("c_id"), "c_id").limit(pivots).collect()]  # at most `pivots` vectors
+    centres = spark.sparkContext.broadcast(_units(pd.Series(chosen)) if chosen else None)
+
+    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            a = _angles(_units(p["c_v"]), centres.value) if centres.value is not None and len(p) else np.full((len(p), 1), np.nan)
+            none = np.isnan(a[:, 0])  # zero vectors are a cluster of their own
+            a[none] = 0
+            yield p.assign(cluster=np.where(none, -1, a.argmin(1)).astype("int32"), angle=a.min(1))
+
+    held = written(catalog.mapInPandas(assign, f"c_id {kind_c}, c_v array<double>, cluster int, angle double"), "clusters")
+    sizes = {r["cluster"]: (r["n"], r["wide"]) for r in held.groupBy("cluster").agg(F.count("*").alias("n"), F.max("angle").alias("wide")).collect()}  # a row a cluster
+    n_queries = queries.count()
+    parts = max(1, -(-n_queries // block))
+    chunks = {c: max(1, -(-n // block)) for c, (n, _) in sizes.items()}
+    numbers = np.array(sorted(sizes))
+    every, wide = np.array([sizes[c][0] for c in numbers.tolist()]), np.array([sizes[c][1] for c in numbers.tolist()])
+
+    def off(u: np.ndarray) -> np.ndarray:
+        """Least angle that a vector of each cluster can have to each query (a quarter turn to zero vectors, or from them)."""
+        out = np.full((len(u), len(numbers)), np.pi / 2)
+        if centres.value is not None:
+            a = _angles(u, centres.value)
+            real = numbers >= 0
+            out[:, real] = np.where(np.isnan(a[:, numbers[real]]), np.pi / 2, np.maximum(0, a[:, numbers[real]] - wide[real]))
+        return out
 
-    def unit(v: pd.Series) -> np.ndarray:
-        m = np.array(v.tolist(), dtype=float)
-        n = np.sqrt((m * m).sum(1, keepdims=True))
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Clusters of least angle, enough for k vectors."""
+        for b in batches:
+            if len(b) and len(numbers):
+                far = off(_units(b["q_v"]))
+                order = np.argsort(far, axis=1, kind="stable")
+                before = np.cumsum(every[order], axis=1) - every[order]
+                rows, at = np.nonzero(before < k)
+                yield pd.DataFrame({"q_id": b["q_id"].to_numpy()[rows], "q_v": b["q_v"].to_numpy()[rows], "cluster": numbers[order[rows, at]].astype("int32")})
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The other clusters that may still hold one of the k nearest."""
+        for b in batches:
+            if len(b) and len(numbers):
+                far = off(_units(b["q_v"]))
+                order = np.argsort(far, axis=1, kind="stable")
+                before = np.cumsum(every[order], axis=1) - every[order]
+                new = np.zeros(far.shape, bool)
+                np.put_along_axis(new, order, before >= k, axis=1)
+                limit = np.arccos(np.clip(b["least"].fillna(-1).to_numpy(dtype=float), -1, 1))[:, None] + SLACK
+                rows, at = np.nonzero(new & (far <= limit))
+                yield pd.DataFrame({"q_id": b["q_id"].to_numpy()[rows], "q_v": b["q_v"].to_numpy()[rows], "cluster": numbers[at].astype("int32")})
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"q": [], "c": [], "score": []})
         right = right.sort_values("c_id")
-        cu, ids, out = unit(right["c_v"]), right["c_id"].to_numpy(), []
+        cu, ids, out = _units(right["c_v"]), right["c_id"].to_numpy(), []
         for lo in range(0, len(left), 1024):
             part = left.iloc[lo : lo + 1024]
-            s = unit(part["q_v"]) @ cu.T
+            s = _units(part["q_v"]) @ cu.T
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             out.append(pd.DataFrame({"q": np.repeat(part["q_id"].to_numpy(), top.shape[1]), "c": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
         return pd.concat(out)
 
-    found = ask.groupBy("block", "part").cogroup(cat.groupBy("block", "part")).applyInPandas(run, f"q {kind_q}, c {kind_c}, score double")
+    named = F.create_map(*[F.lit(x) for c, n in chunks.items() for x in (int(c), n)]) if chunks else F.create_map(F.lit(0), F.lit(1))
+    slices = F.sequence(F.lit(0), F.try_element_at(named, F.col("cluster")) - 1)
+    cat = held.withColumn("chunk", F.pmod(F.xxhash64("c_id"), F.try_element_at(named, F.col("cluster"))).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def met(asked: DataFrame) -> DataFrame:
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("q_id"), F.lit(parts)).cast("int")).withColumn("chunk", F.explode(slices))
+        found = asked.groupBy("cluster", "chunk", "part").cogroup(cat.groupBy("cluster", "chunk", "part")).applyInPandas(run, f"q {kind_q}, c {kind_c}, score double")
+        w = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    asks = f"q_id {kind_q}, q_v array<double>, cluster int"
+    near = written(met(queries.mapInPandas(first, asks)), "near")
+    least = near.where(F.col("rank") == k).select(F.col("q").alias("q_id"), F.col("score").alias("least"))
+    more = queries.join(least, "q_id", "left").select("q_id", "q_v", "least").mapInPandas(rest, asks)
+    if counts is not None:
+        size = F.create_map(*[F.lit(x) for c, (n, _) in sizes.items() for x in (int(c), n)])
+        both = queries.mapInPandas(first, asks).select("cluster").unionByName(more.select("cluster"))
+        counts |= {"compared": both.agg(F.sum(F.element_at(size, F.col("cluster")))).first()[0], "all": n_queries * int(every.sum())}
     w = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    found = near.drop("rank").unionByName(met(more).drop("rank"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

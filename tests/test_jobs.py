@@ -269,3 +269,49 @@ def test_key_blocks_and_parts(spark, monkeypatch):
     assert {(r.name, r.place): r.score for r in S.top_keys(n, d, 3, block=11).collect()} == want
     assert S.top_keys(d, d, 1, block=11).where("score = 100").count() == 40
     assert S.top_keys(n, d.limit(0), 3).count() == 0 == S.top_keys(n.limit(0), d, 3).count()
+
+
+def test_key_search_grows_slower_than_the_keys():
+    """Names against invented catalogs: equal to every score sorted, and few keys are compared letter by letter."""
+    import random
+
+    from tariffspark.functions import similarity as S
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice(["he", "mo", "glo", "bin", "tri", "ser", "um", "ane", "lip", "tox", "ri", "kar"]) for _ in range(rnd.randint(2, 4))) for _ in range(1500)]
+    compared = []
+    for n in (500, 4000):
+        keys = sorted({" ".join(rnd.choices(words, [1 / (i + 1) ** 0.7 for i in range(len(words))], k=rnd.randint(2, 5))) for _ in range(n)})
+        index = S._Keys(keys, list(range(len(keys))))
+        for key in rnd.sample(keys, 20):
+            name = key[:3] + "x" + key[3:] + (" и очень длинное пояснение к названию услуги, длиннее шестидесяти четырёх букв" if len(key) % 5 == 0 else "")
+            want = [(i, -s) for s, i in sorted((-S.token_set_ratio(name, x), i) for i, x in enumerate(keys))[:5]]
+            assert index.top(name, 5) == want
+            assert index.above(name, 80.0) == [(i, S.token_set_ratio(name, x)) for i, x in enumerate(keys) if S.token_set_ratio(name, x) >= 80.0]
+        compared.append(index.compared / 40 / len(keys))
+    assert compared[1] < compared[0] < 0.5
+
+
+def test_cosine_skips_far_clusters(spark):
+    import numpy as np
+
+    from tariffspark.functions.similarity import cosine_topk
+
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(20, 16))
+    rows = [(i, (centres[i % 20] + 0.15 * rnd.normal(size=16)).tolist()) for i in range(600)] + [(600, [0.0] * 16), (601, rows0 := [1.0] + [0.0] * 15), (602, rows0), (603, None)]
+    asked = [(i, v) for i, v in rows if i % 7 == 0] + [(9000, [0.0] * 16), (9001, rows0)]
+    c, q = spark.createDataFrame(rows, "c long, v array<double>"), spark.createDataFrame(asked, "q long, v array<double>")
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    counts = {}
+    for pivots, block in ((32, 1000), (5, 50)):
+        got = {(r.q, r["rank"]): (r.c, round(r.score, 9)) for r in cosine_topk(q, c, 4, block=block, pivots=pivots, counts=counts).collect()}
+        want = {}
+        for i, v in asked:
+            best = sorted((-round(float(unit(v) @ unit(w)), 9), j) for j, w in rows if w is not None)[:4]
+            want |= {(i, n): (j, -s + 0.0) for n, (s, j) in enumerate(best, 1)}
+        assert got == want
+    counts = {}
+    cosine_topk(q, c, 4, pivots=64, counts=counts).count()
+    assert counts["compared"] < 0.4 * counts["all"]
+    assert cosine_topk(q, c.limit(0), 4).count() == 0 == cosine_topk(q.limit(0), c, 4).count()
