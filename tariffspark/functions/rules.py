@@ -94,3 +94,6 @@ ONTOLOGY = (
 )
 SOURCE_PRIORITY = {"upload": 3, "api": 2, "web_scrape": 1}
 MATCH, WEAK, REJECT, SEMANTIC, BACKFILL, SUSPECT, SEARCH = 0.78, 0.60, 0.60, 0.72, 0.85, 0.55, 0.70
+
+# Slugs of sources -> slug of the city in the directory.
+CITY_ALIASES = {"uk": "ust-kamenogorsk", "semei": "semei", "nur-sultan": "astana", "nursultan": "astana", "almaty": "almaty"}

@@ -329,7 +329,7 @@ def cosine_topk(queries: DataFrame, catalog: DataFrame, k: int, block: int = 20_
             a = _angles(_units(p["c_v"]), centres.value) if centres.value is not None and len(p) else np.full((len(p), 1), np.nan)
             none = np.isnan(a[:, 0])  # zero vectors are a cluster of their own
             a[none] = 0
-            yield p.assign(cluster=np.where(none, -1, a.argmin(1)).astype("int32"), angle=a.min(1))
+            yield p.assign(c_id=p["c_id"].astype(object), cluster=np.where(none, -1, a.argmin(1)).astype("int32"), angle=a.min(1))
 
     held = written(catalog.mapInPandas(assign, f"c_id {kind_c}, c_v array<double>, cluster int, angle double"), "clusters")
     sizes = {r["cluster"]: (r["n"], r["wide"]) for r in held.groupBy("cluster").agg(F.count("*").alias("n"), F.max("angle").alias("wide")).collect()}  # a row a cluster
@@ -356,7 +356,8 @@ def cosine_topk(queries: DataFrame, catalog: DataFrame, k: int, block: int = 20_
                 order = np.argsort(far, axis=1, kind="stable")
                 before = np.cumsum(every[order], axis=1) - every[order]
                 rows, at = np.nonzero(before < k)
-                yield pd.DataFrame({"q_id": b["q_id"].to_numpy()[rows], "q_v": b["q_v"].to_numpy()[rows], "cluster": numbers[order[rows, at]].astype("int32")})
+                if len(rows):
+                    yield pd.DataFrame({"q_id": b["q_id"].astype(object).iloc[rows].reset_index(drop=True), "q_v": b["q_v"].iloc[rows].reset_index(drop=True), "cluster": numbers[order[rows, at]].astype("int32")})
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The other clusters that may still hold one of the k nearest."""
@@ -369,18 +370,19 @@ def cosine_topk(queries: DataFrame, catalog: DataFrame, k: int, block: int = 20_
                 np.put_along_axis(new, order, before >= k, axis=1)
                 limit = np.arccos(np.clip(b["least"].fillna(-1).to_numpy(dtype=float), -1, 1))[:, None] + SLACK
                 rows, at = np.nonzero(new & (far <= limit))
-                yield pd.DataFrame({"q_id": b["q_id"].to_numpy()[rows], "q_v": b["q_v"].to_numpy()[rows], "cluster": numbers[at].astype("int32")})
+                if len(rows):
+                    yield pd.DataFrame({"q_id": b["q_id"].astype(object).iloc[rows].reset_index(drop=True), "q_v": b["q_v"].iloc[rows].reset_index(drop=True), "cluster": numbers[at].astype("int32")})
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"q": [], "c": [], "score": []})
+            return pd.DataFrame()
         right = right.sort_values("c_id")
-        cu, ids, out = _units(right["c_v"]), right["c_id"].to_numpy(), []
+        cu, ids, out = _units(right["c_v"]), right["c_id"].to_numpy(dtype=object), []
         for lo in range(0, len(left), 1024):
             part = left.iloc[lo : lo + 1024]
             s = _units(part["q_v"]) @ cu.T
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"q": np.repeat(part["q_id"].to_numpy(), top.shape[1]), "c": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
+            out.append(pd.DataFrame({"q": pd.Series(np.repeat(part["q_id"].to_numpy(dtype=object), top.shape[1]), dtype=object), "c": pd.Series(ids[top].ravel(), dtype=object), "score": np.take_along_axis(s, top, 1).ravel()}))
         return pd.concat(out)
 
     named = F.create_map(*[F.lit(x) for c, n in chunks.items() for x in (int(c), n)]) if chunks else F.create_map(F.lit(0), F.lit(1))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.similarity import col_ratio, col_token_set_ratio, cosine_topk, keys_above, top_keys
+from ..sources.files import canonical_city
 from .dedup import first_by
 
 
@@ -205,21 +206,42 @@ def sanitize_synonyms(services: DataFrame) -> DataFrame:
     return syn.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("syn").isNotNull() & ~F.col("bad"), F.struct("n", "syn")))), lambda x: x["syn"]).alias("synonyms"), F.count_if(F.col("syn").isNotNull() & F.col("bad")).alias("removed"))
 
 
-def semantic_backfill(prices: DataFrame, name_vecs: DataFrame, service_vecs: DataFrame, threshold: float = R.BACKFILL) -> DataFrame:
-    """Weak rows whose name is close to a service by meaning are assigned to it. name_vecs: q (raw_name), v."""
-    weak = prices.where((F.col("match_confidence") < R.MATCH) & (F.length("raw_name") > 3))
+def semantic_backfill(prices: DataFrame, name_vecs: DataFrame, service_vecs: DataFrame, services: DataFrame | None = None, threshold: float = R.BACKFILL) -> DataFrame:
+    """Weak rows whose name is close to a service by meaning are assigned to it; with the services, an empty tariff
+    code is filled from the one assigned. name_vecs: q (raw_name), v."""
+    weak = _weak(prices)
     names = name_vecs.join(weak.select(F.col("raw_name").alias("q")).distinct(), "q", "left_semi")
     best = cosine_topk(names, service_vecs, 1).where(F.col("score") >= threshold)
-    return weak.join(best.select(F.col("q").alias("raw_name"), F.col("c").alias("new_service_id"), F.bround("score", 3).alias("confidence")), "raw_name")
+    out = weak.join(best.select(F.col("q").alias("raw_name"), F.col("c").alias("new_service_id"), F.bround("score", 3).alias("confidence")), "raw_name")
+    if services is None:
+        return out
+    codes = services.select(F.col("id").alias("new_service_id"), F.nullif("tarificator_code", F.lit("")).alias("_code"))
+    own = F.nullif("tarificator_code", F.lit("")) if "tarificator_code" in prices.columns else F.lit(None).cast("string")
+    return out.join(codes, "new_service_id", "left").withColumn("tarificator_code", F.coalesce(own, "_code")).drop("_code")
+
+
+def _weak(prices: DataFrame) -> DataFrame:
+    return prices.where((F.col("match_confidence") < R.MATCH) & (F.length("raw_name") > 3))
+
+
+def backfill_counts(prices: DataFrame, filled: DataFrame) -> DataFrame:
+    """Rows checked, distinct names among them, rows assigned, and those whose empty code was filled."""
+    had = F.nullif("tarificator_code", F.lit("")).isNotNull() if "tarificator_code" in prices.columns else F.lit(False)
+    checked = _weak(prices).agg(F.count("*").alias("checked"), F.countDistinct("raw_name").alias("unique_names"), F.count_if(had).alias("_had"))
+    assigned = filled.agg(F.count("*").alias("assigned"), F.count_if(F.col("tarificator_code").isNotNull()).alias("with_code"))
+    return checked.crossJoin(assigned).drop("_had")  # one row each
 
 
 def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def suspect_bindings(prices: DataFrame, name_vecs: DataFrame, service_vecs: DataFrame, floor: float = R.SUSPECT) -> DataFrame:
-    """Sure rows whose name is far by meaning from the service they are bound to, farthest first."""
+def suspect_bindings(prices: DataFrame, name_vecs: DataFrame, service_vecs: DataFrame, floor: float = R.SUSPECT, *, offset: int = 0, window: int | None = None) -> DataFrame:
+    """Sure rows whose name is far by meaning from the service they are bound to, farthest first. With a `window`, only
+    so many sure rows are looked at, by id from `offset` on: the next page takes the next window."""
     sure = prices.where((F.col("match_confidence") >= R.MATCH) & F.col("service_id").isNotNull())
+    if window is not None:
+        sure = sure.orderBy("id").offset(max(0, offset)).limit(max(1, window))
     rows = sure.join(name_vecs.select(F.col("q").alias("raw_name"), F.col("v").alias("a")), "raw_name").join(service_vecs.select(F.col("c").alias("service_id"), F.col("v").alias("b")), "service_id")
     n = F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b"))
     return rows.withColumn("cosine", F.when(n > 0, dot("a", "b") / n).otherwise(0.0)).where(F.col("cosine") < floor).drop("a", "b").orderBy("cosine")
@@ -325,8 +347,11 @@ def rank_services(questions: DataFrame, services: DataFrame, dictionary: DataFra
     return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("question", "service_id", "canonical_name", "score", "place")
 
 
-def upsert_clinics(clinics: DataFrame, cards: DataFrame) -> DataFrame:
-    """Cards (name, city, address, phone) update clinics of the same name, or make new ones; empty values change nothing."""
+def upsert_clinics(clinics: DataFrame, cards: DataFrame, cities: DataFrame | None = None) -> DataFrame:
+    """Cards (name, city, address, phone) update clinics of the same name, or make new ones; empty values change
+    nothing. With a directory of cities, a card's city is written by its name there."""
+    if cities is not None:
+        cards = canonical_city(cards, cities).withColumn("city", F.col("city_name")).drop("city_name")
     c = first_by(cards, ["name"], "place").select("name", *[F.nullif(F.trim(x), F.lit("")).alias(f"n_{x}") for x in ("city", "address", "phone")])
     out = clinics.select("id", "name", "city", "address", "phone").join(c, "name", "full")
     return out.select(F.coalesce("id", F.xxhash64("name")).alias("id"), "name", *[F.coalesce(f"n_{x}", x, F.lit("")).alias(x) for x in ("city", "address", "phone")], F.col("id").isNull().alias("created"))

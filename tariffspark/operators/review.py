@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..data import written
 from ..functions import rules as R
 from ..functions import text as T
 from .compare import with_fresh
@@ -161,9 +162,29 @@ def _urine(c: str = "raw_name"):
     return F.coalesce(T.col_specimen(c) == "urine", F.lit(False))
 
 
+def close_plan(plan: DataFrame) -> DataFrame:
+    """A merge plan (from_id, to_id, urine_id) with each duplicate sent to the end of its chain (a -> b, b -> c sends a
+    to c), by pointer jumping: each round doubles how far a link reaches, so a chain of n links takes log2(n) rounds. Rows
+    in a cycle, or that lead into one, have no end and are left out: nothing of theirs is merged. Of several rows for one
+    duplicate the smallest target counts. A duplicate without a urine service takes that of the next one on its chain."""
+    links = written(first_by(plan.where("from_id is not null and to_id is not null"), ["from_id"], "to_id", "urine_id").select("from_id", "to_id", "urine_id"), "plan")
+    for _ in range(max(1, links.count()).bit_length() + 1):
+        nxt = links.select(F.col("from_id").alias("_f"), F.col("to_id").alias("_t"), F.col("urine_id").alias("_u"))
+        joined = links.join(nxt, F.col("to_id") == F.col("_f"), "left")
+        open_ends = joined.where("_f is not null").limit(1).count()
+        if not open_ends:
+            break
+        links = written(joined.select("from_id", F.coalesce("_t", "to_id").alias("to_id"), F.coalesce("urine_id", "_u").alias("urine_id")), "plan")
+    froms = links.select(F.col("from_id").alias("to_id"))
+    good = links.join(froms, "to_id", "left_anti")
+    ends = good.select(F.col("from_id").alias("urine_id"), F.col("to_id").alias("_end"))  # a urine service may be a duplicate itself
+    return good.join(ends, "urine_id", "left").select("from_id", "to_id", F.coalesce("_end", "urine_id").alias("urine_id"))
+
+
 def merge_canons(prices: DataFrame, plan: DataFrame, absurd: float = 50_000) -> DataFrame:
     """Prices of duplicate services move to the one kept (plan: from_id, to_id, urine_id); rows about urine move to
     the urine service, and of these absurd prices go."""
+    plan = close_plan(plan)
     out = prices.join(plan.withColumnRenamed("from_id", "service_id"), "service_id", "left")
     to = F.when(F.col("to_id").isNull(), F.col("service_id")).when(_urine(), F.coalesce("urine_id", "to_id")).otherwise(F.col("to_id"))
     bad = F.col("to_id").isNotNull() & _urine() & (F.col("price") >= absurd)
@@ -172,6 +193,7 @@ def merge_canons(prices: DataFrame, plan: DataFrame, absurd: float = 50_000) ->
 
 def merge_followers(rows: DataFrame, plan: DataFrame, absurd: float | None = None) -> DataFrame:
     """History (absurd prices of duplicates go) or subscriptions of duplicate services move to the one kept."""
+    plan = close_plan(plan)
     out = rows.join(plan.select(F.col("from_id").alias("service_id"), F.col("to_id").alias("_to")), "service_id", "left")
     if absurd is not None:
         out = out.where(F.col("_to").isNull() | (F.col("price") < absurd))
@@ -181,6 +203,7 @@ def merge_followers(rows: DataFrame, plan: DataFrame, absurd: float | None = Non
 def merge_services(services: DataFrame, plan: DataFrame, prices: DataFrame, longest: int = 40) -> DataFrame:
     """The services left when duplicates are gone; those kept learn the duplicates' names and the raw names of their
     prices, but for urine and long ones, each once whatever its case."""
+    plan = close_plan(plan)
     names = services.join(plan.select(F.col("from_id").alias("id"), "to_id"), "id").select("to_id", F.col("canonical_name").alias("name"))
     raws = prices.join(plan.select(F.col("from_id").alias("service_id"), "to_id"), "service_id").where(~_urine() & (F.length("raw_name") <= longest)).select("to_id", F.col("raw_name").alias("name"))
     have = services.select(F.col("id").alias("to_id"), F.explode(F.concat(F.array("canonical_name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("h")).select("to_id", F.lower("h").alias("low"))
@@ -247,7 +270,6 @@ def reprocess(runs: DataFrame, originals: DataFrame, services: DataFrame, prices
     """Stored originals once more, as new runs of the same clinic, file and date. runs: run_id, clinic_id, valid_from;
     originals: run_id, sheet, row_idx, cells. They are extracted, matched with the current catalog (by code, else by
     name), deduplicated and upserted into prices."""
-    from ..data import written
     from ..sources.files import items_from_grid
     from .dedup import archive_dedup, archive_upsert
     from .match import match_by_code, normalize

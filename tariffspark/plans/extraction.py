@@ -1,5 +1,9 @@
 """Queries of the sources (S01 - S09) over texts made from the driver's tables, and over its pages."""
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..data import raw
@@ -96,3 +100,23 @@ def s08(spark, d):
     o = ORDERS(spark, d).where(F.floor("o_totalprice") > 0)
     grid = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("int").alias("row_idx"), F.when(F.col("o_custkey") % 2 == 0, F.array(_name(), _price())).otherwise(F.array(_price(), _name())).alias("cells"))
     return X.items_from_table(grid).select("doc_id", "raw_name", "price")
+
+
+@query("s09_archive", "SELECT page_id % 20 AS archive, 'page' || CAST(page_id AS VARCHAR) || '.csv' AS name, octet_length(encode(coalesce(html, ''))) AS length, 'csv' AS format FROM pages")
+def s09(spark, d):
+    """Pages packed into twenty archives, every second one in a zip inside, beside read-mes; then listed."""
+
+    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+        outer, inner = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(outer, "w", zipfile.ZIP_DEFLATED) as a, zipfile.ZipFile(inner, "w") as b:
+            a.writestr("readme.txt", "x")
+            for i, html in zip(rows["page_id"], rows["html"], strict=True):
+                (a if i % 2 else b).writestr(f"dir/page{i}.csv", html or "")
+            b.close()
+            a.writestr("more/inner.zip", inner.getvalue())
+        data = outer.getvalue()
+        return pd.DataFrame({"path": [f"{key[0]}.zip"], "name": [f"{key[0]}.zip"], "length": [len(data)], "content": [data]})
+
+    files = raw(spark, d, "pages").groupBy(F.col("page_id") % 20).applyInPandas(pack, "path string, name string, length long, content binary")
+    listed = X.price_files(X.archive_members(files))
+    return listed.select(F.regexp_extract("path", r"^(\d+)\.zip", 1).cast("long").alias("archive"), "name", "length", "format")

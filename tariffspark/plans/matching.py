@@ -154,11 +154,15 @@ def m13(spark, d):
     SELECT p.id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM (SELECT id, id % (SELECT count(*) FROM embeddings) AS n, id * 7 % (SELECT count(*) FROM embeddings) AS s FROM prices WHERE match_confidence >= 0.78 AND service_id IS NOT NULL) p JOIN e a ON a.vec_id = n JOIN e b ON b.vec_id = s WHERE list_cosine_similarity(a.v, b.v) < 0.55"""),
 )
 def m14(spark, d):
+    return _suspects(spark, d)
+
+
+def _suspects(spark, d, **page):
     e = raw(spark, d, "embeddings")
-    n = F.lit(e.count())
+    n = F.lit(max(1, e.count()))
     p = canon(spark, d, "prices").where("service_id is not null").withColumn("raw_name", (F.col("id") % n).cast("string")).withColumn("service_id", F.col("id") * 7 % n)
     names = e.select(F.col("vec_id").cast("string").alias("q"), F.col("embedding").alias("v"))
-    return M.suspect_bindings(p, names, e.select(F.col("vec_id").alias("c"), F.col("embedding").alias("v"))).select("id", F.round("cosine", 6).alias("cosine"))
+    return M.suspect_bindings(p, names, e.select(F.col("vec_id").alias("c"), F.col("embedding").alias("v")), **page).select("id", F.round("cosine", 6).alias("cosine"))
 
 
 @query("m15_review_candidates")
@@ -252,6 +256,48 @@ def m19(spark, d):
     return M.upsert_clinics(canon(spark, d, "clinics"), cards).select("name", "city", "created")
 
 
+_CITIES = ("Алматы", "Астана", "Усть-Каменогорск", "Семей")
+_CARD_CITY = "CASE o_orderkey % 8 WHEN 0 THEN 'almaty' WHEN 1 THEN ' АСТАНА ' WHEN 2 THEN 'nur-sultan' WHEN 3 THEN 'uk' WHEN 4 THEN 'semei' WHEN 5 THEN '' WHEN 6 THEN 'new-town on hill' ELSE 'ust-kamenogorsk' END"
+
+
+@query("m19_canonical_city", with_canon("""WITH c AS (SELECT 'clinic ' || CAST(o_custkey AS VARCHAR) AS name, arg_min(o_orderkey % 8, o_orderkey) AS k FROM orders GROUP BY ALL)
+    SELECT name, CASE k WHEN 0 THEN 'Алматы' WHEN 1 THEN 'Астана' WHEN 2 THEN 'Астана' WHEN 3 THEN 'Усть-Каменогорск' WHEN 4 THEN 'Семей' WHEN 5 THEN '' WHEN 6 THEN 'New-Town On Hill' ELSE 'Усть-Каменогорск' END AS city FROM c
+    UNION ALL SELECT name, city FROM clinics"""))
+def m19_city(spark, d):
+    """Cities of cards as names, slugs and other slugs of sources become those of the directory."""
+    cards = raw(spark, d, "orders").select(F.col("o_orderkey").alias("place"), F.concat(F.lit("clinic "), F.col("o_custkey").cast("string")).alias("name"), F.expr(_CARD_CITY).alias("city"), F.lit("").alias("address"), F.lit("").alias("phone"))
+    cities = spark.createDataFrame([(x,) for x in _CITIES], "name string")
+    return M.upsert_clinics(canon(spark, d, "clinics"), cards, cities).select("name", "city")
+
+
+@query(
+    "m13_backfill_codes",
+    with_canon("""WITH v AS (SELECT 'Item ' || CAST(vec_id AS VARCHAR) AS q, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    b AS (SELECT q, arg_max(c, (s, -c)) AS c, max(s) AS s FROM (SELECT q, c, list_cosine_similarity(v.v, c.v) AS s FROM v, c) GROUP BY ALL HAVING max(s) >= 0.85),
+    w AS (SELECT p.id, raw_name, CASE WHEN p.id % 3 = 0 THEN 'own' END AS own FROM prices p WHERE match_confidence < 0.78),
+    f AS (SELECT w.id, coalesce(own, tarificator_code) AS code FROM w JOIN b ON raw_name = q LEFT JOIN services s ON s.id = b.c)
+    SELECT (SELECT count(*) FROM w) AS checked, (SELECT count(DISTINCT raw_name) FROM w) AS unique_names, count(*) AS assigned, count(code) AS with_code, sum(CASE WHEN code <> 'own' THEN 1 ELSE 0 END)::BIGINT AS filled FROM f"""),
+)
+def m13_codes(spark, d):
+    """Counters of the second pass, and how many empty codes it filled."""
+    e = raw(spark, d, "embeddings")
+    names = e.select(F.concat(F.lit("Item "), F.col("vec_id").cast("string")).alias("q"), F.col("embedding").alias("v"))
+    p = canon(spark, d, "prices").withColumn("tarificator_code", F.when(F.col("id") % 3 == 0, "own").otherwise(""))
+    out = M.semantic_backfill(p, names, e.select(F.col("vec_id").alias("c"), F.col("embedding").alias("v")), canon(spark, d, "services"))
+    filled = out.agg(F.sum((F.col("tarificator_code") != "own").cast("long")).alias("filled"))
+    return M.backfill_counts(p, out).crossJoin(filled)  # one row each
+
+
+@query(
+    "m14_suspect_window",
+    with_canon("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+    SELECT p.id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM (SELECT id, id % (SELECT count(*) FROM embeddings) AS n, id * 7 % (SELECT count(*) FROM embeddings) AS s FROM prices WHERE match_confidence >= 0.78 AND service_id IS NOT NULL ORDER BY id LIMIT 400 OFFSET 800) p JOIN e a ON a.vec_id = n JOIN e b ON b.vec_id = s WHERE list_cosine_similarity(a.v, b.v) < 0.55"""),
+)
+def m14_window(spark, d):
+    """The third window of 400 sure rows by id."""
+    return _suspects(spark, d, offset=800, window=400)
+
+
 @query("m20_upsert_sources", "SELECT DISTINCT o_custkey % 100 AS clinic_id, o_orderpriority AS url FROM orders WHERE o_orderpriority NOT LIKE '1%'")
 def m20(spark, d):
     o = raw(spark, d, "orders").select((F.col("o_custkey") % 100).alias("clinic_id"), F.lit("api").alias("type"), F.col("o_orderpriority").alias("url"))

@@ -114,34 +114,39 @@ def r12(spark, d):
     return V.apply_edits(P(spark, d), e, AS_OF).groupBy("clinic_id", "source_type").agg(F.count("*").alias("n"), F.sum("price").cast("double").alias("total"))
 
 
-@query("r13_merge_canons", with_canon("SELECT CASE WHEN service_id % 10 = 3 THEN CASE WHEN id % 2 = 0 THEN service_id - 2 ELSE service_id - 3 END ELSE service_id END AS service_id, count(*) AS n FROM prices WHERE NOT (coalesce(service_id % 10 = 3, false) AND id % 2 = 0 AND price >= 50000) GROUP BY ALL"))
+@query("r13_merge_canons", with_canon("SELECT CASE WHEN service_id % 10 IN (3, 4) THEN service_id - service_id % 10 + (1 - id % 2) ELSE service_id END AS service_id, count(*) AS n FROM prices WHERE NOT (coalesce(service_id % 10 IN (3, 4), false) AND id % 2 = 0 AND price >= 50000) GROUP BY ALL"))
 def r13(spark, d):
-    plan = canon(spark, d, "services").where("id % 10 = 3").select(F.col("id").alias("from_id"), (F.col("id") - 3).alias("to_id"), (F.col("id") - 2).alias("urine_id"))
+    plan = _plan(spark, d)
     p = P(spark, d).withColumn("raw_name", F.when(F.col("id") % 2 == 0, "Глюкоза в моче").otherwise("Глюкоза"))
     return V.merge_canons(p, plan).groupBy("service_id").agg(F.count("*").alias("n"))
 
 
-@query("r13_merge_history", with_canon("SELECT CASE WHEN service_id % 10 = 3 THEN service_id - 3 ELSE service_id END AS service_id, count(*) AS n, CAST(sum(price) AS DOUBLE) AS total FROM price_history WHERE NOT (service_id % 10 = 3 AND price >= 50000) GROUP BY ALL"))
+@query("r13_merge_history", with_canon("SELECT CASE WHEN service_id % 10 IN (3, 4) THEN service_id - service_id % 10 ELSE service_id END AS service_id, count(*) AS n, CAST(sum(price) AS DOUBLE) AS total FROM price_history WHERE NOT (service_id % 10 IN (3, 4) AND price >= 50000) GROUP BY ALL"))
 def r13_history(spark, d):
     out = V.merge_followers(canon(spark, d, "price_history"), _plan(spark, d), 50_000)
     return out.groupBy("service_id").agg(F.count("*").alias("n"), F.sum("price").cast("double").alias("total"))
 
 
-@query("r13_merge_subscriptions", with_canon("SELECT id, CASE WHEN service_id % 10 = 3 AND service_id IN (SELECT id FROM services) THEN service_id - 3 ELSE service_id END AS service_id FROM subscriptions"))
+@query("r13_merge_subscriptions", with_canon("SELECT id, CASE WHEN service_id % 10 IN (3, 4) AND service_id IN (SELECT id FROM services) THEN service_id - service_id % 10 ELSE service_id END AS service_id FROM subscriptions"))
 def r13_subscriptions(spark, d):
     return V.merge_followers(canon(spark, d, "subscriptions"), _plan(spark, d)).select("id", "service_id")
 
 
-@query("r13_merge_services", with_canon("""WITH raws AS (SELECT service_id - 3 AS id, 'Item ' || CAST(service_id AS VARCHAR) AS name FROM prices WHERE service_id % 10 = 3 UNION SELECT id - 3, canonical_name FROM services WHERE id % 10 = 3),
+@query("r13_merge_services", with_canon("""WITH raws AS (SELECT service_id - service_id % 10 AS id, 'Item ' || CAST(service_id AS VARCHAR) AS name FROM prices WHERE service_id % 10 IN (3, 4) UNION SELECT id - id % 10, canonical_name FROM services WHERE id % 10 IN (3, 4)),
     news AS (SELECT r.id, r.name FROM raws r JOIN services s ON s.id = r.id WHERE lower(r.name) <> lower(s.canonical_name))
-    SELECT s.id, coalesce(string_agg(n.name, '|' ORDER BY n.name), '') AS synonyms FROM services s LEFT JOIN news n ON n.id = s.id WHERE s.id % 10 <> 3 GROUP BY s.id"""))
+    SELECT s.id, coalesce(string_agg(n.name, '|' ORDER BY n.name), '') AS synonyms FROM services s LEFT JOIN news n ON n.id = s.id WHERE s.id % 10 NOT IN (3, 4) GROUP BY s.id"""))
 def r13_services(spark, d):
     s = canon(spark, d, "services").withColumn("synonyms", F.array().cast("array<string>"))
     return V.merge_services(s, _plan(spark, d), P(spark, d)).select("id", F.array_join("synonyms", "|").alias("synonyms"))
 
 
 def _plan(spark, d):
-    return canon(spark, d, "services").where("id % 10 = 3").select(F.col("id").alias("from_id"), (F.col("id") - 3).alias("to_id"), (F.col("id") - 2).alias("urine_id"))
+    """Chains of two links (4 -> 3 -> 0 in each ten), whose first link has no urine service of its own, and cycles (7 <-> 8),
+    which merge nothing."""
+    k = F.col("id") % 10
+    s = canon(spark, d, "services").where("id % 10 in (3, 4, 7, 8)")
+    to = F.col("id") + F.when(k == 3, -3).when(k == 4, -1).when(k == 7, 1).otherwise(-1)
+    return s.select(F.col("id").alias("from_id"), to.alias("to_id"), F.when(k == 3, F.col("id") - 2).alias("urine_id"))
 
 
 def _dear(spark, d):
@@ -241,9 +246,33 @@ def s13(spark, d):
     return K.export_catalog(P(spark, d), canon(spark, d, "services"), canon(spark, d, "clinics")).select("category", "canonical_name", "code", "clinic_name", dbl("price"), "source", "confidence_pct")
 
 
+@query("s12_service_records", with_canon("SELECT p.id, CAST(price AS DOUBLE) AS price, canonical_name AS service_name_norm FROM prices p JOIN clinics c ON p.clinic_id = c.id JOIN services s ON p.service_id = s.id WHERE p.service_id = 42 ORDER BY p.id DESC LIMIT 100"))
+def s12_service(spark, d):
+    """The newest hundred records of one service."""
+    return K.collected_records(P(spark, d), canon(spark, d, "clinics"), canon(spark, d, "services"), AS_OF, FRESH_DAYS, service_id=42).select("id", dbl("price"), "service_name_norm")
+
+
+_KEYS = {"clinics": {"id": "clinics"}, "services": {"id": "services"}, "prices": {"clinic_id": "clinics", "service_id": "services"}, "price_history": {"clinic_id": "clinics", "service_id": "services"}, "subscriptions": {"clinic_id": "clinics", "service_id": "services"}, "runs": {"clinic_id": "clinics"}, "reports": {"clinic_id": "clinics"}}
+
+
 @query("s14_remap_ids", with_canon("SELECT md5('clinics|' || CAST(clinic_id AS VARCHAR)) AS clinic_id, CASE WHEN service_id IS NOT NULL THEN md5('services|' || CAST(service_id AS VARCHAR)) END AS service_id, id FROM prices"))
 def s14(spark, d):
-    return K.remap_ids({"prices": P(spark, d)}, {"prices": {"clinic_id": "clinics", "service_id": "services"}})["prices"].select("clinic_id", "service_id", "id")
+    return K.remap_ids({"prices": P(spark, d)}, _KEYS)["prices"].select("clinic_id", "service_id", "id")
+
+
+@query("s14_remap_counts", with_canon(" UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS "rows", count(*) AS copied, 0 AS lost FROM {t}""" for t in _KEYS)))
+def s14_counts(spark, d):
+    """All tables with references to clinics and services."""
+    old = {t: canon(spark, d, t) for t in _KEYS}
+    return K.remap_counts(old, K.remap_ids(old, _KEYS), _KEYS)
+
+
+@query("s14_joined", with_canon("SELECT p.id, s.canonical_name, c.name FROM prices p JOIN services s ON p.service_id = s.id JOIN clinics c ON p.clinic_id = c.id"))
+def s14_joined(spark, d):
+    """References still meet after the change of ids."""
+    t = K.remap_ids({x: canon(spark, d, x) for x in ("prices", "services", "clinics")}, _KEYS)
+    s, c = t["services"].select(F.col("id").alias("service_id"), "canonical_name"), t["clinics"].select(F.col("id").alias("clinic_id"), "name")
+    return t["prices"].join(s, "service_id").join(c, "clinic_id").select("id", "canonical_name", "name")
 
 
 @query("s15_purge_raw", with_canon("SELECT id, CASE WHEN created_at < DATE '2001-04-01' THEN '' ELSE substr(raw_content, 1, 4) END AS raw_content FROM runs"))

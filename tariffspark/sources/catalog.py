@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +41,14 @@ def load_catalog(services: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("canonical_name", "r_name").alias("canonical_name"), cat.alias("category"), syn.alias("synonyms"), code.alias("tarificator_code"), spec.alias("specialty"), change.alias("change"))
 
 
-def collected_records(prices: DataFrame, clinics: DataFrame, services: DataFrame, as_of: str, days: int = 30, *, limit: int = 100, offset: int = 0, active_only: bool = False, city: str | None = None) -> DataFrame:
-    """Flat records, newest id first. The page is cut first; active_only then drops rows of it."""
+def collected_records(prices: DataFrame, clinics: DataFrame, services: DataFrame, as_of: str, days: int = 30, *, limit: int = 100, offset: int = 0, active_only: bool = False, city: str | None = None, service_id=None) -> DataFrame:
+    """Flat records, newest id first, of a city and a service where asked. The page is cut first; active_only then drops rows of it."""
     c = clinics.select(F.col("id").alias("clinic_id"), F.col("name").alias("clinic_name"), "city", "address", "website")
     if city:
         c = c.where(F.col("city") == city)
     s = services.select(F.col("id").alias("service_id"), "canonical_name", "category", "specialty")
+    if service_id is not None:
+        prices = prices.where(F.col("service_id") == service_id)
     page = prices.join(c, "clinic_id").join(s, "service_id").orderBy(F.desc("id"), "price").offset(offset).limit(limit)
     out = with_fresh(page, as_of, days)
     out = out.where("is_fresh") if active_only else out
@@ -70,3 +74,11 @@ def remap_ids(tables: dict[str, DataFrame], keys: dict[str, dict[str, str]]) ->
     """Ids become deterministic strings in every table. keys: table -> {column: table that the column refers to}."""
     new = lambda kind, c: F.when(F.col(c).isNotNull(), F.md5(F.concat_ws("|", F.lit(kind), F.col(c).cast("string"))))
     return {t: df.withColumns({c: new(kind, c) for c, kind in keys.get(t, {}).items()}) for t, df in tables.items()}
+
+
+def remap_counts(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[str, dict[str, str]]) -> DataFrame:
+    """Per table, rows before and after the change of ids, and how many references became null (none should)."""
+    one = lambda t, df, side: df.select(F.lit(t).alias("table"), F.lit(side).alias("side"), reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in keys.get(t, {})], F.lit(0).cast("long")).alias("nulls"))
+    rows = reduce(lambda a, b: a.unionByName(b), [one(t, df, s) for s, side in (("old", old), ("new", new)) for t, df in side.items()])
+    of = lambda s, x: F.coalesce(F.sum(F.when(F.col("side") == s, x)), F.lit(0))
+    return rows.groupBy("table").agg(of("old", F.lit(1).cast("long")).alias("rows"), of("new", F.lit(1).cast("long")).alias("copied"), (of("new", F.col("nulls")) - of("old", F.col("nulls"))).alias("lost"))

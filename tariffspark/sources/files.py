@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -257,21 +258,46 @@ def items_from_grid(grid: DataFrame) -> DataFrame:
 SKIPPED = r"(?i)(справочник|catalog|readme|^~\$|^\.)"
 
 
-def list_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder and of the zips in it, without catalogs, read-mes and temporary files."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", "content")
-    plain = files.where(~F.lower("name").endswith(".zip")).select("path", "name", "length")
+def archive_members(files: DataFrame, depth: int = 4) -> DataFrame:
+    """Files (path, name, length, content) with each zip replaced by its members, zips inside zips too, down to `depth`.
+    A member's path goes on from that of its archive; what is not a readable zip stays as it is, with `error`."""
+
+    def members(path: str, data: bytes, left: int):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for i in z.infolist():
+                name = i.filename.rsplit("/", 1)[-1]
+                if i.is_dir():
+                    continue
+                if left and name.lower().endswith(".zip"):
+                    yield from members(f"{path}/{i.filename}", z.read(i), left - 1)
+                else:
+                    yield f"{path}/{i.filename}", name, i.file_size, None
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for p, data in zip(b["path"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    out += [(p, i.filename.rsplit("/", 1)[-1], i.file_size) for i in z.infolist() if not i.is_dir()]
-            yield pd.DataFrame(out, columns=["path", "name", "length"])
+            for p, name, n, data in zip(b["path"], b["name"], b["length"], b["content"], strict=True):
+                try:
+                    out = list(members(p, data, depth - 1))
+                except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
+                    out = [(p, name, n, str(e) or type(e).__name__)]
+                yield pd.DataFrame(out, columns=["path", "name", "length", "error"])
+
+    is_zip = F.lower("name").endswith(".zip")
+    plain = files.where(~is_zip).select("path", "name", "length", F.lit(None).cast("string").alias("error"))
+    # An archive is one unit of work; large and small ones are dealt out, whatever files held them.
+    zips = files.where(is_zip).select("path", "name", "length", "content").repartition(F.xxhash64("path"))
+    return plain.unionByName(zips.mapInPandas(unzip, "path string, name string, length long, error string"))
 
-    zipped = files.where(F.lower("name").endswith(".zip")).select("path", "content").mapInPandas(unzip, "path string, name string, length long")
-    return plain.unionByName(zipped).where(~F.col("name").rlike(SKIPPED)).withColumn("format", T.col_file_format("name")).where(F.col("format") != "unknown")
+
+def price_files(members: DataFrame) -> DataFrame:
+    """Of the members of archives the price lists: no catalogs, read-mes and temporary files, and a known format."""
+    return members.where("error is null").drop("error").where(~F.col("name").rlike(SKIPPED)).withColumn("format", T.col_file_format("name")).where(F.col("format") != "unknown")
+
+
+def list_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Price lists of a folder and of the zips in it."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", "content")
+    return price_files(archive_members(files))
 
 
 # ---- F16, F22, F25, F26, S16 ----------------------------------------------------------------------------------
@@ -317,10 +343,15 @@ def extract_slugs(df: DataFrame, html: str, domain: str, deny: tuple[str, ...] =
 
 
 def canonical_city(df: DataFrame, cities: DataFrame, col: str = "city") -> DataFrame:
-    """adds city_name: the directory's name for a name or slug; an unknown one in title case."""
-    keys = cities.select(F.lower("name").alias("k"), "name").unionByName(cities.select(T.col_slugify("name").alias("k"), "name"))
-    keys = first_by(keys, ["k"], "name")
-    by = lambda x, n: keys.select(F.col("k").alias(x), F.col("name").alias(n))
+    """adds city_name: the directory's name for a name, a slug or a source's own slug (R.CITY_ALIASES, which give way to
+    names and slugs); an unknown one in title case."""
+    slugs = cities.select(T.col_slugify("name").alias("k"), "name")
+    alias = df.sparkSession.createDataFrame(list(R.CITY_ALIASES.items()), "k string, slug string")
+    alias = alias.join(slugs.withColumnRenamed("k", "slug"), "slug").select("k", "name")
+    tiers = [cities.select(F.lower("name").alias("k"), "name"), slugs, alias]
+    keys = reduce(lambda a, b: a.unionByName(b), [t.withColumn("tier", F.lit(n)) for n, t in enumerate(tiers)])
+    keys = first_by(keys, ["k"], "tier", "name")
+    by = lambda x, n: F.broadcast(keys.select(F.col("k").alias(x), F.col("name").alias(n)))  # noqa: E731  a directory: some names a country
     out = df.withColumn("_k", F.lower(F.trim(col))).withColumn("_s", T.col_slugify(F.trim(col))).join(by("_k", "_a"), "_k", "left").join(by("_s", "_b"), "_s", "left")
     known = F.coalesce("_a", "_b", T.col_title(F.trim(col)))
     return out.withColumn("city_name", F.when(F.coalesce(F.trim(col), F.lit("")) != "", known)).drop("_k", "_s", "_a", "_b")

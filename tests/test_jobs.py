@@ -315,3 +315,58 @@ def test_cosine_skips_far_clusters(spark):
     cosine_topk(q, c, 4, pivots=64, counts=counts).count()
     assert counts["compared"] < 0.4 * counts["all"]
     assert cosine_topk(q, c.limit(0), 4).count() == 0 == cosine_topk(q.limit(0), c, 4).count()
+
+
+def test_merge_chains_and_cycles(spark):
+    """Chains end where they end, cycles and what leads into them merge nothing, in all four tables."""
+    from tariffspark.operators import review as V
+
+    n = 37
+    chain = [(i, i + 1, 1000 if i == n - 1 else None) for i in range(1, n)]  # 1 -> 2 -> ... -> 37
+    plan = spark.createDataFrame([*chain, (50, 51, None), (51, 52, None), (52, 50, None), (49, 50, None), (60, 60, None), (70, 1, 5), (80, 81, None), (80, 90, None), (None, 1, None), (99, None, None)], "from_id long, to_id long, urine_id long")
+    got = {r.from_id: (r.to_id, r.urine_id) for r in V.close_plan(plan).collect()}
+    assert got == {i: (n, 1000) for i in range(1, n)} | {70: (n, n), 80: (81, None)}
+    prices = spark.createDataFrame([(i, s, name, Decimal(5)) for i, (s, name) in enumerate([(1, "Глюкоза"), (1, "Глюкоза в моче"), (50, "x"), (60, "x"), (n, "x"), (None, "x")])], "id long, service_id long, raw_name string, price decimal(12,2)")
+    assert sorted((r.id, r.service_id) for r in V.merge_canons(prices, plan).collect()) == [(0, n), (1, 1000), (2, 50), (3, 60), (4, n), (5, None)]
+    assert sorted(r.service_id for r in V.merge_followers(prices.where("service_id is not null"), plan).collect()) == [n, n, n, 50, 60]
+    services = spark.createDataFrame([(i, f"s{i}", []) for i in (1, 2, n, 50, 51)], "id long, canonical_name string, synonyms array<string>")
+    assert {r.id: r.synonyms for r in V.merge_services(services, plan, prices).collect()} == {n: ["s1", "s2", "Глюкоза"], 50: [], 51: []}
+    assert V.close_plan(plan.limit(0)).collect() == []
+
+
+def test_archives_inside_archives(spark):
+    import io
+    import zipfile
+
+    def pack(**members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in members.items():
+                z.writestr(name.replace("__", "/").replace("_", "."), data)
+        return out.getvalue()
+
+    deep = pack(a__list_csv="1;2", inner_zip=pack(price_xlsx=b"PK", innermost_zip=pack(last_csv="x", readme_txt="r")))
+    files = spark.createDataFrame([("d/deep.zip", "deep.zip", len(deep), bytearray(deep)), ("d/bad.zip", "bad.zip", 3, bytearray(b"abc")), ("d/x.csv", "x.csv", 1, bytearray(b"1")), ("d/empty.zip", "empty.zip", 0, bytearray(pack()))], "path string, name string, length long, content binary")
+    rows = {r.path: (r.length, r.error is None) for r in X.archive_members(files).collect()}
+    assert rows == {"d/deep.zip/a/list.csv": (3, True), "d/deep.zip/inner.zip/price.xlsx": (2, True), "d/deep.zip/inner.zip/innermost.zip/last.csv": (1, True), "d/deep.zip/inner.zip/innermost.zip/readme.txt": (1, True), "d/bad.zip": (3, False), "d/x.csv": (1, True)}
+    assert sorted(r.name for r in X.price_files(X.archive_members(files)).collect()) == ["last.csv", "list.csv", "price.xlsx", "x.csv"]
+    assert "d/deep.zip/inner.zip" in {r.path for r in X.archive_members(files, depth=1).collect()}
+
+
+def test_city_names_slugs_and_aliases(spark):
+    cities = spark.createDataFrame([("Алматы",), ("Астана",), ("Усть-Каменогорск",)], "name string")
+    asked = ["almaty", "uk", "Nur-Sultan", "nursultan", "АСТАНА", "усть-каменогорск", "semei", "new town", "", None]
+    df = spark.createDataFrame(list(enumerate(asked)), "i int, city string")
+    got = [r.city_name for r in X.canonical_city(df, cities).orderBy("i").collect()]
+    assert got == ["Алматы", "Усть-Каменогорск", "Астана", "Астана", "Астана", "Усть-Каменогорск", "Semei", "New Town", None, None]
+
+
+def test_search_without_a_query_and_by_category(spark):
+    docs = spark.createDataFrame([(1, 3, "лаборатория"), (2, 0, "лаборатория"), (3, 1, "диагностика")], "service_id long, offers_count int, category_enum string")
+    s = spark.createDataFrame([(1, "Beta", "Анализы", ["b"]), (2, "Alpha", "Анализы", []), (3, "Alpha scan", "МРТ/КТ", [])], "id long, canonical_name string, category string, synonyms array<string>")
+    q = spark.createDataFrame([(1, None), (2, " "), (3, "alpha")], "query_id long, query string")
+    got = lambda **more: sorted((r.query_id, r.place, r.service_id) for r in M.search(q, s, docs, **more).collect())
+    assert got() == [(1, 1, 3), (1, 2, 1), (2, 1, 3), (2, 2, 1), (3, 1, 3)]
+    assert got(n=1) == [(1, 1, 3), (2, 1, 3), (3, 1, 3)]
+    assert got(category="Диагностика") == [(1, 1, 3), (2, 1, 3), (3, 1, 3)] and got(category="мрт") == got(category="Диагностика")
+    assert got(category="анализ") == [(1, 1, 1), (2, 1, 1)]
