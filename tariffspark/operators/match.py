@@ -307,9 +307,9 @@ def relevance(queries: DataFrame, services: DataFrame, typos: bool = True) -> Da
     return q.join(pairs.where(F.col("score") >= R.SEARCH), "ql").select("query_id", "service_id", "score")
 
 
-def suggest(queries: DataFrame, services: DataFrame, n: int = 8) -> DataFrame:
+def suggest(queries: DataFrame, services: DataFrame, n: int = 8, typos: bool = True) -> DataFrame:
     """Names to complete queries of two letters or more: best first, then shortest, each once whatever its case."""
-    r = relevance(queries.where(F.length(F.trim("query")) >= 2), services)
+    r = relevance(queries.where(F.length(F.trim("query")) >= 2), services, typos)
     names = r.join(services.select(F.col("id").alias("service_id"), "canonical_name"), "service_id").withColumn("low", F.lower("canonical_name"))
     once = first_by(names, ["query_id", "low"], F.desc("score"), "service_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("canonical_name"), "canonical_name")
