@@ -29,4 +29,4 @@ QUERIES = {
     "op12_html_text": op12.op12_html_text,
     "op13_ranked_search": op13.op13_ranked_search,
 }
-SQL = {"op1_substring_dedup": op1.OP1_SQL, "op2_decontamination": op2.OP2_SQL, "op7_sharding": op7.OP7_SQL, "op10_near_dedup": op10.OP10_SQL, "op13_ranked_search": op13.OP13_SQL}
+SQL = {"op1_substring_dedup": op1.OP1_SQL, "op2_decontamination": op2.OP2_SQL, "op7_sharding": op7.OP7_SQL, "op10_near_dedup": op10.OP10_SQL, "op12_html_text": op12.OP12_SQL, "op13_ranked_search": op13.OP13_SQL}
