@@ -302,16 +302,42 @@ def s16(spark, d):
 )
 def r18(spark, d):
     """Originals of the runs that came from a file: a grid a run, with codes. What the current catalog has by code."""
+    none = _archive_prices(spark, d).limit(0)
+    out, services = _reprocessed(spark, d, none, F.lit(False))
+    return out.join(services.select(F.col("id").alias("service_id")), "service_id", "left_semi").where("change = 'inserted'").select("clinic_id", "service_id", dbl("price"))
+
+
+def _archive_prices(spark, d):
+    return P(spark, d).select("id", "clinic_id", "service_id", "raw_name", "price", "price_resident", "price_nonresident", "valid_from")
+
+
+def _reprocessed(spark, d, prices, named):
+    """(prices after reprocessing, catalog): lines where `named` holds have no code but the name of their service."""
     runs = canon(spark, d, "runs").where("file_name != ''").select(F.col("id").alias("run_id"), "clinic_id", F.col("created_at").alias("valid_from"))
     k = lambda x, n: F.lpad(x.cast("string"), n, "0")
     items = raw(spark, d, "lineitem").join(runs.withColumnRenamed("run_id", "l_orderkey"), "l_orderkey", "left_semi").where(F.floor("l_extendedprice") > 0)
     of = lambda x, letter, n: F.concat(F.lit(letter), k(x % 90, 2), F.lit("."), k(F.floor(x / 90), 3), F.lit(".00"), n.cast("string"))
-    code = of(F.col("l_partkey"), "В", F.col("l_linenumber"))
+    title = lambda x: F.concat(F.lit("Тест гормона "), x.cast("string"))
+    code = F.when(named, "").otherwise(of(F.col("l_partkey"), "В", F.col("l_linenumber")))
+    name = F.when(named, title(F.col("l_partkey"))).otherwise("Услуга лаборатории")
     price = F.format_string("%d", F.floor("l_extendedprice"))
-    body = items.select(F.col("l_orderkey").alias("run_id"), F.lit("s").alias("sheet"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")) + 9).alias("row_idx"), F.array(code, F.lit("Услуга лаборатории"), price).alias("cells"))
+    body = items.select(F.col("l_orderkey").alias("run_id"), F.lit("s").alias("sheet"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")) + 9).alias("row_idx"), F.array(code, name, price).alias("cells"))
     head = items.select(F.col("l_orderkey").alias("run_id")).distinct().select("run_id", F.lit("s").alias("sheet"), F.lit(1).alias("row_idx"), F.array(F.lit("Код"), F.lit("Наименование услуг"), F.lit("Цена, тенге")).alias("cells"))
     p = F.col("p_partkey")
-    services = raw(spark, d, "part").select(p.alias("id"), F.concat(F.lit("Номер "), p.cast("string")).alias("canonical_name"), F.lit("Прочее").alias("category"), F.array().cast("array<string>").alias("synonyms"), of(p, "B", p % 7 + 1).alias("tarificator_code"), F.lit("").alias("specialty"))
-    none = P(spark, d).limit(0).select("id", "clinic_id", "service_id", "raw_name", "price", "price_resident", "price_nonresident", "valid_from")
-    out = V.reprocess(runs, head.unionByName(body), services, none)
-    return out.join(services.select(F.col("id").alias("service_id")), "service_id", "left_semi").where("change = 'inserted'").select("clinic_id", "service_id", dbl("price"))
+    services = raw(spark, d, "part").select(p.alias("id"), title(p).alias("canonical_name"), F.lit("Прочее").alias("category"), F.array().cast("array<string>").alias("synonyms"), of(p, "B", p % 7 + 1).alias("tarificator_code"), F.lit("").alias("specialty"))
+    return V.reprocess(runs, head.unionByName(body), services, prices), services
+
+
+@query(
+    "r18_existing_prices",
+    with_canon("""WITH line AS (SELECT l_orderkey AS run_id, l_linenumber AS n, l_partkey, 'B' || lpad(CAST(l_partkey % 90 AS VARCHAR), 2, '0') || '.' || lpad(CAST(l_partkey // 90 AS VARCHAR), 3, '0') || '.00' || CAST(l_linenumber AS VARCHAR) AS code, floor(l_extendedprice) AS price FROM lineitem WHERE floor(l_extendedprice) > 0),
+    part_codes AS (SELECT p_partkey AS id, 'B' || lpad(CAST(p_partkey % 90 AS VARCHAR), 2, '0') || '.' || lpad(CAST(p_partkey // 90 AS VARCHAR), 3, '0') || '.00' || CAST(p_partkey % 7 + 1 AS VARCHAR) AS code FROM part),
+    hit AS (SELECT r.clinic_id, s.id AS service_id, l.price FROM line l JOIN runs r ON r.id = l.run_id AND r.file_name <> '' JOIN part_codes s ON s.code = l.code AND l.n <> 7
+      UNION ALL SELECT r.clinic_id, s.id, l.price FROM line l JOIN runs r ON r.id = l.run_id AND r.file_name <> '' JOIN part_codes s ON s.id = l.l_partkey AND l.n = 7),
+    news AS (SELECT clinic_id, service_id, min(price) AS price FROM hit GROUP BY ALL)
+    SELECT n.clinic_id, n.service_id, n.price, CASE WHEN EXISTS (SELECT 1 FROM prices p WHERE p.clinic_id = n.clinic_id AND p.service_id = n.service_id) THEN 'updated' ELSE 'inserted' END AS change FROM news n"""),
+)
+def r18_existing(spark, d):
+    """Originals met by code, or by name where a line has no code, over the prices there are: those overwritten and added."""
+    out, services = _reprocessed(spark, d, _archive_prices(spark, d), F.col("l_linenumber") == 7)
+    return out.join(services.select(F.col("id").alias("service_id")), "service_id", "left_semi").where("change != 'kept'").select("clinic_id", "service_id", dbl("price"), "change")
