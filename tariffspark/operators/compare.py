@@ -59,6 +59,25 @@ def comparison(prices: DataFrame, clinics: DataFrame, services: DataFrame, histo
     return services.select(F.col("id").alias("service_id"), "canonical_name", "category", T.col_category_enum("category", "specialty", "canonical_name").alias("category_enum"), T.col_attributes("canonical_name").alias("attributes"), T.col_base_key("canonical_name").alias("base_key")).join(service_summary(found), "service_id", "left").join(near, "service_id", "left").join(trend, "service_id", "left").fillna(0, ["offers_count"])
 
 
+def localized(services: DataFrame, locale: str | None) -> DataFrame:
+    """Services under their names and descriptions in a second language (columns name_<locale>, description_<locale>)
+    where they have them."""
+    own = {"canonical_name": f"name_{locale}", "description": f"description_{locale}"}
+    filled = lambda c: F.coalesce(F.nullif(F.col(own[c]), F.lit("")), F.col(c))
+    return services.withColumns({c: filled(c) for c in own if c in services.columns and own[c] in services.columns})
+
+
+def comparison_documents(prices: DataFrame, clinics: DataFrame, services: DataFrame, history: DataFrame, as_of: str, days: int = 30, *, sort: str = "price_asc", most: int = 50, locale: str | None = None, **filters) -> DataFrame:
+    """W04 as one document a service: `comparison` with its first `most` offers nested in the order asked for (they are cut
+    before they are gathered, so a service with many offers stays small; offers_count counts all), and shown under the
+    name of a locale. Attributes, category and siblings go by the canonical name."""
+    found = ranked(offers(prices, clinics, as_of, days, **filters), sort).where(F.col("place") <= most)
+    fields = ("place", "clinic_id", "clinic_name", "city", "price", "source_type", "parsed_at", "source_url", "distance_km")
+    nested = found.groupBy("service_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("offers"))
+    shown = localized(services, locale).select(F.col("id").alias("service_id"), F.col("canonical_name").alias("shown_name"))
+    return comparison(prices, clinics, services, history, as_of, days).join(nested, "service_id", "left").join(shown, "service_id", "left")
+
+
 def cheapest_by_clinic(prices: DataFrame, clinics: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """The cheapest fresh price of each public clinic for each service."""
     return first_by(offers(prices, clinics, as_of, days), ["service_id", "clinic_id"], "price", "id")

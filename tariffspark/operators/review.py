@@ -30,6 +30,17 @@ def review_queue(prices: DataFrame, clinics: DataFrame, services: DataFrame, *,
     return top.crossJoin(total)  # one row of one number
 
 
+def review_page(prices: DataFrame, clinics: DataFrame, services: DataFrame, reports: DataFrame, *, limit: int = 200, **which) -> DataFrame:
+    """R01 with what users report: kind ("price", "report"), place within it, id and a struct of either. Rows to check come
+    lowest confidence first, new reports newest first, at most `limit` of each."""
+    low = review_queue(prices, clinics, services, limit=limit, **which)
+    new = by_status(reports, "new", limit)
+    at = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  over `limit` rows
+    one = low.select(F.lit("price").alias("kind"), at("match_confidence", "id", "price").alias("place"), "id", F.struct(*low.columns).alias("price"))
+    two = new.select(F.lit("report").alias("kind"), at(F.desc("created_at"), F.desc("id")).alias("place"), "id", F.struct(*new.columns).alias("report"))
+    return one.unionByName(two, allowMissingColumns=True)
+
+
 def unmatched(prices: DataFrame, clinics: DataFrame, limit: int = 200) -> DataFrame:
     """Rows without a service, lowest confidence first."""
     c = clinics.select(F.col("id").alias("clinic_id"), F.col("name").alias("clinic_name"))

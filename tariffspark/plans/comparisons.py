@@ -71,6 +71,23 @@ def w04(spark, d):
     return out.select("service_id", "canonical_name", "base_key", "offers_count", dbl("min_price")).join(rows, "service_id", "left")
 
 
+@query(
+    "w04_documents",
+    with_canon(f"""WITH o AS (SELECT service_id, count(*) AS offers_count FROM {OFFERS} GROUP BY ALL),
+    f AS (SELECT service_id, string_agg(CAST(clinic_id AS VARCHAR) || ':' || CAST(price AS VARCHAR), ' ' ORDER BY place) AS offers FROM (SELECT service_id, clinic_id, price, row_number() OVER (PARTITION BY service_id ORDER BY price DESC, id) AS place FROM {OFFERS}) WHERE place <= 5 GROUP BY ALL)
+    SELECT s.id AS service_id, CASE s.id % 3 WHEN 0 THEN 'қызмет ' || CAST(s.id AS VARCHAR) ELSE canonical_name END AS shown_name, coalesce(offers_count, 0) AS offers_count, coalesce(offers, '') AS offers
+    FROM services s LEFT JOIN o ON o.service_id = s.id LEFT JOIN f ON f.service_id = s.id"""),
+)
+def w04_documents(spark, d):
+    """The five dearest offers nested in each document, under the second-language name where there is one."""
+    t = [canon(spark, d, x) for x in ("prices", "clinics", "services", "price_history")]
+    k = F.col("id")
+    t[2] = t[2].withColumn("name_kk", F.when(k % 3 == 0, F.concat(F.lit("қызмет "), k.cast("string"))).when(k % 3 == 1, ""))
+    out = C.comparison_documents(*t, AS_OF, FRESH_DAYS, sort="price_desc", most=5, locale="kk")
+    text = F.transform(F.coalesce("offers", F.array().cast(out.schema["offers"].dataType)), lambda o: F.concat(o["clinic_id"].cast("string"), F.lit(":"), o["price"].cast("string")))
+    return out.select("service_id", "shown_name", "offers_count", F.array_join(text, " ").alias("offers"))
+
+
 @query("w06_list_services", with_canon("SELECT id, canonical_name FROM services WHERE category = 'Brand#7'"))
 def w06(spark, d):
     return C.list_services(canon(spark, d, "services"), "Brand#7").select("id", "canonical_name")

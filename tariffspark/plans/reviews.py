@@ -19,6 +19,12 @@ def r01(spark, d):
     return V.review_queue(P(spark, d), canon(spark, d, "clinics"), canon(spark, d, "services")).select("id", dbl("price"), F.round("match_confidence", 6).alias("confidence"), "total")
 
 
+@query("r01_review_page", with_canon("""SELECT 'price' AS kind, CAST(place AS INTEGER) AS place, id FROM (SELECT id, row_number() OVER (ORDER BY match_confidence, id, price) AS place FROM prices WHERE match_confidence < 0.78) WHERE place <= 150
+    UNION ALL SELECT 'report', CAST(place AS INTEGER), id FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM reports WHERE status = 'new') WHERE place <= 150"""))
+def r01_page(spark, d):
+    return V.review_page(P(spark, d), canon(spark, d, "clinics"), canon(spark, d, "services"), canon(spark, d, "reports"), limit=150).select("kind", "place", "id")
+
+
 @query("r02_unmatched", with_canon("SELECT id, CAST(price AS DOUBLE) AS price FROM prices WHERE service_id IS NULL ORDER BY match_confidence, id, price LIMIT 200"))
 def r02(spark, d):
     return V.unmatched(P(spark, d), canon(spark, d, "clinics")).select("id", dbl("price"))
