@@ -1,13 +1,15 @@
 """Operator 5, approximate nearest neighbours by robust-pruned directed graphs, one a shard.
 
 Equal vectors form a class first, so a vector that a third of all rows share is one node; a class keeps its least ids
-(as many as an answer can need). Classes are dealt to shards of about SHARD by hash. In a shard, nodes are inserted in
+(as many as an answer can need). Classes of about one norm (bands of a ratio of BAND, BANDS at most; the last takes all that
+is shorter) are dealt to shards of about SHARD by hash. In a shard, nodes are inserted in
 batches: a greedy search over the graph so far proposes neighbours, pruning keeps a candidate only if no kept one is
 ALPHA times closer to it than the node is, and back edges are pruned alike. Queries are searched by beam in every
 shard and the best over all shards are kept. A task reads one shard's graph and streams queries past it, so with many
 shards each graph moves once; with few, queries are dealt to about TASKS tasks in all.
 
-Largest inner product becomes nearest angle by one more coordinate, which fills every vector up to the largest norm.
+Largest inner product becomes nearest angle by one more coordinate, which fills every vector up to the largest norm of its
+shard. Within a band it stays short, so it does not make unlike vectors look alike.
 Scores are recomputed in double precision on the original vectors.
 
 Defined results: rows with a null id, and vectors that are null, zero, not finite or not of the most frequent length,
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from ._core import cut, table
 
 K, EVERY = 20, 20
-SHARD, DEGREE, ALPHA, WIDTH, BATCH, TASKS = 16_384, 32, 1.15, 160, 512, 12
+SHARD, DEGREE, ALPHA, WIDTH, BUILD, BATCH, TASKS = 16_384, 32, 1.15, 320, 128, 512, 12
+BAND, BANDS = 1.25, 40
 
 
 def beam(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, width: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +102,7 @@ def prune(x: np.ndarray, node: np.ndarray, cand: np.ndarray, degree: int, alpha:
     return out
 
 
-def build(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def build(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, width: int = BUILD) -> tuple[np.ndarray, np.ndarray]:
     """Graph (n x degree, -1: none) and entry nodes."""
     n = len(x)
     graph = np.full((n, degree), -1, np.int32)
@@ -129,11 +132,17 @@ def build(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, width: int
     return graph, starts
 
 
-def _index(dim: int, norm: float):
+def longest(v: np.ndarray) -> float:
+    """Largest norm of the rows, without overflow of squares."""
+    most = np.abs(v).max()
+    return float(most * np.sqrt(((v / most) ** 2).sum(1).max()))
+
+
+def _index(dim: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks().sort_by("c")
         v = np.asarray(t["v"].combine_chunks().flatten()).reshape(-1, dim)
-        graph, starts = build(lifted(v, norm))
+        graph, starts = build(lifted(v, longest(v)))
         return pa.table({"shard": t["shard"][:1], "vectors": pa.array([v.tobytes()], pa.binary()), "graph": pa.array([graph.tobytes()], pa.binary()), "starts": pa.array([starts.tolist()], pa.list_(pa.int64())), "ids": pa.array([t["ids"].to_pylist()], pa.list_(pa.list_(pa.int64())))})
 
     return run
@@ -145,7 +154,7 @@ def lifted(v: np.ndarray, norm: float) -> np.ndarray:
     return np.concatenate([u, np.sqrt(np.maximum(0, 1 - (u * u).sum(1)))[:, None]], axis=1).astype(np.float32)
 
 
-def _search(dim: int, norm: float, k: int, width: int):
+def _search(dim: int, k: int, width: int):
     """Rows of a task: of each (shard, range) its graph, then its queries. The k + 1 nearest classes of each query."""
 
     class Graph:
@@ -153,7 +162,7 @@ def _search(dim: int, norm: float, k: int, width: int):
             self.v = np.frombuffer(b.column("vectors")[row].as_py(), np.float64).reshape(-1, dim)
             self.graph = np.frombuffer(b.column("graph")[row].as_py(), np.int32).reshape(len(self.v), -1)
             self.starts, self.ids = np.array(b.column("starts")[row].as_py()), b.column("ids")[row].values
-            self.x = lifted(self.v, norm)
+            self.x = lifted(self.v, longest(self.v))
 
         def nearest(self, key: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
             m = min(k + 1, len(self.v))
@@ -209,17 +218,23 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     dim = sizes[0]["d"]
     rows = rows.where(F.size("v") == dim)
     classes = cut(_classes(rows, k), "classes")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    total = classes.agg(F.count("*").alias("n"), F.max(F.sqrt(square)).alias("norm"), F.count_if("asks").alias("asks")).collect()[0]
-    shards = -(-total["n"] // shard)
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    longest_of_all = classes.agg(F.max(norm)).first()[0]
+    banded = classes.withColumn("band", F.least(F.lit(BANDS), F.floor(F.log(F.lit(longest_of_all) / norm) / F.log(F.lit(BAND)))).cast("int"))
+    sizes = {r["band"]: r["n"] for r in banded.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row a band
+    wide = {b: -(-n // shard) for b, n in sorted(sizes.items())}
+    first = {b: sum(x for a, x in wide.items() if a < b) for b in wide}
+    shards = sum(wide.values())
     ranges = max(1, TASKS // shards)
-    index = classes.withColumn("shard", F.pmod("c", F.lit(shards)).cast("int")).select("shard", "c", "v", "ids")
-    index = cut(index.groupBy("shard").applyInArrow(_index(dim, total["norm"]), "shard int, vectors binary, graph binary, starts array<long>, ids array<array<long>>"), "graph")
+    of = lambda d: F.element_at(F.create_map(*[F.lit(x) for b, n in d.items() for x in (b, n)]), F.col("band"))
+    index = banded.withColumn("shard", (of(first) + F.pmod("c", of(wide))).cast("int")).select("shard", "c", "v", "ids")
+    index = cut(index.groupBy("shard").applyInArrow(_index(dim), "shard int, vectors binary, graph binary, starts array<long>, ids array<array<long>>"), "graph")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     queries = classes.where("asks").select("c", "v", F.pmod(F.xxhash64("c"), F.lit(ranges)).cast("int").alias("range")).withColumn("shard", every(shards))
     dealt = index.withColumn("range", every(ranges)).unionByName(queries, allowMissingColumns=True)
     dealt = dealt.repartition(shards * ranges, "shard", "range").sortWithinPartitions("shard", "range", F.col("vectors").isNull())
-    found = dealt.select("vectors", "graph", "starts", "ids", "c", "v").mapInArrow(_search(dim, total["norm"], k, width), "c long, score double, ids array<long>")
+    found = dealt.select("vectors", "graph", "starts", "ids", "c", "v").mapInArrow(_search(dim, k, width), "c long, score double, ids array<long>")
     best = Window.partitionBy("c").orderBy(F.desc("score"), F.col("ids")[0])
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     found = cut(found.groupBy("c").agg(F.collect_list(F.struct("score", "ids")).alias("hits")), "found")

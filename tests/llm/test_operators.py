@@ -429,3 +429,26 @@ def test_toxicity_weights_equal_plain_ftrl():
         bn += g * g
     assert np.allclose(w[:30], [weight(i) for i in range(30)]) and not w[30:].any()
     assert math.isclose(bias, -bz / ((b + math.sqrt(bn)) / a))
+
+
+@pytest.mark.parametrize("kind", ["gauss", "log-normal", "clusters", "huge and tiny"])
+def test_neighbours_of_uneven_vectors(spark, kind):
+    """Recall against brute force on vectors without clusters, with uneven norms, in clusters, and over many powers of ten."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 64))
+    if kind == "log-normal":
+        v *= np.exp(rng.normal(size=(3000, 1)))
+    elif kind == "clusters":
+        v = rng.normal(size=(30, 64))[rng.integers(0, 30, 3000)] + 0.3 * v
+    elif kind == "huge and tiny":
+        v *= 10.0 ** rng.integers(-150, 140, (3000, 1))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, lambda i: i % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    hit = 0
+    for q in range(0, 3000, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert len(got) == 150 and hit / 3000 >= 0.9
