@@ -217,11 +217,11 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
     dim = sizes[0]["d"]
     rows = rows.where(F.size("v") == dim)
-    classes = cut(_classes(rows, k), "classes")
-    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
-    longest_of_all = classes.agg(F.max(norm)).first()[0]
-    banded = classes.withColumn("band", F.least(F.lit(BANDS), F.floor(F.log(F.lit(longest_of_all) / norm) / F.log(F.lit(BAND)))).cast("int"))
+    sized = _classes(rows, k).withColumn("most", F.array_max(F.transform("v", lambda x: F.abs(x))))
+    norm = F.col("most") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most"))))  # squares do not overflow
+    classes = cut(sized.withColumn("norm", norm).drop("most"), "classes")
+    longest_of_all = classes.agg(F.max("norm")).first()[0]
+    banded = classes.withColumn("band", F.least(F.lit(BANDS), F.floor(F.log(F.lit(longest_of_all) / F.col("norm")) / F.log(F.lit(BAND)))).cast("int"))
     sizes = {r["band"]: r["n"] for r in banded.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row a band
     wide = {b: -(-n // shard) for b, n in sorted(sizes.items())}
     first = {b: sum(x for a, x in wide.items() if a < b) for b in wide}
