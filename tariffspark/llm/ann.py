@@ -12,8 +12,9 @@ Largest inner product becomes nearest angle by one more coordinate, which fills
 shard. Within a band it stays short, so it does not make unlike vectors look alike.
 Scores are recomputed in double precision on the original vectors.
 
-Defined results: rows with a null id, and vectors that are null, zero, not finite or not of the most frequent length,
-take no part; rows of one id are each other's own; with fewer than k candidates all are returned; extra columns are ignored.
+Defined results: rows with a null id, and vectors that are null, zero or not finite take no part; a vector's candidates are
+those of its own length, each length has bands and shards of its own; rows of one id are each other's own; with fewer than k
+candidates all are returned; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,14 +139,11 @@ def longest(v: np.ndarray) -> float:
     return float(most * np.sqrt(((v / most) ** 2).sum(1).max()))
 
 
-def _index(dim: int):
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by("c")
-        v = np.asarray(t["v"].combine_chunks().flatten()).reshape(-1, dim)
-        graph, starts = build(lifted(v, longest(v)))
-        return pa.table({"shard": t["shard"][:1], "vectors": pa.array([v.tobytes()], pa.binary()), "graph": pa.array([graph.tobytes()], pa.binary()), "starts": pa.array([starts.tolist()], pa.list_(pa.int64())), "ids": pa.array([t["ids"].to_pylist()], pa.list_(pa.list_(pa.int64())))})
-
-    return run
+def _index(t: pa.Table) -> pa.Table:
+    t = t.combine_chunks().sort_by("c")
+    v = np.asarray(t["v"].combine_chunks().flatten()).reshape(t.num_rows, -1)
+    graph, starts = build(lifted(v, longest(v)))
+    return pa.table({"shard": t["shard"][:1], "vectors": pa.array([v.tobytes()], pa.binary()), "graph": pa.array([graph.tobytes()], pa.binary()), "starts": pa.array([starts.tolist()], pa.list_(pa.int64())), "ids": pa.array([t["ids"].to_pylist()], pa.list_(pa.list_(pa.int64())))})
 
 
 def lifted(v: np.ndarray, norm: float) -> np.ndarray:
@@ -154,14 +152,14 @@ def lifted(v: np.ndarray, norm: float) -> np.ndarray:
     return np.concatenate([u, np.sqrt(np.maximum(0, 1 - (u * u).sum(1)))[:, None]], axis=1).astype(np.float32)
 
 
-def _search(dim: int, k: int, width: int):
+def _search(k: int, width: int):
     """Rows of a task: of each (shard, range) its graph, then its queries. The k + 1 nearest classes of each query."""
 
     class Graph:
         def __init__(self, b: pa.RecordBatch, row: int):
-            self.v = np.frombuffer(b.column("vectors")[row].as_py(), np.float64).reshape(-1, dim)
-            self.graph = np.frombuffer(b.column("graph")[row].as_py(), np.int32).reshape(len(self.v), -1)
             self.starts, self.ids = np.array(b.column("starts")[row].as_py()), b.column("ids")[row].values
+            self.v = np.frombuffer(b.column("vectors")[row].as_py(), np.float64).reshape(len(self.ids), -1)
+            self.graph = np.frombuffer(b.column("graph")[row].as_py(), np.int32).reshape(len(self.v), -1)
             self.x = lifted(self.v, longest(self.v))
 
         def nearest(self, key: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
@@ -186,7 +184,7 @@ def _search(dim: int, k: int, width: int):
             for lo, hi in zip(np.append(0, heads + 1), ends, strict=True):
                 for at in range(lo, hi, BATCH):
                     part = b.slice(at, min(BATCH, hi - at))
-                    yield now.nearest(np.asarray(part.column("c")), np.asarray(part.column("v").flatten()).reshape(-1, dim))
+                    yield now.nearest(np.asarray(part.column("c")), np.asarray(part.column("v").flatten()).reshape(part.num_rows, -1))
                 if hi < b.num_rows:
                     now = Graph(b, int(hi))
 
@@ -212,29 +210,30 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     rows = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", finite) & F.exists("v", lambda x: x != 0))
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # one zero
     rows = cut(rows.withColumn("c", F.xxhash64("v")).withColumn("asks", is_query(F.col("id"))), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("m")).orderBy(F.desc("m"), F.desc("d")).limit(1).collect()
-    if not sizes:
-        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
-    dim = sizes[0]["d"]
-    rows = rows.where(F.size("v") == dim)
-    sized = _classes(rows, k).withColumn("most", F.array_max(F.transform("v", lambda x: F.abs(x))))
+    sized = _classes(rows, k).withColumn("most", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("d", F.size("v"))
     norm = F.col("most") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most"))))  # squares do not overflow
     classes = cut(sized.withColumn("norm", norm).drop("most"), "classes")
-    longest_of_all = classes.agg(F.max("norm")).first()[0]
-    banded = classes.withColumn("band", F.least(F.lit(BANDS), F.floor(F.log(F.lit(longest_of_all) / F.col("norm")) / F.log(F.lit(BAND)))).cast("int"))
-    sizes = {r["band"]: r["n"] for r in banded.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row a band
-    wide = {b: -(-n // shard) for b, n in sorted(sizes.items())}
-    first = {b: sum(x for a, x in wide.items() if a < b) for b in wide}
-    shards = sum(wide.values())
+    banded = classes.join(F.broadcast(classes.groupBy("d").agg(F.max("norm").alias("top"))), "d")  # a row a length
+    banded = banded.withColumn("band", F.least(F.lit(BANDS), F.floor(F.log(F.col("top") / F.col("norm")) / F.log(F.lit(BAND)))).cast("int"))
+    plan, shards, spans = [], 0, {}
+    for r in banded.groupBy("d", "band").agg(F.count("*").alias("n")).orderBy("d", "band").collect():  # a row a length and band
+        wide = -(-r["n"] // shard)
+        plan.append((r["d"], r["band"], shards, wide))
+        shards += wide
+        spans[r["d"]] = (spans.get(r["d"], (shards - wide,))[0], shards - 1)
+    if not plan:
+        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
     ranges = max(1, TASKS // shards)
-    of = lambda d: F.element_at(F.create_map(*[F.lit(x) for b, n in d.items() for x in (b, n)]), F.col("band"))
-    index = banded.withColumn("shard", (of(first) + F.pmod("c", of(wide))).cast("int")).select("shard", "c", "v", "ids")
-    index = cut(index.groupBy("shard").applyInArrow(_index(dim), "shard int, vectors binary, graph binary, starts array<long>, ids array<array<long>>"), "graph")
+    small = lambda data, kind: F.broadcast(vectors.sparkSession.createDataFrame(data, kind))
+    index = banded.join(small(plan, "d int, band int, first int, wide int"), ["d", "band"])
+    index = index.withColumn("shard", (F.col("first") + F.pmod("c", F.col("wide"))).cast("int")).select("shard", "c", "v", "ids")
+    index = cut(index.groupBy("shard").applyInArrow(_index, "shard int, vectors binary, graph binary, starts array<long>, ids array<array<long>>"), "graph")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = classes.where("asks").select("c", "v", F.pmod(F.xxhash64("c"), F.lit(ranges)).cast("int").alias("range")).withColumn("shard", every(shards))
+    queries = classes.where("asks").join(small([(d, *x) for d, x in spans.items()], "d int, lo int, hi int"), "d")
+    queries = queries.select("c", "v", F.pmod(F.xxhash64("c"), F.lit(ranges)).cast("int").alias("range"), F.explode(F.sequence("lo", "hi")).alias("shard"))
     dealt = index.withColumn("range", every(ranges)).unionByName(queries, allowMissingColumns=True)
     dealt = dealt.repartition(shards * ranges, "shard", "range").sortWithinPartitions("shard", "range", F.col("vectors").isNull())
-    found = dealt.select("vectors", "graph", "starts", "ids", "c", "v").mapInArrow(_search(dim, k, width), "c long, score double, ids array<long>")
+    found = dealt.select("vectors", "graph", "starts", "ids", "c", "v").mapInArrow(_search(k, width), "c long, score double, ids array<long>")
     best = Window.partitionBy("c").orderBy(F.desc("score"), F.col("ids")[0])
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     found = cut(found.groupBy("c").agg(F.collect_list(F.struct("score", "ids")).alias("hits")), "found")
