@@ -9,7 +9,9 @@ Contexts and their counts are a Spark table that grows with the corpus; nothing
 about PART_BYTES of text, and each part has its distinct contexts and their counts in packs, one for each bucket. What
 stands only in rows that are not learned from has count 0, which leaves the tree as it is. A bucket holds whole subtrees
 below SHALLOW bytes and mixes them bottom-up; their sums, 2**24 numbers at most whatever the input, make the top of the
-tree, which is broadcast. With it the buckets answer each part, in the order of its packs.
+tree, which is broadcast. Packs reach their bucket through a tree of sums, FAN of them a task, and answers go down the same
+tree, so no task opens the packs of more than FAN parts, however often a prefix stands in the corpus; what is left of a
+bucket at the top are its distinct contexts (of a prefix of three bytes 256 ** (DEPTH - 2) at most).
 
 Beside it the contract's base: smoothed word counts, asked for by each part by a join and never broadcast.
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from ._core import SPACED, Words, chunks, crc_mod, cut, key_cols, mix, ragged, signed, table, utf8, word_hash
 
 #: A context of DEPTH bytes (7 at most) and the byte after it are one 64-bit number.
-DEPTH, SHALLOW, PART_BYTES, HOLD, BUCKET_BYTES = 5, 2, 16 << 20, 1 << 20, 4 << 20
+DEPTH, SHALLOW, PART_BYTES, HOLD, BUCKET_BYTES, FAN = 5, 2, 16 << 20, 1 << 20, 4 << 20, 32
 #: Stands for the end token among word hashes; no word holds a line break.
 END = word_hash("\nend\n")
 
@@ -214,17 +216,31 @@ def deep(h: np.ndarray, c: np.ndarray, depth: int, predict: bool) -> tuple[np.nd
     return p, sums
 
 
-def _opened(t: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Part, contexts and counts of packs."""
-    return [(r["part"], np.cumsum(_unpacked(r["h"], r["n"], np.uint64)), _unpacked(r["c"], r["n"], np.uint32).astype(np.int64)) for b in t.to_batches() for r in b.to_pylist()]
+def _opened(t: pa.Table, kind) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and counts of packs."""
+    return [(np.cumsum(_unpacked(r["h"], r["n"], np.uint64)), _unpacked(r["c"], r["n"], kind).astype(np.int64)) for b in t.to_batches() for r in b.to_pylist()]
+
+
+#: Columns of a pack; counts of parts are unsigned of 32 bits, sums over parts of 64.
+PACK = "part long, bucket int, n int, h binary, c binary"
+
+
+def _merged(kind):
+    """One pack out of those of a bucket and of up to FAN parts."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        h, c = _summed(*(np.concatenate(x) for x in zip(*_opened(t, kind), strict=True)))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bucket": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([len(h)], pa.int32()), "h": pa.array([_packed(np.diff(h, prepend=np.uint64(0)))], pa.binary()), "c": pa.array([_packed(c)], pa.binary())})
+
+    return run
 
 
 def _sums(depth: int):
-    def run(t: pa.Table) -> pa.Table:
-        packs = _opened(t)
-        sums = deep(*_summed(np.concatenate([x[1] for x in packs]), np.concatenate([x[2] for x in packs])), depth, False)[1]
-        near, node, zero, one, total = (np.concatenate(x) for x in zip(*sums, strict=True))
-        return pa.table({"near": near, "node": node, "zero": zero, "one": one, "total": total})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, c in _opened(pa.table(b), np.int64):
+                near, node, zero, one, total = (np.concatenate(x) for x in zip(*deep(h, c, depth, False)[1], strict=True))
+                yield pa.record_batch({"near": near, "node": node, "zero": zero, "one": one, "total": total})
 
     return run
 
@@ -268,32 +284,61 @@ def upper(sums: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, np.concatenate(own or [np.zeros((0, 255, 2), np.float32)]), np.concatenate(rest or [np.zeros((0, 255), np.float32)])
 
 
-def _answers(shared, depth: int):
-    """For each part of a bucket's packs the log10 probabilities of what is in them, ascending by context and byte."""
+def _values(shared, depth: int):
+    """Of each bucket its contexts and their log10 probabilities, ascending by context and byte."""
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, own, rest = shared.value
-        packs = _opened(t)
-        h, c = _summed(np.concatenate([x[1] for x in packs]), np.concatenate([x[2] for x in packs]))
-        p = deep(h, c, depth, True)[0]
-        at, x, value = place[(h >> np.uint64(48)).astype(np.int64)], (h & np.uint64(255)).astype(np.int64), np.zeros(len(h))
-        for k in range(8):
-            node, bit = (1 << k) - 1 + (x >> (8 - k)), x >> (7 - k) & 1
-            value += np.log10(own[at, node, bit].astype(float) + rest[at, node].astype(float) * p[:, k])
+        for b in batches:
+            for row, (h, c) in enumerate(_opened(pa.table(b), np.int64)):
+                p = deep(h, c, depth, True)[0]
+                at, x, value = place[(h >> np.uint64(48)).astype(np.int64)], (h & np.uint64(255)).astype(np.int64), np.zeros(len(h))
+                for k in range(8):
+                    node, bit = (1 << k) - 1 + (x >> (8 - k)), x >> (7 - k) & 1
+                    value += np.log10(own[at, node, bit].astype(float) + rest[at, node].astype(float) * p[:, k])
+                one = b.slice(row, 1)
+                yield pa.record_batch([*(one.column(i) for i in ("part", "bucket", "n", "h")), pa.array([_packed(value.astype(np.float32))], pa.binary())], names=["part", "bucket", "n", "h", "x"])
+
+    return run
+
+
+def _told(last: bool):
+    """From the answers of a bucket to those of each of the packs it was summed from; the contexts go on unless it is the last step."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        rows = [r for b in t.to_batches() for r in b.to_pylist()]
         parts: dict[int, list] = {}
-        for part, mine, _ in packs:
-            parts.setdefault(part, []).append(mine)
-        out = [value[np.searchsorted(h, _distinct(np.concatenate(mine)))].astype(np.float32) for mine in parts.values()]
-        return pa.table({"part": pa.array(list(parts), pa.int64()), "bucket": np.full(len(out), key[0].as_py(), np.int32), "n": pa.array([len(x) for x in out], pa.int32()), "x": pa.array([_packed(x) for x in out], pa.binary())})
+        for r in rows:
+            mine = np.cumsum(_unpacked(r["h"], r["n"], np.uint64))
+            if r["x"] is None:
+                parts.setdefault(r["part"], []).append(mine)
+            else:
+                h, value = mine, _unpacked(r["x"], r["n"], np.float32)
+        wanted = {p: _distinct(np.concatenate(mine)) for p, mine in parts.items()}
+        packs = [None if last else _packed(np.diff(w, prepend=np.uint64(0))) for w in wanted.values()]
+        x = [_packed(value[np.searchsorted(h, w)]) for w in wanted.values()]
+        return pa.table({"part": pa.array(list(wanted), pa.int64()), "bucket": np.full(len(x), key[1].as_py(), np.int32), "n": pa.array([len(w) for w in wanted.values()], pa.int32()), "h": pa.array(packs, pa.binary()), "x": pa.array(x, pa.binary())})
 
     return run
 
 
-def answers(packs: DataFrame, depth: int) -> DataFrame:
+def answers(packs: DataFrame, parts: int, depth: int, fan: int = FAN) -> DataFrame:
     """part, bucket, n, x: log10 probabilities of the contexts and bytes of each part and bucket."""
-    sums = packs.groupBy("bucket").applyInArrow(_sums(depth), "near int, node int, zero long, one long, total double")
+    up = F.floor(F.col("part") / fan)
+    levels = [packs]
+    while parts > 1 or len(levels) == 1:
+        kind = np.uint32 if len(levels) == 1 else np.int64
+        levels.append(cut(levels[-1].withColumn("part", up).groupBy("part", "bucket").applyInArrow(_merged(kind), PACK), "merged"))
+        parts = -(-parts // fan)
+    top = levels.pop()
+    sums = top.mapInArrow(_sums(depth), "near int, node int, zero long, one long, total double")
     shared = packs.sparkSession.sparkContext.broadcast(upper(cut(sums, "sums")))
-    return packs.groupBy("bucket").applyInArrow(_answers(shared, depth), "part long, bucket int, n int, x binary")
+    told = top.mapInArrow(_values(shared, depth), "part long, bucket int, n int, h binary, x binary")
+    for level in reversed(levels):
+        below = level.select(up.alias("up"), "part", "bucket", "n", "h", F.lit(None).cast("binary").alias("x"))
+        both = told.withColumn("up", F.col("part")).unionByName(below)
+        told = both.groupBy("up", "bucket").applyInArrow(_told(level is packs), "part long, bucket int, n int, h binary, x binary")
+    return told.drop("h")
 
 
 # ---- scoring ------------------------------------------------------------------------------------------------
@@ -390,7 +435,7 @@ def _scores(total: int, distinct: int, depth: int, buckets: int):
     return run
 
 
-def score_lm(docs: DataFrame, trains, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, depth: int = DEPTH) -> DataFrame:
+def score_lm(docs: DataFrame, trains, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, depth: int = DEPTH, fan: int = FAN) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text), bits_per_byte.
     trains: a function of the id column that says which rows are learned from."""
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *key_cols(id_col, text_col))
@@ -401,7 +446,7 @@ def score_lm(docs: DataFrame, trains, id_col: str = "doc_id", text_col: str = "t
     parts, buckets = max(1, -(-length // part_bytes)), max(1, -(-length // BUCKET_BYTES))
     dealt = slim.select("id", "text", F.coalesce(trains(F.col("id")), F.lit(False)).alias("learn"), F.pmod(F.xxhash64("kd", "kh"), F.lit(parts)).alias("part"))
     packs = cut(dealt.select("text", "learn", "part").repartition("part").mapInArrow(_packs(depth, buckets), "part long, bucket int, n int, h binary, c binary"), "packs")
-    told = cut(answers(packs, depth), "answers")
+    told = cut(answers(packs, parts, depth, fan), "answers")
     asked = dealt.select("text", "part").repartition("part").mapInArrow(_asked, "part long, h long").distinct()
     known = cut(asked.join(words, "h"), "known").unionByName(told, allowMissingColumns=True).select("part", "h", "c", "bucket", "n", "x")
     out = dealt.select("id", "text", "part").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_scores(size["n"], size["v"], depth, buckets), f"id {kind}, n_tokens long, n_known long, base_score double, score double, n_bytes long")

@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against plain versions, on small fixtures with nulls, empties, ties and copies."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -181,6 +182,14 @@ def test_neighbours(spark):
     assert hit / total >= 0.9 and got["query_id"].nunique() == 35
     few = ann.nearest(d.where("vec_id < 5"), lambda i: i == 0).collect()
     assert len(few) == 4
+    short = [(1000 + i, x.tolist()) for i, x in enumerate(g.normal(size=(30, 3)))] + [(1040, [2.0])]
+    mixed = ann.nearest(d.unionByName(spark.createDataFrame(short, d.schema)), lambda i: F.pmod(i, F.lit(20)) == 0, shard=256).toPandas()
+    held = dict(short) | {903: [1.0] * 3}  # each length has its own candidates, few or many, and none is left out
+    for q in (1000, 1020):
+        near = sorted((-float(np.dot(held[q], x)), i) for i, x in held.items() if i != q and len(x) == 3)[:20]
+        part = mixed[mixed["query_id"] == q].sort_values("rank")
+        assert part["id"].tolist() == [i for _, i in near] and np.allclose(part["score"], [-s for s, _ in near])
+    assert not (mixed["query_id"] == 1040).any() and (mixed[mixed["query_id"] < 700].groupby("query_id").size() == 20).all()
     assert ann.nearest(d.limit(0), lambda i: i == 0).count() == 0
 
 
@@ -452,3 +461,14 @@ def test_neighbours_of_uneven_vectors(spark, kind):
         s[q] = -np.inf
         hit += len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist()))
     assert len(got) == 150 and hit / 3000 >= 0.9
+
+
+def test_context_tree_of_many_parts(spark):
+    """Packs summed over several levels answer as one part does: one context that dominates, and one row many times."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "e t" * 40 + "".join(rng.choice(list("abc e t"), 30))) for i in range(60)] + [(i, "the same row again") for i in range(100, 2100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [{r.id: (r.n_tokens, r.score) for r in ctw.score_lm(d, lambda i: i % 5 != 0, part_bytes=size, fan=fan).collect()} for size, fan in ((1 << 24, 32), (900, 2), (900, 4))]
+    assert len(runs[0]) == len(rows) and max(x[1] for x in runs[0].values()) < 0
+    for got in runs[1:]:
+        assert got.keys() == runs[0].keys() and all(n == runs[0][i][0] and math.isclose(s, runs[0][i][1], rel_tol=1e-5) for i, (n, s) in got.items())
