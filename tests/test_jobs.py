@@ -1,6 +1,7 @@
 """Small goldens of the table operators and sources."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -84,6 +85,85 @@ def test_grid(spark):
     assert got == {"B02.110.002": (880.0, 1410.0), "B02.110.003": (1000.0, 1500.0)}
 
 
+def _plain_grid(rows):
+    """One sheet by the rules, in plain Python: rows of (row_idx, cells) -> {(row_idx, name, price)} where no code or second price stands."""
+    import re
+
+    from tariffspark.functions import rules as R
+
+    has = lambda text, words: any(w in text for w in words)
+    low = lambda c: (c or "").strip(" ").lower()
+    letters = lambda c: len([x for x in low(c) if x.isalpha()])
+    digits = lambda c: re.sub(r"\s", "", (re.search(r"[0-9][0-9\s]*", c or "") or [""])[0])
+    priced = lambda c: letters(c) <= 4 and digits(c) != "" and int(digits(c)) > 0
+    first = [i for i in sorted({i for i, cells in rows if cells})][:25]
+    of = {i: [(k, c) for j, cells in rows if j == i and cells for k, c in enumerate(cells)] for i in {i for i, _ in rows}}
+    every = R.NAME_HINTS, R.CODE_HINTS, R.PRICE_HINTS, R.RES_HINTS
+    hints = {i: sum(any(has(low(c), w) for w in every) for _, c in of[i]) for i in first}
+    heads = [i for i in first if hints[i] >= 2]
+    head = min(heads, key=lambda i: (-hints[i], i)) if heads else None
+    last = head
+    if head is not None:
+        last = max([i for i in first if head < i <= head + 2 and not any(priced(c) for _, c in of[i])], default=head)
+    titles: dict = {}
+    for i in sorted(of):
+        if head is not None and head <= i <= last:
+            for k, text in sorted(((k, low(c)) for k, c in of[i]), key=lambda x: x[1]):
+                titles[k] = (titles[k] + " " if k in titles else "") + text
+    roles: dict = {}
+    for k, text in titles.items():
+        code, price, name = has(text, R.CODE_HINTS), has(text, R.PRICE_HINTS), has(text, R.NAME_HINTS)
+        r = "code" if code and not price and not name else "nonres" if has(text, R.NONRES_HINTS) else "res" if has(text, R.RES_HINTS) else "price" if price else "name" if name else None
+        if r:
+            roles[r] = min(roles.get(r, k), k)
+    body = [(k, c) for i in of if last is None or i > last for k, c in of[i]]
+    cols: dict = {}
+    for k, c in body:
+        cols.setdefault(k, []).append(c)
+    share = {k: sum(map(priced, x)) / len(x) for k, x in cols.items()}
+    width = {k: sum(map(letters, x)) / len(x) for k, x in cols.items()}
+    g_price = max([(v, k) for k, v in share.items() if v > 0.3], default=(0, None))[1]
+    g_name = -max([(v, -k) for k, v in width.items() if v > 0], default=(0, 1))[1]
+    if g_name < 0:
+        return set()
+    at = lambda cells, k: cells[k] if cells and k is not None and k < len(cells) else None
+    out = set()
+    for i, cells in rows:
+        if last is None or i > last:
+            name = (at(cells, roles.get("name", g_name)) or "").strip(" ")
+            p = roles.get("price", g_price) if "res" not in roles and "nonres" not in roles else roles.get("res", roles.get("price"))
+            price, other = digits(at(cells, p)), digits(at(cells, roles.get("nonres")))
+            if len(name) >= 4 and letters(name) >= 4 and (price or other):
+                out.add((i, name, float(price) if price else None, float(other) if other else None))
+    return out
+
+
+def test_grids_by_plain_rules(spark):
+    """Sheets with and without headers, continued and repeated ones, short and empty rows, against the rules in Python."""
+    r = random.Random(4)
+    words = ["биопсия", "рентген кисти", "осмотр глаз", "пункция", "массаж спины", "", None]
+    titles = ["Код", "Наименование услуг", "Цена", "Цена для граждан РК", "Цена для нерезидентов", "Стоимость, тенге", "№", "прочее", ""]
+    sheets = {}
+    for n in range(60):
+        rows, wide = [], r.randint(2, 5)
+        for i in range(r.randint(1, 40)):
+            kind = r.random()
+            if kind < 0.08 or (i == 2 and n % 3):
+                cells = [r.choice(titles) for _ in range(wide)]
+            elif kind < 0.12:
+                cells = r.choice([[], None, ["только имя"]])
+            else:
+                cells = [r.choice(words) if k % 2 else str(r.randint(100, 9000)) for k in range(wide)]
+            rows.append((i + r.randint(0, 1), cells))
+        sheets[n] = rows
+    data = [(n, "s", i, cells) for n, rows in sheets.items() for i, cells in rows]
+    got: dict = {}
+    for x in X.items_from_grid(spark.createDataFrame(data, "doc_id long, sheet string, row_idx int, cells array<string>")).collect():
+        got.setdefault(x.doc_id, set()).add((x.row_idx, x.name, x.price_resident, x.price_nonresident))
+    want = {n: rows for n, rows in ((n, _plain_grid(rows)) for n, rows in sheets.items()) if rows}
+    assert len(want) > 30 and got == want
+
+
 def test_html_rows(spark):
     h = spark.createDataFrame([(1, "<table><tr><td>1</td><td>Приём терапевта</td><td>8 000 ₸</td></tr><tr><td>2</td><td>УЗИ почек</td><td>6000</td></tr></table>"), (2, "<ul><li>ОАК — 2500 тг</li></ul>")], "page_id long, html string")
     assert sorted((r.id, r.raw_name, r.price) for r in X.items_from_html(h).collect()) == [(1, "Приём терапевта", 8000.0), (1, "УЗИ почек", 6000.0), (2, "ОАК", 2500.0)]
