@@ -130,7 +130,27 @@ def f19(spark, d):
     return o.select("o_orderkey", T.col_partner_name("name").alias("partner"), T.col_effective_date("name", "2000-06-30").alias("effective"), T.col_clinic_prefix(F.concat(F.col("o_custkey").cast("string"), F.lit("_x.pdf"))).alias("prefix"))
 
 
-@query("f20_similarity")
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '\([^)]*\)', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _common(a: str, b: str) -> str:
+    """SQL for the length of the longest common subsequence of two columns, of at most 60 letters in the first: one step a
+    letter of `b` on the bits of one number."""
+    full = f"((1::BIGINT << len({a})) - 1)"
+    marks = f"list_transform(string_split({b}, ''), lambda ch: CAST(coalesce(list_sum(list_transform(range(1, len({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = ch THEN 1::BIGINT << (i - 1) ELSE 0 END)), 0) AS BIGINT))"
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE len({a}) - bit_count(list_reduce(list_prepend({full}, {marks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})) END)"
+
+
+@query(
+    "f20_similarity",
+    f"""WITH p AS (SELECT p_partkey, {_CLEAN.format('p_name')} AS a, {_CLEAN.format("p_type || ' ' || reverse(p_name)")} AS b FROM part),
+    s AS (SELECT *, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM p),
+    r AS (SELECT *, list_sort(list_filter(x, lambda t: list_contains(y, t))) AS shared, array_to_string(list_sort(list_filter(x, lambda t: NOT list_contains(y, t))), ' ') AS l, array_to_string(list_sort(list_filter(y, lambda t: NOT list_contains(x, t))), ' ') AS k FROM s),
+    n AS (SELECT *, len(array_to_string(shared, ' ')) AS base, CASE WHEN len(shared) > 0 THEN 1 ELSE 0 END AS gap, {_common('a', 'b')} AS same, {_common('l', 'k')} AS rest FROM r)
+    SELECT p_partkey, 100.0::DOUBLE * (1 - (len(a) + len(b) - 2 * same)::DOUBLE / (len(a) + len(b))) AS ratio,
+      CASE WHEN gap = 1 AND (l = '' OR k = '') THEN 100.0 ELSE greatest(100.0::DOUBLE * (1 - (len(l) + len(k) - 2 * rest)::DOUBLE / (2 * (base + gap) + len(l) + len(k))),
+        CASE WHEN gap = 1 THEN 100.0::DOUBLE * (1 - (gap + len(l))::DOUBLE / (2 * base + gap + len(l))) ELSE 0 END, CASE WHEN gap = 1 THEN 100.0::DOUBLE * (1 - (gap + len(k))::DOUBLE / (2 * base + gap + len(k))) ELSE 0 END) END AS token_set FROM n""",
+)
 def f20(spark, d):
     from ..functions.similarity import col_ratio, col_token_set_ratio
 
@@ -183,7 +203,28 @@ def f25_chains(spark, d):
     return X.extract_slugs(raw(spark, d, "supplier").select(k.alias("page_id"), links.alias("html")), "html", "example.com", chains=True).select("page_id", "slug")
 
 
-@query("f26_detect_city")
+def _city_sql(cities: str, texts: str) -> str:
+    """The best city of each text: as it stands, by its stem, or by likeness of a word; words are compared within the length bound."""
+    return f"""WITH c AS (SELECT DISTINCT name AS city, {_CLEAN.format('name')} AS c FROM ({cities})), t AS (SELECT doc_id, {_CLEAN.format('text')} AS t FROM ({texts})),
+    w AS (SELECT DISTINCT doc_id, unnest(string_split(t, ' ')) AS w FROM t),
+    p AS (SELECT w, city, c, starts_with(w, substr(c, 1, greatest(len(c) - 2, 4))) AS stem FROM (SELECT DISTINCT w FROM w WHERE w <> '') v, c WHERE abs(len(w) - len(c)) * 5 <= len(w) + len(c) OR starts_with(w, substr(c, 1, greatest(len(c) - 2, 4)))),
+    r AS (SELECT w, city, stem, 100.0::DOUBLE * (1 - (len(w) + len(c) - 2 * {_common('c', 'w')})::DOUBLE / (len(w) + len(c))) AS score FROM p),
+    f AS (SELECT doc_id, city, 100.0::DOUBLE AS score FROM t, c WHERE contains(t, c) UNION ALL SELECT doc_id, city, CASE WHEN stem THEN greatest(score, 90) ELSE score END FROM w JOIN r USING (w) WHERE stem OR score >= 80)
+    SELECT doc_id, city, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, len(city) DESC, city) AS n FROM f) WHERE n = 1"""
+
+
+_MISSPELT = "text || ' ' || CASE turn % 4 WHEN 0 THEN n_name WHEN 1 THEN substr(n_name, 1, length(n_name) - 1) || 'ys' WHEN 2 THEN 'x' || substr(n_name, 2) ELSE 'zzzz' END"
+
+
+@query("f26_city_misspelt", _city_sql("SELECT n_name AS name FROM nation", f"SELECT conv_id * 1000 + turn AS doc_id, {_MISSPELT} AS text FROM conversations JOIN nation ON conv_id % 25 = n_nationkey"))
+def f26_misspelt(spark, d):
+    """Texts that name a city as it is, by its stem, or with a wrong first letter, or not at all."""
+    n = raw(spark, d, "nation")
+    texts = raw(spark, d, "conversations").join(F.broadcast(n), F.col("conv_id") % 25 == F.col("n_nationkey"))
+    return X.detect_city(texts.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.expr(_MISSPELT).alias("text")), n.select(F.col("n_name").alias("name")))
+
+
+@query("f26_detect_city", _city_sql("SELECT 'there' || CAST(n_nationkey AS VARCHAR) AS name FROM nation", "SELECT conv_id * 1000 + turn AS doc_id, text || ' there' || CAST(turn % 30 AS VARCHAR) AS text FROM conversations"))
 def f26(spark, d):
     cities = raw(spark, d, "nation").select(F.concat(F.lit("there"), F.col("n_nationkey").cast("string")).alias("name"))
     return X.detect_city(raw(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat("text", F.lit(" there"), (F.col("turn") % 30).cast("string")).alias("text")), cities)

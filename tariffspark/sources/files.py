@@ -409,6 +409,10 @@ def detect_city(df: DataFrame, cities: DataFrame, text: str = "text", id_col: st
     keyed = lambda d, c: d.withColumn("key", F.explode(_pairs_of_letters(F.col(c)))).where("key != ''")
     pairs = keyed(words.select("w").distinct(), "w").join(keyed(names, "c"), "key").drop("key").distinct()
     stem = F.substring(F.col("c"), F.lit(1), F.greatest(F.length("c") - 2, F.lit(4)))
+    # A ratio of 80 leaves at most a fifth of the letters of both to insert and delete, and no fewer than the edit distance.
+    most = (F.length("w") + F.length("c")) / 5.0
+    close = (F.abs(F.length("w") - F.length("c")) <= most) & (F.levenshtein("w", "c") <= most)
+    pairs = pairs.where(F.col("w").startswith(stem) | close)
     ratio = col_ratio("w", "c")
     near = pairs.withColumn("score", F.when(F.col("w").startswith(stem), F.greatest(ratio, F.lit(90.0))).otherwise(ratio)).where("score >= 80")
     found = exact.unionByName(words.join(near, "w").select(id_col, "city", "score"))
