@@ -397,6 +397,19 @@ def test_cosine_skips_far_clusters(spark):
     assert cosine_topk(q, c.limit(0), 4).count() == 0 == cosine_topk(q.limit(0), c, 4).count()
 
 
+def test_equal_vectors_are_compared_once(spark):
+    from tariffspark.functions.similarity import cosine_topk
+
+    vec = [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]
+    rows = [(i, vec[i % 3]) for i in range(300)]
+    c, q = spark.createDataFrame(rows, "c long, v array<double>"), spark.createDataFrame(rows + [(300, [0.0, 0.0])], "q long, v array<double>")
+    counts = {}
+    got = {(r.q, r["rank"]): r.c for r in cosine_topk(q, c, 4, counts=counts).collect()}
+    assert len(got) == 4 * 301 and all(got[i, n] == i % 3 + 3 * (n - 1) for i in range(300) for n in (1, 2, 3, 4))
+    assert [got[300, n] for n in (1, 2, 3, 4)] == [0, 1, 2, 3]  # all score 0
+    assert counts["all"] == 4 * 3 and counts["compared"] <= 4 * 3
+
+
 def test_merge_chains_and_cycles(spark):
     """Chains end where they end, cycles and what leads into them merge nothing, in all four tables."""
     from tariffspark.operators import review as V
