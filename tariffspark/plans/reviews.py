@@ -303,11 +303,13 @@ def s16(spark, d):
 @query(
     "r18_reprocess",
     with_canon("""WITH line AS (SELECT l_orderkey AS run_id, l_linenumber AS n, 'B' || lpad(CAST(l_partkey % 90 AS VARCHAR), 2, '0') || '.' || lpad(CAST(l_partkey // 90 AS VARCHAR), 3, '0') || '.00' || CAST(l_linenumber AS VARCHAR) AS code, floor(l_extendedprice) AS price FROM lineitem WHERE floor(l_extendedprice) > 0),
-    hit AS (SELECT r.clinic_id, l.run_id, s.id AS service_id, l.price FROM line l JOIN runs r ON r.id = l.run_id JOIN (SELECT p_partkey AS id, 'B' || lpad(CAST(p_partkey % 90 AS VARCHAR), 2, '0') || '.' || lpad(CAST(p_partkey // 90 AS VARCHAR), 3, '0') || '.00' || CAST(p_partkey % 7 + 1 AS VARCHAR) AS code FROM part) s ON s.code = l.code WHERE r.file_name <> '')
+    hit AS (SELECT r.clinic_id, l.run_id, s.id AS service_id, l.price FROM line l JOIN runs r ON r.id = l.run_id JOIN (SELECT min(p_partkey) AS id, 'B' || lpad(CAST(p_partkey % 90 AS VARCHAR), 2, '0') || '.' || lpad(CAST(p_partkey // 90 AS VARCHAR), 3, '0') || '.00' || CAST(p_partkey % 7 + 1 AS VARCHAR) AS code FROM part GROUP BY code) s ON s.code = l.code WHERE r.file_name <> '')
     SELECT clinic_id, service_id, min(price) AS price FROM hit GROUP BY ALL"""),
 )
 def r18(spark, d):
-    """Originals of the runs that came from a file: a grid a run, with codes. What the current catalog has by code."""
+    """Originals of the runs that came from a file: a grid a run, with codes. What the current catalog has by code: of
+    several services with one code the most similar name. These names differ only by their number, which no line has, so
+    that is the shortest number and, of equals, the smallest: the smallest id."""
     none = _archive_prices(spark, d).limit(0)
     out, services = _reprocessed(spark, d, none, F.lit(False))
     return out.join(services.select(F.col("id").alias("service_id")), "service_id", "left_semi").where("change = 'inserted'").select("clinic_id", "service_id", dbl("price"))

@@ -40,3 +40,10 @@ def test_clinics_numbered_like_years(against_sql):
     got, want = against_sql("f19_file_names", orders=(ORDERS, [order(i, c) for i, c in enumerate((7, 1995, 2010, 119951, 19, 2099))]))
     assert got == want
     assert [(r[1], r[2].year) for r in got[:4]] == [("Clinic 7", 1997), ("Clinic", 1995), ("Clinic", 2000), ("Clinic 119951", 1995)]
+
+
+def test_codes_that_services_share(against_sql):
+    parts = [(i, "n", "b", "t", 1, 1.0) for i in (11971, 119701, 119708, 119764, 12)]  # B01.133.002 is that of the first and the third
+    lines = [(1, p, 1, p % 7 + 1, 5.0, 100.0 + i, 0.0, 0.0, "A", "F", DAY) for i, p in enumerate((119701, 11971, 12, 119764, 119708))]
+    got, want = against_sql("r18_reprocess", orders=(ORDERS, [order(1, 3)]), lineitem=(LINES, lines), part=(PARTS, parts))
+    assert got == want and len(got)
