@@ -410,6 +410,27 @@ def test_equal_vectors_are_compared_once(spark):
     assert counts["all"] == 4 * 3 and counts["compared"] <= 4 * 3
 
 
+def test_merge_plans_are_not_broadcast(spark):
+    plan = spark.createDataFrame([(2, 1, None), (3, 2, 4)], "from_id long, to_id long, urine_id long")
+    p = spark.createDataFrame([(i, i % 5, 1.0, "a") for i in range(20)], "id long, service_id long, price double, raw_name string")
+    s = spark.createDataFrame([(i, f"s{i}", []) for i in range(5)], "id long, canonical_name string, synonyms array<string>")
+    for out in (V.merge_canons(p, plan), V.merge_followers(p, plan, 5.0), V.merge_services(s, plan, p)):
+        out.collect()
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_queries_are_ranked_once(spark, monkeypatch):
+    """Rankings see a row a distinct text and name, not one a query."""
+    s = catalog(spark)
+    q = spark.createDataFrame([(i, ("Глюкоза", " глюкоза ")[i % 2]) for i in range(500)], "query_id long, query string")
+    seen = []
+    monkeypatch.setattr(M, "first_by", lambda df, *by: seen.append(df.count()) or D.first_by(df, *by))
+    got = M.suggest(q, s, typos=False).collect()
+    one = {(r.canonical_name, r.score, r.place) for r in got if r.query_id == 0}
+    assert one and len(got) == 500 * len(one) and all((r.canonical_name, r.score, r.place) in one for r in got)
+    assert seen and max(seen) <= s.count()
+
+
 def test_merge_chains_and_cycles(spark):
     """Chains end where they end, cycles and what leads into them merge nothing, in all four tables."""
     from tariffspark.operators import review as V
