@@ -185,12 +185,13 @@ def price_drops(stream: DataFrame, subs: DataFrame, days: float = HORIZON_DAYS,
     return rows.groupBy("subscription_id").transformWithStateInPandas(_Baseline(days), "subscription_id long, old_price double, new_price double", "Append", "EventTime")
 
 
-def daily_prices(stream: DataFrame, late: str = "30 days", accuracy: int = 10_000) -> DataFrame:
+def daily_prices(stream: DataFrame, late: str = "30 days", accuracy: int = 10_000, exact: bool = False) -> DataFrame:
     """Per service and day, number, least and median of the prices. Records up to `late` late still count; a day comes
     out once, when the watermark has passed it, and its state goes. The median is a mergeable sketch of about `accuracy`
-    values at most a service and day (exact up to that many; A16 has the exact one)."""
+    values at most a service and day (exact up to that many), or, if `exact`, the middle of all distinct values with their
+    counts. In complete mode every day comes out, open ones too, and no record is late."""
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    out = timed.groupBy(F.window("ts", "1 day").alias("w"), "service_id").agg(F.count("*").alias("n"), F.min("price").alias("min_price"), F.percentile_approx("price", 0.5, accuracy).alias("median_price"))
+    out = timed.groupBy(F.window("ts", "1 day").alias("w"), "service_id").agg(F.count("*").alias("n"), F.min("price").alias("min_price"), (F.median("price") if exact else F.percentile_approx("price", 0.5, accuracy)).alias("median_price"))
     return out.select(F.col("w.start").alias("day"), "service_id", "n", "min_price", "median_price")
 
 

@@ -47,3 +47,10 @@ def test_codes_that_services_share(against_sql):
     lines = [(1, p, 1, p % 7 + 1, 5.0, 100.0 + i, 0.0, 0.0, "A", "F", DAY) for i, p in enumerate((119701, 11971, 12, 119764, 119708))]
     got, want = against_sql("r18_reprocess", orders=(ORDERS, [order(1, 3)]), lineitem=(LINES, lines), part=(PARTS, parts))
     assert got == want and len(got)
+
+
+def test_last_days_come_out_too(against_sql):
+    kind = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    rows = [(i, DAY + datetime.timedelta(days=i // 4, hours=i % 4), 1, "a", float(i * i % 7), "") for i in range(40)]
+    got, want = against_sql("t04_daily_prices", events=(kind, rows))
+    assert got == want and len(got) == 10
