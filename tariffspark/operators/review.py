@@ -181,15 +181,16 @@ def close_plan(plan: DataFrame) -> DataFrame:
     links = written(first_by(plan.where("from_id is not null and to_id is not null"), ["from_id"], "to_id", "urine_id").select("from_id", "to_id", "urine_id"), "plan")
     for _ in range(max(1, links.count()).bit_length() + 1):
         nxt = links.select(F.col("from_id").alias("_f"), F.col("to_id").alias("_t"), F.col("urine_id").alias("_u"))
-        joined = links.join(nxt, F.col("to_id") == F.col("_f"), "left")
+        joined = links.join(nxt.hint("merge"), F.col("to_id") == F.col("_f"), "left")
         open_ends = joined.where("_f is not null").limit(1).count()
         if not open_ends:
             break
         links = written(joined.select("from_id", F.coalesce("_t", "to_id").alias("to_id"), F.coalesce("urine_id", "_u").alias("urine_id")), "plan")
     froms = links.select(F.col("from_id").alias("to_id"))
-    good = links.join(froms, "to_id", "left_anti")
+    good = links.join(froms.hint("merge"), "to_id", "left_anti")
     ends = good.select(F.col("from_id").alias("urine_id"), F.col("to_id").alias("_end"))  # a urine service may be a duplicate itself
-    return good.join(ends, "urine_id", "left").select("from_id", "to_id", F.coalesce("_end", "urine_id").alias("urine_id"))
+    # A plan grows with the catalog: no join may send it through the driver, however small its files look.
+    return good.join(ends.hint("merge"), "urine_id", "left").select("from_id", "to_id", F.coalesce("_end", "urine_id").alias("urine_id")).hint("merge")
 
 
 def merge_canons(prices: DataFrame, plan: DataFrame, absurd: float = 50_000) -> DataFrame:
@@ -218,9 +219,9 @@ def merge_services(services: DataFrame, plan: DataFrame, prices: DataFrame, long
     names = services.join(plan.select(F.col("from_id").alias("id"), "to_id"), "id").select("to_id", F.col("canonical_name").alias("name"))
     raws = prices.join(plan.select(F.col("from_id").alias("service_id"), "to_id"), "service_id").where(~_urine() & (F.length("raw_name") <= longest)).select("to_id", F.col("raw_name").alias("name"))
     have = services.select(F.col("id").alias("to_id"), F.explode(F.concat(F.array("canonical_name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("h")).select("to_id", F.lower("h").alias("low"))
-    new = first_by(names.unionByName(raws).withColumn("low", F.lower("name")), ["to_id", "low"], "name").join(have, ["to_id", "low"], "left_anti")
+    new = first_by(names.unionByName(raws).withColumn("low", F.lower("name")), ["to_id", "low"], "name").join(have.hint("merge"), ["to_id", "low"], "left_anti")
     new = new.groupBy(F.col("to_id").alias("id")).agg(F.array_sort(F.collect_list("name")).alias("_new"))
-    left = services.join(plan.select(F.col("from_id").alias("id")), "id", "left_anti").join(new, "id", "left")
+    left = services.join(plan.select(F.col("from_id").alias("id")), "id", "left_anti").join(new.hint("merge"), "id", "left")
     none = F.array().cast("array<string>")
     return left.select(*[F.concat(F.coalesce("synonyms", none), F.coalesce("_new", none)).alias(c) if c == "synonyms" else c for c in services.columns])
 
