@@ -36,36 +36,48 @@ def first_rule(c: Column, rules, default) -> Column:
     return out.otherwise(default)
 
 
+def bound(c: Column, f) -> Column:
+    """f of a value that is worked out once, however often f looks at it (else each look repeats it in the plan)."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _positive(token: Column, most: float | None = None) -> Column:
-    v = token.try_cast("double")
-    return F.when((v > 0) & (v <= most if most else F.lit(True)), v)
+    return F.get(F.filter(F.array(token.try_cast("double")), lambda v: (v > 0) & (v <= most if most else F.lit(True))), F.lit(0))
+
+
+def _first_digits(c) -> Column:
+    """The first run of digits and separators, without spaces."""
+    return F.regexp_replace(F.regexp_extract(_c(c).cast("string"), "[0-9][0-9\\s .,]*", 0), "[\\s ]", "")
 
 
 def col_parse_price(c) -> Column:
     """Retail files: the first run of digits; with both separators the dot marks thousands; a lone comma is decimal
     before one or two last digits."""
-    t = F.regexp_replace(F.regexp_extract(_c(c).cast("string"), "[0-9][0-9\\s .,]*", 0), "[\\s ]", "")
-    both = t.contains(",") & t.contains(".")
-    t = F.when(both, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(t.rlike(r",\d{1,2}$"), F.replace(t, F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit("")))
-    return _positive(t)
+    def number(t):
+        both = t.contains(",") & t.contains(".")
+        return F.when(both, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(t.rlike(r",\d{1,2}$"), F.replace(t, F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit("")))
+
+    return _positive(bound(_first_digits(c), number))
 
 
 def col_parse_price_archive(c) -> Column:
     """Archive files: of both separators the last is decimal; repeated ones and those before three digits mark thousands."""
-    t = F.regexp_replace(F.regexp_extract(_c(c).cast("string"), "[0-9][0-9\\s .,]*", 0), "[\\s ]", "")
     drop = lambda s, x: F.replace(s, F.lit(x), F.lit(""))
-    dot, comma = t.contains("."), t.contains(",")
-    last_dot = F.locate(".", F.reverse(t)) < F.locate(",", F.reverse(t))
-    many = lambda x: F.length(t) - F.length(drop(t, x)) > 1
-    n = (
-        F.when(dot & comma & last_dot, drop(t, ","))
-        .when(dot & comma, F.replace(drop(t, "."), F.lit(","), F.lit(".")))
-        .when(many("."), drop(t, "."))
-        .when(many(","), drop(t, ","))
-        .when(t.rlike(r"[.,]\d{3}$"), drop(drop(t, "."), ","))
-        .otherwise(F.replace(t, F.lit(","), F.lit(".")))
-    )
-    return _positive(n, 100_000_000)
+
+    def number(t):
+        dot, comma = t.contains("."), t.contains(",")
+        last_dot = F.locate(".", F.reverse(t)) < F.locate(",", F.reverse(t))
+        many = lambda x: F.length(t) - F.length(drop(t, x)) > 1
+        return (
+            F.when(dot & comma & last_dot, drop(t, ","))
+            .when(dot & comma, F.replace(drop(t, "."), F.lit(","), F.lit(".")))
+            .when(many("."), drop(t, "."))
+            .when(many(","), drop(t, ","))
+            .when(t.rlike(r"[.,]\d{3}$"), drop(drop(t, "."), ","))
+            .otherwise(F.replace(t, F.lit(","), F.lit(".")))
+        )
+
+    return _positive(bound(_first_digits(c), number), 100_000_000)
 
 
 def col_norm_code(c) -> Column:

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tariffspark.functions import text as T
 from tariffspark.operators import compare as C
 from tariffspark.operators import dedup as D
 from tariffspark.operators import match as M
@@ -484,3 +485,12 @@ def test_search_without_a_query_and_by_category(spark):
     assert got(n=1) == [(1, 1, 3), (2, 1, 3), (3, 1, 3)]
     assert got(category="Диагностика") == [(1, 1, 3), (2, 1, 3), (3, 1, 3)] and got(category="мрт") == got(category="Диагностика")
     assert got(category="анализ") == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_prices_are_read_from_one_look_at_a_cell(spark):
+    df = spark.createDataFrame([("1 234,50 тг",), ("0",), (None,), ("1.234.567",)], "c string")
+    for f, want in ((T.col_parse_price_archive, [1234.5, None, None, 1234567.0]), (T.col_parse_price, [1234.5, None, None, None])):
+        priced = df.select(f("c").alias("p"))
+        plan = priced._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") == 1
+        assert [r.p for r in priced.collect()] == want
