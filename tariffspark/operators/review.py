@@ -292,7 +292,8 @@ def reprocess(runs: DataFrame, originals: DataFrame, services: DataFrame, prices
     coded = written(match_by_code(items.select("item_id", "raw_name", "code"), services), "coded")
     rest = items.join(coded.select("item_id"), "item_id", "left_anti")
     # Each distinct name is matched once.
-    by_name, _, _ = normalize(rest.groupBy("raw_name").agg(F.min("item_id").alias("item_id")).select("item_id", "raw_name"), services)
+    once = written(rest.groupBy("raw_name").agg(F.min("item_id").alias("item_id")).select("item_id", "raw_name"), "unnamed")
+    by_name, _, _ = normalize(once, services)
     by_name = written(by_name.select("raw_name", "service_id", "confidence"), "named")
     named = rest.select("item_id", "raw_name").join(by_name, "raw_name").drop("raw_name")
     matched = items.join(coded.unionByName(named), "item_id", "left").join(runs, "run_id")

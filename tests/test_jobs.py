@@ -494,3 +494,21 @@ def test_prices_are_read_from_one_look_at_a_cell(spark):
         plan = priced._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract(") == 1
         assert [r.p for r in priced.collect()] == want
+
+
+def test_short_names_found_whole_need_no_others(spark, monkeypatch):
+    """Equal to the search among all keys; short names whose words a key holds, or that hold those of a key, do not come to it."""
+    r = random.Random(8)
+    words = ["кал", "моча", "кровь", "анализ", "тест", "узи", "почек", "гормон", *map(str, range(12))]
+    names = sorted({" ".join(r.choices(words, k=r.randint(1, 4))) for _ in range(70)})
+    s = spark.createDataFrame([(i, n, "Анализы", [r.choice(words)] if i % 5 == 0 else []) for i, n in enumerate(names)], "id long, canonical_name string, category string, synonyms array<string>")
+    asked = sorted({" ".join(r.choices([*words, "гормны", "почка"], k=r.randint(1, 5))) for _ in range(90)} | {"", "тест тест 5", "анализ крови на гормоны с забором материала 3"})
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, raw_name string")
+    d = M.build_dictionary(s)
+    sent = []
+    every = M.candidates
+    monkeypatch.setattr(M, "candidates", lambda i, *a: sent.append(i.count()) or every(i, *a))
+    got = sorted(map(tuple, M.match_guarded(items, d, s, 3).collect()), key=str)
+    monkeypatch.setattr(M, "SHORT", -1)
+    want = sorted(map(tuple, M.match_guarded(items, d, s, 3).collect()), key=str)
+    assert got == want and sent[0] < sent[1] / 2
