@@ -512,3 +512,15 @@ def test_short_names_found_whole_need_no_others(spark, monkeypatch):
     monkeypatch.setattr(M, "SHORT", -1)
     want = sorted(map(tuple, M.match_guarded(items, d, s, 3).collect()), key=str)
     assert got == want and sent[0] < sent[1] / 2
+
+
+def test_bound_pairs_are_compared_once(spark):
+    p = spark.createDataFrame([(i, str(i % 3), i % 2, 1.0) for i in range(12)] + [(12, "2", None, 1.0), (13, "2", 0, 0.1)], "id long, raw_name string, service_id long, match_confidence double")
+    v = {"0": [1.0, 0.0], "1": [0.0, 1.0], "2": [0.0, 0.0]}
+    names = spark.createDataFrame(list(v.items()), "q string, v array<double>")
+    services = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "c long, v array<double>")
+    out = M.suspect_bindings(p, names, services)
+    assert sorted(r.id for r in out.collect()) == [2, 4, 5, 8, 10, 11]
+    # the rows that come out meet pairs that are ready, not vectors
+    assert "zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.id for r in M.suspect_bindings(p, names, services, offset=4, window=3).collect()] in ([4, 5], [5, 4])
