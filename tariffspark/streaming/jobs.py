@@ -101,27 +101,52 @@ class _Kept(StatefulProcessor):
         pass
 
 
-class _LastPrice(_Kept):
-    """The last price of a key and its time."""
+#: Parts that the keys of T02 are dealt to. A part's keys are worked on together: a call and a look at the state a part.
+BUCKETS = 1024
+
+
+class _LastPrice(StatefulProcessor):
+    """The last price of each key of a part and its time, dropped by one timer a part, that of the first key to go."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "recorded_at timestamp, price double")
+        self.known = handle.getValueState("known", "k array<string>, at array<bigint>, price array<double>")
+
+    def held(self) -> pd.DataFrame:
+        k, at, price = self.known.get() if self.known.exists() else ([], [], [])
+        return pd.DataFrame({"k": pd.Series(list(k), dtype=object), "at": np.array(list(at), "int64"), "price": np.array(list(price), float)})
+
+    def hold(self, held: pd.DataFrame) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if held.empty:
+            self.known.clear()
+        else:
+            self.known.update((held["k"].tolist(), held["at"].tolist(), held["price"].tolist()))
+            self.handle.registerTimer(int(held["at"].min()) // 1000 + HORIZON_DAYS * 86_400_000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows)).sort_values(["recorded_at", "id", "price"])
-        old = self.known.get() if self.known.exists() else None
-        if old is not None:
-            rows = rows[rows["recorded_at"] >= pd.Timestamp(old[0])]  # later than what is known: ignored
+        rows = pd.concat(list(rows)).sort_values(["k", "recorded_at", "id", "price"])
+        rows = rows.assign(at=rows["recorded_at"].to_numpy().astype("datetime64[us]").astype("int64"))
+        held = self.held()
+        old = rows[["k"]].merge(held, on="k", how="left")
+        kept = ~(rows["at"].to_numpy() < old["at"].to_numpy(dtype=float))  # later than what is known: ignored
+        rows, old = rows[kept], old[kept]
         if rows.empty:
             return
-        now = rows["price"].to_numpy(dtype=float)
-        new = now != np.r_[np.nan if old is None else old[1], now[:-1]]
-        last = rows["recorded_at"].iloc[-1].to_pydatetime()
-        self.known.update((last, float(now[-1])))
-        self.renew(last)
-        out = rows.loc[new, ["recorded_at", "price"]]
-        yield pd.DataFrame({"clinic_id": [key[0]] * len(out), "service_id": pd.Series([key[1]] * len(out), dtype=object), "recorded_at": out["recorded_at"].to_numpy(), "price": out["price"].to_numpy()})
+        k, now = rows["k"].to_numpy(dtype=object), rows["price"].to_numpy(dtype=float)
+        first = np.r_[True, k[1:] != k[:-1]]
+        out = rows.loc[now != np.where(first, old["price"].to_numpy(dtype=float), np.r_[np.nan, now[:-1]]), ["k", "recorded_at", "price"]]
+        self.hold(pd.concat([held, rows[["k", "at", "price"]]]).drop_duplicates("k", keep="last"))
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, now = self.held(), timerValues.getCurrentWatermarkInMs()
+        self.hold(held[held["at"] // 1000 + HORIZON_DAYS * 86_400_000 > now])
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def on_rocksdb(spark: SparkSession) -> None:
@@ -131,11 +156,15 @@ def on_rocksdb(spark: SparkSession) -> None:
 
 def change_history(stream: DataFrame) -> DataFrame:
     """Of price updates (clinic_id, service_id, id, recorded_at, price) those that change the price of their key. One
-    value a key is kept; it is dropped long after the freshness horizon."""
+    value a key is kept; it is dropped long after the freshness horizon. Keys are dealt to parts, whose values lie together."""
     on_rocksdb(stream.sparkSession)
-    keyed = stream.select("clinic_id", "service_id", "id", F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.col("price").cast("double").alias("price")).withWatermark("recorded_at", f"{HORIZON_DAYS} days")
-    kinds = "clinic_id long, service_id string, recorded_at timestamp, price double"
-    return keyed.groupBy("clinic_id", "service_id").transformWithStateInPandas(_LastPrice(), kinds, "Append", "EventTime")
+    # The key as one text: the clinic, then the service, each empty where it is null.
+    k = F.concat(F.coalesce(F.col("clinic_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("="), "service_id"), F.lit("")))
+    bucket = F.pmod(F.xxhash64("clinic_id", "service_id"), F.lit(BUCKETS)).cast("int")
+    keyed = stream.select(bucket.alias("bucket"), k.alias("k"), "id", F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.col("price").cast("double").alias("price")).withWatermark("recorded_at", f"{HORIZON_DAYS} days")
+    out = keyed.groupBy("bucket").transformWithStateInPandas(_LastPrice(), "k string, recorded_at timestamp, price double", "Append", "EventTime")
+    clinic, service = F.substring_index("k", ":", 1), F.expr("substring(k, locate(':', k) + 1)")
+    return out.select(F.nullif(clinic, F.lit("")).cast("long").alias("clinic_id"), F.when(service != "", F.expr("substring(k, locate(':', k) + 2)")).alias("service_id"), "recorded_at", "price")
 
 
 def drops(prices: np.ndarray, base: float | None, least: float = 0.001) -> tuple[list[tuple[float, float]], float | None]:

@@ -137,3 +137,22 @@ def test_no_rows(spark, tmp_path):
     assert table.last() == -1 and table.read().collect() == []
     table.upsert(_batch(spark), 0)
     assert table.commits() == [0] and table.read().collect() == []
+
+
+def test_keys_of_a_part_share_its_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BUCKETS", 1)
+    kind = "clinic_id long, service_id string, id long, recorded_at timestamp, price double"
+    one = [(1, "a", 1, at(1), 1.0), (1, "a:b", 2, at(1), 1.0), (None, None, 3, at(2), 5.0), (2, "", 4, at(1), 7.0), (2, None, 5, at(1), 8.0)]
+    two = [(1, "a", 6, at(2), 1.0), (1, "a:b", 7, at(2), 2.0), (None, None, 8, at(1), 6.0), (2, "", 9, at(2), 8.0), (9, "z", 10, at(1000), 1.0)]
+    three = [(9, "z", 11, at(1001), 1.0)]
+    four = [(9, "z", 12, at(1002), 2.0)]
+    rows, state = drained_by(spark, tmp_path, S.change_history(batches(spark, tmp_path, kind, one, two, three, four)))
+    assert rows == sorted([(1, "a", 1, 1.0), (1, "a:b", 1, 1.0), (None, None, 2, 5.0), (2, "", 1, 7.0), (2, None, 1, 8.0), (1, "a:b", 2, 2.0), (2, "", 2, 8.0), (9, "z", 1000, 1.0), (9, "z", 1002, 2.0)], key=str)
+    assert max(state) <= 4  # one value and one timer for all keys
+
+
+def drained_by(spark, tmp_path, df):
+    q = df.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={i}"))).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = [(r.clinic_id, r.service_id, (r.recorded_at - DAY0).days, r.price) for r in spark.read.schema(df.schema).parquet(str(tmp_path / "out")).collect()]
+    return sorted(rows, key=str), [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
