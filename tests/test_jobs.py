@@ -411,6 +411,34 @@ def test_equal_vectors_are_compared_once(spark):
     assert counts["all"] == 4 * 3 and counts["compared"] <= 4 * 3
 
 
+def test_best_scores_of_a_task():
+    import numpy as np
+    import pandas as pd
+
+    from tariffspark.functions.similarity import ROWS, _best, _slices
+
+    score, place = _best(np.array([[0.5, 0.9, 0.5, 0.9], [-np.inf, 0.0, np.nan, -0.0]]), np.array([[7, 5, 2, 3], [9, 4, 8, 1]]), 3)
+    assert place.tolist() == [[3, 5, 2], [8, 1, 4]] and score[0].tolist() == [0.9, 0.9, 0.5]
+    lengths = [len(x) for x in _slices(iter([pd.DataFrame({"v": range(2 * ROWS + 1)}), pd.DataFrame({"v": []})]))]
+    assert lengths == [ROWS, ROWS, 1]
+
+
+def test_vectors_are_not_shuffled_for_their_answers(spark):
+    from tariffspark.functions.similarity import cosine_topk
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(5, [0.0, 1.0]), (6, [-0.0, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (9, None)]
+        v = spark.createDataFrame(rows, "id long, v array<float>")
+        for k, want in ((1, {(5, 5), (6, 5), (7, 7), (8, 7)}), (2, {(5, 5), (5, 6), (6, 5), (6, 6), (7, 7), (7, 8), (8, 7), (8, 8)})):
+            found = cosine_topk(v.select(F.col("id").cast("string").alias("q"), "v"), v.select(F.col("id").alias("c"), "v"), k)
+            assert {(int(r.q), r.c) for r in found.collect()} == want
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(_v1" in plan and not any("q_v" in x.partition("hashpartitioning")[2] for x in plan.splitlines())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_merge_plans_are_not_broadcast(spark):
     plan = spark.createDataFrame([(2, 1, None), (3, 2, 4)], "from_id long, to_id long, urine_id long")
     p = spark.createDataFrame([(i, i % 5, 1.0, "a") for i in range(20)], "id long, service_id long, price double, raw_name string")
