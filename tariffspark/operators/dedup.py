@@ -47,27 +47,46 @@ def upsert_prices(prices: DataFrame, batch: DataFrame) -> DataFrame:
     return both.select("id", *keys, *[pick(c) for c in cols], state.alias("change")).unionByName(loose.select("id", *keys, *cols, F.lit("kept").alias("change")))
 
 
-def archive_dedup(items: DataFrame, doc: str = "run_id") -> DataFrame:
-    """Rows without a price or a name go; per document the cheapest row of each service, or of each raw name where unmatched."""
+def archive_valid(items: DataFrame) -> DataFrame:
+    """Rows with a price and a name; adds primary_price."""
     price = F.coalesce(F.col("price_resident"), F.col("price_nonresident"))
-    ok = items.where((price > 0) & (F.trim("raw_name") != ""))
+    return items.where((price > 0) & (F.trim("raw_name") != "")).withColumn("primary_price", price)
+
+
+def archive_dedup(items: DataFrame, doc: str = "run_id", within: list[str] | None = None) -> DataFrame:
+    """Rows without a price or a name go; per document the cheapest row of each service, or of each raw name where unmatched.
+    within: columns that a document and service have one value of, by which rows lie together already."""
     key = F.when(F.col("service_id").isNotNull(), F.col("service_id").cast("string")).otherwise(F.concat(F.lit("raw::"), F.lower("raw_name")))
     warned = F.coalesce(F.col("price_nonresident") < F.col("price_resident"), F.lit(False))
-    return first_by(ok.withColumn("dedup_key", key).withColumn("primary_price", price).withColumn("is_anomaly", warned), [doc, "dedup_key"], "primary_price", "id")
+    return first_by(archive_valid(items).withColumn("dedup_key", key).withColumn("is_anomaly", warned), [*(within or []), doc, "dedup_key"], "primary_price", "id")
 
 
-def archive_upsert(prices: DataFrame, batch: DataFrame) -> DataFrame:
-    """Matched rows overwrite the clinic's latest row of the service, unmatched rows are always added."""
+#: What A04 takes from a row.
+ARCHIVED = ["price", "price_resident", "price_nonresident", "valid_from", "raw_name"]
+
+
+def archive_overwrite(prices: DataFrame, matched: DataFrame) -> DataFrame:
+    """A04 for matched rows: the cheapest of a clinic and service overwrites its latest row, the other rows there are stay."""
     keys = ["clinic_id", "service_id"]
     w = Window.partitionBy(*keys).orderBy(F.desc("valid_from"), F.desc("id"))
-    cols = ["price", "price_resident", "price_nonresident", "valid_from", "raw_name"]
-    loose = prices.where("service_id is null").select(*keys, *cols, F.lit("kept").alias("change"))
-    old = prices.where("service_id is not null").select("id", *keys, *cols, F.row_number().over(w).alias("_r"))
-    new = first_by(batch.where("service_id is not null"), keys, "price", "id").select(*keys, *[F.col(c).alias(f"n_{c}") for c in cols], F.lit(1).alias("_r"))
-    merged = old.join(new, [*keys, "_r"], "full")
-    hit = F.col("n_price").isNotNull()
-    merged = merged.select(*keys, *[F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in cols], F.when(~hit, "kept").when(F.col("id").isNull(), "inserted").otherwise("updated").alias("change"))
-    return merged.unionByName(loose).unionByName(batch.where("service_id is null").select(*keys, *cols, F.lit("inserted").alias("change")))
+    loose = prices.where("service_id is null").select(*keys, *ARCHIVED, F.lit("kept").alias("change"))
+    old = prices.where("service_id is not null").select("id", *keys, *ARCHIVED, F.row_number().over(w).alias("_r"))
+    new = first_by(matched, keys, "price", "id").select(*keys, *[F.col(c).alias(f"n_{c}") for c in ARCHIVED])
+    # Joined by the keys alone, as both sides lie by them: only the latest row is hit.
+    merged = old.join(new, keys, "full")
+    hit = F.col("n_price").isNotNull() & (F.coalesce("_r", F.lit(1)) == 1)
+    state = F.when(~hit, "kept").when(F.col("_r").isNull(), "inserted").otherwise("updated")
+    return merged.select(*keys, *[F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ARCHIVED], state.alias("change")).unionByName(loose)
+
+
+def archive_add(unmatched: DataFrame) -> DataFrame:
+    """A04 for unmatched rows: they are always added."""
+    return unmatched.select("clinic_id", "service_id", *ARCHIVED, F.lit("inserted").alias("change"))
+
+
+def archive_upsert(prices: DataFrame, batch: DataFrame) -> DataFrame:
+    """Matched rows overwrite the clinic's latest row of the service, unmatched rows are always added."""
+    return archive_overwrite(prices, batch.where("service_id is not null")).unionByName(archive_add(batch.where("service_id is null")))
 
 
 def document_metrics(items: DataFrame, doc: str = "run_id") -> DataFrame:

@@ -283,21 +283,31 @@ def reprocess(runs: DataFrame, originals: DataFrame, services: DataFrame, prices
     originals: run_id, sheet, row_idx, cells. They are extracted, matched with the current catalog (by code, else by
     name), deduplicated and upserted into prices."""
     from ..sources.files import items_from_grid
-    from .dedup import archive_dedup, archive_upsert
+    from .dedup import archive_add, archive_dedup, archive_overwrite, archive_valid
     from .match import match_by_code, normalize
 
-    items = items_from_grid(originals.withColumnRenamed("run_id", "doc_id"))
-    items = items.withColumnRenamed("doc_id", "run_id").withColumnRenamed("name", "raw_name").withColumn("item_id", F.xxhash64("run_id", "sheet", "row_idx"))
-    items = written(items, "extracted")
-    coded = written(match_by_code(items.select("item_id", "raw_name", "code"), services), "coded")
-    rest = items.join(coded.select("item_id"), "item_id", "left_anti")
-    # Each distinct name is matched once.
+    items = items_from_grid(originals.withColumnRenamed("run_id", "doc_id")).withColumnRenamed("doc_id", "run_id").withColumnRenamed("name", "raw_name")
+    items = written(items.join(runs.select("run_id", "clinic_id", "valid_from"), "run_id"), "extracted")
+    # Each distinct name with its code is matched once, each distinct name without a service of its code once.
+    pairs = written(items.select("raw_name", "code").distinct().withColumn("item_id", F.monotonically_increasing_id()), "pairs")
+    coded = written(match_by_code(pairs, services), "coded")
+    rest = pairs.join(coded.select("item_id"), "item_id", "left_anti")
     once = written(rest.groupBy("raw_name").agg(F.min("item_id").alias("item_id")).select("item_id", "raw_name"), "unnamed")
     by_name, _, _ = normalize(once, services)
     by_name = written(by_name.select("raw_name", "service_id", "confidence"), "named")
     named = rest.select("item_id", "raw_name").join(by_name, "raw_name").drop("raw_name")
-    matched = items.join(coded.unionByName(named), "item_id", "left").join(runs, "run_id")
-    rows = matched.select(F.col("item_id").alias("id"), F.xxhash64("run_id", F.lit("again")).alias("run_id"), "clinic_id", "service_id", "raw_name", "price_resident", "price_nonresident", F.col("confidence").alias("match_confidence"), "valid_from")
-    kept = archive_dedup(rows)
+    found = written(pairs.join(coded.unionByName(named), "item_id").drop("item_id"), "found").withColumnsRenamed({"raw_name": "f_name", "code": "f_code"})
     money = prices.schema["price"].dataType
-    return archive_upsert(prices, kept.select("id", "run_id", "clinic_id", "service_id", "raw_name", F.col("primary_price").cast(money).alias("price"), F.col("price_resident").cast(money).alias("price_resident"), F.col("price_nonresident").cast(money).alias("price_nonresident"), "valid_from"))
+
+    def batch(found: DataFrame, keys: list[str]) -> DataFrame:
+        rows = archive_valid(items).join(found, (F.col("raw_name") == F.col("f_name")) & F.col("code").eqNullSafe(F.col("f_code")))
+        rows = rows.withColumns({"id": F.xxhash64("run_id", "sheet", "row_idx"), "match_confidence": F.col("confidence")})
+        if keys:  # of a clinic's rows of a service only the cheapest can stay, and no run's cheapest is lost with the others
+            w = Window.partitionBy(*keys).orderBy(F.col("primary_price").cast(money))
+            rows = rows.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
+        kept = archive_dedup(rows, "run_id", keys)
+        return kept.select("id", F.xxhash64("run_id", F.lit("again")).alias("run_id"), "clinic_id", "service_id", "raw_name", F.col("primary_price").cast(money).alias("price"), F.col("price_resident").cast(money).alias("price_resident"), F.col("price_nonresident").cast(money).alias("price_nonresident"), "valid_from")
+
+    known = batch(found.where("service_id is not null"), ["clinic_id", "service_id"])
+    loose = found.where("service_id is null").withColumn("service_id", F.lit(None).cast(found.schema["service_id"].dataType))
+    return archive_overwrite(prices, known).unionByName(archive_add(batch(loose, [])))

@@ -323,17 +323,20 @@ def _reprocessed(spark, d, prices, named):
     """(prices after reprocessing, catalog): lines where `named` holds have no code but the name of their service."""
     runs = canon(spark, d, "runs").where("file_name != ''").select(F.col("id").alias("run_id"), "clinic_id", F.col("created_at").alias("valid_from"))
     k = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    items = raw(spark, d, "lineitem").join(runs.withColumnRenamed("run_id", "l_orderkey"), "l_orderkey", "left_semi").where(F.floor("l_extendedprice") > 0)
+    lines = raw(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.floor("l_extendedprice").alias("price")).where("price > 0")
+    items = lines.join(runs.select(F.col("run_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    items = items.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "price")))
     of = lambda x, letter, n: F.concat(F.lit(letter), k(x % 90, 2), F.lit("."), k(F.floor(x / 90), 3), F.lit(".00"), n.cast("string"))
     title = lambda x: F.concat(F.lit("Тест гормона "), x.cast("string"))
     code = F.when(named, "").otherwise(of(F.col("l_partkey"), "В", F.col("l_linenumber")))
     name = F.when(named, title(F.col("l_partkey"))).otherwise("Услуга лаборатории")
-    price = F.format_string("%d", F.floor("l_extendedprice"))
-    body = items.select(F.col("l_orderkey").alias("run_id"), F.lit("s").alias("sheet"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")) + 9).alias("row_idx"), F.array(code, name, price).alias("cells"))
-    head = items.select(F.col("l_orderkey").alias("run_id")).distinct().select("run_id", F.lit("s").alias("sheet"), F.lit(1).alias("row_idx"), F.array(F.lit("Код"), F.lit("Наименование услуг"), F.lit("Цена, тенге")).alias("cells"))
+    row = lambda i, *cells: F.struct(i.alias("row_idx"), F.array(*cells).alias("cells"))
+    head, line = row(F.lit(1), F.lit("Код"), F.lit("Наименование услуг"), F.lit("Цена, тенге")), row(F.col("n") + 9, code, name, F.col("price").cast("string"))
+    # The first line brings the header, so lines are read and dealt by run once.
+    grid = items.select(F.col("l_orderkey").alias("run_id"), F.lit("s").alias("sheet"), F.inline(F.when(F.col("n") == 1, F.array(head, line)).otherwise(F.array(line))))
     p = F.col("p_partkey")
     services = raw(spark, d, "part").select(p.alias("id"), title(p).alias("canonical_name"), F.lit("Прочее").alias("category"), F.array().cast("array<string>").alias("synonyms"), of(p, "B", p % 7 + 1).alias("tarificator_code"), F.lit("").alias("specialty"))
-    return V.reprocess(runs, head.unionByName(body), services, prices), services
+    return V.reprocess(runs, grid, services, prices), services
 
 
 @query(
