@@ -42,7 +42,8 @@ def bound(c: Column, f) -> Column:
 
 
 def _positive(token: Column, most: float | None = None) -> Column:
-    return F.get(F.filter(F.array(token.try_cast("double")), lambda v: (v > 0) & (v <= most if most else F.lit(True))), F.lit(0))
+    some = F.filter(F.array(token), lambda t: t != "")  # a cast that fails costs more than all the rest
+    return F.get(F.filter(F.transform(some, lambda t: t.try_cast("double")), lambda v: (v > 0) & (v <= most if most else F.lit(True))), F.lit(0))
 
 
 def _first_digits(c) -> Column:
@@ -88,7 +89,7 @@ def col_norm_code(c) -> Column:
 
 def col_is_noise(c) -> Column:
     n = F.trim(F.coalesce(_c(c), F.lit("")))
-    return (F.length(n) < 4) | n.rlike(UI + R.NOISE_NAME) | (F.length(F.regexp_replace(n, "[^A-Za-zА-Яа-яЁё]", "")) < 4)
+    return (F.length(n) < 4) | n.rlike(UI + R.NOISE_NAME) | ~n.rlike(f"(?s)(?:{LETTER}.*?){{4}}")
 
 
 def col_classify_line(c) -> Column:

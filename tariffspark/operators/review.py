@@ -300,10 +300,10 @@ def reprocess(runs: DataFrame, originals: DataFrame, services: DataFrame, prices
     money = prices.schema["price"].dataType
 
     def batch(found: DataFrame, keys: list[str]) -> DataFrame:
-        rows = archive_valid(items).join(found, (F.col("raw_name") == F.col("f_name")) & F.col("code").eqNullSafe(F.col("f_code")))
+        rows = archive_valid(items).drop("primary_price").join(found, (F.col("raw_name") == F.col("f_name")) & F.col("code").eqNullSafe(F.col("f_code")))
         rows = rows.withColumns({"id": F.xxhash64("run_id", "sheet", "row_idx"), "match_confidence": F.col("confidence")})
         if keys:  # of a clinic's rows of a service only the cheapest can stay, and no run's cheapest is lost with the others
-            w = Window.partitionBy(*keys).orderBy(F.col("primary_price").cast(money))
+            w = Window.partitionBy(*keys).orderBy(F.coalesce("price_resident", "price_nonresident").cast(money))
             rows = rows.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
         kept = archive_dedup(rows, "run_id", keys)
         return kept.select("id", F.xxhash64("run_id", F.lit("again")).alias("run_id"), "clinic_id", "service_id", "raw_name", F.col("primary_price").cast(money).alias("price"), F.col("price_resident").cast(money).alias("price_resident"), F.col("price_nonresident").cast(money).alias("price_nonresident"), "valid_from")
