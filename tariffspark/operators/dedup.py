@@ -53,12 +53,11 @@ def archive_valid(items: DataFrame) -> DataFrame:
     return items.where((price > 0) & (F.trim("raw_name") != "")).withColumn("primary_price", price)
 
 
-def archive_dedup(items: DataFrame, doc: str = "run_id", within: list[str] | None = None) -> DataFrame:
-    """Rows without a price or a name go; per document the cheapest row of each service, or of each raw name where unmatched.
-    within: columns that a document and service have one value of, by which rows lie together already."""
+def archive_dedup(items: DataFrame, doc: str = "run_id") -> DataFrame:
+    """Rows without a price or a name go; per document the cheapest row of each service, or of each raw name where unmatched."""
     key = F.when(F.col("service_id").isNotNull(), F.col("service_id").cast("string")).otherwise(F.concat(F.lit("raw::"), F.lower("raw_name")))
     warned = F.coalesce(F.col("price_nonresident") < F.col("price_resident"), F.lit(False))
-    return first_by(archive_valid(items).withColumn("dedup_key", key).withColumn("is_anomaly", warned), [*(within or []), doc, "dedup_key"], "primary_price", "id")
+    return first_by(archive_valid(items).withColumn("dedup_key", key).withColumn("is_anomaly", warned), [doc, "dedup_key"], "primary_price", "id")
 
 
 #: What A04 takes from a row.

@@ -299,15 +299,18 @@ def reprocess(runs: DataFrame, originals: DataFrame, services: DataFrame, prices
     found = written(pairs.join(coded.unionByName(named), "item_id").drop("item_id"), "found").withColumnsRenamed({"raw_name": "f_name", "code": "f_code"})
     money = prices.schema["price"].dataType
 
-    def batch(found: DataFrame, keys: list[str]) -> DataFrame:
-        rows = archive_valid(items).drop("primary_price").join(found, (F.col("raw_name") == F.col("f_name")) & F.col("code").eqNullSafe(F.col("f_code")))
-        rows = rows.withColumns({"id": F.xxhash64("run_id", "sheet", "row_idx"), "match_confidence": F.col("confidence")})
-        if keys:  # of a clinic's rows of a service only the cheapest can stay, and no run's cheapest is lost with the others
-            w = Window.partitionBy(*keys).orderBy(F.coalesce("price_resident", "price_nonresident").cast(money))
-            rows = rows.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
-        kept = archive_dedup(rows, "run_id", keys)
-        return kept.select("id", F.xxhash64("run_id", F.lit("again")).alias("run_id"), "clinic_id", "service_id", "raw_name", F.col("primary_price").cast(money).alias("price"), F.col("price_resident").cast(money).alias("price_resident"), F.col("price_nonresident").cast(money).alias("price_nonresident"), "valid_from")
-
-    known = batch(found.where("service_id is not null"), ["clinic_id", "service_id"])
+    primary = F.coalesce("price_resident", "price_nonresident")
+    lines = archive_valid(items).drop("primary_price")
+    of = lambda found: lines.join(found, (F.col("raw_name") == F.col("f_name")) & F.col("code").eqNullSafe(F.col("f_code")))
+    named_id = lambda rows: rows.withColumns({"id": F.xxhash64("run_id", "sheet", "row_idx"), "primary_price": primary})
+    to_batch = lambda rows: rows.select("id", F.xxhash64("run_id", F.lit("again")).alias("run_id"), "clinic_id", "service_id", "raw_name", F.col("primary_price").cast(money).alias("price"), F.col("price_resident").cast(money).alias("price_resident"), F.col("price_nonresident").cast(money).alias("price_nonresident"), "valid_from")
+
+    # Of a clinic's rows of a service only the cheapest can stay, and no run's cheapest is lost with the others. They are
+    # cut before they are dealt; the cheapest of each run (A03) is then found where they lie.
+    keys = ["clinic_id", "service_id"]
+    cheap = F.rank().over(Window.partitionBy(*keys).orderBy(primary.cast(money)))
+    known = of(found.where("service_id is not null")).withColumn("_r", cheap).where("_r = 1").drop("_r")
+    known = first_by(named_id(known), [*keys, "run_id"], "primary_price", "id")
     loose = found.where("service_id is null").withColumn("service_id", F.lit(None).cast(found.schema["service_id"].dataType))
-    return archive_overwrite(prices, known).unionByName(archive_add(batch(loose, [])))
+    loose = archive_dedup(named_id(of(loose)))
+    return archive_overwrite(prices, to_batch(known)).unionByName(archive_add(to_batch(loose)))
